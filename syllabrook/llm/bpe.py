@@ -161,6 +161,11 @@ def blocks(text: str, size: int = BLOCK) -> list[str]:
     return [*out, text[start:]]
 
 
+def _cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for s in batches:
+        yield s.map(blocks)
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", tokens: str = "ids", decoded: str | None = None) -> DataFrame:
     """``docs`` with the token ids of each text (``ids``: array of int) and, if named, their decoded text.
 
@@ -181,7 +186,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", tokens: str = "ids",
     length = F.coalesce(F.length(text), F.lit(0))
     short = docs.filter(length <= BLOCK).mapInPandas(run, schema)
     long = add_row_id(docs.filter(length > BLOCK), "__row")
-    cut = F.udf(blocks, "array<string>")
+    cut = F.pandas_udf(_cut, "array<string>")
     parts = long.select("__row", F.posexplode(cut(text)).alias("__k", text)).repartition("__row", "__k")
     parts = parts.mapInPandas(run, f"`__row` long, `__k` int, `{text}` string, `__ids` array<int>, `__decoded` string")
     whole = parts.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("__k", *both))).alias("p"))
