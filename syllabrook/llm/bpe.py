@@ -25,11 +25,12 @@ import re
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from syllabrook.llm.common import add_row_id
+from syllabrook.llm.common import add_row_id, small_batches
 
 #: Bytes of a leaf of the tree, bytes of the first window on each side, and characters of a block.
 PIECE, WINDOW, BLOCK = 4096, 64, 1 << 17
@@ -172,6 +173,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", tokens: str = "ids",
     Texts of up to a block are encoded where they are. Longer ones are cut into blocks that are dealt
     over the cluster and gathered by document; only these rows are shuffled.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop(tokens, *([decoded] if decoded else []))
     fields = [f for f in docs.schema.fields]
     both = ["__ids", "__decoded"]
@@ -180,7 +182,9 @@ def encode(docs: DataFrame, path: str, text: str = "text", tokens: str = "ids",
         c = codec(path)
         for df in batches:
             ids = [c.encode(t or "") for t in df[text]]
-            yield df.assign(__ids=ids, __decoded=[c.decode(i) for i in ids])
+            out = df.assign(__decoded=[c.decode(i) for i in ids])
+            out.insert(len(df.columns), "__ids", [np.array(i, dtype=np.int32) for i in ids])
+            yield out
 
     schema = _ddl(docs) + ", `__ids` array<int>, `__decoded` string"
     length = F.coalesce(F.length(text), F.lit(0))

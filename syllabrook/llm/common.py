@@ -41,6 +41,13 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker holds: rows and bytes of an Arrow batch, unless the session sets them."""
+    for key, usual, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", None, str(8 << 20))):
+        if spark.conf.get(key, usual) in (usual, "9223372036854775807", "-1", "2147483647"):
+            spark.conf.set(key, value)
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from syllabrook.llm.common import small_batches
+
 DIMS, SYMBOLS, SEED = 256, 128, 20240229
 UNKNOWN = "und"
 #: Languages whose counts a task keeps at a time.
@@ -77,6 +79,8 @@ def bundle(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, np.ndarray]:
     """A prototype for each language of the rows of ``docs`` that have one."""
 
+    small_batches(docs.sparkSession)
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, np.ndarray] = {}
 

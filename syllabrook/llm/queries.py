@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from syllabrook.llm import ann, bpe, langid, mixing, topk, url_filter
+from syllabrook.llm import ann, bpe, jaccard, langid, mixing, topk, url_filter
 from syllabrook.llm.common import crc_mod, table
 
 #: The byte-level tokenizer file, and where it is looked for unless this variable names a place.
@@ -46,6 +46,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, ~F.col("held_out")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = bpe.encode(docs, tokenizer_path(), decoded="decoded")
@@ -53,4 +57,4 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_mix_sources, op3_ann_forest, op6_exact_topk, op7_language_id, op9_bpe)}
+    return {f.__name__: f for f in (op1_url_filter, op2_mix_sources, op3_ann_forest, op6_exact_topk, op7_language_id, op8_ngram_jaccard, op9_bpe)}
