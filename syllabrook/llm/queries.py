@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from syllabrook.llm import ann, bpe, jaccard, langid, mixing, topk, url_filter
+from syllabrook.llm import ann, bpe, jaccard, langid, lm, mixing, topk, url_filter
 from syllabrook.llm.common import crc_mod, table
 
 #: The byte-level tokenizer file, and where it is looked for unless this variable names a place.
@@ -56,5 +56,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_mod(F.col("doc_id"), 7) == 2)
+    return lm.score(docs, ~F.col("held_out"), keep=("held_out",))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_mix_sources, op3_ann_forest, op6_exact_topk, op7_language_id, op8_ngram_jaccard, op9_bpe)}
+    return {f.__name__: f for f in (op1_url_filter, op2_mix_sources, op3_ann_forest, op6_exact_topk, op7_language_id, op8_ngram_jaccard, op9_bpe, op10_lm_score)}
