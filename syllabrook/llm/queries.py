@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from syllabrook.llm import ann, bpe, jaccard, langid, lm, mixing, topk, url_filter
+from syllabrook.llm import ann, bpe, dedup, jaccard, langid, lm, mixing, topk, url_filter
 from syllabrook.llm.common import crc_mod, table
 
 #: The byte-level tokenizer file, and where it is looked for unless this variable names a place.
@@ -37,6 +37,11 @@ def op3_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = dedup.remove(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -62,4 +67,4 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_mix_sources, op3_ann_forest, op6_exact_topk, op7_language_id, op8_ngram_jaccard, op9_bpe, op10_lm_score)}
+    return {f.__name__: f for f in (op1_url_filter, op2_mix_sources, op3_ann_forest, op4_suffix_dedup, op6_exact_topk, op7_language_id, op8_ngram_jaccard, op9_bpe, op10_lm_score)}
