@@ -43,6 +43,7 @@ class Tree:
     direction: np.ndarray
     threshold: np.ndarray
     child: np.ndarray
+    members: list[np.ndarray]  # the sample's points of each leaf
 
     def leaves(self, x: np.ndarray) -> np.ndarray:
         at = np.zeros(len(x), dtype=np.int64) if len(self.threshold) else np.full(len(x), -1)
@@ -56,7 +57,7 @@ class Tree:
 def build(x: np.ndarray, leaf: int, seed: int) -> Tree:
     """Splits at the median of the projection on the difference of two random points."""
     rng = np.random.default_rng(seed)
-    direction, threshold, child, leaves = [], [], [], 0
+    direction, threshold, child, members = [], [], [], []
     todo = [(np.arange(len(x)), -1, 0)]
     while todo:
         rows, parent, side = todo.pop()
@@ -74,8 +75,8 @@ def build(x: np.ndarray, leaf: int, seed: int) -> Tree:
                     split = (d / n, t, p > t)
                     break
         if split is None:
-            here = -1 - leaves
-            leaves += 1
+            here = -1 - len(members)
+            members.append(rows)
         else:
             here = len(threshold)
             direction.append(split[0])
@@ -84,7 +85,7 @@ def build(x: np.ndarray, leaf: int, seed: int) -> Tree:
             todo += [(rows[~split[2]], here, 0), (rows[split[2]], here, 1)]
         if parent >= 0:
             child[parent][side] = here
-    return Tree(np.array(direction).reshape(-1, x.shape[1]), np.array(threshold), np.array(child, dtype=np.int64).reshape(-1, 2))
+    return Tree(np.array(direction).reshape(-1, x.shape[1]), np.array(threshold), np.array(child, dtype=np.int64).reshape(-1, 2), members)
 
 
 def search(forest: list[Tree], q: np.ndarray, probes: int) -> list[tuple[int, int]]:
@@ -105,6 +106,14 @@ def search(forest: list[Tree], q: np.ndarray, probes: int) -> list[tuple[int, in
     return out
 
 
+def reach(forest: list[Tree], points: np.ndarray, q: np.ndarray, leaves: list[tuple[int, int]], k: int) -> float:
+    """A distance within which there are k + 1 vectors at least: that of the sample's points in the first leaves."""
+    rows = np.unique(np.concatenate([forest[t].members[p] for t, p in leaves[:FEWEST]]))
+    if len(rows) <= k:
+        return float("inf")
+    return float(np.sqrt(np.partition(((points[rows] - q) ** 2).sum(axis=1), k)[k])) * (1 + 1e-9)
+
+
 def nearest(table: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector: str = "embedding", trees: int = TREES, share: float = SHARE, sample: int = SAMPLE, leaf: int = LEAF) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every row for which ``is_query`` holds."""
     spark = table.sparkSession
@@ -120,35 +129,50 @@ def nearest(table: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     kind = dict(index.dtypes)["v"]
     grown = [build(points, leaf, SEED + t) for t in range(trees)]
     probes = max(FEWEST, round(share * sum(len(t.threshold) + 1 for t in grown)))
-    forest = spark.sparkContext.broadcast(grown)
+    forest = spark.sparkContext.broadcast((grown, points))
+    # A leaf grows as the table outgrows the sample.
     parts = max(1, -(-(n * leaf) // (max(1, len(points)) * PART)))
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            x = np.array(df["v"].tolist(), dtype=np.float64).reshape(len(df), -1)
-            for t, tree in enumerate(forest.value):
+            x = matrix(df["v"])
+            for t, tree in enumerate(forest.value[0]):
                 yield df.assign(tree=t, leaf=tree.leaves(x), part=(df["rep"] % parts).astype("int32"))
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trees, points = forest.value
         for df in batches:
-            out = [(v, t, p, m) for v in df["v"] for t, p in search(forest.value, np.asarray(v, dtype=np.float64), probes) for m in range(parts)]
-            yield pd.DataFrame(out, columns=["v", "tree", "leaf", "part"])
+            out = []
+            for q, v, x in zip(df["q"], df["v"], matrix(df["v"]), strict=True):
+                leaves = search(trees, x, probes)
+                within = reach(trees, points, x, leaves, k)
+                out += [(q, v, within, t, p, m) for t, p in leaves for m in range(parts)]
+            yield pd.DataFrame(out, columns=["q", "v", "within", "tree", "leaf", "part"])
 
     def rank(at: tuple, of: pd.DataFrame, by: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        qs, ids, scores = [], [], []
         if len(of) and len(by):
-            x = np.array(of["v"].tolist(), dtype=np.float64)
-            for v in by["v"]:
-                d = np.sqrt(((x - np.asarray(v, dtype=np.float64)) ** 2).sum(axis=1))
-                last = np.partition(d, k)[k] if len(d) > k + 1 else np.inf
-                out += [(v, i, d[j]) for j in np.flatnonzero(d <= last) for i in of["ids"].iat[j]]
-        return pd.DataFrame(out, columns=["v", "id", "score"])
+            x, members = matrix(of["v"]), of["ids"].to_numpy()
+            for q, v, within in zip(by["q"], matrix(by["v"]), by["within"], strict=True):
+                d = np.sqrt(((x - v) ** 2).sum(axis=1))
+                if len(d) > k + 1:
+                    within = min(within, np.partition(d, k)[k])
+                for j in np.flatnonzero(d <= within):
+                    ids += list(members[j])
+                    qs += [q] * len(members[j])
+                    scores += [d[j]] * len(members[j])
+        return pd.DataFrame({"q": np.array(qs, dtype=np.int64), "id": np.array(ids, dtype=np.int64), "score": np.array(scores, dtype=np.float64)})
 
     spots = index.mapInPandas(route, f"v {kind}, ids array<long>, rep long, tree int, leaf long, part int")
     queries = rows.filter("q").select(F.col("id").alias("query_id"), "v")
-    visits = queries.select("v").distinct().mapInPandas(probe, f"v {kind}, tree int, leaf long, part int")
+    distinct = stored(queries.groupBy("v").agg(F.min("query_id").alias("q")))
+    visits = distinct.select("q", "v").mapInPandas(probe, f"q long, v {kind}, within double, tree int, leaf long, part int")
     key = ["tree", "leaf", "part"]
-    found = spots.groupBy(*key).cogroup(visits.groupBy(*key)).applyInPandas(rank, f"v {kind}, id long, score double")
-    order = W.partitionBy("v").orderBy("score", "id")
-    found = found.groupBy("v", "id").agg(F.min("score").alias("score")).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1)
-    return expand(found.drop("n"), queries, "v", k, F.col("score"))
+    found = spots.groupBy(*key).cogroup(visits.groupBy(*key)).applyInPandas(rank, "q long, id long, score double")
+    order = W.partitionBy("q").orderBy("score", "id")
+    found = found.groupBy("q", "id").agg(F.min("score").alias("score")).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1)
+    return expand(found.drop("n"), queries.join(distinct, "v").drop("v"), "q", k, F.col("score"))
+
+
+def matrix(v: pd.Series) -> np.ndarray:
+    return np.stack(v.to_numpy()).astype(np.float64) if len(v) else np.zeros((0, 1))

@@ -30,7 +30,7 @@ def groups(df: DataFrame, id_col: str, v: str, most: int) -> DataFrame:
 
 
 def expand(found: DataFrame, queries: DataFrame, v: str, k: int, best_first: Column) -> DataFrame:
-    """(query_id, rank, vec_id, score) of (v, id, score), the nearest of each distinct query vector.
+    """(query_id, rank, vec_id, score) of (v, id, score), the nearest of each distinct query vector (or its key v).
 
     ``queries`` holds (query_id, v). A query is no candidate of its own. ``found`` has up to k + 1 rows a
     vector, so a list of them is bounded, and queries that share a vector share that list.
