@@ -15,6 +15,7 @@ lists. Repeated ids are candidates each; a query never finds its own id. Scores
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +28,7 @@ from syllabrook.llm.common import stored
 from syllabrook.llm.vectors import common_size, expand, groups, valid
 
 #: Vectors of a shard and queries that meet one at a time; vectors of a leaf.
-SHARD, BLOCK, LEAF = 4096, 2048, 48
+SHARD, BLOCK, LEAF = 8192, 2048, 256
 NONE = -(1 << 62)
 
 
@@ -68,17 +69,22 @@ def search(tree: Ball, x: np.ndarray, exact: np.ndarray, counts: np.ndarray, q:
     """Rows of the shard that can be among the k best, with scores. counts: ids of each row; kth: what is known."""
     length = float(np.linalg.norm(q)) * (1 + 1e-9)
     slack = lambda c, r: float(c @ q) + r * length + 1e-6 * (abs(float(c @ q)) + r * length) + 1e-3
-    todo, rows, scores = [(slack(tree.centre, tree.radius), tree)], np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    todo, made = [(-slack(tree.centre, tree.radius), 0, tree)], 0
+    rows, scores = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     while todo:
-        todo.sort(key=lambda p: p[0])
-        bound, b = todo.pop()
-        if bound < kth:
+        bound, _, b = heapq.heappop(todo)
+        if -bound < kth:
             break
         if b.children:
-            todo += [(u, c) for c in b.children if (u := slack(c.centre, c.radius)) >= kth]
+            for c in b.children:
+                if (u := slack(c.centre, c.radius)) >= kth:
+                    made += 1
+                    heapq.heappush(todo, (-u, made, c))
             continue
         s = exact[b.rows] @ q_exact
         good = s >= kth
+        if not good.any():
+            continue
         rows, scores = np.concatenate((rows, b.rows[good])), np.concatenate((scores, s[good].astype(np.int64)))
         order = np.argsort(-scores, kind="stable")
         have = np.cumsum(counts[rows[order]])
@@ -107,8 +113,8 @@ def top_k(table: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id"
     def find(at: tuple, of: pd.DataFrame, by: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(of) and len(by):
-            exact = np.array(of["v"].tolist(), dtype=np.int64)
-            q_exact = np.array(by["v"].tolist(), dtype=np.int64)
+            exact = np.stack(of["v"].to_numpy())
+            q_exact = np.stack(by["v"].to_numpy())
             x, q = exact.astype(np.float64), q_exact.astype(np.float64)
             if np.abs(x).max(initial=0) * np.abs(q).max(initial=0) * x.shape[1] < 2**52:
                 exact, q_exact = x, q  # products and sums are exact in double precision
