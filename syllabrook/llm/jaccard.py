@@ -40,7 +40,8 @@ BITS = 48
 LOW, SKETCH_BITS, BLOCK_BITS = 1 << (BITS - 2), 24, 16
 #: Bits of the filter of classes with candidates; rows of a token that are chained in one place.
 CLASS_BITS, CHAIN = 24, 4096
-ROUNDS = 4
+#: Collapsing goes on while more pairs than that are left for each row of the lists.
+ROUNDS, ENOUGH = 4, 32
 MASK = (1 << BITS) - 1
 #: Odd factors: hashes of words and n-grams, and the two permutations (fixed values).
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -115,22 +116,22 @@ def linked(docs: DataFrame, percent: int = 90, words: int = 3, doc_id: str = "do
                 s = hasher.tokens(t)
                 n = len(s)
                 if not n:
-                    rows.append((0, None, None, None, None))
+                    rows.append((0, None, None))
                     continue
                 p = prefix_size(n, percent)
                 low = int(np.searchsorted(s, np.uint64(LOW)))
-                rows.append((n, _class(s), s[: max(low, p)].astype(np.int64), *[permuted_prefix(s, p, f) for f in ORDERS]))
-            out = pd.DataFrame(rows, columns=["n", "c", "tokens", "p2", "p3"])
+                rows.append((n, _class(s), s[: max(low, p)].astype(np.int64)))
+            out = pd.DataFrame(rows, columns=["n", "c", "tokens"])
             out.insert(0, "doc_id", df["doc_id"].to_numpy())
             yield out
 
-    read_docs = stored(texts.mapInPandas(read, f"doc_id {id_type}, n long, c binary, tokens array<long>, p2 array<int>, p3 array<int>"))
+    read_docs = stored(texts.mapInPandas(read, f"doc_id {id_type}, n long, c binary, tokens array<long>"))
     sketch = spark.sparkContext.broadcast(_sketch(read_docs))
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             rows = []
-            for c, n, tokens, p2, p3 in zip(df["c"], df["n"], df["tokens"], df["p2"], df["p3"], strict=True):
+            for c, n, tokens in zip(df["c"], df["n"], df["tokens"], strict=True):
                 p = prefix_size(n, percent)
                 low = int(np.searchsorted(tokens, LOW))
                 count = sketch.value[tokens[:low] & ((1 << SKETCH_BITS) - 1)]
@@ -139,16 +140,16 @@ def linked(docs: DataFrame, percent: int = 90, words: int = 3, doc_id: str = "do
                 count = np.concatenate((count[order], np.full(len(first) - len(order), 2, dtype=count.dtype)))
                 at = np.flatnonzero(count > 1)
                 if len(at):
-                    rows.append((c, n, first[at], at.astype(np.int32), (count[at] // CHAIN + 1).astype(np.int32), p2, p3))
-            yield pd.DataFrame(rows, columns=["c", "n", "token", "i", "salts", "p2", "p3"])
+                    rows.append((c, n, first[at], at.astype(np.int32), (count[at] // CHAIN + 1).astype(np.int32)))
+            yield pd.DataFrame(rows, columns=["c", "n", "token", "i", "salts"])
 
     once = W.partitionBy("c").orderBy("n")
-    lists = read_docs.filter("n > 0").select("c", "n", "tokens", "p2", "p3").mapInPandas(listed, "c binary, n long, token array<long>, i array<int>, salts array<int>, p2 array<int>, p3 array<int>")
+    lists = read_docs.filter("n > 0").select("c", "n", "tokens").mapInPandas(listed, "c binary, n long, token array<long>, i array<int>, salts array<int>")
     lists = lists.withColumn("k", F.row_number().over(once)).filter("k = 1").drop("k")
-    lists = stored(lists.select("c", "n", "p2", "p3", F.explode(F.arrays_zip("token", "i", "salts")).alias("t")).select("c", "n", "p2", "p3", "t.token", "t.i", "t.salts"))
+    lists = stored(lists.select("c", "n", F.explode(F.arrays_zip("token", "i", "salts")).alias("t")).select("c", "n", "t.token", "t.i", "t.salts"))
     shared = lists.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").select("token")
     lists = stored(lists.join(shared, "token", "left_semi"))
-    sets = stored(_sets(texts, lists, words))
+    sets = stored(_sets(texts, lists, words, percent))
 
     links = spark.createDataFrame([], "u binary, v binary")
     parts = links
@@ -159,7 +160,7 @@ def linked(docs: DataFrame, percent: int = 90, words: int = 3, doc_id: str = "do
         left = sizes.agg(F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2), F.sum("m")).first()
         if not left[0]:
             break
-        last = r == ROUNDS or (r > 0 and left[0] <= left[1])
+        last = r == ROUNDS or (r > 0 and left[0] <= ENOUGH * left[1])
         found = stored(_verified(_all_pairs(open_, percent) if last else _neighbours(open_, r, percent), sets, percent))
         links = links.union(found)
         parts = components(links)
@@ -202,8 +203,8 @@ def _sketch(read_docs: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _sets(texts: DataFrame, lists: DataFrame, words: int) -> DataFrame:
-    """(c, tokens as 6 bytes each) of the classes that have candidates; a filter of fixed size spares the others the shuffle."""
+def _sets(texts: DataFrame, lists: DataFrame, words: int, percent: int) -> DataFrame:
+    """(c, tokens as 6 bytes each, prefixes under the other two orders) of the classes that have candidates; a filter of fixed size spares the others the shuffle."""
     slot = F.conv(F.substring(F.hex("c"), 1, 8), 16, 10).cast("long")
     slot = F.shiftright(slot, 32 - CLASS_BITS)
     bits = lists.select(F.floor(slot / 32).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 32).cast("int")).alias("b"))
@@ -220,10 +221,10 @@ def _sets(texts: DataFrame, lists: DataFrame, words: int) -> DataFrame:
                 s = hasher.tokens(t)
                 if len(s) and int(bit[(k := _slot(c := _class(s))) >> 5]) >> (k & 31) & 1:
                     rows[c] = s
-            yield pd.DataFrame([(c, len(s), np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()) for c, s in rows.items()], columns=["c", "n", "set"])
+            yield pd.DataFrame([(c, len(s), np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes(), *[permuted_prefix(s, prefix_size(len(s), percent), f) for f in ORDERS]) for c, s in rows.items()], columns=["c", "n", "set", "p2", "p3"])
 
-    found = texts.select("text").mapInPandas(pick, "c binary, n long, set binary")
-    return found.withColumn("k", F.row_number().over(W.partitionBy("c").orderBy("n"))).filter("k = 1").select("c", "set")
+    found = texts.select("text").mapInPandas(pick, "c binary, n long, set binary, p2 array<int>, p3 array<int>")
+    return found.withColumn("k", F.row_number().over(W.partitionBy("c").orderBy("n"))).filter("k = 1").select("c", "set", "p2", "p3")
 
 
 def _sizes_fit(a: str, b: str, percent: int) -> str:
@@ -244,12 +245,11 @@ def _neighbours(lists: DataFrame, r: int, percent: int) -> DataFrame:
 
 def _all_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """(a, b): all pairs of different components that pass every filter."""
-    cols = ["c", "n", "i", "root", "p2", "p3"]
+    cols = ["c", "n", "i", "root"]
     a, b = (lists.select("token", *[F.col(x).alias(f"{s}_{x}") for x in cols]) for s in "ab")
     # The first common token leaves room for the overlap that the sizes ask for.
     room = f"least(a_n - a_i, b_n - b_i) * {100 + percent} >= {percent} * (a_n + b_n)"
     pairs = a.join(b, "token").filter(f"a_root < b_root and {_sizes_fit('a_n', 'b_n', percent)} and {room}")
-    pairs = pairs.filter(F.arrays_overlap("a_p2", "b_p2") & F.arrays_overlap("a_p3", "b_p3"))
     return pairs.select(F.least("a_c", "b_c").alias("a"), F.greatest("a_c", "b_c").alias("b")).distinct()
 
 
@@ -265,8 +265,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 good.append(100 * n >= percent * (len(both) - n))
             yield df.loc[good, ["u", "v"]]
 
-    both = pairs.join(sets.select(F.col("c").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("c").alias("b"), F.col("set").alias("y")), "b")
-    return both.select(F.col("a").alias("u"), F.col("b").alias("v"), "x", "y").mapInPandas(check, "u binary, v binary")
+    side = lambda name, cols: sets.select(F.col("c").alias(name), *[F.col(x).alias(f"{name}_{x}") for x in cols])
+    other_orders = ["p2", "p3"]
+    good = pairs.join(side("a", other_orders), "a").join(side("b", other_orders), "b")
+    good = good.filter(F.arrays_overlap("a_p2", "b_p2") & F.arrays_overlap("a_p3", "b_p3")).select("a", "b")
+    both = good.join(side("a", ["set"]), "a").join(side("b", ["set"]), "b")
+    return both.select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("a_set").alias("x"), F.col("b_set").alias("y")).mapInPandas(check, "u binary, v binary")
 
 
 def _unpack(b: bytes) -> np.ndarray:
