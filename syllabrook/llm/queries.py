@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from syllabrook.llm import ann, bpe, dedup, jaccard, langid, lm, mixing, topk, url_filter
+from syllabrook.llm import ann, bpe, dedup, jaccard, langid, license_scan, lm, mixing, topk, url_filter
 from syllabrook.llm.common import crc_mod, table
 
 #: The byte-level tokenizer file, and where it is looked for unless this variable names a place.
@@ -42,6 +42,12 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = license_scan.licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = F.array_join(F.array_sort(F.array_distinct(F.transform("finds", lambda f: f["license"]))), ",")
+    return done.select("doc_id", F.size("finds").cast("long").alias("n_found"), names.alias("licenses"), F.coalesce(F.aggregate("finds", F.lit(0), lambda a, f: a + f["differences"]), F.lit(0)).cast("long").alias("n_differences"))
+
+
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -67,4 +73,4 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_mix_sources, op3_ann_forest, op4_suffix_dedup, op6_exact_topk, op7_language_id, op8_ngram_jaccard, op9_bpe, op10_lm_score)}
+    return {f.__name__: f for f in (op1_url_filter, op2_mix_sources, op3_ann_forest, op4_suffix_dedup, op5_license_scan, op6_exact_topk, op7_language_id, op8_ngram_jaccard, op9_bpe, op10_lm_score)}
