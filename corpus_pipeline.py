@@ -1,3 +1,78 @@
-"""placeholder"""
-def run(spark, sf_dir):
-    raise NotImplementedError
+"""A training corpus from raw documents in five stages, each on what the one before has kept.
+
+Every stage but the last returns the columns of ``documents``. Stages are pure functions of
+(spark, docs, sf_dir); ``run`` writes each result as Parquet in the shared folder and reads it again.
+
+Nulls: a null text is rejected by language ID (``und``), so later stages see none from there; on their own
+they treat it as empty. A document with a null id is a document of its own and stays in the similarity join.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from syllabrook.llm import bpe, dedup, jaccard, langid, mixing
+from syllabrook.llm.common import add_row_id, crc_mod, stored, table
+from syllabrook.llm.queries import tokenizer_path
+
+#: Near copies: five-word shingles with a Jaccard index of at least 0.8.
+SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
+
+#: No stage but the mixing can be told in SQL, so the pipeline is tested against a brute-force version.
+ORACLE_SQL = None
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sets ``lang`` to the language found; documents without any (``und``) go."""
+    found = langid.identify(docs, crc_mod(F.col("doc_id"), 4) != 2)
+    return found.filter(F.col("lang_pred") != langid.UNKNOWN).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays, once."""
+    groups = jaccard.linked(docs, percent=SIMILARITY_PERCENT, words=SHINGLE_WORDS)
+    stay = groups.filter("doc_id = component_id").select("doc_id").distinct()
+    with_id = docs.filter("doc_id is not null").join(stay, "doc_id", "left_semi")
+    once = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns)))
+    with_id = with_id.withColumn("__n", once).filter("__n = 1")
+    return with_id.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts passages that a document with a smaller id has already; n_chars follows."""
+    done = dedup.remove(docs, keep=("lang", "source")).withColumns({"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")})
+    return done.select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The copies that the target weights ask for, in the order of the mix; the last one is cut at the budget."""
+    rows = add_row_id(docs)
+    taken = mixing.schedule(mixing.mix(rows, keep=("__row",))).select("__row", "finish", "source_rank", "place", "size", "taken")
+    out = taken.join(rows, "__row")
+    text = F.when(F.col("taken") < F.col("size"), mixing.first_words(F.col("text"), F.col("taken"))).otherwise(F.col("text"))
+    out = out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
+    return mixing.in_order(out).select(*docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, lang, source, n_tokens, ids, round_trip): token ids, and whether they decode to the text."""
+    done = bpe.encode(docs, tokenizer_path(), decoded="decoded")
+    return done.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("ngram_jaccard", drop_near_copies),
+    ("suffix_dedup", cut_repeats),
+    ("mix_sources", mix),
+    ("bpe", tokenize),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -128,12 +128,18 @@ def taken_words(mixed: Mix) -> DataFrame:
     return mixed.documents.withColumn("taken", total)
 
 
-def schedule(mixed: Mix, partitions: int | None = None) -> DataFrame:
-    """The copies that the mix takes, ranged over the cluster in the order of virtual time."""
+ORDER = ("finish", "source_rank", "place")
+
+
+def schedule(mixed: Mix) -> DataFrame:
+    """The copies that the mix takes: epoch, finish, place and words taken beside the document's columns."""
     rows = mixed.documents.select("*", F.explode(F.array(*[F.struct(F.lit(e).alias("epoch"), finish_time(e).alias("finish"), position(e).alias("place"), mixed.taken(e).alias("taken")) for e in range(mixed.epochs)])).alias("c"))
-    rows = rows.filter("c.taken > 0").select(*mixed.documents.columns, "c.*")
-    order = ["finish", "source_rank", "place"]
-    return (rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)).sortWithinPartitions(*order)
+    return rows.filter("c.taken > 0").select(*mixed.documents.columns, "c.*")
+
+
+def in_order(copies: DataFrame) -> DataFrame:
+    """The copies ranged over the cluster in the order of virtual time."""
+    return copies.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
 
 
 def first_words(text: Column, n: Column) -> Column:
