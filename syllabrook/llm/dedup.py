@@ -35,7 +35,7 @@ from syllabrook.llm.suffix import common_prefixes, suffix_array
 WINDOW, SEED = 50, 16
 #: Seeds of a window; bytes of a block and of the corpus for each shard; bytes of a sent hash.
 SEEDS = WINDOW - SEED + 1
-BLOCK, SHARD, SENT = 4 << 20, 16 << 20, 5
+BLOCK, SHARD, SENT = 4 << 20, 4 << 20, 5
 NO_ID = (1 << 63) - 1
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -144,15 +144,15 @@ def packed(texts: DataFrame) -> DataFrame:
         size = 0
 
         def out() -> pd.DataFrame:
-            data = b"".join(t for _, t in held)
-            row = [uuid.uuid4().int >> 65, [i for i, _ in held], [len(t) for _, t in held], [hashlib.md5(t).digest() for _, t in held], _pack(data)]
+            data = b"".join(t for _, t, _ in held)
+            row = [uuid.uuid4().int >> 65, [i for i, _, _ in held], [x for _, _, x in held], [len(t) for _, t, _ in held], [hashlib.md5(t).digest() for _, t, _ in held], _pack(data)]
             held.clear()
-            return pd.DataFrame([row], columns=["block", "ids", "sizes", "digests", "data"])
+            return pd.DataFrame([row], columns=["block", "ids", "extras", "sizes", "digests", "data"])
 
         for df in batches:
-            for i, t in zip(df["doc_id"].astype(object), df["text"], strict=True):
+            for i, t, x in zip(df["doc_id"].astype(object), df["text"], df["extra"], strict=True):
                 t = (t or "").encode("utf-8")
-                held.append((None if pd.isna(i) else int(i), t))
+                held.append((None if pd.isna(i) else int(i), t, x))
                 size += len(t)
                 if size >= BLOCK:
                     yield out()
@@ -160,7 +160,7 @@ def packed(texts: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    return texts.mapInPandas(run, "block long, ids array<long>, sizes array<long>, digests array<binary>, data binary")
+    return texts.mapInPandas(run, "block long, ids array<long>, extras array<string>, sizes array<long>, digests array<binary>, data binary")
 
 
 def _rows(f: Callable[[pd.Series], pd.DataFrame]) -> Callable:
@@ -172,10 +172,10 @@ def _rows(f: Callable[[pd.Series], pd.DataFrame]) -> Callable:
     return run
 
 
-def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, int]:
+def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, int]:
     """Blocks of the corpus (with the numbers of exact copies and the marks), what shards found for each, and the shards."""
     small_batches(docs.sparkSession)
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), (F.to_json(F.struct(*keep)) if keep else F.lit(None).cast("string")).alias("extra"))
     blocks = stored(packed(texts))
     size = blocks.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     shards = max(8, -(-size // SHARD))
@@ -326,21 +326,28 @@ def spans_of(r: pd.Series, shards: int) -> np.ndarray:
     return np.cumsum(gone[:-1]) > 0
 
 
-def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, digest, n_bytes, n_removed, n_spans, kept): a row for each document, kept as bytes; digest is of the text."""
-    marked, found, shards = repeats(docs, doc_id, text)
+def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, *keep, n_bytes, n_removed, n_spans, kept, kept_text): a row for each document.
+
+    kept holds the bytes that stay, kept_text the letters of these (a letter that is cut in two goes).
+    """
+    marked, found, shards = repeats(docs, doc_id, text, keep)
 
     def cut(r: pd.Series) -> pd.DataFrame:
         gone, data = spans_of(r, shards), np.frombuffer(_unpack(r["data"]), dtype=np.uint8)
         out, at = [], 0
-        for i, n, digest in zip(r["ids"], r["sizes"], r["digests"], strict=True):
+        for i, x, n in zip(r["ids"], r["extras"], r["sizes"], strict=True):
             g, d = gone[at : at + n], data[at : at + n]
             at += n
             removed = int(g.sum())
             spans = int(g[:1].sum() + (g[1:] > g[:-1]).sum())
-            out.append((i, digest, n, removed, spans, (d[~g] if removed else d).tobytes()))
-        df = pd.DataFrame(out, columns=["doc_id", "digest", "n_bytes", "n_removed", "n_spans", "kept"])
+            left = (d[~g] if removed else d).tobytes()
+            out.append((i, x, n, removed, spans, left, left.decode("utf-8", "ignore")))
+        df = pd.DataFrame(out, columns=["doc_id", "extra", "n_bytes", "n_removed", "n_spans", "kept", "kept_text"])
         df["doc_id"] = df["doc_id"].astype("Int64")
         return df
 
-    return marked.join(found, "block", "left").mapInPandas(_rows(cut), "doc_id long, digest binary, n_bytes long, n_removed long, n_spans long, kept binary")
+    done = marked.join(found, "block", "left").mapInPandas(_rows(cut), "doc_id long, extra string, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string")
+    if keep:
+        done = done.withColumn("extra", F.from_json("extra", docs.select(*keep).schema))
+    return done.select("doc_id", *[F.col("extra")[c].alias(c) for c in keep], "n_bytes", "n_removed", "n_spans", "kept", "kept_text")

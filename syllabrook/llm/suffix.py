@@ -11,15 +11,15 @@ import numpy as np
 
 #: The separator after each piece; bytes are kept one higher.
 SEPARATOR = 0
-#: Order is settled to at least this many bytes, which is more than a piece has.
-DEPTH = 128
+#: Order is settled to at least this many bytes.
+DEPTH = 64
 
 
 def _types(s: np.ndarray) -> np.ndarray:
     """True for suffixes smaller than their right neighbour; the last one is."""
     n = len(s)
     step = np.sign(np.append(s[1:].astype(np.int32) - s[:-1].astype(np.int32), 1))
-    place = np.where(step != 0, np.arange(n), n)
+    place = np.where(step != 0, np.arange(n, dtype=np.int32), np.int32(n))
     nxt = np.minimum.accumulate(place[::-1])[::-1]
     return step[np.minimum(nxt, n - 1)] > 0
 
@@ -43,7 +43,7 @@ def _deal(sa: np.ndarray, who: np.ndarray, letters: np.ndarray, ptr: np.ndarray,
 def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, letters: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """The suffix array, given the leftmost-smaller suffixes in order (right, if their order is)."""
     n = len(s)
-    sa = np.full(n, -1, dtype=np.int64)
+    sa = np.full(n, -1, dtype=np.int32)
     heads, tails = bounds[:-1].copy(), bounds[1:].copy()
     first = s[lms]
     count = np.bincount(first, minlength=len(heads))
@@ -108,12 +108,12 @@ def _ranked(names: np.ndarray) -> np.ndarray:
     width = 1
     while True:
         top = int(names.max()) + 1
-        if top == len(names) or 2 * width > DEPTH:
-            return np.argsort(names, kind="stable")
+        if top == len(names) or 2 * width >= DEPTH:  # two bytes a substring at least
+            return np.argsort(names)
         nxt = np.zeros(len(names), dtype=np.int64)
         nxt[:-width] = names[width:] + 1
         key = names * (top + 1) + nxt
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         k = key[order]
         names = np.empty(len(names), dtype=np.int64)
         names[order] = np.concatenate(([0], np.cumsum(k[1:] != k[:-1])))
@@ -131,7 +131,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     bounds = np.concatenate(([0], np.cumsum(count)))
     letters = np.flatnonzero(count)
     if len(lms) > 1:
-        index = np.full(n, -1, dtype=np.int64)
+        index = np.full(n, -1, dtype=np.int32)
         index[lms] = np.arange(len(lms))
         sa = _induce(s, small, lms, letters, bounds)
         order = index[sa]
@@ -145,28 +145,32 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
 def common_prefixes(s: np.ndarray, sa: np.ndarray, starts: np.ndarray, most: int = 96) -> np.ndarray:
     """For each place in text order, what its suffix shares with its predecessor in the array, up to ``most``.
 
-    Only irreducible values are compared letter by letter: those whose left neighbours differ, and those
-    at the start of a piece. Each other value is its left neighbour's less one.
+    Only irreducible values are compared letter by letter: those whose predecessor does not follow that of
+    the place before, and those at the start of a piece. Each other value is the one before less one.
     """
     n = len(s)
-    phi = np.full(n, -1, dtype=np.int64)
+    phi = np.full(n, -1, dtype=np.int32)
     phi[sa[1:]] = sa[:-1]
-    before = np.concatenate(([SEPARATOR], s[:-1]))
-    irreducible = (phi < 1) | (before[phi] != before)
+    irreducible = np.ones(n, dtype=bool)
+    irreducible[1:] = phi[1:] != phi[:-1] + 1
     irreducible[starts] = True
     at = np.flatnonzero(irreducible & (phi >= 0))
-    padded = np.concatenate((s, np.full(most, SEPARATOR, dtype=s.dtype)))
-    value = np.zeros(n, dtype=np.int64)
-    left = np.arange(len(at))
-    x, y = at, phi[at]
-    shared = np.zeros(len(at), dtype=np.int64)
-    for off in range(most):
-        equal = (padded[x[left] + off] == padded[y[left] + off]) & (x[left] + off < n) & (y[left] + off < n)
-        left = left[equal]
+    # Four letters at a time.
+    padded = np.concatenate((s.astype(np.uint16), np.full(most + 4, SEPARATOR, dtype=np.uint16)))
+    four = np.ndarray(shape=(len(padded) - 3,), dtype="<u8", buffer=padded, strides=(2,))
+    left, x, y = np.arange(len(at)), at, phi[at]
+    shared = np.zeros(len(at), dtype=np.int32)
+    for off in range(0, most, 4):
+        differ = four[x + off] ^ four[y + off]
+        equal = differ == 0
+        d = differ[~equal]
+        shared[left[~equal]] = off + (d & np.uint64(0xFFFF) == 0) + (d & np.uint64(0xFFFFFFFF) == 0) + (d & np.uint64(0xFFFFFFFFFFFF) == 0)
+        left, x, y = left[equal], x[equal], y[equal]
         if not len(left):
             break
-        shared[left] = off + 1
+        shared[left] = off + 4
+    value = np.zeros(n, dtype=np.int32)
     value[at] = shared
-    place = np.arange(n)
-    filled = np.maximum.accumulate(np.where(irreducible, value + place, 0)) - place
-    return np.maximum(filled, 0)
+    place = np.arange(n, dtype=np.int32)
+    source = np.maximum.accumulate(np.where(irreducible, place, 0))
+    return np.maximum(value[source] - (place - source), 0)
