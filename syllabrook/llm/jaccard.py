@@ -36,8 +36,8 @@ from syllabrook.llm.common import small_batches, stored
 from syllabrook.llm.components import components
 
 BITS = 48
-#: Tokens below this hash (one in four) are counted; counters of the sketch.
-LOW, SKETCH_BITS, BLOCK_BITS = 1 << (BITS - 2), 24, 16
+#: Tokens with a hash in the lowest 2.5 times the share of a prefix are counted; counters of the sketch.
+COUNTED, SKETCH_BITS, BLOCK_BITS = 2.5, 26, 18
 #: Bits of the filter of classes with candidates; rows of a token that are chained in one place.
 CLASS_BITS, CHAIN = 24, 4096
 #: Collapsing goes on while more pairs than that are left for each row of the lists.
@@ -80,6 +80,11 @@ class Hasher:
         return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
+def lowest(percent: int) -> int:
+    """Tokens below this hash are counted."""
+    return int((1 << BITS) * min(1.0, COUNTED * (100 - percent) / 100))
+
+
 def prefix_size(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
@@ -106,7 +111,7 @@ def linked(docs: DataFrame, percent: int = 90, words: int = 3, doc_id: str = "do
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    id_type = dict(texts.dtypes)["doc_id"]
+    id_type, limit = dict(texts.dtypes)["doc_id"], lowest(percent)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = Hasher(words)
@@ -119,36 +124,36 @@ def linked(docs: DataFrame, percent: int = 90, words: int = 3, doc_id: str = "do
                     rows.append((0, None, None))
                     continue
                 p = prefix_size(n, percent)
-                low = int(np.searchsorted(s, np.uint64(LOW)))
+                low = int(np.searchsorted(s, np.uint64(limit)))
                 rows.append((n, _class(s), s[: max(low, p)].astype(np.int64)))
             out = pd.DataFrame(rows, columns=["n", "c", "tokens"])
             out.insert(0, "doc_id", df["doc_id"].to_numpy())
             yield out
 
     read_docs = stored(texts.mapInPandas(read, f"doc_id {id_type}, n long, c binary, tokens array<long>"))
-    sketch = spark.sparkContext.broadcast(_sketch(read_docs))
+    sketch = spark.sparkContext.broadcast(_sketch(read_docs, limit))
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             rows = []
             for c, n, tokens in zip(df["c"], df["n"], df["tokens"], strict=True):
                 p = prefix_size(n, percent)
-                low = int(np.searchsorted(tokens, LOW))
+                low = int(np.searchsorted(tokens, limit))
                 count = sketch.value[tokens[:low] & ((1 << SKETCH_BITS) - 1)]
                 order = np.lexsort((tokens[:low], count))[:p]
                 first = np.concatenate((tokens[:low][order], tokens[low : low + p - len(order)]))
                 count = np.concatenate((count[order], np.full(len(first) - len(order), 2, dtype=count.dtype)))
                 at = np.flatnonzero(count > 1)
                 if len(at):
-                    rows.append((c, n, first[at], at.astype(np.int32), (count[at] // CHAIN + 1).astype(np.int32)))
-            yield pd.DataFrame(rows, columns=["c", "n", "token", "i", "salts"])
+                    rows.append((c, n, first[at], at.astype(np.int32)))
+            yield pd.DataFrame(rows, columns=["c", "n", "token", "i"])
 
     once = W.partitionBy("c").orderBy("n")
-    lists = read_docs.filter("n > 0").select("c", "n", "tokens").mapInPandas(listed, "c binary, n long, token array<long>, i array<int>, salts array<int>")
+    lists = read_docs.filter("n > 0").select("c", "n", "tokens").mapInPandas(listed, "c binary, n long, token array<long>, i array<int>")
     lists = lists.withColumn("k", F.row_number().over(once)).filter("k = 1").drop("k")
-    lists = stored(lists.select("c", "n", F.explode(F.arrays_zip("token", "i", "salts")).alias("t")).select("c", "n", "t.token", "t.i", "t.salts"))
-    shared = lists.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").select("token")
-    lists = stored(lists.join(shared, "token", "left_semi"))
+    lists = stored(lists.select("c", "n", F.explode(F.arrays_zip("token", "i")).alias("t")).select("c", "n", "t.token", "t.i"))
+    shared = lists.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").select("token", F.floor(F.col("m") / CHAIN + 1).cast("int").alias("salts"))
+    lists = stored(lists.join(shared, "token"))
     sets = stored(_sets(texts, lists, words, percent))
 
     links = spark.createDataFrame([], "u binary, v binary")
@@ -172,20 +177,20 @@ def linked(docs: DataFrame, percent: int = 90, words: int = 3, doc_id: str = "do
     return read_docs.select("doc_id", F.col("n").alias("n_shingles"), "c").join(names, "c", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _sketch(read_docs: DataFrame) -> np.ndarray:
-    """How many documents have a token of each counter, over all documents; cut at 65535."""
+def _sketch(read_docs: DataFrame, limit: int) -> np.ndarray:
+    """How many documents have a token of each counter, over all documents; cut at 255."""
     blocks = 1 << (SKETCH_BITS - BLOCK_BITS)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(1 << SKETCH_BITS, dtype=np.uint16)
+        total = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
         for df in batches:
             t = np.concatenate([np.zeros(0, dtype=np.int64), *df["tokens"]])
-            slots = (t[t < LOW] & ((1 << SKETCH_BITS) - 1)).astype(np.uint32)
+            slots = (t[t < limit] & ((1 << SKETCH_BITS) - 1)).astype(np.uint32)
             slots.sort()
             first = np.flatnonzero(np.concatenate((np.ones(min(1, len(slots)), dtype=bool), slots[1:] != slots[:-1])))
             n = np.diff(np.append(first, len(slots)))
             at = slots[first]
-            total[at] = np.minimum(total[at].astype(np.int64) + n, 65535).astype(np.uint16)
+            total[at] = np.minimum(total[at].astype(np.int64) + n, 255).astype(np.uint8)
         for b, part in enumerate(total.reshape(blocks, -1)):
             if part.any():
                 yield pd.DataFrame({"b": [b], "x": [zlib.compress(part.tobytes(), 1)]})
@@ -193,13 +198,13 @@ def _sketch(read_docs: DataFrame) -> np.ndarray:
     def add(at: tuple, df: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(1 << BLOCK_BITS, dtype=np.int64)
         for x in df["x"]:
-            total += np.frombuffer(zlib.decompress(x), dtype=np.uint16)
-        return pd.DataFrame({"b": [at[0]], "x": [zlib.compress(np.minimum(total, 65535).astype(np.uint16).tobytes(), 1)]})
+            total += np.frombuffer(zlib.decompress(x), dtype=np.uint8)
+        return pd.DataFrame({"b": [at[0]], "x": [zlib.compress(np.minimum(total, 255).astype(np.uint8).tobytes(), 1)]})
 
     parts = read_docs.filter("n > 0").select("tokens").mapInPandas(count, "b int, x binary")
-    out = np.zeros((blocks, 1 << BLOCK_BITS), dtype=np.uint16)
-    for r in parts.groupBy("b").applyInPandas(add, "b int, x binary").collect():  # 32 MB before compression
-        out[r["b"]] = np.frombuffer(zlib.decompress(r["x"]), dtype=np.uint16)
+    out = np.zeros((blocks, 1 << BLOCK_BITS), dtype=np.uint8)
+    for r in parts.groupBy("b").applyInPandas(add, "b int, x binary").collect():  # 64 MB before compression
+        out[r["b"]] = np.frombuffer(zlib.decompress(r["x"]), dtype=np.uint8)
     return out.reshape(-1)
 
 
