@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from syllabrook.plans import corpus, learning, registry, reports
+from syllabrook.streaming import study
 
-from pyspark.sql import DataFrame, SparkSession
+__all__ = ["corpus", "learning", "reports", "study"]
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, registry.Query]:
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)
