@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from syllabrook.operators import schedule, score
 from syllabrook.plans.registry import query
 from syllabrook.session import table
 
-PASS = F.col("value") >= 70
 STATE = """
 with e as (select *, row_number() over (partition by user_id order by ts, event_id) rn from events),
 i as (select *, sum(case when rn = 1 or value < 70 then 1 else 0 end) over (partition by user_id order by ts, event_id) island from e),
@@ -19,8 +18,12 @@ state as (select user_id, least(5, arg_max(n, island))::int box, max(t) updated_
 """
 
 
+def passed() -> Column:
+    return F.col("value") >= 70
+
+
 def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schedule.leitner(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value"), "user_id", "ts", "event_id", PASS)
+    return schedule.leitner(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value"), "user_id", "ts", "event_id", passed())
 
 
 @query(STATE + "select user_id, box, next_review, updated_at from state")
@@ -34,7 +37,7 @@ d as (select user_id, least(2, count(distinct case when value >= 70 and later =
 select user_id, met_count, ['unmet', 'met_once', 'mastered'][met_count + 1] status from d
 """)
 def mastery_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schedule.mastery(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value"), "user_id", "ts", "event_id", PASS)
+    return schedule.mastery(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value"), "user_id", "ts", "event_id", passed())
 
 
 @query(STATE + "select user_id, box, next_review from state where next_review <= date '2024-01-31'")

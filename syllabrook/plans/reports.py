@@ -6,7 +6,7 @@ lineitem award points and events graded or felt events (see the README).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,7 +16,10 @@ from syllabrook.operators.match import best, small
 from syllabrook.plans.registry import query
 from syllabrook.session import table
 
-PASS = F.col("value") >= 70
+
+
+def passed() -> Column:
+    return F.col("value") >= 70
 
 
 @query("""
@@ -37,7 +40,7 @@ select count(*) total, count(*) filter (status = 'unmet') unmet, count(*) filter
        round_even(100.0 * count(*) filter (status = 'mastered') / count(*), 0)::int pct from s
 """)
 def plan_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(PASS).alias("p"), F.count_if(~PASS).alias("f"))
+    s = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(passed()).alias("p"), F.count_if(~passed()).alias("f"))
     s = s.select(F.when(F.col("p") == 0, "unmet").when(F.col("f") == 0, "mastered").otherwise("met_once").alias("status"))
     s = s.agg(F.count("*").alias("total"), *[F.count_if(F.col("status") == x).alias(x) for x in ("unmet", "met_once", "mastered")])
     return s.withColumn("pct", percent(F.col("mastered"), F.col("total")))
