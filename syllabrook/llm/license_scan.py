@@ -55,7 +55,6 @@ class Find:
     start: int
     end: int
     differences: int
-    saved: float
 
 
 def plain(word: str) -> str:
@@ -111,6 +110,14 @@ def confirm(template: list[str], block: list[str]) -> tuple[int, int, int] | Non
     return differences, start, end
 
 
+def confirmed(template: list[str], block: list[str], at: int = 0) -> list[tuple[int, int, int]]:
+    """All places of the template in a block: the best one, then those on either side of it."""
+    if len(block) < len(template) * (1 - MOST_CHANGED) or not (c := confirm(template, block)):
+        return []
+    n, a, b = c
+    return [*confirmed(template, block[:a], at), (n, at + a, at + b), *confirmed(template, block[b:], at + b)]
+
+
 def scan(text: str | None) -> tuple[int, list[Find]]:
     """The number of candidate blocks of a text, and the notices found, by place."""
     import zstandard
@@ -137,8 +144,8 @@ def scan(text: str | None) -> tuple[int, list[Find]]:
             alone = len(own.compress(raw))
             ranked = sorted(((n := alone - len(z.compress(raw))) / size, n, name, t) for name, t, z, size in same)
             for saved, n, name, t in reversed(ranked):
-                if n >= LEAST_SAVED and (c := confirm(t, words[a:b])):
-                    finds.add(Find(name, spans[a + c[1]][0], spans[a + c[2] - 1][1], c[0], round(saved, 6)))
+                if n >= LEAST_SAVED:
+                    finds |= {Find(name, spans[i][0], spans[j - 1][1], d) for d, i, j in confirmed(t, words[a:b], a)}
     kept: list[Find] = []
     for f in sorted(finds, key=lambda f: (f.differences, f.start - f.end, f.start, f.license)):
         if all(f.end <= g.start or f.start >= g.end for g in kept):
@@ -147,7 +154,7 @@ def scan(text: str | None) -> tuple[int, list[Find]]:
 
 
 def licenses(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with n_blocks and finds (an array of license, start, end, differences, saved)."""
+    """``docs`` with n_blocks and finds (an array of license, start, end, differences)."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -155,6 +162,6 @@ def licenses(docs: DataFrame, text: str = "text") -> DataFrame:
             rows = [scan(t) for t in s]
             yield pd.DataFrame({"n_blocks": [n for n, _ in rows], "finds": [[vars(f) for f in found] for _, found in rows]})
 
-    kind = "n_blocks long, finds array<struct<license string, start int, end int, differences int, saved double>>"
+    kind = "n_blocks long, finds array<struct<license string, start int, end int, differences int>>"
     out = docs.drop("n_blocks", "finds").withColumn("__s", F.pandas_udf(run, kind)(F.col(text)))
     return out.select(*[f"`{c}`" for c in out.columns if c != "__s"], "__s.n_blocks", "__s.finds")
