@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from syllabrook.llm.common import add_row_id, small_batches
+from syllabrook.llm.common import add_row_id, small_batches, stored
 
 #: Bytes of a leaf of the tree, bytes of the first window on each side, and characters of a block.
 PIECE, WINDOW, BLOCK = 4096, 64, 1 << 17
@@ -147,8 +147,9 @@ def codec(path: str) -> Codec:
     return _CODECS[key]
 
 
-def blocks(text: str, size: int = BLOCK) -> list[str]:
+def blocks(text: str, size: int | None = None) -> list[str]:
     """The text in blocks that the pattern splits apart in any case: each starts with a white space after another sign."""
+    size = size or BLOCK
     if len(text) <= size:
         return [text]
     out, start = [], 0
@@ -189,7 +190,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", tokens: str = "ids",
     schema = _ddl(docs) + ", `__ids` array<int>, `__decoded` string"
     length = F.coalesce(F.length(text), F.lit(0))
     short = docs.filter(length <= BLOCK).mapInPandas(run, schema)
-    long = add_row_id(docs.filter(length > BLOCK), "__row")
+    long = stored(add_row_id(docs.filter(length > BLOCK), "__row"))  # stored: the key has to be the same for both readers
     cut = F.pandas_udf(_cut, "array<string>")
     parts = long.select("__row", F.posexplode(cut(text)).alias("__k", text)).repartition("__row", "__k")
     parts = parts.mapInPandas(run, f"`__row` long, `__k` int, `{text}` string, `__ids` array<int>, `__decoded` string")
