@@ -4,7 +4,8 @@ Every window of ``WINDOW`` bytes belongs to one shard, that of the smallest hash
 it; equal windows meet wherever they are. Neighbouring windows with the same smallest hash travel together
 as one *piece* of text. The corpus is packed in blocks of a few megabytes:
 
-1. each block sends its hashes to their shards, which mark those that more than one document has;
+1. each block sends its hashes to their shards, which mark those that more than one document has
+   (exact copies count here, which marks a few hashes too many and is of no harm);
 2. each block sends the distinct pieces of marked hashes, with the smallest document id that has each;
 3. each shard sorts the suffixes of its distinct pieces by induced sorting and finds, from the permuted
    common prefixes, runs of equal windows and the smallest document of each run;
@@ -55,8 +56,9 @@ def _unpack(b: bytes) -> bytes:
 class Block:
     """Texts one after another, cut into pieces: where each starts, its windows, its smallest hash, its document."""
 
-    def __init__(self, data: bytes, sizes: np.ndarray, skip: np.ndarray) -> None:
-        self.data, self.sizes = data, sizes
+    def __init__(self, data: bytes, sizes: np.ndarray, copies: np.ndarray) -> None:
+        self.data, self.sizes, self.copy = data, sizes, np.zeros(len(sizes), dtype=bool)
+        self.copy[copies] = True
         self.first = np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(sizes) else np.zeros(0, np.int64)
         whole = len(data) - WINDOW + 1
         if whole < 1:
@@ -78,7 +80,7 @@ class Block:
             h = np.minimum(h[: len(h) - (SEEDS - width)], h[SEEDS - width :])
         # Windows within one document that take part, and runs of them with one hash.
         end = np.zeros(whole + 1, dtype=np.int32)
-        wide = (sizes >= WINDOW) & ~skip
+        wide = sizes >= WINDOW
         np.add.at(end, self.first[wide], 1)
         np.add.at(end, self.first[wide] + sizes[wide] - WINDOW + 1, -1)
         good = np.cumsum(end[:-1]) > 0
@@ -111,17 +113,15 @@ class Block:
 
 def _block(r: pd.Series) -> Block:
     sizes = np.asarray(r["sizes"], dtype=np.int64)
-    skip = np.zeros(len(sizes), dtype=bool)
-    if r.get("copies") is not None:
-        skip[np.asarray(r["copies"], dtype=np.int64)] = True
-    return Block(_unpack(r["data"]), sizes, skip)
+    copies = r.get("copies")
+    return Block(_unpack(r["data"]), sizes, np.asarray([] if copies is None else copies, dtype=np.int64))
 
 
 def _shared(b: Block, pieces: np.ndarray, bits: bytes) -> np.ndarray:
-    """Those of a shard's pieces whose hash more than one document has, here or elsewhere."""
+    """Those of a shard's pieces whose hash more than one document has, here or elsewhere, but for exact copies."""
     hashes, at = np.unique(b.hash[pieces], return_inverse=True)
     marked = np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=len(hashes)).astype(bool)
-    return pieces[marked[at]]
+    return pieces[marked[at] & ~b.copy[b.doc[pieces]]]
 
 
 def _distinct(b: Block, pieces: np.ndarray) -> tuple[list[bytes], np.ndarray]:
@@ -183,7 +183,6 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: t
     each = blocks.select("block", F.posexplode(F.arrays_zip("ids", "digests", "sizes")).alias("k", "d")).select("block", "k", F.coalesce("d.ids", F.lit(NO_ID)).alias("id"), F.col("d.digests").alias("digest"), F.col("d.sizes").alias("size")).filter(F.col("size") >= WINDOW)
     first = each.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("m")).filter("m > 1")
     copies = stored(each.join(first, "digest").filter(F.col("id") > F.col("first")).groupBy("block").agg(F.sort_array(F.collect_list("k")).alias("copies")))
-    blocks = blocks.join(copies, "block", "left")
 
     def send_hashes(r: pd.Series) -> pd.DataFrame:
         b, out = _block(r), []
@@ -220,7 +219,8 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: t
     hashes = blocks.mapInPandas(_rows(send_hashes), "shard int, block long, hashes binary, several binary")
     marks = hashes.groupBy("shard").applyInPandas(mark, "block long, shard int, bits binary")
     marks = marks.groupBy("block").agg(F.collect_list(F.struct("shard", "bits")).alias("marks"))
-    marked = stored(blocks.join(marks, "block", "left"))
+    # Narrow; the texts themselves are shuffled once for the pieces and once for the cut.
+    marked = blocks.join(stored(marks.join(copies, "block", "full_outer")), "block", "left")
 
     def send_pieces(r: pd.Series) -> pd.DataFrame:
         if r["marks"] is None:
