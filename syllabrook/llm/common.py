@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,20 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/syllabrook/{uuid.uuid4().hex}"
 
 
+#: Paths of the tables that ``stored`` has written, for those who know when none of them is read any more.
+MADE: list[str] = []
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes stored tables; whatever was derived from them must have been written elsewhere."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+        if p in MADE:
+            MADE.remove(p)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as a table in the shared folder and read again.
 
@@ -37,10 +53,27 @@ def stored(df: DataFrame) -> DataFrame:
     result twice does not compute it twice.
     """
     path = scratch(df.sparkSession)
+    MADE.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Packed:
+    """Arrays that are compressed whenever they are sent or kept on disk, for broadcasting."""
+
+    def __init__(self, arrays: list[np.ndarray]) -> None:
+        self.arrays = arrays
+
+    def __getstate__(self) -> list[tuple]:
+        return [(zlib.compress(a, 1), a.dtype.str) for a in self.arrays]
+
+    def __setstate__(self, state: list[tuple]) -> None:
+        self.arrays = []
+        while state:
+            raw, kind = state.pop(0)
+            self.arrays.append(np.frombuffer(zlib.decompress(raw), dtype=kind))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds what a Python worker holds: rows and bytes of an Arrow batch, unless the session sets them."""
     for key, usual, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", None, str(8 << 20))):

@@ -32,16 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from syllabrook.llm.common import small_batches, stored
+from syllabrook.llm.common import Packed, small_batches, stored
 from syllabrook.llm.components import components
 
 BITS = 48
-#: Tokens with a hash in the lowest 2.5 times the share of a prefix are counted; counters of the sketch.
-COUNTED, SKETCH_BITS, BLOCK_BITS = 2.5, 26, 18
+#: Tokens are counted if their hash is in the lowest share, which exceeds that of a prefix by this; counters of the sketch.
+SPARE, SKETCH_BITS, BLOCK_BITS = 0.12, 26, 18
 #: Bits of the filter of classes with candidates; rows of a token that are chained in one place.
 CLASS_BITS, CHAIN = 24, 4096
-#: Collapsing goes on while more pairs than that are left for each row of the lists.
-ROUNDS, ENOUGH = 4, 32
+#: Collapsing goes on while a round links more than this share of the sets that are still in question.
+ROUNDS, YIELD = 6, 0.01
 MASK = (1 << BITS) - 1
 #: Odd factors: hashes of words and n-grams, and the two permutations (fixed values).
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -82,7 +82,7 @@ class Hasher:
 
 def lowest(percent: int) -> int:
     """Tokens below this hash are counted."""
-    return int((1 << BITS) * min(1.0, COUNTED * (100 - percent) / 100))
+    return int((1 << BITS) * min(1.0, (100 - percent) / 100 + SPARE))
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -131,15 +131,16 @@ def linked(docs: DataFrame, percent: int = 90, words: int = 3, doc_id: str = "do
             yield out
 
     read_docs = stored(texts.mapInPandas(read, f"doc_id {id_type}, n long, c binary, tokens array<long>"))
-    sketch = spark.sparkContext.broadcast(_sketch(read_docs, limit))
+    sketch = spark.sparkContext.broadcast(Packed([_sketch(read_docs, limit)]))
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = sketch.value.arrays[0]
         for df in batches:
             rows = []
             for c, n, tokens in zip(df["c"], df["n"], df["tokens"], strict=True):
                 p = prefix_size(n, percent)
                 low = int(np.searchsorted(tokens, limit))
-                count = sketch.value[tokens[:low] & ((1 << SKETCH_BITS) - 1)]
+                count = counts[tokens[:low] & ((1 << SKETCH_BITS) - 1)]
                 order = np.lexsort((tokens[:low], count))[:p]
                 first = np.concatenate((tokens[:low][order], tokens[low : low + p - len(order)]))
                 count = np.concatenate((count[order], np.full(len(first) - len(order), 2, dtype=count.dtype)))
@@ -152,12 +153,13 @@ def linked(docs: DataFrame, percent: int = 90, words: int = 3, doc_id: str = "do
     lists = read_docs.filter("n > 0").select("c", "n", "tokens").mapInPandas(listed, "c binary, n long, token array<long>, i array<int>")
     lists = lists.withColumn("k", F.row_number().over(once)).filter("k = 1").drop("k")
     lists = stored(lists.select("c", "n", F.explode(F.arrays_zip("token", "i")).alias("t")).select("c", "n", "t.token", "t.i"))
+    sketch.destroy()
     shared = lists.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").select("token", F.floor(F.col("m") / CHAIN + 1).cast("int").alias("salts"))
     lists = stored(lists.join(shared, "token"))
     sets = stored(_sets(texts, lists, words, percent))
 
     links = spark.createDataFrame([], "u binary, v binary")
-    parts = links
+    parts, enough = links, False
     for r in range(ROUNDS + 1):
         now = lists.join(parts.withColumnsRenamed({"u": "c", "v": "root"}), "c", "left").withColumn("root", F.coalesce("root", "c"))
         sizes = now.groupBy("token", "root").agg(F.count("*").alias("m")).groupBy("token").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"), F.count("*").alias("k")).filter("k > 1")
@@ -165,12 +167,13 @@ def linked(docs: DataFrame, percent: int = 90, words: int = 3, doc_id: str = "do
         left = sizes.agg(F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2), F.sum("m")).first()
         if not left[0]:
             break
-        last = r == ROUNDS or (r > 0 and left[0] <= ENOUGH * left[1])
+        last = r == ROUNDS or enough
         found = stored(_verified(_all_pairs(open_, percent) if last else _neighbours(open_, r, percent), sets, percent))
         links = links.union(found)
         parts = components(links)
         if last:
             break
+        enough = found.count() <= YIELD * open_.select("c").distinct().count()
     heads = read_docs.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id")).join(parts.withColumnsRenamed({"u": "c", "v": "root"}), "c", "left").withColumn("root", F.coalesce("root", "c"))
     names = heads.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     names = heads.select("c", "root").join(names, "root").select("c", "component_id")
