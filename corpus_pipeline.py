@@ -9,12 +9,15 @@ they treat it as empty. A document with a null id is a document of its own and s
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from syllabrook.llm import bpe, dedup, jaccard, langid, mixing
-from syllabrook.llm.common import add_row_id, crc_mod, stored, table
+from syllabrook.llm.common import MADE, add_row_id, crc_mod, drop, stored, table
 from syllabrook.llm.queries import tokenizer_path
 
 #: Near copies: five-word shingles with a Jaccard index of at least 0.8.
@@ -24,12 +27,32 @@ SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
 ORACLE_SQL = None
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_tables: list[str] = []
+
+
+def stage(f: Stage) -> Stage:
+    """Drops the tables that the stage before has stored on its way: its result is a table of its own by now."""
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop(spark, _tables)
+        before = set(MADE)
+        out = f(spark, docs, sf_dir)
+        _tables[:] = [p for p in MADE if p not in before]
+        return out
+
+    return run_stage
+
+
+@stage
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sets ``lang`` to the language found; documents without any (``und``) go."""
     found = langid.identify(docs, crc_mod(F.col("doc_id"), 4) != 2)
     return found.filter(F.col("lang_pred") != langid.UNKNOWN).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
+@stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays, once."""
     groups = jaccard.linked(docs, percent=SIMILARITY_PERCENT, words=SHINGLE_WORDS)
@@ -40,12 +63,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return with_id.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
+@stage
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages that a document with a smaller id has already; n_chars follows."""
     done = dedup.remove(docs, keep=("lang", "source")).withColumns({"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")})
     return done.select(*docs.columns)
 
 
+@stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The copies that the target weights ask for, in the order of the mix; the last one is cut at the budget."""
     rows = add_row_id(docs)
@@ -56,6 +81,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.in_order(out).select(*docs.columns)
 
 
+@stage
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids, round_trip): token ids, and whether they decode to the text."""
     done = bpe.encode(docs, tokenizer_path(), decoded="decoded")
@@ -73,6 +99,6 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+    for _, f in STAGES[:-1]:
+        docs = stored(f(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
