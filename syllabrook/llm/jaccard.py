@@ -7,11 +7,12 @@ fixed size counts those with a low hash over all documents, and tokens that it s
 even listed. The other two orders are permutations of the hashes; the prefixes under them travel with the
 listed tokens, and a pair must overlap in both before it is verified.
 
-Links are wanted as components and not as pairs, so that a group of thousands of near copies must not cost
-all its pairs. Equal sets are one class from the start. Then rounds *collapse* groups: within each token's
-list, sets are chained in random order and each tries its best neighbours; verified links merge components.
-In the end every pair of different components that passes all filters is verified, which makes the result
-complete: a pair is left out only if its two sets are linked by a path already.
+Links are wanted as components and not as pairs, so no pair ever becomes a row. Equal sets are one class from
+the start. The sets that share a token meet in one place, in which matrices of sizes, positions and shared
+tokens tell all candidates at once; long lists are dealt in parts, each two of which meet. A pair is looked
+at where its first common token is. Only sets with a candidate are fetched, and verification is one product
+of the group's incidence matrix with itself, of which the links that tie the group together are kept. All
+pairs that pass the filters are verified, so the result is complete.
 
 Tokens are 48-bit hashes: two different n-grams of a pair of documents are taken for equal with a chance
 of about size squared over 2**48.
@@ -24,7 +25,7 @@ smallest document id (null if all are null). Very long texts are whole. An empty
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -38,10 +39,10 @@ from syllabrook.llm.components import components
 BITS = 48
 #: Tokens are counted if their hash is in the lowest share, which exceeds that of a prefix by this; counters of the sketch.
 SPARE, SKETCH_BITS, BLOCK_BITS = 0.12, 26, 18
-#: Bits of the filter of classes with candidates; rows of a token that are chained in one place.
-CLASS_BITS, CHAIN = 24, 4096
-#: Collapsing goes on while a round links more than this share of the sets that are still in question.
-ROUNDS, YIELD = 6, 0.01
+#: Bits of the filter of classes with candidates; rows of a part of a token's list; columns of a part of a matrix.
+CLASS_BITS, PART, COLUMNS = 24, 1024, 4096
+#: So many tokens of a set tell whether a pair has met before.
+BEFORE = 16
 MASK = (1 << BITS) - 1
 #: Odd factors: hashes of words and n-grams, and the two permutations (fixed values).
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -154,26 +155,13 @@ def linked(docs: DataFrame, percent: int = 90, words: int = 3, doc_id: str = "do
     lists = lists.withColumn("k", F.row_number().over(once)).filter("k = 1").drop("k")
     lists = stored(lists.select("c", "n", F.explode(F.arrays_zip("token", "i")).alias("t")).select("c", "n", "t.token", "t.i"))
     sketch.destroy()
-    shared = lists.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").select("token", F.floor(F.col("m") / CHAIN + 1).cast("int").alias("salts"))
+    shared = lists.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").select("token", F.floor(F.col("m") / PART + 1).cast("int").alias("parts"))
     lists = stored(lists.join(shared, "token"))
-    sets = stored(_sets(texts, lists, words, percent))
-
-    links = spark.createDataFrame([], "u binary, v binary")
-    parts, enough = links, False
-    for r in range(ROUNDS + 1):
-        now = lists.join(parts.withColumnsRenamed({"u": "c", "v": "root"}), "c", "left").withColumn("root", F.coalesce("root", "c"))
-        sizes = now.groupBy("token", "root").agg(F.count("*").alias("m")).groupBy("token").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"), F.count("*").alias("k")).filter("k > 1")
-        open_ = stored(now.join(sizes.select("token"), "token", "left_semi"))
-        left = sizes.agg(F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2), F.sum("m")).first()
-        if not left[0]:
-            break
-        last = r == ROUNDS or enough
-        found = stored(_verified(_all_pairs(open_, percent) if last else _neighbours(open_, r, percent), sets, percent))
-        links = links.union(found)
-        parts = components(links)
-        if last:
-            break
-        enough = found.count() <= YIELD * open_.select("c").distinct().count()
+    needed = stored(_dealt(lists).mapInPandas(_candidates(percent), "g long, c binary, n long, i int, b int, one boolean"))
+    sets = stored(_sets(texts, needed, words, percent))
+    groups = needed.join(sets, "c").repartition("g").sortWithinPartitions("g")
+    links = stored(groups.mapInPandas(_verify(percent), "u binary, v binary"))
+    parts = components(links)
     heads = read_docs.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id")).join(parts.withColumnsRenamed({"u": "c", "v": "root"}), "c", "left").withColumn("root", F.coalesce("root", "c"))
     names = heads.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     names = heads.select("c", "root").join(names, "root").select("c", "component_id")
@@ -235,50 +223,125 @@ def _sets(texts: DataFrame, lists: DataFrame, words: int, percent: int) -> DataF
     return found.withColumn("k", F.row_number().over(W.partitionBy("c").orderBy("n"))).filter("k = 1").select("c", "set", "p2", "p3")
 
 
-def _sizes_fit(a: str, b: str, percent: int) -> str:
-    return f"{a} * 100 >= {b} * {percent} and {b} * 100 >= {a} * {percent}"
-
-
-def _neighbours(lists: DataFrame, r: int, percent: int) -> DataFrame:
-    """(a, b): for each set its two best neighbours of other components, of those next to it and first in its chains."""
-    chain = W.partitionBy("token", F.pmod(F.xxhash64("c", F.lit(r)), F.col("salts"))).orderBy(F.xxhash64("c", F.lit(100 + r)), "c")
-    me = F.struct("c", "n", "root")
-    rows = lists.select("c", "n", "root", F.array(F.lag(me).over(chain), F.first(me).over(chain)).alias("by"))
-    pairs = rows.select("c", "n", "root", F.explode(F.array_distinct("by")).alias("o")).filter(F.col("o").isNotNull() & (F.col("o.root") != F.col("root"))).filter(_sizes_fit("o.n", "n", percent))
-    pairs = pairs.groupBy("c", F.col("o.c").alias("b")).agg(F.count("*").alias("m"))
-    best = F.row_number().over(W.partitionBy("c").orderBy(F.desc("m"), "b"))
-    pairs = pairs.withColumn("k", best).filter("k <= 2")
-    return pairs.select(F.least("c", "b").alias("a"), F.greatest("c", "b").alias("b")).distinct()
-
-
-def _all_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """(a, b): all pairs of different components that pass every filter."""
-    cols = ["c", "n", "i", "root"]
-    a, b = (lists.select("token", *[F.col(x).alias(f"{s}_{x}") for x in cols]) for s in "ab")
-    # The first common token leaves room for the overlap that the sizes ask for.
-    room = f"least(a_n - a_i, b_n - b_i) * {100 + percent} >= {percent} * (a_n + b_n)"
-    pairs = a.join(b, "token").filter(f"a_root < b_root and {_sizes_fit('a_n', 'b_n', percent)} and {room}")
-    return pairs.select(F.least("a_c", "b_c").alias("a"), F.greatest("a_c", "b_c").alias("b")).distinct()
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            good = []
-            for x, y in zip(df["x"], df["y"], strict=True):
-                s, t = _unpack(x), _unpack(y)
-                both = np.concatenate((s, t))
-                both.sort()
-                n = int((both[1:] == both[:-1]).sum())
-                good.append(100 * n >= percent * (len(both) - n))
-            yield df.loc[good, ["u", "v"]]
-
-    side = lambda name, cols: sets.select(F.col("c").alias(name), *[F.col(x).alias(f"{name}_{x}") for x in cols])
-    other_orders = ["p2", "p3"]
-    good = pairs.join(side("a", other_orders), "a").join(side("b", other_orders), "b")
-    good = good.filter(F.arrays_overlap("a_p2", "b_p2") & F.arrays_overlap("a_p3", "b_p3")).select("a", "b")
-    both = good.join(side("a", ["set"]), "a").join(side("b", ["set"]), "b")
-    return both.select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("a_set").alias("x"), F.col("b_set").alias("y")).mapInPandas(check, "u binary, v binary")
+def _dealt(lists: DataFrame) -> DataFrame:
+    """The rows of each token together, sorted by a key g; of a long list, each two of its parts together.
+
+    ``before`` holds the first few listed tokens that come before this one in the set's order.
+    """
+    own = lists.groupBy("c").agg(F.slice(F.sort_array(F.collect_list(F.struct("i", "token"))), 1, BEFORE).alias("own"))
+    rows = lists.join(own, "c").withColumn("before", F.transform(F.filter("own", lambda x: x["i"] < F.col("i")), lambda x: x["token"])).drop("own")
+    rows = rows.withColumn("b", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    low, high = F.least("b", "j"), F.greatest("b", "j")
+    rows = rows.select(F.xxhash64("token", low, high).alias("g"), "c", "n", "i", "b", (low == high).alias("one"), "before")
+    return rows.repartition("g").sortWithinPartitions("g")
+
+
+def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of each g, which arrive one after another."""
+    rest = None
+    for df in batches:
+        df = df if rest is None else pd.concat([rest, df], ignore_index=True)
+        g = df["g"].to_numpy()
+        cut = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist()]
+        for a, b in zip(cut, cut[1:]):
+            if b - a > 1:
+                yield df.iloc[a:b]
+        rest = df.iloc[cut[-1] :]
+    if rest is not None and len(rest) > 1:
+        yield rest
+
+
+def _possible(df: pd.DataFrame, percent: int) -> np.ndarray:
+    """Which pairs of rows (above the diagonal) fit by size and by the room that their common token leaves."""
+    n, i, b = (df[x].to_numpy().astype(np.int64) for x in ("n", "i", "b"))
+    small, large = np.minimum(n[:, None], n), np.maximum(n[:, None], n)
+    room = np.minimum((n - i)[:, None], n - i)
+    fit = np.triu((small * 100 >= large * percent) & (room * (100 + percent) >= percent * (small + large)), 1)
+    return fit if df["one"].iat[0] else fit & (b[:, None] != b)
+
+
+def _meet(rows: list[np.ndarray]) -> np.ndarray:
+    """How many values each two rows (of distinct values) have in common."""
+    m = len(rows)
+    out = np.zeros((m, m), dtype=np.float32)
+    sizes = np.array([len(r) for r in rows])
+    if not sizes.sum():
+        return out
+    value, at, count = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(m), sizes)
+    keep = count[at] > 1  # what one row has alone meets nothing
+    at, row = (np.cumsum(count > 1) - 1)[at[keep]], row[keep]
+    order = np.argsort(at, kind="stable")
+    at, row = at[order], row[order]
+    for low in range(0, int((count > 1).sum()), COLUMNS):
+        x, y = np.searchsorted(at, (low, low + COLUMNS))
+        part = np.zeros((m, COLUMNS), dtype=np.float32)
+        part[row[x:y], at[x:y] - low] = 1
+        out += part @ part.T
+    return out
+
+
+def _candidates(percent: int) -> Callable:
+    """Rows that some pair needs here: one that fits and has no common token before this one."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for df in _runs(batches):
+            fit = _possible(df, percent)
+            if fit.any():
+                fit &= _meet(df["before"].tolist()) == 0
+                need = fit.any(axis=0) | fit.any(axis=1)
+                if need.any():
+                    held.append(df.loc[need, ["g", "c", "n", "i", "b", "one"]])
+                    size += len(held[-1])
+            if size > 2000:
+                yield pd.concat(held, ignore_index=True)
+                held, size = [], 0
+        if held:
+            yield pd.concat(held, ignore_index=True)
+
+    return run
+
+
+def _verify(percent: int) -> Callable:
+    """Links of each group of rows, as many as tie its linked sets together.
+
+    A pair is verified if it fits and shares prefix tokens under both other orders.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        for df in _runs(batches):
+            fit = _possible(df, percent)
+            for p in ("p2", "p3"):
+                if fit.any():
+                    fit &= _meet(df[p].tolist()) > 0
+            if not fit.any():
+                continue
+            n = df["n"].to_numpy()
+            same = _meet([_unpack(x) for x in df["set"]])
+            linked = fit & (100 * same >= percent * (n[:, None] + n - same))
+            c, top = df["c"].tolist(), list(range(len(df)))
+            for a, b in zip(*np.nonzero(linked)):
+                a, b = _top(top, int(a)), _top(top, int(b))
+                if a != b:
+                    top[max(a, b)] = min(a, b)
+                    held.append((c[a], c[b]))
+            if len(held) > 2000:
+                yield pd.DataFrame(held, columns=["u", "v"])
+                held = []
+        if held:
+            yield pd.DataFrame(held, columns=["u", "v"])
+
+    return run
+
+
+def _top(top: list[int], i: int) -> int:
+    while top[i] != i:
+        top[i] = top[top[i]]
+        i = top[i]
+    return i
 
 
 def _unpack(b: bytes) -> np.ndarray:
