@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from syllabrook.plans import corpus, learning, registry, reports
+from syllabrook.plans import corpus, learning, parsed, registry, reports
 from syllabrook.streaming import study
 
-__all__ = ["corpus", "learning", "reports", "study"]
+__all__ = ["corpus", "learning", "parsed", "reports", "study"]
 
 
 def queries() -> dict[str, registry.Query]:
