@@ -191,7 +191,7 @@ def test_model_is_a_probability_and_learns():
     for c in range(256):
         one = lm.Layout([b"al" + bytes([c])])
         odds = m.odds(one)
-        z = lm.mixed(odds, lm.gates(one, odds), m.weights)
+        z = m.mixed(odds, lm.gates(one, odds)).reshape(-1, 8)
         total += math.exp(-np.log1p(np.exp(-z[2].astype(float))).sum())
     assert total == pytest.approx(1)
     fresh = [t.encode().lower() for t in texts(99) if t][:20]
