@@ -18,7 +18,6 @@ The strings of special tokens in a text give these tokens. Lone surrogates canno
 
 from __future__ import annotations
 
-import base64
 import json
 import os
 import re

@@ -159,7 +159,9 @@ def linked(docs: DataFrame, percent: int = 90, words: int = 3, doc_id: str = "do
     lists = stored(lists.join(shared, "token"))
     needed = stored(_dealt(lists).mapInPandas(_candidates(percent), "g long, c binary, n long, i int, b int, one boolean"))
     sets = stored(_sets(texts, needed, words, percent))
-    groups = needed.join(sets, "c").repartition("g").sortWithinPartitions("g")
+    groups = needed.join(sets.select("c", "p2", "p3"), "c").repartition("g").sortWithinPartitions("g")
+    needed = stored(groups.mapInPandas(_meeting(percent), "g long, c binary, n long, i int, b int, one boolean"))
+    groups = needed.join(sets.select("c", "set"), "c").repartition("g").sortWithinPartitions("g")
     links = stored(groups.mapInPandas(_verify(percent), "u binary, v binary"))
     parts = components(links)
     heads = read_docs.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id")).join(parts.withColumnsRenamed({"u": "c", "v": "root"}), "c", "left").withColumn("root", F.coalesce("root", "c"))
@@ -282,46 +284,57 @@ def _meet(rows: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+ROW = ["g", "c", "n", "i", "b", "one"]
+
+
+def _kept(batches: Iterator[pd.DataFrame], test: Callable[[pd.DataFrame], np.ndarray]) -> Iterator[pd.DataFrame]:
+    """Rows of which the test leaves a pair."""
+    held, size = [], 0
+    for df in _runs(batches):
+        fit = test(df)
+        need = fit.any(axis=0) | fit.any(axis=1)
+        if need.any():
+            held.append(df.loc[need, ROW])
+            size += len(held[-1])
+        if size > 2000:
+            yield pd.concat(held, ignore_index=True)
+            held, size = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def _candidates(percent: int) -> Callable:
     """Rows that some pair needs here: one that fits and has no common token before this one."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
-        for df in _runs(batches):
-            fit = _possible(df, percent)
+    def test(df: pd.DataFrame) -> np.ndarray:
+        fit = _possible(df, percent)
+        return fit & (_meet(df["before"].tolist()) == 0) if fit.any() else fit
+
+    return lambda batches: _kept(batches, test)
+
+
+def _meeting(percent: int) -> Callable:
+    """Rows that some pair needs which shares prefix tokens under both other orders, too."""
+
+    def test(df: pd.DataFrame) -> np.ndarray:
+        fit = _possible(df, percent)
+        for p in ("p2", "p3"):
             if fit.any():
-                fit &= _meet(df["before"].tolist()) == 0
-                need = fit.any(axis=0) | fit.any(axis=1)
-                if need.any():
-                    held.append(df.loc[need, ["g", "c", "n", "i", "b", "one"]])
-                    size += len(held[-1])
-            if size > 2000:
-                yield pd.concat(held, ignore_index=True)
-                held, size = [], 0
-        if held:
-            yield pd.concat(held, ignore_index=True)
+                fit &= _meet(df[p].tolist()) > 0
+        return fit
 
-    return run
+    return lambda batches: _kept(batches, test)
 
 
 def _verify(percent: int) -> Callable:
-    """Links of each group of rows, as many as tie its linked sets together.
-
-    A pair is verified if it fits and shares prefix tokens under both other orders.
-    """
+    """Links of each group of rows, as many as tie its linked sets together."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
         for df in _runs(batches):
-            fit = _possible(df, percent)
-            for p in ("p2", "p3"):
-                if fit.any():
-                    fit &= _meet(df[p].tolist()) > 0
-            if not fit.any():
-                continue
             n = df["n"].to_numpy()
             same = _meet([_unpack(x) for x in df["set"]])
-            linked = fit & (100 * same >= percent * (n[:, None] + n - same))
+            linked = _possible(df, percent) & (100 * same >= percent * (n[:, None] + n - same))
             c, top = df["c"].tolist(), list(range(len(df)))
             for a, b in zip(*np.nonzero(linked)):
                 a, b = _top(top, int(a)), _top(top, int(b))
