@@ -10,7 +10,7 @@ listed tokens, and a pair must overlap in both before it is verified.
 Links are wanted as components and not as pairs, so no pair ever becomes a row. Equal sets are one class from
 the start. The sets that share a token meet in one place, in which matrices of sizes, positions and shared
 tokens tell all candidates at once; long lists are dealt in parts, each two of which meet. A pair is looked
-at where its first common token is. Only sets with a candidate are fetched, and verification is one product
+at where its first common token is. Only sets with a candidate are fetched, once for each cluster of candidates, and verification is one product
 of the group's incidence matrix with itself, of which the links that tie the group together are kept. All
 pairs that pass the filters are verified, so the result is complete.
 
@@ -161,7 +161,7 @@ def linked(docs: DataFrame, percent: int = 90, words: int = 3, doc_id: str = "do
     sets = stored(_sets(texts, needed, words, percent))
     groups = needed.join(sets.select("c", "p2", "p3"), "c").repartition("g").sortWithinPartitions("g")
     needed = stored(groups.mapInPandas(_meeting(percent), "g long, c binary, n long, i int, b int, one boolean"))
-    groups = needed.join(sets.select("c", "set"), "c").repartition("g").sortWithinPartitions("g")
+    groups = _homes(needed).join(sets.select("c", "set"), "c").repartition("g").sortWithinPartitions("g")
     links = stored(groups.mapInPandas(_verify(percent), "u binary, v binary"))
     parts = components(links)
     heads = read_docs.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id")).join(parts.withColumnsRenamed({"u": "c", "v": "root"}), "c", "left").withColumn("root", F.coalesce("root", "c"))
@@ -326,6 +326,22 @@ def _meeting(percent: int) -> Callable:
     return lambda batches: _kept(batches, test)
 
 
+def _homes(needed: DataFrame) -> DataFrame:
+    """The rows with one group for each cluster of sets that meet, directly or by others, so that a set travels once.
+
+    Clusters of more than PART sets stay in the groups of their tokens.
+    """
+    key = F.concat(F.lit("g").cast("binary"), F.hex("g").cast("binary"))  # no digest has this form
+    tied = components(needed.select(F.col("c").alias("u"), key.alias("v")))
+    home = tied.withColumnsRenamed({"u": "c", "v": "root"})
+    rows = needed.join(home, "c", "left").withColumn("root", F.coalesce("root", "c"))
+    small = rows.select("root", "c").distinct().groupBy("root").agg(F.count("*").alias("m")).filter(F.col("m") <= PART).select("root", F.lit(True).alias("small"))
+    rows = rows.join(small, "root", "left")
+    at_home = rows.filter("small").select(F.xxhash64("root").alias("g"), "c", "n").distinct()
+    at_home = at_home.withColumns({"i": F.lit(0), "b": F.lit(0), "one": F.lit(True)})
+    return stored(at_home.unionByName(rows.filter("small is null").select(*ROW)))
+
+
 def _verify(percent: int) -> Callable:
     """Links of each group of rows, as many as tie its linked sets together."""
 
