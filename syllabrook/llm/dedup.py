@@ -2,7 +2,7 @@
 
 Every window of ``WINDOW`` bytes belongs to one shard, that of the smallest hash of a ``SEED``-byte string in
 it; equal windows meet wherever they are. Neighbouring windows with the same smallest hash travel together
-as one *piece* of text. The corpus is packed in blocks of a few megabytes:
+as one *piece* of text. The corpus is packed in blocks of two megabytes:
 
 1. each block sends its hashes to their shards, which mark those that more than one document has
    (exact copies count here, which marks a few hashes too many and is of no harm);
@@ -36,7 +36,7 @@ from syllabrook.llm.suffix import common_prefixes, suffix_array
 WINDOW, SEED = 50, 16
 #: Seeds of a window; bytes of a block and of the corpus for each shard; bytes of a sent hash.
 SEEDS = WINDOW - SEED + 1
-BLOCK, SHARD, SENT = 4 << 20, 4 << 20, 5
+BLOCK, SHARD, SENT = 2 << 20, 4 << 20, 5
 NO_ID = (1 << 63) - 1
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
