@@ -78,9 +78,9 @@ def fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with s as (select l_orderkey, max_by(l_linestatus, (l_linenumber, l_partkey)) status, max(l_linenumber) last_line, bool_or(l_discount = 0) missing from lineitem group by 1)
+with s as (select l_orderkey, max_by(l_linestatus, (l_linenumber, l_partkey, l_linestatus)) status, max(l_linenumber) last_line, bool_or(l_discount = 0) missing from lineitem group by 1)
 select l_orderkey, status, last_line, case when missing then 'failed' when last_line > 6 then 'queued' else 'ingested' end outcome from s
 """)
 def ingest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max_by("l_linestatus", F.struct("l_linenumber", "l_partkey")).alias("status"), F.max("l_linenumber").alias("last_line"), F.bool_or(F.col("l_discount") == 0).alias("missing"))
+    g = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max_by("l_linestatus", F.struct("l_linenumber", "l_partkey", "l_linestatus")).alias("status"), F.max("l_linenumber").alias("last_line"), F.bool_or(F.col("l_discount") == 0).alias("missing"))
     return g.select("l_orderkey", "status", "last_line", curate.partition_rows([(F.col("missing"), "failed"), (F.col("last_line") > 6, "queued")], "ingested").alias("outcome"))

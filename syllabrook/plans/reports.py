@@ -105,11 +105,11 @@ def filters_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select l_orderkey, count(distinct l_partkey) questions, min(l_partkey) first_question, arg_min(l_returnflag, (l_linenumber, l_partkey)) flag
+select l_orderkey, count(distinct l_partkey) questions, min(l_partkey) first_question, arg_min(l_returnflag, (l_linenumber, l_partkey, l_returnflag)) flag
 from lineitem group by 1 having count(distinct l_partkey) > 4
 """)
 def papers_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count_distinct("l_partkey").alias("questions"), F.min("l_partkey").alias("first_question"), F.min_by("l_returnflag", F.struct("l_linenumber", "l_partkey")).alias("flag"))
+    g = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count_distinct("l_partkey").alias("questions"), F.min("l_partkey").alias("first_question"), F.min_by("l_returnflag", F.struct("l_linenumber", "l_partkey", "l_returnflag")).alias("flag"))
     return g.filter("questions > 4")
 
 

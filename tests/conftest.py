@@ -5,13 +5,10 @@ from pathlib import Path
 import pytest
 
 ROOT = Path(__file__).resolve().parents[1]
-sys.path.insert(0, str(ROOT))
+sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
 
-DATA = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -34,24 +31,9 @@ def spark():
 @pytest.fixture(scope="session")
 def duck():
     import duckdb
+    from support import DATA, TABLES
 
     con = duckdb.connect()
     for t in TABLES:
         con.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     return con
-
-
-def plain(v):
-    return round(v, 9) if isinstance(v, float) else str(v)
-
-
-def same(df, duck, sql):
-    from collections import Counter
-
-    r = duck.sql(sql)
-    cols = sorted(df.columns)
-    assert cols == sorted(r.columns)
-    at = [r.columns.index(c) for c in cols]
-    want = Counter(tuple(plain(x[i]) for i in at) for x in r.fetchall())
-    got = Counter(tuple(plain(x[c]) for c in cols) for x in df.collect())
-    assert got == want

@@ -3,7 +3,7 @@
 import os
 
 import pytest
-from conftest import DATA, same
+from support import DATA, same
 
 from syllabrook import queries as q
 
