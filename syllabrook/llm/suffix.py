@@ -146,13 +146,14 @@ def common_prefixes(s: np.ndarray, sa: np.ndarray, starts: np.ndarray, most: int
     """For each place in text order, what its suffix shares with its predecessor in the array, up to ``most``.
 
     Only irreducible values are compared letter by letter: those whose predecessor does not follow that of
-    the place before, and those at the start of a piece. Each other value is the one before less one.
+    the place before or comes after another letter, and those at the start of a piece. Each other value is the
+    one before less one.
     """
     n = len(s)
     phi = np.full(n, -1, dtype=np.int32)
     phi[sa[1:]] = sa[:-1]
     irreducible = np.ones(n, dtype=bool)
-    irreducible[1:] = phi[1:] != phi[:-1] + 1
+    irreducible[1:] = (phi[1:] != phi[:-1] + 1) | (phi[:-1] < 0) | (s[:-1] != s[phi[:-1]])
     irreducible[starts] = True
     at = np.flatnonzero(irreducible & (phi >= 0))
     # Four letters at a time.
