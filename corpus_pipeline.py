@@ -73,7 +73,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The copies that the target weights ask for, in the order of the mix; the last one is cut at the budget."""
-    rows = add_row_id(docs)
+    rows = stored(add_row_id(docs))  # both reads have to see the same keys
     taken = mixing.schedule(mixing.mix(rows, keep=("__row",))).select("__row", "finish", "source_rank", "place", "size", "taken")
     out = taken.join(rows, "__row")
     text = F.when(F.col("taken") < F.col("size"), mixing.first_words(F.col("text"), F.col("taken"))).otherwise(F.col("text"))
