@@ -4,7 +4,7 @@ Every stage but the last returns the columns of ``documents``. Stages are pure f
 (spark, docs, sf_dir); ``run`` writes each result as Parquet in the shared folder and reads it again.
 
 Nulls: a null text is rejected by language ID (``und``), so later stages see none from there; on their own
-they treat it as empty. A document with a null id is a document of its own and stays in the similarity join.
+they treat it as empty. A document with a null id is a document of its own; of near copies, one with an id stays.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from syllabrook.llm import bpe, dedup, jaccard, langid, mixing
@@ -54,13 +53,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 @stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays, once."""
-    groups = jaccard.linked(docs, percent=SIMILARITY_PERCENT, words=SHINGLE_WORDS)
-    stay = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    with_id = docs.filter("doc_id is not null").join(stay, "doc_id", "left_semi")
-    once = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns)))
-    with_id = with_id.withColumn("__n", once).filter("__n = 1")
-    return with_id.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    """One row of each group of near copies stays: that with the smallest id (null comes last), whatever ids repeat."""
+    rows = stored(add_row_id(docs))
+    groups = jaccard.linked(rows, percent=SIMILARITY_PERCENT, words=SHINGLE_WORDS, doc_id="__row").select(F.col("doc_id").alias("__row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.xxhash64(*docs.columns).alias("c"), F.col("__row").alias("d"))
+    first = groups.join(rows.select("__row", order.alias("order")), "__row").groupBy("component_id").agg(F.min("order").alias("order"))
+    return rows.join(first.select(F.col("order.d").alias("__row")), "__row", "left_semi").select(*docs.columns)
 
 
 @stage

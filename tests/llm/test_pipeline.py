@@ -22,3 +22,23 @@ def test_mix_reads_its_keys_once(spark):
     docs = spark.createDataFrame(rows, helpers.DOCS)
     want, got = (Counter(tuple(r) for r in corpus_pipeline.mix(spark, d, "").collect()) for d in (docs, shuffled(docs)))
     assert want and got == want
+
+
+def test_one_row_of_each_group_of_near_copies_stays(spark, docs):
+    got = Counter(tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
+    rows = helpers.rows()
+    sets = [helpers.shingles(r[1], corpus_pipeline.SHINGLE_WORDS) for r in rows]
+    first = {}
+    for r, s, g in zip(rows, sets, helpers.groups(sets, corpus_pipeline.SIMILARITY_PERCENT)):
+        key = g if s else (len(first), "no words")
+        first[key] = min(first.get(key, r), r, key=lambda r: (r[0] is None, r[0] or 0))
+    assert got == Counter(first.values())
+
+
+def test_near_copies_with_repeated_or_null_ids(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(100)) for x in "abc")
+    rows = [(1, a), (1, b), (2, b), (None, c), (None, f"{c} more"), (None, f"more {c}"), (None, f"{a} more")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], helpers.DOCS)
+    got = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+    assert sorted(r["text"].split()[5][0] for r in got) == ["a", "b", "c"]
+    assert sorted(str(r["doc_id"]) for r in got) == ["1", "1", "None"]
