@@ -1,15 +1,15 @@
 """Language-model scoring: a bit-wise context-mixing model beside a word-count baseline.
 
-The model predicts each byte of the lower-cased text, and an end sign after it, bit by bit. Three predictors
-look up hashed contexts (the last two bytes, the last four, and the current word so far), each in
-a line of sixteen counts for either half of the byte; both halves' predictions are log odds. Mixing weights,
-chosen by bit position and by the kind of the last byte (a gate), combine them in the logistic domain, and
-within a text the mixed log odds are refined: each part of ``CHUNK`` bytes is scaled by one Newton step from
-how well the parts before it were predicted. The sum over bits is the log probability of the text.
+The model predicts each byte of the lower-cased text, and an end sign after it, bit by bit. Four predictors
+look up contexts (the last byte, the last two and four, and the current word so far), each in a line of sixteen counts for either half of the byte; both halves' predictions are log
+odds. Mixing weights, chosen by bit position and by the kind of the last byte (a gate), combine them in the
+logistic domain, and within a text the mixed log odds are refined: each part of ``CHUNK`` bytes is scaled by
+one Newton step from how well the parts before it were predicted. The sum over bits is the log probability of
+the text.
 
-Counts come from all training texts. Each task counts into arrays of fixed size, which are added block by
-block; so what is shuffled follows the input and what a worker loads does not. The mixing weights are fitted
-online on at most about ``FIT_DOCS`` training texts, which are kept out of the counts of contexts for that.
+Counts come from all training texts, in tables of fixed size. The mixing weights are learned on all training texts as well: texts are dealt in
+two folds by their hash, and each fold's texts are predicted from the counts of the other, in one online pass
+for each partition; the passes are averaged by the bytes that each gate has seen.
 
 The baseline adds up log10((c + 1) / (N + V + 1)) over words and the end token. Counts of the
 ``FREQUENT`` most frequent words are at hand in each worker; the rest are looked up by an exact join.
@@ -29,28 +29,30 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from syllabrook.llm.common import Packed, add_row_id, small_batches, stored
+from syllabrook.llm.common import MADE, Packed, add_row_id, drop, small_batches, stored
 
-#: Contexts, and as powers of two the lines for the first and for the second half of a byte.
-ORDERS = {"two": (16, 17), "four": (17, 18), "word": (18, 19)}
+#: Contexts, and as powers of two the least lines for the first and for the second half of a byte.
+ORDERS = {"last": (8, 14), "two": (16, 17), "four": (17, 18), "word": (18, 19)}
 BITS = list(ORDERS.values())
 BLOCK_BITS = 16
 #: Log odds are kept as whole numbers from -127 to 127 of this size.
 STEP = 1 / 16
-#: Bytes of a part that is refined, texts for the mixing weights, bytes of a round of work, words at hand.
-CHUNK, FIT_DOCS, ROUND, FREQUENT = 512, 400, 1 << 20, 1 << 18
+#: Bytes of a part that is refined, of a step of the mixing weights and of a round of work; words at hand.
+CHUNK, PIECE, ROUND, FREQUENT = 512, 1 << 14, 1 << 20, 1 << 18
 #: Bytes that are scored together, so that arrays stay in a core's cache.
 TOGETHER = 1 << 16
 END = b"\x00<end>"
 PAD = b"\x00" * 8
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: A factor of the hashes of words and its inverse modulo 2**64.
+BASE = np.uint64(0xD6E8FEB86659FD93)
+UNBASE = np.uint64(pow(int(BASE), -1, 1 << 64))
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[32, *range(9, 14), 0]] = True
 #: The gate: white space or start, letter (a byte over 127 too), digit, other.
 KIND = np.full(256, 3, dtype=np.int64)
 GATES = 8
-#: Mixing weights in whole numbers; three products of up to 127 and 80 fit into 16 bits.
-FINE = 512
+WORD_SO_FAR = list(ORDERS).index("word")
 KIND[BLANK] = 0
 KIND[[*range(97, 123), *range(128, 256)]] = 1
 KIND[48:58] = 2
@@ -62,7 +64,8 @@ class Layout:
     Place i of the arrays is byte i + 8 of the buffer; ``first`` and ``last_at`` bound each text with its end sign.
     """
 
-    def __init__(self, texts: list[bytes]) -> None:
+    def __init__(self, texts: list[bytes], bits: list[tuple[int, int]] = BITS) -> None:
+        self.bits = bits
         raw = PAD + PAD.join(texts) + PAD
         buf = np.frombuffer(raw, dtype=np.uint8)
         size = np.array([len(t) for t in texts], dtype=np.int64)
@@ -70,37 +73,43 @@ class Layout:
         self.size = size + 1  # with the end sign
         self.byte, self.last = buf[8:], buf[7:-1]
         # The eight bytes before each place; the last is the highest.
-        before = np.ndarray(shape=(len(buf) - 8,), dtype="<u8", buffer=raw, strides=(1,)).copy()
-        place = np.arange(len(buf), dtype=np.int32)
-        blank = np.maximum.accumulate(np.where(BLANK[buf], place, 0))
-        run = np.minimum(place[:-8] + 7 - blank[7:-1], 8)  # bytes of the word so far
-        word = before & KEEP[run]
-        word += run.astype(np.uint64)
-        word *= MIX
-        word >>= np.uint64(64 - BITS[2][0])
-        two = before >> np.uint64(48)
-        before >>= np.uint64(32)
-        before *= MIX
-        before >>= np.uint64(64 - BITS[1][0])
-        self.line = [two, before, word]
+        before = np.ndarray(shape=(len(buf) - 8,), dtype="<u8", buffer=raw, strides=(1,))
+        word = self._words(buf)
+        line = [self.last.astype(np.uint64), before >> np.uint64(48)]
+        for k, x in enumerate((before >> np.uint64(32), word[7:-1]), 2):
+            x = x * MIX
+            x ^= x >> np.uint64(32)
+            x *= MIX
+            line.append(x >> np.uint64(64 - bits[k][0]))
+        self.line = line
         self.high = self.byte >> 4
 
+    def _words(self, buf: np.ndarray) -> np.ndarray:
+        """Hashes of the word so far at each byte of the buffer (0 after white space)."""
+        place = np.arange(len(buf), dtype=np.int32)
+        sums = np.cumsum(np.cumprod(np.full(len(buf), BASE)) * (buf + np.uint64(1)))  # all modulo 2**64
+        start = np.maximum.accumulate(np.where(BLANK[buf], place, 0))
+        return (sums - sums[start]) * np.cumprod(np.full(len(buf), UNBASE))[start]
+
     def cells(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Where both halves of each byte are counted for context k."""
         first = (self.line[k] << np.uint64(4)) | self.high
         second = first * MIX
-        second >>= np.uint64(64 - BITS[k][1])
+        second >>= np.uint64(64 - self.bits[k][1])
         second <<= np.uint64(4)
         second |= self.byte & 15
         return first.view(np.int64), second.view(np.int64)
 
     def between(self) -> np.ndarray:
-        """Places after the end sign of a text, before the next one."""
-        return ((self.first + self.size)[:, None] + np.arange(7)).reshape(-1)[:-7] if len(self.first) else np.zeros(0, dtype=np.int64)
+        """Places after the end sign of a text, before the next one or the end."""
+        return ((self.first + self.size)[:, None] + np.arange(7)).reshape(-1) if len(self.first) else np.zeros(0, dtype=np.int64)
 
 
-KEEP = np.array([0] + [(1 << 64) - (1 << (64 - 8 * k)) for k in range(1, 9)], dtype=np.uint64)
-SIZES = [[1 << (b + 4) for b in bits] for bits in BITS]
+def sizes_of(bits: list[tuple[int, int]]) -> list[list[int]]:
+    return [[1 << (b + 4) for b in pair] for pair in bits]
+
+
+SIZES = sizes_of(BITS)
 
 
 def packed(counts: np.ndarray) -> np.ndarray:
@@ -117,11 +126,11 @@ def packed(counts: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, tables: list[list[np.ndarray]], weights: np.ndarray) -> None:
-        self.tables, self.weights, self.rows = tables, weights, {}
+    def __init__(self, tables: list[list[np.ndarray]], weights: np.ndarray, bits: list[tuple[int, int]] = BITS) -> None:
+        self.tables, self.weights, self.bits = tables, weights, bits
 
     def odds(self, lay: Layout) -> np.ndarray:
-        """(bytes, contexts, 8): log odds in favour of the bits that the text has."""
+        """(contexts, bytes, 8): log odds in favour of the bits that the text has."""
         out = np.empty((len(ORDERS), len(lay.byte), 2), dtype=np.uint32)
         for k in range(len(ORDERS)):
             a, b = lay.cells(k)
@@ -141,11 +150,11 @@ class Model:
         return out
 
     def _log10(self, texts: list[bytes]) -> np.ndarray:
-        lay = Layout(texts)
+        lay = Layout(texts, self.bits)
         odds = self.odds(lay)
         z = self.mixed(odds, gates(lay, odds))
-        # One Newton step for the scale of each part from all parts before it, on two of the eight bits.
-        y = z.reshape(-1, 8)[:, 3::4]
+        # One Newton step for the scale of each part from all parts before it.
+        y = z.reshape(-1, 8)
         q = 1 / (1 + np.exp(y))
         parts = -(-lay.size // CHUNK)
         own = np.repeat(np.arange(len(parts)), parts)
@@ -154,9 +163,9 @@ class Model:
         end = np.minimum(cut + CHUNK, (lay.first + lay.size)[own])
         ends = np.stack((cut, np.minimum(end, len(y) - 1)), axis=1).reshape(-1)
         q *= y
-        slope = np.add.reduceat(q[:, 0] + q[:, 1], ends)[::2].astype(np.float64)
+        slope = np.add.reduceat(q.sum(axis=1), ends)[::2].astype(np.float64)
         q *= y - q
-        bend = np.add.reduceat(q[:, 0] + q[:, 1], ends)[::2].astype(np.float64)
+        bend = np.add.reduceat(q.sum(axis=1), ends)[::2].astype(np.float64)
         total = lambda x: (c := np.cumsum(x) - x) - c[begin[own]]
         scale = np.clip(1 + total(slope) / (total(bend) + 50.0), 0.5, 2.0).astype(np.float32)
         z *= np.repeat(scale, 8 * np.diff(np.append(cut, len(y))))
@@ -171,39 +180,13 @@ class Model:
         return -np.add.reduceat(cost, bounds)[::2] / np.log(10)
 
     def mixed(self, odds: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        """The weighted log odds of all bits in a row, in whole numbers until the end."""
-        most, n = int(np.bincount(gate, minlength=1).argmax()), odds.shape[1] * 8
-        z = np.zeros(n, dtype=np.int16)
-        for k in range(len(ORDERS)):  # all bytes as the commonest gate has it, then the others anew
-            part = odds[k].reshape(-1).astype(np.int16)
-            part *= self.row(most, k, n)
-            z += part
-        z = z.reshape(-1, 8)
-        for g in range(GATES):
-            rows = np.flatnonzero(gate == g) if g != most else []
-            if len(rows):
-                part = np.zeros(len(rows) * 8, dtype=np.int16)
-                for k in range(len(ORDERS)):
-                    own = odds[k][rows].reshape(-1).astype(np.int16)
-                    own *= self.row(g, k, len(own))
-                    part += own
-                z[rows] = part.reshape(-1, 8)
-        z = z.reshape(-1).astype(np.float32)
-        z *= np.float32(1 / FINE)
-        return z
-
-    def row(self, g: int, k: int, n: int) -> np.ndarray:
-        """The whole-number weights of a gate and context over n bits."""
-        have = self.rows.get((g, k))
-        if have is None or len(have) < n:
-            w = np.clip(np.rint(self.weights[g, k] * FINE), -80, 80).astype(np.int16)
-            have = self.rows[g, k] = np.tile(w, max(n // 8, TOGETHER))
-        return have[:n]
+        """The weighted log odds of all bits in a row."""
+        return mixed(odds, gate, self.weights).reshape(-1)
 
 
 def gates(lay: Layout, odds: np.ndarray) -> np.ndarray:
     """The set of weights for each byte: the kind of the last byte, and whether the word so far is known."""
-    return KIND[lay.last] + 4 * (odds[2][:, 0] == 0)
+    return KIND[lay.last] + 4 * (odds[WORD_SO_FAR][:, 0] == 0)
 
 
 def mixed(odds: np.ndarray, gate: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -221,45 +204,100 @@ def mixed(odds: np.ndarray, gate: np.ndarray, weights: np.ndarray) -> np.ndarray
     return np.clip(z, -40, 40, out=z)
 
 
-def fit_weights(tables: list[list[np.ndarray]], texts: list[bytes]) -> np.ndarray:
-    """Online logistic mixing: weights (gate, context, bit) follow the error on one piece of text after another."""
-    w = np.full((GATES, len(ORDERS), 8), STEP * 0.4, dtype=np.float32)
-    model = Model(tables, w)
+def first_weights() -> np.ndarray:
+    return np.full((GATES, len(ORDERS), 8), STEP * 1.2 / len(ORDERS), dtype=np.float32)
+
+
+def step(model: Model, texts: list[bytes], rate: float) -> np.ndarray:
+    """One online step of the model's weights (gate, context, bit), which follow the error on these texts; the bytes of each gate."""
+    lay = Layout(texts, model.bits)
+    odds = model.odds(lay)
+    gate = gates(lay, odds)
+    gate[lay.between()] = GATES  # not part of a text
+    n = np.bincount(gate, minlength=GATES + 1)[:GATES]
+    error = 1 / (1 + np.exp(mixed(odds, np.minimum(gate, GATES - 1), model.weights)))
+    for g in np.flatnonzero(n):
+        rows = np.flatnonzero(gate == g)
+        wrong = error[rows]
+        slope = np.stack([np.einsum("nb,nb->b", wrong, odds[k][rows].astype(np.float32)) for k in range(len(ORDERS))])
+        model.weights[g] += (rate * STEP * STEP / np.sqrt(len(rows) * 64.0) * slope).astype(np.float32)
+    return n
+
+
+def fit_weights(tables: list[list[np.ndarray]], texts: list[bytes], bits: list[tuple[int, int]] = BITS) -> np.ndarray:
+    """Online logistic mixing on a few texts, again and again."""
+    model = Model(tables, first_weights(), bits)
     for rate in (0.1, 0.05, 0.02, 0.01):
         for i in range(0, len(texts), 4):
-            lay = Layout(texts[i : i + 4])
-            odds = model.odds(lay)
-            gate = gates(lay, odds)
-            error = 1 / (1 + np.exp(mixed(odds, gate, w)))
-            for g in range(GATES):
-                rows = np.flatnonzero(gate == g)
-                if len(rows):
-                    step = np.einsum("nb,knb->kb", error[rows], odds[:, rows].astype(np.float32) * STEP, optimize=True) / np.sqrt(len(rows) * 64.0)
-                    w[g] += (rate * STEP * step).astype(np.float32)
-    return w
+            step(model, texts[i : i + 4], rate)
+    return model.weights
+
+
+def _fit(texts: DataFrame, tables: list[list[np.ndarray]], bits: list[tuple[int, int]]) -> DataFrame:
+    """(g, i, n, w): each partition's weights after an online pass over all its texts, and the bytes that each gate has seen."""
+    sent = texts.sparkSession.sparkContext.broadcast(Packed([t for pair in tables for t in pair]))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        arrays = sent.value.arrays
+        model = Model(list(zip(arrays[::2], arrays[1::2], strict=True)), first_weights(), bits)
+        seen, waiting, size, steps = np.zeros(GATES, dtype=np.int64), [], 0, 0
+
+        def learn() -> None:
+            nonlocal size, steps, seen
+            if steps == 0:  # the first texts more often, for partitions with few of them
+                for rate in (0.1, 0.05):
+                    for i in range(0, len(waiting), 4):
+                        step(model, waiting[i : i + 4], rate)
+            seen = seen + step(model, waiting, max(0.01, 0.1 / (1 + steps / 25)))
+            waiting.clear()
+            size, steps = 0, steps + 1
+
+        for df in batches:
+            for text in df["text"]:
+                waiting.append(_bytes(text))
+                size += len(waiting[-1])
+                if size >= PIECE:
+                    learn()
+        if waiting:
+            learn()
+        for g in np.flatnonzero(seen):
+            w = model.weights[g].reshape(-1).astype(float)
+            yield pd.DataFrame({"g": int(g), "i": np.arange(len(w)), "n": int(seen[g]), "w": w})
+
+    out = stored(texts.select("text").mapInPandas(run, "g int, i int, n long, w double"))
+    sent.destroy()
+    return out
+
+
+def _averaged(fits: DataFrame) -> np.ndarray:
+    """Weights of all partitions' passes, averaged by bytes."""
+    w = first_weights().reshape(GATES, -1)
+    for r in fits.groupBy("g", "i").agg((F.sum(F.col("n") * F.col("w")) / F.sum("n")).alias("w")).collect():
+        w[r["g"], r["i"]] = r["w"]
+    return w.reshape(GATES, len(ORDERS), 8)
 
 
 def _bytes(text: str | None) -> bytes:
     return text.encode("utf-8").lower() if text else b""
 
 
-def _learn(train: DataFrame, held: Column) -> DataFrame:
+def _learn(train: DataFrame, bits: list[tuple[int, int]]) -> DataFrame:
     """(kind, word, n, x) of the training texts: counts of words, and of context cells in compressed blocks."""
-    block = 1 << BLOCK_BITS
+    block, sizes = 1 << BLOCK_BITS, sizes_of(bits)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words: Counter = Counter()
-        cells = [np.zeros(s + 1, dtype=np.uint32) for sizes in SIZES for s in sizes]
+        cells = [np.zeros(s + 1, dtype=np.uint32) for pair in sizes for s in pair]
         waiting: list[bytes] = []
         size = 0
 
         def add() -> None:
             if waiting:
-                lay = Layout(waiting)
+                lay = Layout(waiting, bits)
                 gaps = lay.between()
                 for k in range(len(ORDERS)):
                     for half, at in enumerate(lay.cells(k)):
-                        at[gaps] = SIZES[k][half]  # a cell beyond the others
+                        at[gaps] = sizes[k][half]  # a cell beyond the others
                         np.add.at(cells[2 * k + half], at, np.uint32(1))
                 waiting.clear()
 
@@ -269,33 +307,62 @@ def _learn(train: DataFrame, held: Column) -> DataFrame:
             return out
 
         for df in batches:
-            for text, fit in zip(df["text"], df["fit"], strict=True):
+            for text in df["text"]:
                 t = _bytes(text)
                 words.update(t.split())
                 words[END] += 1
-                if not fit:
-                    waiting.append(t)
-                    size += len(t)
-                    if size > ROUND:
-                        add()
-                        size = 0
+                waiting.append(t)
+                size += len(t)
+                if size > ROUND:
+                    add()
+                    size = 0
             if len(words) > 400_000:
                 yield spill()
         add()
         yield spill()
         for k, c in enumerate(cells):
-            for b, part in enumerate(c[:-1].reshape(-1, block)):
-                if part.any():
-                    yield pd.DataFrame({"kind": [k * 1000 + b], "word": [None], "n": [0], "x": [zlib.compress(part.tobytes(), 1)]})
+            for b in range(-(-(len(c) - 1) // block)):
+                part = c[b * block : min((b + 1) * block, len(c) - 1)]
+                at = np.flatnonzero(part)
+                if len(at):
+                    yield pd.DataFrame({"kind": [k << 40 | b], "word": [None], "n": [0], "x": [_sent(at, part[at])]})
+
+    return train.select("text").mapInPandas(count, "kind long, word binary, n long, x binary")
+
 
-    return train.select("text", held.alias("fit")).mapInPandas(count, "kind int, word binary, n long, x binary")
+def _sent(at: np.ndarray, n: np.ndarray) -> bytes:
+    """Cells of a block and their counts: distances and counts byte by byte, most of which are small."""
+    import zstandard
+
+    far = np.diff(at, prepend=0).astype("<u2")
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(x.view(np.uint8).reshape(len(at), -1).T).tobytes() for x in (far, n.astype("<u4"))))
+
+
+def _received(x: bytes) -> tuple[np.ndarray, np.ndarray]:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), dtype=np.uint8).reshape(6, -1)
+    far, n = np.ascontiguousarray(planes[:2].T).view("<u2"), np.ascontiguousarray(planes[2:].T).view("<u4")
+    return np.cumsum(far.reshape(-1), dtype=np.int64), n.reshape(-1).astype(np.int64)
 
 
 def _add(at: tuple, df: pd.DataFrame) -> pd.DataFrame:
-    total = 0
-    for x in df["x"]:
-        total = total + np.frombuffer(zlib.decompress(x), dtype=np.uint32).astype(np.int64)
-    return pd.DataFrame({"kind": [at[0]], "x": [zlib.compress(packed(total).tobytes(), 1)]})
+    """The log odds of a block from the counts of either fold and from all."""
+    total = np.zeros((2, 1 << BLOCK_BITS), dtype=np.int64)
+    for fold, x in zip(df["fold"], df["x"], strict=True):
+        cells, n = _received(x)
+        total[fold, cells] += n
+    odds = [zlib.compress(packed(c).tobytes(), 1) for c in (total[0], total[1], total[0] + total[1])]
+    return pd.DataFrame({"kind": [at[0]], "fold0": odds[:1], "fold1": odds[1:2], "both": odds[2:]})
+
+
+def _tables(blocks: DataFrame, which: str, bits: list[tuple[int, int]]) -> list[list[np.ndarray]]:
+    tables = [[np.zeros(s, dtype=np.uint32) for s in pair] for pair in sizes_of(bits)]
+    for r in blocks.select("kind", which).toLocalIterator():
+        k, b = divmod(r["kind"], 1 << 40)
+        part = tables[k // 2][k % 2][b << BLOCK_BITS : (b + 1) << BLOCK_BITS]
+        part[:] = np.frombuffer(zlib.decompress(r[which]), dtype=np.uint32)[: len(part)]
+    return tables
 
 
 def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", frequent: int = FREQUENT, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -303,27 +370,29 @@ def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"), *keep)
-    dealt = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30))
-    limit = int((1 << 30) * min(0.02, FIT_DOCS / max(1, rows.filter("learn").count())))
-    train = rows.filter("learn")
-    parts = stored(_learn(train, dealt < limit))
+    train = rows.filter("learn").withColumn("fold", F.pmod(F.xxhash64("text", F.lit(5)), F.lit(2)).cast("int"))  # equal texts in one fold
+    bits = BITS
+    folds = [train.filter(F.col("fold") == f) for f in (0, 1)]
+    made = len(MADE)
+    parts = [stored(_learn(d, bits)).withColumn("fold", F.lit(f)) for f, d in enumerate(folds)]
+    done_with = MADE[made:]
+    parts = parts[0].unionByName(parts[1])
 
     words = stored(parts.filter("kind = -1").groupBy("word").agg(F.sum("n").alias("n")))
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = spark.sparkContext.broadcast({bytes(r["word"]): r["n"] for r in words.orderBy(F.desc("n"), "word").limit(frequent).toLocalIterator()})
-    tables = [[np.zeros(s, dtype=np.uint32) for s in sizes] for sizes in SIZES]
-    for r in parts.filter("kind >= 0").select("kind", "x").groupBy("kind").applyInPandas(_add, "kind int, x binary").toLocalIterator():
-        k, b = divmod(r["kind"], 1000)
-        tables[k // 2][k % 2][b << BLOCK_BITS : (b + 1) << BLOCK_BITS] = np.frombuffer(zlib.decompress(r["x"]), dtype=np.uint32)
-    sample = [_bytes(r[0]) for r in train.filter(dealt < limit).orderBy(F.xxhash64("doc_id"), "doc_id").select("text").limit(2 * FIT_DOCS).toLocalIterator()]
-    weights = fit_weights(tables, sample)
+    blocks = stored(parts.filter("kind >= 0").select("kind", "fold", "x").groupBy("kind").applyInPandas(_add, "kind long, fold0 binary, fold1 binary, both binary"))
+    drop(spark, done_with)
+    fits = [_fit(folds[1 - f], _tables(blocks, f"fold{f}", bits), bits) for f in (0, 1)]
+    weights = _averaged(fits[0].unionByName(fits[1]))
+    tables = _tables(blocks, "both", bits)
     tables = Packed([t for pair in tables for t in pair])
     model = spark.sparkContext.broadcast((tables, weights))
     space = float(total + kinds + 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         get, (arrays, w) = top.value.get, model.value
-        scorer = Model(list(zip(arrays.arrays[::2], arrays.arrays[1::2], strict=True)), w)
+        scorer = Model(list(zip(arrays.arrays[::2], arrays.arrays[1::2], strict=True)), w, bits)
         for df in batches:
             texts = [_bytes(t) for t in df["text"]]
             out = []
