@@ -1,13 +1,16 @@
 """Language-model scoring: a bit-wise context-mixing model beside a word-count baseline.
 
-The model predicts each byte of the lower-cased text, and an end sign after it, bit by bit. Four predictors
-look up contexts (the last byte, the last two and four, and the current word so far), each in a line of sixteen counts for either half of the byte; both halves' predictions are log
+The model predicts each byte of the lower-cased text, and an end sign after it, bit by bit. Six predictors
+look up contexts (the last byte, the last two, four and six, the current word so far, and that with the word
+before it), each in a line of sixteen counts for either half of the byte; both halves' predictions are log
 odds. Mixing weights, chosen by bit position and by the kind of the last byte (a gate), combine them in the
 logistic domain, and within a text the mixed log odds are refined: each part of ``CHUNK`` bytes is scaled by
 one Newton step from how well the parts before it were predicted. The sum over bits is the log probability of
 the text.
 
-Counts come from all training texts, in tables of fixed size. The mixing weights are learned on all training texts as well: texts are dealt in
+Counts come from all training texts, in tables whose lines grow with the bytes of these texts (the contexts
+of one and two bytes have all the lines they can use). A table travels whole to every worker, so its memory
+grows with the input, too. The mixing weights are learned on all training texts as well: texts are dealt in
 two folds by their hash, and each fold's texts are predicted from the counts of the other, in one online pass
 for each partition; the passes are averaged by the bytes that each gate has seen.
 
@@ -32,8 +35,10 @@ from pyspark.sql import functions as F
 from syllabrook.llm.common import MADE, Packed, add_row_id, drop, small_batches, stored
 
 #: Contexts, and as powers of two the least lines for the first and for the second half of a byte.
-ORDERS = {"last": (8, 14), "two": (16, 17), "four": (17, 18), "word": (18, 19)}
+ORDERS = {"last": (8, 14), "two": (16, 17), "four": (17, 18), "six": (17, 18), "word": (18, 19), "pair": (17, 18)}
 BITS = list(ORDERS.values())
+#: Lines of a context that has no more; training bytes (a power of two) from which lines double with the bytes.
+ALL_LINES, GROW_FROM = {"last": (8, 14), "two": (16, 22)}, 28
 BLOCK_BITS = 16
 #: Log odds are kept as whole numbers from -127 to 127 of this size.
 STEP = 1 / 16
@@ -74,9 +79,10 @@ class Layout:
         self.byte, self.last = buf[8:], buf[7:-1]
         # The eight bytes before each place; the last is the highest.
         before = np.ndarray(shape=(len(buf) - 8,), dtype="<u8", buffer=raw, strides=(1,))
-        word = self._words(buf)
+        word, pair = self._words(buf)
+        pair = pair[7:-1] * MIX + word[7:-1]
         line = [self.last.astype(np.uint64), before >> np.uint64(48)]
-        for k, x in enumerate((before >> np.uint64(32), word[7:-1]), 2):
+        for k, x in enumerate((before >> np.uint64(32), before >> np.uint64(16), word[7:-1], pair), 2):
             x = x * MIX
             x ^= x >> np.uint64(32)
             x *= MIX
@@ -84,12 +90,19 @@ class Layout:
         self.line = line
         self.high = self.byte >> 4
 
-    def _words(self, buf: np.ndarray) -> np.ndarray:
-        """Hashes of the word so far at each byte of the buffer (0 after white space)."""
+    def _words(self, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the whole word so far at each byte of the buffer (0 after white space), and of the word before it in the text."""
         place = np.arange(len(buf), dtype=np.int32)
+        blank = BLANK[buf]
         sums = np.cumsum(np.cumprod(np.full(len(buf), BASE)) * (buf + np.uint64(1)))  # all modulo 2**64
-        start = np.maximum.accumulate(np.where(BLANK[buf], place, 0))
-        return (sums - sums[start]) * np.cumprod(np.full(len(buf), UNBASE))[start]
+        back = np.cumprod(np.full(len(buf), UNBASE))
+        start = np.maximum.accumulate(np.where(blank, place, 0))
+        word = (sums - sums[start]) * back[start]
+        text = np.zeros(len(buf), dtype=np.int32)
+        text[self.first + 7] = self.first + 7
+        text = np.maximum.accumulate(text)
+        end = np.maximum.accumulate(np.where(blank, 0, place))[start]
+        return word, np.where(end >= text, word[end], np.uint64(0))
 
     def cells(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Where both halves of each byte are counted for context k."""
@@ -112,6 +125,12 @@ def sizes_of(bits: list[tuple[int, int]]) -> list[list[int]]:
 SIZES = sizes_of(BITS)
 
 
+def bits_for(size: int) -> list[tuple[int, int]]:
+    """The lines of each context for so many training bytes."""
+    more = max(0, (max(size, 1) - 1).bit_length() - GROW_FROM)
+    return [tuple(min(b + more, m) for b, m in zip(pair, ALL_LINES.get(name, (60, 60)))) for name, pair in ORDERS.items()]
+
+
 def packed(counts: np.ndarray) -> np.ndarray:
     """For each cell the log odds of its four bits, in favour of the bits that lead there, as four bytes."""
     c = counts.reshape(-1, 16).astype(np.float64)
@@ -371,7 +390,7 @@ def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
     small_batches(spark)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"), *keep)
     train = rows.filter("learn").withColumn("fold", F.pmod(F.xxhash64("text", F.lit(5)), F.lit(2)).cast("int"))  # equal texts in one fold
-    bits = BITS
+    bits = bits_for(train.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     folds = [train.filter(F.col("fold") == f) for f in (0, 1)]
     made = len(MADE)
     parts = [stored(_learn(d, bits)).withColumn("fold", F.lit(f)) for f, d in enumerate(folds)]

@@ -1,13 +1,30 @@
-"""The scored model: what it learns from."""
+"""The scored model: what it tells apart, what it learns from, and how it grows."""
+
+import math
+import random
 
 import numpy as np
 import pytest
-from helpers import texts
+from helpers import DOCS, texts
 from pyspark.sql import functions as F
 
 from syllabrook.llm import lm
 
 
+def test_lines_grow_with_the_training_bytes():
+    size = [sum(map(sum, lm.sizes_of(lm.bits_for(1 << b)))) for b in range(20, 40)]
+    assert size == sorted(size) and size[-1] > 500 * size[0]
+    assert lm.bits_for(0) == lm.BITS
+
+
+def test_whole_words_are_contexts(spark):
+    rnd = random.Random(3)
+    word = {"a": "abcdefghijklx", "z": "zbcdefghijkly"}  # the last letter follows from the first, twelve before it
+    rows = [(i, " ".join(word[rnd.choice("az")] for _ in range(100)), "en", "a", 0) for i in range(120)]
+    got = lm.score(spark.createDataFrame(rows, DOCS), F.col("doc_id") >= 10).filter("doc_id < 10").agg(F.sum("score")).first()[0]
+    assert -got / math.log10(2) / 1000 < 1.5  # bits a word, of which the first letter costs one
+
+
 def test_weights_are_learned_on_all_texts(spark):
     rows = [t for t in texts(5) if t]
     docs = spark.createDataFrame([(t,) for t in rows], "text string").repartition(3)
