@@ -22,7 +22,8 @@ from syllabrook.llm.queries import tokenizer_path
 #: Near copies: five-word shingles with a Jaccard index of at least 0.8.
 SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
 
-#: No stage but the mixing can be told in SQL, so the pipeline is tested against a brute-force version.
+#: No stage but the mixing can be told in SQL: tests/llm/test_pipeline.py holds the stages before the mix against plain
+#: versions, and of the whole run the words, the copies and the tokens, but not the order of the mix.
 ORACLE_SQL = None
 
 

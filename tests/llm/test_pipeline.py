@@ -1,5 +1,6 @@
 """The pipeline's stages on small documents."""
 
+import math
 import random
 from collections import Counter
 
@@ -42,3 +43,47 @@ def test_near_copies_with_repeated_or_null_ids(spark):
     got = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
     assert sorted(r["text"].split()[5][0] for r in got) == ["a", "b", "c"]
     assert sorted(str(r["doc_id"]) for r in got) == ["1", "1", "None"]
+
+
+def kept_of(rows):
+    """Plain version of the stages before the mix: (doc_id, what is left of the text)."""
+    rows = [r for r in rows if any(c.isalpha() for c in r[1] or "")]
+    sets = [helpers.shingles(r[1], corpus_pipeline.SHINGLE_WORDS) for r in rows]
+    first = {}
+    for r, g in zip(rows, helpers.groups(sets, corpus_pipeline.SIMILARITY_PERCENT)):
+        first[g] = min(first.get(g, r), r, key=lambda r: (r[0] is None, r[0] or 0))
+    docs = [(math.inf if r[0] is None else r[0], r[1].encode()) for r in first.values()]
+    low, out = {}, []
+    for i, b in docs:
+        for j in range(len(b) - 49):
+            low[b[j : j + 50]] = min(low.get(b[j : j + 50], i), i)
+    for i, b in docs:
+        gone = {j + k for j in range(len(b) - 49) if low[b[j : j + 50]] < i for k in range(50)}
+        out.append((None if i == math.inf else i, bytes(x for k, x in enumerate(b) if k not in gone).decode(errors="replace")))
+    return out
+
+
+def test_run_against_plain_stages(spark, docs, tmp_path):
+    from tokenizers import Tokenizer
+
+    from syllabrook.llm.queries import tokenizer_path
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = kept_of(helpers.rows())
+    frame = docs
+    for name, f in corpus_pipeline.STAGES[:3]:
+        frame = corpus_pipeline.stored(f(spark, frame, str(tmp_path)))
+        assert frame.columns == docs.columns, name
+    assert Counter((r["doc_id"], r["text"]) for r in frame.collect()) == Counter(want)
+    assert all(r["n_chars"] == len(r["text"]) and r["lang"] for r in frame.collect())
+
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    codec = Tokenizer.from_file(tokenizer_path())
+    texts = [codec.decode(r["ids"], skip_special_tokens=False) for r in got]
+    assert all(r["round_trip"] and r["n_tokens"] == len(r["ids"]) and list(r["ids"]) == codec.encode(t, add_special_tokens=False).ids for r, t in zip(got, texts))
+    assert sum(len(helpers.words(t)) for t in texts) == sum(len(helpers.words(t)) for _, t in want)
+    whole = {}
+    for i, t in want:
+        whole.setdefault(i, []).append(t)
+    cut = [t for r, t in zip(got, texts) if t not in whole[r["doc_id"]]]
+    assert len(cut) <= 1 and all(n <= 3 * len(whole[i]) for i, n in Counter(r["doc_id"] for r in got).items())
