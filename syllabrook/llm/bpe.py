@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from syllabrook.llm.common import add_row_id, small_batches, stored
+from syllabrook.llm.common import add_row_id, give_back, small_batches, stored
 
 #: Bytes of a leaf of the tree, bytes of the first window on each side, and characters of a block.
 PIECE, WINDOW, BLOCK = 4096, 64, 1 << 17
@@ -175,33 +175,27 @@ def encode(docs: DataFrame, path: str, text: str = "text", tokens: str = "ids",
     """
     small_batches(docs.sparkSession)
     docs = docs.drop(tokens, *([decoded] if decoded else []))
-    fields = [f for f in docs.schema.fields]
-    both = ["__ids", "__decoded"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         c = codec(path)
-        for df in batches:
-            ids = [c.encode(t or "") for t in df[text]]
-            out = df.assign(__decoded=[c.decode(i) for i in ids])
-            out.insert(len(df.columns), "__ids", [np.array(i, dtype=np.int32) for i in ids])
-            yield out
-
-    schema = _ddl(docs) + ", `__ids` array<int>, `__decoded` string"
-    length = F.coalesce(F.length(text), F.lit(0))
-    short = docs.filter(length <= BLOCK).mapInPandas(run, schema)
-    long = stored(add_row_id(docs.filter(length > BLOCK), "__row"))  # stored: the key has to be the same for both readers
-    cut = F.pandas_udf(_cut, "array<string>")
-    parts = long.select("__row", F.posexplode(cut(text)).alias("__k", text)).repartition("__row", "__k")
-    parts = parts.mapInPandas(run, f"`__row` long, `__k` int, `{text}` string, `__ids` array<int>, `__decoded` string")
-    whole = parts.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("__k", *both))).alias("p"))
-    whole = whole.select("__row", F.flatten("p.__ids").alias("__ids"), F.array_join("p.__decoded", "").alias("__decoded"))
-    out = short.unionByName(long.join(whole, "__row").drop("__row"))
-    names = [F.col(f"`{f.name}`") for f in fields] + [F.col("__ids").alias(tokens)]
-    return out.select(*names, *([F.col("__decoded").alias(decoded)] if decoded else []))
-
-
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+        for texts in batches:
+            ids = [c.encode(t or "") for t in texts]
+            yield pd.DataFrame({"ids": [np.array(i, dtype=np.int32) for i in ids], "decoded": [c.decode(i) for i in ids]})
+        give_back()
+
+    # Only the texts pass through Python; the other columns stay as they are.
+    coded = F.pandas_udf(run, "ids array<int>, decoded string")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("t"))
+    length = F.coalesce(F.length("t"), F.lit(0))
+    short = rows.filter(length <= BLOCK).select("row", coded("t").alias("c")).select("row", "c.ids", "c.decoded")
+    long = stored(add_row_id(rows.filter(length > BLOCK), "k"))  # stored: the key has to be the same for both readers
+    parts = long.select("k", F.posexplode(F.pandas_udf(_cut, "array<string>")("t")).alias("i", "t")).repartition("k", "i")
+    parts = parts.select("k", "i", coded("t").alias("c"))
+    whole = parts.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("i", "c.ids", "c.decoded"))).alias("p"))
+    whole = whole.select("k", F.flatten("p.ids").alias("ids"), F.array_join("p.decoded", "").alias("decoded"))
+    out = short.unionByName(long.join(whole, "k").select("row", "ids", "decoded"))
+    names = [F.col("row").getField(c).alias(c) for c in docs.columns]
+    return out.select(*names, F.col("ids").alias(tokens), *([F.col("decoded").alias(decoded)] if decoded else []))
 
 
 def decode(frame: DataFrame, path: str, tokens: str = "ids", out: str = "text") -> DataFrame:

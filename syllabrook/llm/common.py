@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zlib
@@ -19,17 +20,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def on_one_machine(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process, so that they share every folder."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
+#: Folders that executors were seen to share with the driver, by application.
+SHARED: set[tuple[str, str]] = set()
+
+
 def scratch(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share.
 
-    The cluster names that folder in ``spark.checkpoint.dir``. Only where it is unset (single-machine
-    tests) a temporary folder takes its place.
+    The cluster names that folder in ``spark.checkpoint.dir``. Only on a single machine, and only where it
+    is unset (tests), a temporary folder takes its place; anywhere else a missing setting is an error, since
+    executors would write to disks of their own and what the others read would silently be short.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not on_one_machine(spark):
+            raise RuntimeError("spark.checkpoint.dir is not set: it has to name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="syllabrook-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/syllabrook/{uuid.uuid4().hex}"
+    base = f"{base.rstrip('/')}/syllabrook"
+    at = (spark.sparkContext.applicationId, base)
+    if at not in SHARED and not on_one_machine(spark):
+        _seen_by_all(spark, f"{base}/{uuid.uuid4().hex}")
+    SHARED.add(at)
+    return f"{base}/{uuid.uuid4().hex}"
+
+
+def _seen_by_all(spark: SparkSession, path: str) -> None:
+    """Raises unless every row that the executors write to ``path`` can be read again."""
+    n = 4 * spark.sparkContext.defaultParallelism
+    rows = spark.range(0, n, 1, n)
+    rows.write.parquet(path)
+    found = spark.read.schema(rows.schema).parquet(path).count()
+    drop(spark, [path])
+    if found != n:
+        raise RuntimeError(f"{path} is not shared by all executors: {found} of {n} rows were read again")
 
 
 #: Paths of the tables that ``stored`` has written, for those who know when none of them is read any more.
@@ -52,10 +82,14 @@ def stored(df: DataFrame) -> DataFrame:
     Cuts the lineage: a lost executor costs no recomputation of what lies before, and whoever reads the
     result twice does not compute it twice.
     """
-    path = scratch(df.sparkSession)
+    spark = df.sparkSession
+    path = scratch(spark)
     MADE.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    there = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/part-*")
+    if not there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(there):
+        raise RuntimeError(f"nothing of what was written to {path} can be read: the folder is not shared")
+    return spark.read.schema(df.schema).parquet(path)
 
 
 class Packed:
@@ -81,6 +115,45 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
+def give_back() -> None:
+    """Returns freed memory of this Python worker, which lives on between stages, to the system (where the C library can)."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+#: ASCII white space, and the lower case of each byte.
+BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
+LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: An odd factor and its inverse modulo 2**64, and their powers as far as any text has needed.
+BASE = 0xD6E8FEB86659FD93
+_POWERS: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of BASE and of its inverse, modulo 2**64."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(1 << 12, 1 << (n - 1).bit_length())
+        _POWERS[:] = [np.cumprod(np.full(size, x, dtype=np.uint64)) for x in (BASE, pow(BASE, -1, 1 << 64))]
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word of lower-cased UTF-8 text: a polynomial of its bytes, mixed."""
+    buf = np.frombuffer(text, dtype=np.uint8)
+    if not len(buf):
+        return np.zeros(0, dtype=np.uint64)
+    edge = np.diff(np.concatenate(([1], BLANK[buf], [1])).astype(np.int8))
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    up, down = powers(len(buf) + 1)
+    sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(up[:-1] * (buf + np.uint64(1)))))
+    h = (sums[end] - sums[start]) * down[start]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    return h
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

@@ -27,10 +27,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from syllabrook.llm.common import small_batches, stored
+from syllabrook.llm.common import give_back, small_batches, stored
 from syllabrook.llm.suffix import common_prefixes, suffix_array
 
 WINDOW, SEED = 50, 16
@@ -133,26 +133,30 @@ def _distinct(b: Block, pieces: np.ndarray) -> tuple[list[bytes], np.ndarray]:
 
 
 def _ids(r: pd.Series) -> np.ndarray:
-    return np.array([NO_ID if i is None or i != i else int(i) for i in r["ids"]], dtype=np.int64)
+    """The documents' ids; one that is null (``no_id``) comes after all others."""
+    return np.asarray(r["ids"], dtype=np.int64)
 
 
 def packed(texts: DataFrame) -> DataFrame:
-    """Blocks of (doc_id, text): ids, sizes and digests of the texts, and their compressed bytes."""
+    """Blocks of (doc_id as text, text, extra): ids, sizes and digests of the texts, and their compressed bytes.
+
+    Ids come as text, since nulls beside them would turn whole numbers into floats.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
         size = 0
 
         def out() -> pd.DataFrame:
-            data = b"".join(t for _, t, _ in held)
-            row = [uuid.uuid4().int >> 65, [i for i, _, _ in held], [x for _, _, x in held], [len(t) for _, t, _ in held], [hashlib.md5(t).digest() for _, t, _ in held], _pack(data)]
+            ids, texts, extras = zip(*held, strict=True)
+            row = [uuid.uuid4().int >> 65, [NO_ID if i is None else int(i) for i in ids], [i is None for i in ids], list(extras), [len(t) for t in texts], [hashlib.md5(t).digest() for t in texts], _pack(b"".join(texts))]
             held.clear()
-            return pd.DataFrame([row], columns=["block", "ids", "extras", "sizes", "digests", "data"])
+            return pd.DataFrame([row], columns=["block", "ids", "no_id", "extras", "sizes", "digests", "data"])
 
         for df in batches:
-            for i, t, x in zip(df["doc_id"].astype(object), df["text"], df["extra"], strict=True):
+            for i, t, x in zip(df["doc_id"], df["text"], df["extra"], strict=True):
                 t = (t or "").encode("utf-8")
-                held.append((None if pd.isna(i) else int(i), t, x))
+                held.append((i, t, x))
                 size += len(t)
                 if size >= BLOCK:
                     yield out()
@@ -160,7 +164,11 @@ def packed(texts: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    return texts.mapInPandas(run, "block long, ids array<long>, extras array<string>, sizes array<long>, digests array<binary>, data binary")
+    return texts.mapInPandas(run, "block long, ids array<long>, no_id array<boolean>, extras array<string>, sizes array<long>, digests array<binary>, data binary")
+
+
+def _named(column: str) -> Column:
+    return F.col(f"`{column}`")
 
 
 def _rows(f: Callable[[pd.Series], pd.DataFrame]) -> Callable:
@@ -168,6 +176,7 @@ def _rows(f: Callable[[pd.Series], pd.DataFrame]) -> Callable:
         for df in batches:
             for k in range(len(df)):
                 yield f(df.iloc[k])
+        give_back()
 
     return run
 
@@ -175,12 +184,12 @@ def _rows(f: Callable[[pd.Series], pd.DataFrame]) -> Callable:
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, int]:
     """Blocks of the corpus (with the numbers of exact copies and the marks), what shards found for each, and the shards."""
     small_batches(docs.sparkSession)
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), (F.to_json(F.struct(*keep)) if keep else F.lit(None).cast("string")).alias("extra"))
+    texts = docs.select(F.col(doc_id).cast("long").cast("string").alias("doc_id"), F.col(text).alias("text"), (F.to_json(F.struct(*[_named(k) for k in keep])) if keep else F.lit(None).cast("string")).alias("extra"))
     blocks = stored(packed(texts))
     size = blocks.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     shards = max(8, -(-size // SHARD))
 
-    each = blocks.select("block", F.posexplode(F.arrays_zip("ids", "digests", "sizes")).alias("k", "d")).select("block", "k", F.coalesce("d.ids", F.lit(NO_ID)).alias("id"), F.col("d.digests").alias("digest"), F.col("d.sizes").alias("size")).filter(F.col("size") >= WINDOW)
+    each = blocks.select("block", F.posexplode(F.arrays_zip("ids", "digests", "sizes")).alias("k", "d")).select("block", "k", F.col("d.ids").alias("id"), F.col("d.digests").alias("digest"), F.col("d.sizes").alias("size")).filter(F.col("size") >= WINDOW)
     first = each.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("m")).filter("m > 1")
     copies = stored(each.join(first, "digest").filter(F.col("id") > F.col("first")).groupBy("block").agg(F.sort_array(F.collect_list("k")).alias("copies")))
 
@@ -327,27 +336,28 @@ def spans_of(r: pd.Series, shards: int) -> np.ndarray:
 
 
 def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, *keep, n_bytes, n_removed, n_spans, kept, kept_text): a row for each document.
+    """(doc_id, n_bytes, n_removed, n_spans, kept, kept_text, columns): a row for each document.
 
-    kept holds the bytes that stay, kept_text the letters of these (a letter that is cut in two goes).
+    kept holds the bytes that stay, kept_text the letters of these (a letter that is cut in two goes), and
+    ``columns`` is a struct of the columns named in ``keep``, whatever their names.
     """
     marked, found, shards = repeats(docs, doc_id, text, keep)
 
     def cut(r: pd.Series) -> pd.DataFrame:
         gone, data = spans_of(r, shards), np.frombuffer(_unpack(r["data"]), dtype=np.uint8)
         out, at = [], 0
-        for i, x, n in zip(r["ids"], r["extras"], r["sizes"], strict=True):
+        for x, n in zip(r["extras"], r["sizes"], strict=True):
             g, d = gone[at : at + n], data[at : at + n]
             at += n
             removed = int(g.sum())
             spans = int(g[:1].sum() + (g[1:] > g[:-1]).sum())
             left = (d[~g] if removed else d).tobytes()
-            out.append((i, x, n, removed, spans, left, left.decode("utf-8", "ignore")))
-        df = pd.DataFrame(out, columns=["doc_id", "extra", "n_bytes", "n_removed", "n_spans", "kept", "kept_text"])
-        df["doc_id"] = df["doc_id"].astype("Int64")
+            out.append((x, n, removed, spans, left, left.decode("utf-8", "ignore")))
+        df = pd.DataFrame(out, columns=["extra", "n_bytes", "n_removed", "n_spans", "kept", "kept_text"])
+        df.insert(0, "no_id", np.asarray(r["no_id"], dtype=bool))
+        df.insert(0, "id", _ids(r))
         return df
 
-    done = marked.join(found, "block", "left").mapInPandas(_rows(cut), "doc_id long, extra string, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string")
-    if keep:
-        done = done.withColumn("extra", F.from_json("extra", docs.select(*keep).schema))
-    return done.select("doc_id", *[F.col("extra")[c].alias(c) for c in keep], "n_bytes", "n_removed", "n_spans", "kept", "kept_text")
+    done = marked.join(found, "block", "left").mapInPandas(_rows(cut), "id long, no_id boolean, extra string, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string")
+    columns = F.from_json("extra", docs.select(*[_named(k) for k in keep]).schema) if keep else F.lit(None)
+    return done.select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept", "kept_text", columns.alias("columns"))

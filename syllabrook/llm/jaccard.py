@@ -33,14 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from syllabrook.llm.common import Packed, small_batches, stored
+from syllabrook.llm.common import LOWER_BYTES, Packed, give_back, small_batches, stored, word_hashes
 from syllabrook.llm.components import components
 
 BITS = 48
 #: Tokens are counted if their hash is in the lowest share, which exceeds that of a prefix by this; counters of the sketch.
 SPARE, SKETCH_BITS, BLOCK_BITS = 0.12, 26, 18
 #: Bits of the filter of classes with candidates; rows of a part of a token's list; columns of a part of a matrix.
-CLASS_BITS, PART, COLUMNS = 24, 1024, 4096
+CLASS_BITS, PART, COLUMNS = 24, 1024, 1024
+#: Tokens of all sets of a part, rows of a matrix that are tested at a time, and tokens that are matched at a time.
+PART_TOKENS, ROWS, MATCHED = 4 << 20, 256, 1 << 21
 #: So many tokens of a set tell whether a pair has met before.
 BEFORE = 16
 MASK = (1 << BITS) - 1
@@ -49,36 +51,30 @@ FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049B
 ORDERS = (0x5851F42D4C957F2D, 0xD6E8FEB86659FD93)
 
 
-class Hasher:
-    """Sorted distinct n-gram hashes of texts; words that recur are hashed once."""
-
-    def __init__(self, words: int) -> None:
-        self.words, self.seen = words, {}
-
-    def tokens(self, text: str | None) -> np.ndarray:
-        import xxhash
-
-        words = text.encode("utf-8").lower().split() if text else []
-        if not words:
-            return np.zeros(0, dtype=np.uint64)
-        seen = self.seen
-        if len(seen) > 400_000:
-            seen.clear()
-        for w in words:
-            if w not in seen:
-                seen[w] = xxhash.xxh64_intdigest(w)
-        h = np.array([seen[w] for w in words], dtype=np.uint64)
-        k = min(self.words, len(h))
-        out = np.full(len(h) - k + 1, k, dtype=np.uint64)
-        for i in range(k):
-            out ^= h[i : len(h) - k + 1 + i]
-            out *= np.uint64(FACTORS[0])
-            out ^= out >> np.uint64(29)
-        out *= np.uint64(FACTORS[2])
-        out ^= out >> np.uint64(32)
-        out = out & np.uint64(MASK)
-        out.sort()
-        return out[np.concatenate(([True], out[1:] != out[:-1]))]
+def tokens_of(text: str | None, words: int) -> tuple[np.ndarray, bytes]:
+    """Sorted distinct n-gram hashes of a text, and the digest that names its class.
+
+    A set of one n-gram is named by the words themselves: it can only be linked with its equals, and there
+    may be so many of these that short hashes would meet by chance.
+    """
+    import xxhash
+
+    raw = text.encode("utf-8").translate(LOWER_BYTES) if text else b""
+    h = word_hashes(raw)
+    if not len(h):
+        return h, b""
+    k = min(words, len(h))
+    out = np.full(len(h) - k + 1, k, dtype=np.uint64)
+    for i in range(k):
+        out ^= h[i : len(h) - k + 1 + i]
+        out *= np.uint64(FACTORS[0])
+        out ^= out >> np.uint64(29)
+    out *= np.uint64(FACTORS[2])
+    out ^= out >> np.uint64(32)
+    out = out & np.uint64(MASK)
+    out.sort()
+    out = out[np.concatenate(([True], out[1:] != out[:-1]))]
+    return out, xxhash.xxh3_128_digest(out.tobytes() if len(out) > 1 else b" ".join(raw.split()[:k]))
 
 
 def lowest(percent: int) -> int:
@@ -97,12 +93,6 @@ def permuted_prefix(tokens: np.ndarray, p: int, factor: int) -> np.ndarray:
     return (x >> np.uint64(BITS - 32)).astype(np.uint32).view(np.int32)
 
 
-def _class(tokens: np.ndarray) -> bytes:
-    import xxhash
-
-    return xxhash.xxh3_128_digest(tokens.tobytes())
-
-
 def _slot(c: bytes) -> int:
     return int.from_bytes(c[:4], "big") >> (32 - CLASS_BITS)
 
@@ -112,26 +102,26 @@ def linked(docs: DataFrame, percent: int = 90, words: int = 3, doc_id: str = "do
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    id_type, limit = dict(texts.dtypes)["doc_id"], lowest(percent)
+    limit = lowest(percent)
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = Hasher(words)
-        for df in batches:
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
             rows = []
-            for t in df["text"]:
-                s = hasher.tokens(t)
+            for t in texts:
+                s, c = tokens_of(t, words)
                 n = len(s)
                 if not n:
                     rows.append((0, None, None))
                     continue
                 p = prefix_size(n, percent)
                 low = int(np.searchsorted(s, np.uint64(limit)))
-                rows.append((n, _class(s), s[: max(low, p)].astype(np.int64)))
-            out = pd.DataFrame(rows, columns=["n", "c", "tokens"])
-            out.insert(0, "doc_id", df["doc_id"].to_numpy())
-            yield out
+                rows.append((n, c, s[: max(low, p)].astype(np.int64)))
+            yield pd.DataFrame(rows, columns=["n", "c", "tokens"])
+        give_back()
 
-    read_docs = stored(texts.mapInPandas(read, f"doc_id {id_type}, n long, c binary, tokens array<long>"))
+    # Ids never pass through Python, where nulls among them would turn whole numbers into floats.
+    read_docs = texts.withColumn("s", F.pandas_udf(read, "n long, c binary, tokens array<long>")("text"))
+    read_docs = stored(read_docs.select("doc_id", "s.n", "s.c", "s.tokens"))
     sketch = spark.sparkContext.broadcast(Packed([_sketch(read_docs, limit)]))
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,13 +139,17 @@ def linked(docs: DataFrame, percent: int = 90, words: int = 3, doc_id: str = "do
                 if len(at):
                     rows.append((c, n, first[at], at.astype(np.int32)))
             yield pd.DataFrame(rows, columns=["c", "n", "token", "i"])
+        give_back()
 
     once = W.partitionBy("c").orderBy("n")
-    lists = read_docs.filter("n > 0").select("c", "n", "tokens").mapInPandas(listed, "c binary, n long, token array<long>, i array<int>")
+    # One n-gram alone has half of no larger set: such classes need no candidates.
+    several = read_docs.filter("n > 1" if percent > 50 else "n > 0").select("c", "n", "tokens")
+    lists = several.mapInPandas(listed, "c binary, n long, token array<long>, i array<int>")
     lists = lists.withColumn("k", F.row_number().over(once)).filter("k = 1").drop("k")
     lists = stored(lists.select("c", "n", F.explode(F.arrays_zip("token", "i")).alias("t")).select("c", "n", "t.token", "t.i"))
     sketch.destroy()
-    shared = lists.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").select("token", F.floor(F.col("m") / PART + 1).cast("int").alias("parts"))
+    shared = lists.groupBy("token").agg(F.count("*").alias("m"), F.sum("n").alias("tokens")).filter("m > 1")
+    shared = shared.select("token", F.floor(F.greatest(F.col("m") / PART, F.col("tokens") / PART_TOKENS) + 1).cast("int").alias("parts"))
     lists = stored(lists.join(shared, "token"))
     needed = stored(_dealt(lists).mapInPandas(_candidates(percent), "g long, c binary, n long, i int, b int, one boolean"))
     sets = stored(_sets(texts, needed, words, percent))
@@ -212,14 +206,15 @@ def _sets(texts: DataFrame, lists: DataFrame, words: int, percent: int) -> DataF
     held = texts.sparkSession.sparkContext.broadcast(held)
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher, bit = Hasher(words), held.value
+        bit = held.value
         for df in batches:
             rows = {}
             for t in df["text"]:
-                s = hasher.tokens(t)
-                if len(s) and int(bit[(k := _slot(c := _class(s))) >> 5]) >> (k & 31) & 1:
+                s, c = tokens_of(t, words)
+                if len(s) and int(bit[(k := _slot(c)) >> 5]) >> (k & 31) & 1:
                     rows[c] = s
             yield pd.DataFrame([(c, len(s), np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes(), *[permuted_prefix(s, prefix_size(len(s), percent), f) for f in ORDERS]) for c, s in rows.items()], columns=["c", "n", "set", "p2", "p3"])
+        give_back()
 
     found = texts.select("text").mapInPandas(pick, "c binary, n long, set binary, p2 array<int>, p3 array<int>")
     return found.withColumn("k", F.row_number().over(W.partitionBy("c").orderBy("n"))).filter("k = 1").select("c", "set", "p2", "p3")
@@ -257,10 +252,14 @@ def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _possible(df: pd.DataFrame, percent: int) -> np.ndarray:
     """Which pairs of rows (above the diagonal) fit by size and by the room that their common token leaves."""
     n, i, b = (df[x].to_numpy().astype(np.int64) for x in ("n", "i", "b"))
-    small, large = np.minimum(n[:, None], n), np.maximum(n[:, None], n)
-    room = np.minimum((n - i)[:, None], n - i)
-    fit = np.triu((small * 100 >= large * percent) & (room * (100 + percent) >= percent * (small + large)), 1)
-    return fit if df["one"].iat[0] else fit & (b[:, None] != b)
+    out, one = np.zeros((len(n), len(n)), dtype=bool), bool(df["one"].iat[0])
+    for a in range(0, len(n), ROWS):  # a few rows at a time: the matrices of numbers are larger than that of the answers
+        own = slice(a, min(a + ROWS, len(n)))
+        small, large = np.minimum(n[own, None], n), np.maximum(n[own, None], n)
+        room = np.minimum((n - i)[own, None], n - i)
+        fit = (small * 100 >= large * percent) & (room * (100 + percent) >= percent * (small + large))
+        out[own] = np.triu(fit, 1 + a) if one else np.triu(fit, 1 + a) & (b[own, None] != b)
+    return out
 
 
 def _meet(rows: list[np.ndarray]) -> np.ndarray:
@@ -270,8 +269,18 @@ def _meet(rows: list[np.ndarray]) -> np.ndarray:
     sizes = np.array([len(r) for r in rows])
     if not sizes.sum():
         return out
+    parts = int(-(-sizes.sum() // MATCHED))
+    if parts == 1:
+        _count_common(rows, out)
+    for k in range(parts if parts > 1 else 0):  # values by their remainder, so that each is in one part
+        _count_common([r[r.astype(np.uint64) % np.uint64(parts) == k] for r in rows], out)
+    return out
+
+
+def _count_common(rows: list[np.ndarray], out: np.ndarray) -> None:
+    m, sizes = len(rows), np.array([len(r) for r in rows])
     value, at, count = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(m), sizes)
+    row = np.repeat(np.arange(m, dtype=np.int32), sizes)
     keep = count[at] > 1  # what one row has alone meets nothing
     at, row = (np.cumsum(count > 1) - 1)[at[keep]], row[keep]
     order = np.argsort(at, kind="stable")
@@ -281,7 +290,6 @@ def _meet(rows: list[np.ndarray]) -> np.ndarray:
         part = np.zeros((m, COLUMNS), dtype=np.float32)
         part[row[x:y], at[x:y] - low] = 1
         out += part @ part.T
-    return out
 
 
 ROW = ["g", "c", "n", "i", "b", "one"]
@@ -301,6 +309,7 @@ def _kept(batches: Iterator[pd.DataFrame], test: Callable[[pd.DataFrame], np.nda
             held, size = [], 0
     if held:
         yield pd.concat(held, ignore_index=True)
+    give_back()
 
 
 def _candidates(percent: int) -> Callable:
@@ -329,13 +338,14 @@ def _meeting(percent: int) -> Callable:
 def _homes(needed: DataFrame) -> DataFrame:
     """The rows with one group for each cluster of sets that meet, directly or by others, so that a set travels once.
 
-    Clusters of more than PART sets stay in the groups of their tokens.
+    Clusters of more than PART sets or PART_TOKENS tokens stay in the groups of their tokens.
     """
     key = F.concat(F.lit("g").cast("binary"), F.hex("g").cast("binary"))  # no digest has this form
     tied = components(needed.select(F.col("c").alias("u"), key.alias("v")))
     home = tied.withColumnsRenamed({"u": "c", "v": "root"})
     rows = needed.join(home, "c", "left").withColumn("root", F.coalesce("root", "c"))
-    small = rows.select("root", "c").distinct().groupBy("root").agg(F.count("*").alias("m")).filter(F.col("m") <= PART).select("root", F.lit(True).alias("small"))
+    small = rows.select("root", "c", "n").distinct().groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("tokens"))
+    small = small.filter((F.col("m") <= PART) & (F.col("tokens") <= PART_TOKENS)).select("root", F.lit(True).alias("small"))
     rows = rows.join(small, "root", "left")
     at_home = rows.filter("small").select(F.xxhash64("root").alias("g"), "c", "n").distinct()
     at_home = at_home.withColumns({"i": F.lit(0), "b": F.lit(0), "one": F.lit(True)})
@@ -349,8 +359,12 @@ def _verify(percent: int) -> Callable:
         held: list[tuple] = []
         for df in _runs(batches):
             n = df["n"].to_numpy()
-            same = _meet([_unpack(x) for x in df["set"]])
-            linked = _possible(df, percent) & (100 * same >= percent * (n[:, None] + n - same))
+            linked = _possible(df, percent)
+            if linked.any():
+                same = _meet([_unpack(x) for x in df["set"]])
+                for a in range(0, len(n), ROWS):
+                    own = slice(a, a + ROWS)
+                    linked[own] &= 100 * same[own] >= percent * (n[own, None] + n - same[own])
             c, top = df["c"].tolist(), list(range(len(df)))
             for a, b in zip(*np.nonzero(linked)):
                 a, b = _top(top, int(a)), _top(top, int(b))
@@ -362,6 +376,7 @@ def _verify(percent: int) -> Callable:
                 held = []
         if held:
             yield pd.DataFrame(held, columns=["u", "v"])
+        give_back()
 
     return run
 

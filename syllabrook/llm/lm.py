@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from syllabrook.llm.common import MADE, Packed, add_row_id, drop, small_batches, stored
+from syllabrook.llm.common import MADE, Packed, add_row_id, drop, give_back, small_batches, stored
 
 #: Contexts, and as powers of two the least lines for the first and for the second half of a byte.
 ORDERS = {"last": (8, 14), "two": (16, 17), "four": (17, 18), "six": (17, 18), "word": (18, 19), "pair": (17, 18)}
@@ -43,10 +43,15 @@ BLOCK_BITS = 16
 #: Log odds are kept as whole numbers from -127 to 127 of this size.
 STEP = 1 / 16
 #: Bytes of a part that is refined, of a step of the mixing weights and of a round of work; words at hand.
-CHUNK, PIECE, ROUND, FREQUENT = 512, 1 << 14, 1 << 20, 1 << 18
+CHUNK, PIECE, ROUND, FREQUENT = 512, 1 << 14, 1 << 18, 1 << 18
+#: The longest word at hand; words that a task counts before it sends them; counts of a block that are added in one place.
+AT_HAND, WORDS, ADDED = 64, 250_000, 64
+#: Places that are counted at a time: a cell with half of its range left cannot overflow in between.
+SOME = 1 << 15
 #: Bytes that are scored together, so that arrays stay in a core's cache.
 TOGETHER = 1 << 16
-END = b"\x00<end>"
+#: No word has white space in it.
+END = b" end"
 PAD = b"\x00" * 8
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: A factor of the hashes of words and its inverse modulo 2**64.
@@ -273,12 +278,13 @@ def _fit(texts: DataFrame, tables: list[list[np.ndarray]], bits: list[tuple[int,
 
         for df in batches:
             for text in df["text"]:
-                waiting.append(_bytes(text))
+                waiting.append(escaped(_bytes(text)))
                 size += len(waiting[-1])
                 if size >= PIECE:
                     learn()
         if waiting:
             learn()
+        give_back()
         for g in np.flatnonzero(seen):
             w = model.weights[g].reshape(-1).astype(float)
             yield pd.DataFrame({"g": int(g), "i": np.arange(len(w)), "n": int(seen[g]), "w": w})
@@ -300,13 +306,19 @@ def _bytes(text: str | None) -> bytes:
     return text.encode("utf-8").lower() if text else b""
 
 
+def escaped(text: bytes) -> bytes:
+    """What the model reads of a text: the zero byte is the end sign alone, so it and the escape sign are spelled with two bytes."""
+    return text.replace(b"\x01", b"\x01\x02").replace(b"\x00", b"\x01\x03") if b"\x00" in text or b"\x01" in text else text
+
+
 def _learn(train: DataFrame, bits: list[tuple[int, int]]) -> DataFrame:
     """(kind, word, n, x) of the training texts: counts of words, and of context cells in compressed blocks."""
     block, sizes = 1 << BLOCK_BITS, sizes_of(bits)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words: Counter = Counter()
-        cells = [np.zeros(s + 1, dtype=np.uint32) for pair in sizes for s in pair]
+        cells = [np.zeros(s + 1, dtype=np.uint16) for pair in sizes for s in pair]
+        full: list[dict[int, int]] = [{} for _ in cells]  # what the cells could not hold
         waiting: list[bytes] = []
         size = 0
 
@@ -317,7 +329,7 @@ def _learn(train: DataFrame, bits: list[tuple[int, int]]) -> DataFrame:
                 for k in range(len(ORDERS)):
                     for half, at in enumerate(lay.cells(k)):
                         at[gaps] = sizes[k][half]  # a cell beyond the others
-                        np.add.at(cells[2 * k + half], at, np.uint32(1))
+                        _add_up(cells[2 * k + half], at, full[2 * k + half])
                 waiting.clear()
 
         def spill() -> pd.DataFrame:
@@ -330,41 +342,72 @@ def _learn(train: DataFrame, bits: list[tuple[int, int]]) -> DataFrame:
                 t = _bytes(text)
                 words.update(t.split())
                 words[END] += 1
-                waiting.append(t)
+                waiting.append(escaped(t))
                 size += len(t)
                 if size > ROUND:
                     add()
                     size = 0
-            if len(words) > 400_000:
+            if len(words) > WORDS:
                 yield spill()
         add()
         yield spill()
-        for k, c in enumerate(cells):
+        for k, (c, more) in enumerate(zip(cells, full, strict=True)):
+            more_at = np.array(sorted(more), dtype=np.int64)
             for b in range(-(-(len(c) - 1) // block)):
-                part = c[b * block : min((b + 1) * block, len(c) - 1)]
+                part = c[b * block : min((b + 1) * block, len(c) - 1)].astype(np.int64)
+                for at in more_at[slice(*np.searchsorted(more_at, (b * block, b * block + len(part))))].tolist():
+                    part[at - b * block] += more[at]
                 at = np.flatnonzero(part)
                 if len(at):
                     yield pd.DataFrame({"kind": [k << 40 | b], "word": [None], "n": [0], "x": [_sent(at, part[at])]})
+        give_back()
 
     return train.select("text").mapInPandas(count, "kind long, word binary, n long, x binary")
 
 
+def _add_up(cells: np.ndarray, at: np.ndarray, full: dict[int, int]) -> None:
+    """One more for each place; cells over half their range are emptied into ``full``."""
+    for i in range(0, len(at), SOME):
+        some = at[i : i + SOME]
+        np.add.at(cells, some, np.uint16(1))
+        for k in np.unique(some[cells[some] >= SOME]).tolist():
+            full[k] = full.get(k, 0) + int(cells[k])
+            cells[k] = 0
+
+
 def _sent(at: np.ndarray, n: np.ndarray) -> bytes:
     """Cells of a block and their counts: distances and counts byte by byte, most of which are small."""
     import zstandard
 
     far = np.diff(at, prepend=0).astype("<u2")
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(x.view(np.uint8).reshape(len(at), -1).T).tobytes() for x in (far, n.astype("<u4"))))
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(x.view(np.uint8).reshape(len(at), -1).T).tobytes() for x in (far, n.astype("<u8"))))
 
 
 def _received(x: bytes) -> tuple[np.ndarray, np.ndarray]:
     import zstandard
 
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), dtype=np.uint8).reshape(6, -1)
-    far, n = np.ascontiguousarray(planes[:2].T).view("<u2"), np.ascontiguousarray(planes[2:].T).view("<u4")
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), dtype=np.uint8).reshape(10, -1)
+    far, n = np.ascontiguousarray(planes[:2].T).view("<u2"), np.ascontiguousarray(planes[2:].T).view("<u8")
     return np.cumsum(far.reshape(-1), dtype=np.int64), n.reshape(-1).astype(np.int64)
 
 
+def _added(parts: DataFrame) -> DataFrame:
+    """(kind, fold, x): counts of a block added up in rounds, so that no task reads what all tasks have sent for one."""
+
+    def add(at: tuple, df: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(1 << BLOCK_BITS, dtype=np.int64)
+        for x in df["x"]:
+            cells, n = _received(x)
+            total[cells] += n
+        cells = np.flatnonzero(total)
+        return pd.DataFrame({"kind": [at[0]], "fold": [at[1]], "x": [_sent(cells, total[cells])]})
+
+    while (most := parts.groupBy("kind", "fold").count().agg(F.max("count")).first()[0] or 0) > ADDED:
+        some = F.pmod(F.xxhash64("x"), F.lit(-(-most * 2 // ADDED)))
+        parts = stored(parts.groupBy("kind", "fold", some).applyInPandas(lambda at, df: add(at, df), "kind long, fold int, x binary"))
+    return parts
+
+
 def _add(at: tuple, df: pd.DataFrame) -> pd.DataFrame:
     """The log odds of a block from the counts of either fold and from all."""
     total = np.zeros((2, 1 << BLOCK_BITS), dtype=np.int64)
@@ -385,10 +428,10 @@ def _tables(blocks: DataFrame, which: str, bits: list[tuple[int, int]]) -> list[
 
 
 def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", frequent: int = FREQUENT, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, *keep, n_tokens, n_known, train_tokens, base_score, score) for every row; rows with ``learn`` teach."""
+    """(doc_id, *keep, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for every row; rows with ``learn`` teach."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"), *keep)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in (doc_id, *keep)]).alias("row"), F.col(f"`{text}`").alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     train = rows.filter("learn").withColumn("fold", F.pmod(F.xxhash64("text", F.lit(5)), F.lit(2)).cast("int"))  # equal texts in one fold
     bits = bits_for(train.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     folds = [train.filter(F.col("fold") == f) for f in (0, 1)]
@@ -399,8 +442,8 @@ def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
 
     words = stored(parts.filter("kind = -1").groupBy("word").agg(F.sum("n").alias("n")))
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = spark.sparkContext.broadcast({bytes(r["word"]): r["n"] for r in words.orderBy(F.desc("n"), "word").limit(frequent).toLocalIterator()})
-    blocks = stored(parts.filter("kind >= 0").select("kind", "fold", "x").groupBy("kind").applyInPandas(_add, "kind long, fold0 binary, fold1 binary, both binary"))
+    top = spark.sparkContext.broadcast({bytes(r["word"]): r["n"] for r in words.filter(F.length("word") <= AT_HAND).orderBy(F.desc("n"), "word").limit(frequent).toLocalIterator()})
+    blocks = stored(_added(parts.filter("kind >= 0").select("kind", "fold", "x")).groupBy("kind").applyInPandas(_add, "kind long, fold0 binary, fold1 binary, both binary"))
     drop(spark, done_with)
     fits = [_fit(folds[1 - f], _tables(blocks, f"fold{f}", bits), bits) for f in (0, 1)]
     weights = _averaged(fits[0].unionByName(fits[1]))
@@ -409,11 +452,11 @@ def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
     model = spark.sparkContext.broadcast((tables, weights))
     space = float(total + kinds + 1)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         get, (arrays, w) = top.value.get, model.value
         scorer = Model(list(zip(arrays.arrays[::2], arrays.arrays[1::2], strict=True)), w, bits)
-        for df in batches:
-            texts = [_bytes(t) for t in df["text"]]
+        for some in batches:
+            texts = [_bytes(t) for t in some]
             out = []
             for t in texts:
                 w = t.split()
@@ -421,18 +464,27 @@ def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
                 c = np.array([get(x, -1) for x in w], dtype=np.int64)
                 known = c >= 0
                 rare = Counter(w[i] for i in np.flatnonzero(~known))
-                out.append((len(w), int((c > 0).sum()), float(np.log10((c[known] + 1) / space).sum()), list(rare.keys()), list(rare.values())))
-            out = pd.DataFrame(out, columns=["n_tokens", "n_known", "base_score", "rare", "times"])
-            out["score"] = scorer.log10(texts) if texts else []
-            left = df.drop(columns=["text", "learn"]).reset_index(drop=True)
-            yield pd.concat([left, out], axis=1)
-
-    own = [f"`{n}` {t}" for n, t in add_row_id(rows.limit(0)).drop("text", "learn").dtypes]
-    done = stored(add_row_id(rows).mapInPandas(run, ", ".join(own) + ", n_tokens long, n_known long, base_score double, rare array<binary>, times array<int>, score double"))
+                out.append((len(t), len(w), int((c > 0).sum()), float(np.log10((c[known] + 1) / space).sum()), list(rare.keys()), list(rare.values())))
+            out = pd.DataFrame(out, columns=["n_bytes", "n_tokens", "n_known", "base_score", "rare", "times"])
+            out["score"] = scorer.log10([escaped(t) for t in texts]) if texts else []
+            yield out
+        give_back()
+
+    found = F.pandas_udf(run, "n_bytes long, n_tokens long, n_known long, base_score double, rare array<binary>, times array<int>, score double")
+    done = stored(add_row_id(rows, "key").select("key", "row", found("text").alias("f")).select("key", "row", "f.*"))
     model.destroy()
     top.destroy()
-    rare = done.filter(F.size("rare") > 0).select("__row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("__row", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
+    rare = done.filter(F.size("rare") > 0).select("key", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("key", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
     rare = rare.join(words, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    rare = rare.groupBy("__row").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("k"), F.sum(F.col("times") * F.log10((F.col("n") + 1) / F.lit(space))).alias("b"))
-    out = done.drop("rare", "times").join(rare, "__row", "left")
-    return out.select("doc_id", *keep, "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("b", F.lit(0.0))).alias("base_score"), "score")
+    rare = rare.groupBy("key").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("k"), F.sum(F.col("times") * F.log10((F.col("n") + 1) / F.lit(space))).alias("b"))
+    out = done.join(rare, "key", "left")
+    kept = [F.col("row").getField(c).alias("doc_id" if c == doc_id else c) for c in (doc_id, *keep)]
+    return out.select(
+        *kept,
+        "n_tokens",
+        (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"),
+        F.lit(int(total)).cast("long").alias("train_tokens"),
+        (F.col("base_score") + F.coalesce("b", F.lit(0.0))).alias("base_score"),
+        "score",
+        (-F.col("score") / F.lit(float(np.log10(2))) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
+    )

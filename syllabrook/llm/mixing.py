@@ -31,7 +31,7 @@ KEY_DIGITS, TIME_RANGES = 3, 16384
 
 @dataclass
 class Mix:
-    """documents: key columns, size, source_size, target, upto (words of the source up to and with it)."""
+    """documents: doc_id, source, kept, size, source_size, target, upto (words of the source up to and with it)."""
 
     documents: DataFrame
     epochs: int
@@ -83,8 +83,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3, seed: str = "", doc_id: str = "doc_id", text: str = "text", source: str = "source", keep: tuple[str, ...] = ()) -> Mix:
-    """The mix of ``docs``; its documents keep doc_id, source and the columns named in ``keep``."""
-    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), *keep, word_count(F.col(text)).alias("size"))
+    """The mix of ``docs``; its documents keep doc_id, source and, in the struct ``kept``, the columns named in ``keep``."""
+    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.struct(*[F.col(f"`{c}`") for c in keep] or [F.lit(None).alias("none")]).alias("kept"), word_count(F.col(text)).alias("size"))
     sized = stored(sized)  # the texts are read once
     keyed = sized.withColumn("key", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")))
     keyed = keyed.withColumns({"no_source": F.col("source").isNull(), "name": F.coalesce("source", F.lit("")), "bucket": F.substring("key", 1, KEY_DIGITS)})
@@ -99,7 +99,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3
     starts = starts.join(goals, ["no_source", "name"]).drop("words")
     within = W.partitionBy(*group).orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
     placed = keyed.withColumn("upto", F.sum("size").over(within)).join(starts, group)
-    placed = stored(placed.withColumn("upto", F.col("upto") + F.col("start")).select("doc_id", "source", *keep, "size", "source_size", "source_rank", "target", "upto"))
+    placed = stored(placed.withColumn("upto", F.col("upto") + F.col("start")).select("doc_id", "source", "kept", "size", "source_size", "source_rank", "target", "upto"))
     return _cut(placed, max_epochs)
 
 

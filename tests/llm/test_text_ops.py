@@ -73,7 +73,7 @@ def test_repeats(docs, monkeypatch, block, shard):
 
 def test_dedup_keeps_columns(docs, none):
     got = dedup.remove(docs, keep=("lang", "source"))
-    assert sorted(map(str, got.select("doc_id", "lang", "source").collect())) == sorted(map(str, docs.select("doc_id", "lang", "source").collect()))
+    assert sorted(map(str, got.select("doc_id", "columns.lang", "columns.source").collect())) == sorted(map(str, docs.select("doc_id", "lang", "source").collect()))
     assert dedup.remove(none).count() == 0
 
 
