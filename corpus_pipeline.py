@@ -64,20 +64,23 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 @stage
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages that a document with a smaller id has already; n_chars follows."""
-    done = dedup.remove(docs, keep=("lang", "source")).withColumns({"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")})
-    return done.select(*docs.columns)
+    """Cuts passages that a document with a smaller id has already; n_chars follows, other columns stay."""
+    done = dedup.remove(docs, keep=tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars")))
+    own = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return done.select(*[own.get(c, F.col("columns").getField(c)).alias(c) for c in docs.columns])
 
 
 @stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The copies that the target weights ask for, in the order of the mix; the last one is cut at the budget."""
     rows = stored(add_row_id(docs))  # both reads have to see the same keys
-    taken = mixing.schedule(mixing.mix(rows, keep=("__row",))).select("__row", "finish", "source_rank", "place", "size", "taken")
-    out = taken.join(rows, "__row")
-    text = F.when(F.col("taken") < F.col("size"), mixing.first_words(F.col("text"), F.col("taken"))).otherwise(F.col("text"))
-    out = out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
-    return mixing.in_order(out).select(*docs.columns)
+    mixed = mixing.mix(rows.select("doc_id", "text", "source", "__row"), keep=("__row",))
+    taken = mixing.schedule(mixed).select("kept.__row", *mixing.ORDER, "size", "taken")
+    out = taken.join(rows.select("__row", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")), "__row")
+    text = F.when(F.col("taken") < F.col("size"), mixing.first_words(F.col("doc.text"), F.col("taken"))).otherwise(F.col("doc.text"))
+    out = mixing.in_order(out.withColumn("cut", text))
+    own = {"text": F.col("cut"), "n_chars": F.length("cut").cast("long")}
+    return out.select(*[own.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns])
 
 
 @stage
