@@ -49,16 +49,24 @@ def fix_misread(c: Column) -> Column:
     return replace_all(c, MISREAD)
 
 
+def _element(name: str, attributes: str = "") -> str:
+    """A pattern of an element with its content; ``attributes`` must be among those of its start."""
+    return rf"(?is)<{name}\b(?=[^>]*{attributes})[^>]*>(?:(?!</{name}>).)*</{name}>"
+
+
 def strip_tags(c: Column) -> Column:
-    """Diagram blocks leave their caption; wiki and callout tags leave their content."""
-    c = F.regexp_replace(c, r"""(?is)<mermaid[^>]*?caption=(['"])(.*?)\1[^>]*>.*?</mermaid>""", "\n$2\n")
-    c = F.regexp_replace(c, r"(?is)<mermaid[^>]*>.*?</mermaid>", "\n")
-    return F.regexp_replace(F.regexp_replace(c, r"(?i)</?mermaid[^>]*>", ""), r"(?i)</?(?:wiki|callout)[^>]*>", "")
+    """A diagram leaves its trimmed caption on a line of its own, if it has one; tags of links and callouts leave their content."""
+    for quote in "'\"":
+        captioned = _element("mermaid", rf"\bcaption\s*=\s*{quote}\s*([^{quote}>]*?)\s*{quote}")
+        c = F.regexp_replace(c, captioned, "\n$1\n")
+    c = F.regexp_replace(c, _element("mermaid"), "\n")
+    return F.regexp_replace(c, r"(?i)</?(mermaid|wiki|callout)\b[^>]*>", "")
 
 
 def tidy(c: Column) -> Column:
-    c = F.regexp_replace(c, r"[ \t]+\n", "\n")
-    return strip(F.regexp_replace(c, r"\n[ \t]*\n[ \t]*(?:\n[ \t]*)+", "\n\n"))
+    """Lines without blanks at their end, one empty line at most between others, nothing around the whole."""
+    lines = F.transform(F.split(c, "\n"), lambda line: F.rtrim(line, F.lit(" \t")))
+    return strip(F.regexp_replace(F.array_join(lines, "\n"), "\n{3,}", "\n\n"))
 
 
 def normalise(c: Column) -> Column:
@@ -134,12 +142,12 @@ def word_count(c: Column) -> Column:
 
 
 def safe_filename(c: Column, most: int = 100) -> Column:
-    """Nothing but letters, digits, dash and underscore before one lower-case extension; the tail survives."""
+    """Letters, digits, dash and underscore before one lower-case extension; nothing but the tail of a long name survives."""
     raw = F.regexp_replace(F.coalesce(F.nullif(strip(c), F.lit("")), F.lit("file")), r"[\\/]", "_")
-    ext = F.lower(F.regexp_extract(raw, r"[^.](\.[^.]+)$", 1))
-    stem = F.substring(raw, 1, F.length(raw) - F.length(ext))
-    clean = F.concat(F.regexp_replace(stem, r"[^a-zA-Z0-9_-]", "_"), F.regexp_replace(ext, r"[^a-z0-9.]", "_"))
-    return F.right(clean, F.lit(most))
+    ext = F.lower(F.regexp_extract(raw, r"(?s)^\.*[^.].*(\.[^.]+)$", 1))
+    stem = F.regexp_replace(F.substring(raw, 1, F.length(raw) - F.length(ext)), r"[^a-zA-Z0-9_-]", "_")
+    stem = F.coalesce(F.nullif(F.regexp_replace(stem, r"^[_-]+|[_-]+$", ""), F.lit("")), F.lit("file"))
+    return F.right(F.concat(stem, F.regexp_replace(ext, r"[^a-z0-9._-]", "_")), F.lit(most))
 
 
 def slug(c: Column) -> Column:
@@ -165,14 +173,22 @@ def drop_lines(c: Column, pattern: str) -> Column:
     return F.array_join(F.filter(F.split(c, "\n"), lambda line: ~line.rlike(pattern)), "\n")
 
 
-def dehyphenate(c: Column, prefixes: tuple[str, ...] = ("non", "self", "co")) -> Column:
-    """Words cut at a line's end are joined again; those with one of the prefixes keep the hyphen."""
-    c = F.regexp_replace(c, rf"(?i)\b({'|'.join(prefixes)})-\n\s*([a-z])", "$1-$2")
-    return F.regexp_replace(c, r"([a-z])-\n\s*([a-z])", "$1$2")
+#: Beginnings of words that a line's end cuts and that are written as one (fixed values).
+SOLID = ("inter", "intra", "multi", "photo", "electro", "thermo", "hydro", "micro", "macro", "bio", "geo", "trans", "over", "under")
+#: Words that were split, and misspelled ones, with what they stand for (fixed values).
+REJOINED, MISSPELLED = (("infectio us", "infectious"),), (("conditios", "conditions"),)
+
+
+def dehyphenate(c: Column, solid: tuple[str, ...] = SOLID) -> Column:
+    """Words cut at a line's end lose the white space after their hyphen, and the hyphen too after a beginning that is written solid."""
+    c = F.regexp_replace(c, rf"(?<![A-Za-z])((?i:{'|'.join(solid)}))-\s+([a-z])", "$1$2")
+    return F.regexp_replace(c, r"([A-Za-z])-\s+([a-z])", "$1-$2")
 
 
-def clean_statement(c: Column) -> Column:
-    """Without a leaked number in front and a tail of ``;``, ``and`` or ``or``; the first letter is a capital."""
-    c = F.regexp_replace(strip(c), r"^\d+(\.\d+)*[.)]?\s+", "")
-    c = F.regexp_replace(c, r"(?i)([;.,\s]|\b(and|or)\b)+$", "")
+def clean_statement(c: Column, known: tuple[tuple[str, str], ...] = REJOINED + MISSPELLED) -> Column:
+    """Known faults corrected, without a number that leaked in after the last sentence and a tail of ``;``, ``and`` or ``or``; the first letter is a capital."""
+    c = strip(F.coalesce(c, F.lit("")))
+    for bad, good in known:
+        c = F.regexp_replace(c, rf"(?i)\b{bad}\b", good)
+    c = F.regexp_replace(strip(F.regexp_replace(c, r"\.\s+\d{1,2}\.?\s*$", ".")), r"(?i)(?:[;.,\s]|\b(?:and|or)\b)+$", "")
     return F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, F.length(c)))

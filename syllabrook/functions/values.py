@@ -43,8 +43,12 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def json_list(c: Column) -> Column:
-    """A JSON list of texts; anything else is empty."""
-    return F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>"))
+    """A JSON list as texts; a JSON scalar, and what is no JSON, is a list of one, and null or an empty text an empty one."""
+    t = F.trim(c)
+    scalar = F.get_json_object(F.concat(F.lit("["), t, F.lit("]")), "$[0]")
+    one = F.when(t.rlike(r'(?s)^".*"$'), scalar).when(t.isin("true", "false", "null"), F.element_at(F.create_map(*[F.lit(x) for x in ("true", "True", "false", "False", "null", "None")]), t))
+    listed = F.when(t.startswith("["), F.from_json(t, "array<string>"))
+    return F.when(F.coalesce(t, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.coalesce(listed, F.array(F.coalesce(one, c))))
 
 
 def only_word(c: Column) -> Column:

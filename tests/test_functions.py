@@ -57,6 +57,12 @@ def test_normalise(spark):
     assert one(spark, text.normalise(F.col("t")), t=t) == "It’s kept\nA cap\nend\n\nnext"
 
 
+def test_captions_are_trimmed(spark):
+    cases = ['a<mermaid id="1" caption=" A  cap "\n>x\ny</mermaid>b', "a<mermaid>x</mermaid>b", "a<mermaid/>b", "<callout type='x'>c</callout>", "a <wikipedia> b"]
+    assert each(spark, text.strip_tags(F.col("t")), cases) == ["a\nA  cap\nb", "a\nb", "ab", "c", "a <wikipedia> b"]
+    assert each(spark, text.tidy(F.col("t")), [" a \t\n \n\t\nb\n", "a\n\nb", "a  b"]) == ["a\n\nb", "a\n\nb", "a  b"]
+
+
 def test_strip_knows_unicode_blanks(spark):
     assert one(spark, text.strip(F.col("t")), t=" \n a b \t ") == "a b"
 
@@ -90,34 +96,55 @@ def test_pages_and_objectives(spark):
     assert [one(spark, parsing.objective_confidence(F.col("t")), t=t) for t in ("3-4", "1, 2 and 5")] == ["high", "medium"]
 
 
-def test_names(spark):
-    assert one(spark, text.safe_filename(F.col("t")), t="../a b.c/My File.PDF") == "___a_b_c_My_File.pdf"
-    assert one(spark, parsing.exam_year(F.col("t")), t="econ_paper02_may_2014.pdf") == 2014
-    assert one(spark, parsing.paper_number(F.col("t")), t="econ_Paper 02_may.pdf") == 2
-    assert one(spark, parsing.sitting(F.col("t")), t="Econ_January_2011") == "january"
+def each(spark, column, texts):
+    """The column's value for every text, in one job."""
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", column.alias("x")).collect()
+    return [r["x"] for r in sorted(rows)]
+
+
+def test_safe_file_names(spark):
+    got = each(spark, text.safe_filename(F.col("t")), ["../a b.c/My File.PDF", "..", "", None, "a" * 200 + ".pdf", "..hidden", "x..b", "é.Tx t", "._-", "no ext", "a.b"])
+    assert got == ["a_b_c_My_File.pdf", "file", "file", "file", "a" * 96 + ".pdf", "hidden", "x.b", "file.tx_t", "file", "no_ext", "a.b"]
+
+
+def test_past_paper_names(spark):
+    names = ["June 2019 p2.pdf", "POB_p2_2022.pdf", "Jan 26 POB.PDF", "econ_Paper 02_may.pdf", "Paper 3 May 1998 75.pdf", "p_3 MayJune 2014.pdf", "econ 2031 x.pdf", "P2", "201412.pdf", "a 31 b 12"]
+    assert each(spark, parsing.exam_year(F.col("t")), names) == [2019, 2022, 2026, None, 1975, 2014, None, None, 2014, 1931]
+    assert each(spark, parsing.paper_number(F.col("t")), names) == [2, 2, 2, 2, 3, 3, 2, 2, 2, 2]
+    assert each(spark, parsing.sitting(F.col("t")), names) == ["June", "", "January", "June", "June", "", "", "", "", ""]
+    assert each(spark, parsing.paper_label(F.col("t")), names)[:4] == ["Paper 2 - June 2019", "Paper 2 - 2022", "Paper 2 - January 2026", None]
 
 
 def test_bullets_and_marks(spark):
     t = "• first point\n- second\n1. third\n- second\n(2 marks) and 3 marks"
     assert one(spark, parsing.bullets(F.col("t")), t=t) == ["first point", "second", "third"]
     assert one(spark, parsing.mark_allocation(F.col("t")), t=t) == 3
-    assert one(spark, parsing.question_number(F.col("t")), t="  4. What is") == 4
+    got = each(spark, parsing.question_number(F.col("t")), ["  4. What is", "intro\n 12) b", "see 5. no", "1 (a) x", "x" * 199 + "\n3.", "1234. y", None])
+    assert got == ["4", "12", None, "1", None, "1234", None]
 
 
 def test_verbs(spark):
-    assert one(spark, parsing.command_words(F.col("t")), t="Explain and state why; explain") == ["explain", "state"]
-    assert one(spark, parsing.skill_type(F.col("t")), t="State and evaluate") == "Application"
+    assert one(spark, parsing.command_words(F.col("t")), t="Explain and state why; explain") == ["Explain", "State"]
+    texts = ["State and evaluate", "Examine the causes", "compare a with b", "describe x", "Solve the equation", "outline y", "nothing here", "understate it", "make a claim"]
+    assert each(spark, parsing.skill_type(F.col("t")), texts) == ["Application", "Application", "Application", "Understanding", "Application", "Knowledge", "UNCLASSIFIED", "UNCLASSIFIED", "Understanding"]
+    assert each(spark, parsing.command_words(F.col("t")), ["solve and find", "Reuse"]) == [["Solve", "Find"], []]
+    verbs = parsing.leading_verb(F.col("t"))
+    assert each(spark, verbs, ["1. prepare accounts", "LIST two", "42"]) == ["Prepare", "List", ""]
+    assert each(spark, parsing.exam_weight(verbs), ["prepare", "List it", "discuss", ""]) == ["P2", "P1", "Both", "Both"]
 
 
 def test_statements(spark):
-    assert one(spark, text.clean_statement(F.col("t")), t="2.1 explain scarcity; and") == "Explain scarcity"
+    got = each(spark, text.clean_statement(F.col("t")), ["explain scarcity; and", "infectio us conditios.", "name the blood groups. 5.", "work in base 10.", "sell land and", "a, b and, or;", "2.1 keep the number", None])
+    assert got == ["Explain scarcity", "Infectious conditions", "Name the blood groups", "Work in base 10", "Sell land", "A, b", "2.1 keep the number", ""]
     assert one(spark, text.comma_append(F.col("t"), "b"), t="a") == "a,b"
     assert one(spark, text.strip_fence(F.col("t")), t='```json\n{"a": 1}\n```') == '{"a": 1}'
-    assert one(spark, text.dehyphenate(F.col("t")), t="eco-\nnomic non-\nprice") == "economic non-price"
+    cut = ["pre-\npaid non- communicable", "inter- conversion Photo-\n synthesis", "well-known", "trans- geo- logic", "eco-\nnomic", "hinter- land"]
+    assert each(spark, text.dehyphenate(F.col("t")), cut) == ["pre-paid non-communicable", "interconversion Photosynthesis", "well-known", "transgeo-logic", "eco-nomic", "hinter-land"]
 
 
 def test_json(spark):
-    assert one(spark, values.json_list(F.col("t")), t="not json") == []
+    got = each(spark, values.json_list(F.col("t")), ["not json", '["a", "b"]', '"one"', "7", "", None, "[]", "true", '["a", 2]'])
+    assert got == [["not json"], ["a", "b"], ["one"], ["7"], [], [], [], ["True"], ["a", "2"]]
     assert one(spark, values.only_word(F.col("t")), t='["Explain"]') == "Explain"
     assert one(spark, values.only_word(F.col("t")), t='["a","b"]') is None
 
