@@ -46,12 +46,12 @@ def jaccard_bind(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-with a as (select item_id, unnest({TOKENS.format(c='text')}) token from benchmark), b as (select doc_id, source, unnest({TOKENS.format(c='substr(text, 1, 80)')}) token from documents where source is not null),
+with a as (select item_id, unnest({TOKENS.format(c='text')}) token from benchmark), b as (select doc_id, source, unnest({TOKENS.format(c='text')}) token from documents where source is not null),
 s as (select item_id, doc_id, count(*) score, min(case when source = 'src0' then 0 else 1 end) tier from a join b using (token) group by all having count(*) >= 2)
 select item_id, doc_id target, score, tier::int tier from s qualify row_number() over (partition by item_id order by tier, score desc, doc_id) = 1
 """)
 def tiered_bind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").filter("source is not null").select("doc_id", "source", F.substring("text", 1, 80).alias("statement"))
+    d = table(spark, sf_dir, "documents").filter("source is not null").select("doc_id", "source", F.col("text").alias("statement"))
     tiers = [(d.filter("source = 'src0'"), "doc_id", "statement"), (d.filter("source <> 'src0'"), "doc_id", "statement")]
     return match.bind_tiers(table(spark, sf_dir, "benchmark"), "item_id", "text", tiers)
 
@@ -227,11 +227,11 @@ def json_default(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select c_custkey as key, c_acctbal as value from customer where c_custkey < 500 union all
-(select o_custkey, o_totalprice from orders where o_custkey not in (select c_custkey from customer where c_custkey < 500) qualify row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) = 1)
+select c_custkey as key, c_acctbal as value from customer where c_acctbal >= 0 union all
+(select o_custkey, o_totalprice from orders where o_custkey not in (select c_custkey from customer where c_acctbal >= 0) qualify row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) = 1)
 """)
 def upsert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = table(spark, sf_dir, "customer").filter("c_custkey < 500").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("value"))
+    old = table(spark, sf_dir, "customer").filter("c_acctbal >= 0").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("value"))
     new = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_totalprice").alias("value"), "o_orderdate", "o_orderkey")
     return curate.insert_ignore(old, new, ["key"], ["o_orderdate", "o_orderkey"])
 
@@ -257,12 +257,12 @@ def merge_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select o_orderkey, o_orderstatus from orders where not (o_custkey % 10 = 3 and o_orderstatus <> 'F') union all select l_orderkey, min(l_linestatus) from lineitem where l_partkey % 50 = 1 group by 1
+select o_orderkey, o_orderstatus from orders where not (o_orderpriority = '1-URGENT' and o_orderstatus <> 'F') union all select l_orderkey, min(l_linestatus) from lineitem group by 1
 """)
 def relock(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_custkey")
-    new = table(spark, sf_dir, "lineitem").filter("l_partkey % 50 = 1").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_linestatus").alias("o_orderstatus")).withColumn("o_custkey", F.lit(0).cast("long"))
-    return curate.relock(old, new, F.col("o_custkey") % 10 == 3, F.col("o_orderstatus") == "F").select("o_orderkey", "o_orderstatus")
+    old = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    new = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_linestatus").alias("o_orderstatus")).withColumn("o_orderpriority", F.lit(""))
+    return curate.relock(old, new, F.col("o_orderpriority") == "1-URGENT", F.col("o_orderstatus") == "F").select("o_orderkey", "o_orderstatus")
 
 
 @query("""
@@ -309,11 +309,11 @@ def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with e as (select user_id, list({'id': event_type, 'confidence': value} order by event_id) o, max(value) conf from events where event_id % 3 = 0 group by 1)
+with e as (select user_id, list({'id': event_type, 'confidence': value} order by event_id) o, max(value) conf from events group by 1)
 select user_id, case when len(o) = 0 then 'error' when conf >= 85 and len(list_filter(o, lambda x: x.confidence >= 85)) = 1 then 'added' else 'review' end route from e
 """)
 def upload_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").filter("event_id % 3 = 0").groupBy("user_id").agg(F.collect_list(F.struct(F.col("event_type").alias("id"), F.col("value").alias("confidence"))).alias("o"), F.max("value").alias("c"))
+    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list(F.struct(F.col("event_type").alias("id"), F.col("value").alias("confidence"))).alias("o"), F.max("value").alias("c"))
     return e.select("user_id", curate.route(F.col("c"), F.col("o")).alias("route"))
 
 
