@@ -76,3 +76,69 @@ def render_dpi(width_in: Column, height_in: Column, most: int, dpi: int = 300) -
     """A resolution reduced so that the page stays below ``most`` pixels."""
     pixels = width_in * height_in * dpi * dpi
     return F.when(pixels > most, F.floor(F.lit(dpi) * F.sqrt(F.lit(float(most)) / pixels))).otherwise(F.lit(dpi)).cast("int")
+
+
+def stamp(at: Column) -> Column:
+    """A time as text that sorts as the time does."""
+    return F.date_format(at, "yyyy-MM-dd HH:mm:ss")
+
+
+def file_stamp(at: Column) -> Column:
+    return F.date_format(at, "yyyyMMdd_HHmmss")
+
+
+def elapsed_ms(start: Column, end: Column) -> Column:
+    """Whole milliseconds between two times, null if either is."""
+    return F.unix_millis(end) - F.unix_millis(start)
+
+
+def salted_hash(key: Column, at: Column, body: Column) -> Column:
+    """A digest that differs for equal texts saved at different times."""
+    return F.sha2(F.concat_ws("|", key.cast("string"), stamp(at), body), 256)
+
+
+def seeded(key: Column, seed: str) -> Column:
+    """What to order by for a shuffle that is the same in every run with this seed."""
+    return F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")).cast("binary"))
+
+
+def delimited(c: Column) -> Column:
+    """Items between bars or commas, trimmed, without empty ones."""
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"[|,]"), F.trim), lambda x: x != "")
+
+
+#: GiB of memory below which a model does not run, runs slowly, or runs beside little else (fixed values).
+MEMORY = ((1.0, "too little"), (2.0, "tight"), (3.5, "enough"))
+
+
+def memory_band(size: Column) -> Column:
+    """The band of a number of bytes."""
+    gib = size.cast("double") / (1 << 30)
+    out = F.lit("plenty")
+    for least, name in reversed(MEMORY):
+        out = F.when(gib < least, F.lit(name)).otherwise(out)
+    return out
+
+
+def parsed_json(c: Column, schema: str) -> Column:
+    """JSON text as a value of this schema; null if the text is no JSON or does not fit."""
+    j = F.from_json(F.concat(F.lit('{"value":'), c, F.lit("}")), f"struct<value:{schema},__bad:string>", {"columnNameOfCorruptRecord": "__bad"})
+    return F.when(j["__bad"].isNull(), j["value"])
+
+
+def request_error(value: Column, rules: list[tuple[Column, str]]) -> Column:
+    """Why a parsed request is refused: it could not be read, else the first rule that it breaks; null if it is valid."""
+    return F.when(value.isNull(), F.lit("not readable")).otherwise(F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for ok, name in rules], F.lit(None).cast("string")))
+
+
+def only_keys(schema: dict, allowed: tuple[str, ...]) -> dict:
+    """A JSON schema with these keywords alone, at every depth; names of properties are no keywords."""
+
+    def keep(node: object, names: bool) -> object:
+        if isinstance(node, list):
+            return [keep(x, False) for x in node]
+        if not isinstance(node, dict):
+            return node
+        return {k: keep(v, not names and k == "properties") for k, v in node.items() if names or k in allowed}
+
+    return keep(schema, False)
