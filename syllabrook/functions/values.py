@@ -104,7 +104,7 @@ def seeded(key: Column, seed: str) -> Column:
 
 def delimited(c: Column) -> Column:
     """Items between bars or commas, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"[|,]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"[|,]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 #: GiB of memory below which a model does not run, runs slowly, or runs beside little else (fixed values).

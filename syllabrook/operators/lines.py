@@ -92,3 +92,14 @@ def choice_questions(df: DataFrame, key: list[str], text: str) -> DataFrame:
 def counters(df: DataFrame, key: list[str], group: list[str], order: str, name: str) -> DataFrame:
     """Adds how often the group has occurred up to and with each row."""
     return df.withColumn(name, F.row_number().over(W.partitionBy(*key, *group).orderBy(order)))
+
+
+def next_line(df: DataFrame, key: list[str]) -> DataFrame:
+    """Adds the line after each, null for the last of a text."""
+    return df.withColumn("next_line", F.lead("line").over(W.partitionBy(*key).orderBy("n")))
+
+
+def ahead(df: DataFrame, key: list[str], most: int = 20) -> DataFrame:
+    """Adds the text from each line on, as far as the ``most`` lines after it."""
+    rows = F.collect_list("line").over(W.partitionBy(*key).orderBy("n").rowsBetween(0, most))
+    return df.withColumn("ahead", F.array_join(rows, " "))

@@ -130,3 +130,8 @@ def videos(rows: DataFrame, objectives: DataFrame, present: DataFrame) -> DataFr
     r = r.join(have, ["objective_id", "url"], "left")
     outcome = F.when(~F.col("__ok"), "skipped_flag").when(F.col("objective_id").isNull(), "unresolved").when(F.col("__p"), "already_present").otherwise("loaded")
     return r.withColumn("outcome", outcome).drop("__ok", "__p")
+
+
+def on_page(source_page: Column, page: int) -> Column:
+    """Rows of a page; null where the row's page is no number."""
+    return source_page.try_cast("int") == page

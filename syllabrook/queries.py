@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from syllabrook.plans import corpus, learning, parsed, registry, reports, states
+from syllabrook.plans import corpus, learning, parsed, registry, reports, rules, states
 from syllabrook.streaming import study
 
-__all__ = ["corpus", "learning", "parsed", "reports", "states", "study"]
+__all__ = ["corpus", "learning", "parsed", "reports", "rules", "states", "study"]
 
 
 def queries() -> dict[str, registry.Query]:

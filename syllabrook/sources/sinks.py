@@ -55,3 +55,13 @@ def scheme_review_rows(rows: DataFrame) -> DataFrame:
     """Rows of a scheme with their state: artifact before manual, unmapped and unverified."""
     s = F.when(F.col("artifact"), "artifact").when(F.col("manual"), "manual").when(F.col("objective_id").isNull(), "unmapped").when(~F.col("verified"), "unverified").otherwise("ok")
     return rows.withColumn("state", s)
+
+
+def review_sheet(rows: DataFrame) -> DataFrame:
+    """Rows with empty columns for a reviewer's approval and notes."""
+    return rows.withColumns({"approved": F.lit(""), "notes": F.lit("")})
+
+
+def whole_page(html: Column) -> Column:
+    """A stored page without code fences that ends as a page does."""
+    return F.coalesce(~html.contains("```") & F.rtrim(F.lower(html), F.lit(" \n\t\r")).endswith("</html>"), F.lit(False))

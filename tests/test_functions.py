@@ -93,7 +93,12 @@ def test_pages_and_objectives(spark):
     assert one(spark, parsing.page_list(F.col("t")), t="111-107, 126,x,107") == [107, 108, 109, 110, 111, 126]
     assert one(spark, parsing.objective_numbers(F.col("t")), t="4–3") == [3, 4]
     assert one(spark, parsing.objective_numbers(F.col("t")), t="1, 2 and 5") == [1, 2, 5]
-    assert [one(spark, parsing.objective_confidence(F.col("t")), t=t) for t in ("3-4", "1, 2 and 5")] == ["high", "medium"]
+    specs = ["3-4", "1, 2 and 5", " 4 - 2 ", "1 2 2", "x 5-3.", "1-2-3", ""]
+    assert each(spark, parsing.objective_confidence(F.col("t")), specs) == ["high", "medium", "high", "high", "medium", "medium", "medium"]
+    assert each(spark, parsing.objective_numbers(F.col("t")), specs) == [[3, 4], [1, 2, 5], [2, 3, 4], [1, 2, 2], [3, 4, 5], [1, 2, 3], []]
+    stems = ["ECON-2.10 notes S1 Obj 3", "S3_Obj 4-2 x", "S 2 Markets Obj 1 3", "S2 Obj 1, 3", "plain name", "xS2_Obj1"]
+    got = each(spark, parsing.office_name(F.col("t")), stems)
+    assert [tuple(r) if r else None for r in got] == [(2, [10], "high"), (3, [2, 3, 4], "high"), (2, [1, 3], "high"), (2, [1, 3], "medium"), None, None]
 
 
 def each(spark, column, texts):
@@ -115,6 +120,11 @@ def test_past_paper_names(spark):
     assert each(spark, parsing.paper_label(F.col("t")), names)[:4] == ["Paper 2 - June 2019", "Paper 2 - 2022", "Paper 2 - January 2026", None]
 
 
+def test_lists_are_trimmed_of_blanks_only(spark):
+    assert one(spark, parsing.bullets(F.col("t")), t="- 10 of 0\n- 0 \n1. 1 of 1 ") == ["10 of 0", "0", "1 of 1"]
+    assert one(spark, values.delimited(F.col("t")), t=" 0 | 10,, 2 ") == ["0", "10", "2"]
+
+
 def test_bullets_and_marks(spark):
     t = "• first point\n- second\n1. third\n- second\n(2 marks) and 3 marks"
     assert one(spark, parsing.bullets(F.col("t")), t=t) == ["first point", "second", "third"]
