@@ -1,14 +1,18 @@
 """License scan by conditional compression.
 
-Candidate blocks are windows of words around words that license notices use. Each block is compressed on
-its own and with each template as a zstandard raw dictionary; what the dictionary saves, as a share of what
-the template itself takes, ranks the templates. Those that save enough are confirmed by their exact wording:
-the template's words are aligned with the block's, and the differences (words changed, left out or put in)
-must be few and must not touch the words that tell licenses apart, such as names and versions.
+Every window of ``WINDOW`` words of a text, each ``STRIDE`` words on, is compressed on its own and with all
+templates together as a zstandard raw dictionary. Where that saves ``LEAST_SAVED`` bytes, the window is a
+candidate block: it is compressed with each template alone, the templates are ranked by what they save, and in
+that order their wording is compared until one holds: the template's words are aligned with those around the
+block, and the differences (words changed, left out or put in) must be few and must not touch the words that
+tell licenses apart, such as names and versions. What is left of the block beside a find is looked at again.
+
+The threshold lies between what notices save at least and what almost no other text does (README). Templates that
+save nearly as much as the best one are tried from the longest on, since a longer notice may hold a shorter one.
 
 Cases: a null or empty text has no candidates. Long texts are whole: every window is looked at, however many
-there are. The same notice twice is found twice. Overlapping finds: the one with fewer differences stays,
-then the longer one. Repeated rows each get a row; an empty table gives an empty result.
+there are. The same notice twice is found twice. Finds never overlap; ties go to the longer template, then to
+the earlier one of the list. Repeated rows each get a row; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,13 +22,39 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from syllabrook.llm.common import small_batches
+from syllabrook.llm.common import give_back, small_batches
+
+#: What several licenses share (fixed values).
+_AS_IS = (
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. '
+    "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_CONDITIONS = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_SOURCE = "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+_BINARY = "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_NO_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_DISCLAIMER = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. '
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+
+
+def _gnu(name: str, version: str, what: str = "program") -> str:
+    """The notice that the GNU licenses ask for."""
+    return (
+        f"This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version. "
+        f"This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details. "
+        f"You should have received a copy of the GNU {name} along with this {what}. If not, see <https://www.gnu.org/licenses/>."
+    )
 
-#: Notices by license (fixed values).
+
+#: Notices and whole texts by license (fixed values).
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("MIT", "Released under the MIT License."),
@@ -34,19 +64,38 @@ TEMPLATES = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("all-rights-reserved", "All rights reserved."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work under CC0 1.0."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
+    ("BSD-3-Clause", _CONDITIONS),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."),
     ("Apache-2.0", "You may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
-]
-#: Words that start a candidate (fixed values), and the words that tell licenses apart.
-ANCHORS = re.compile(r"(?i)licen[sc]|copyright|\brights\b|\bpermission\b|redistribut|\bcc0?\b|\bgnu\b|\bapache\b|\bwaived\b")
-TELLING = re.compile(r"\d|^(mit|apache|gnu|cc|cc0|by|by-nc|by-sa|all|reserved|redistribution)$")
-#: Words of a block on either side of an anchor beyond the template's length, the least bytes saved.
-MARGIN, LEAST_SAVED, MOST_CHANGED = 4, 1, 0.2
-#: A level that looks for short matches too.
-LEVEL = 17
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+            "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _AS_IS),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+            'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, '
+            "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("BSD-2-Clause", " ".join((_CONDITIONS, _SOURCE, _BINARY, _DISCLAIMER))),
+    ("BSD-3-Clause", " ".join((_CONDITIONS, _SOURCE, _BINARY, _NO_NAMES, _DISCLAIMER))),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+             "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+             "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+             "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
+                   'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("GPL-2.0", _gnu("General Public License", "2")),
+    ("GPL-3.0", _gnu("General Public License", "3")),
+    ("LGPL-2.1", _gnu("Lesser General Public License", "2.1", "library")),
+    ("LGPL-3.0", _gnu("Lesser General Public License", "3", "library")),
+    ("AGPL-3.0", _gnu("Affero General Public License", "3")),
+]
+#: Words that tell licenses apart: names and versions, and in short notices what they consist of.
+TELLING = re.compile(r"\d|^(mit|apache|gnu|mozilla|mpl|lesser|affero|library|cc|cc0|by|by-nc|by-sa)$")
+TELLING_SHORT, SHORT = re.compile(TELLING.pattern + "|^(all|reserved|redistribution)$"), 40
+#: Words of a window and from one to the next, the least bytes saved, the share of the best saving that counts as
+#: equal to it, the share of words that may differ, and the level, which looks for short matches too.
+WINDOW, STRIDE, LEAST_SAVED, EQUAL, MOST_CHANGED, LEVEL = 28, 12, 5, 0.8, 0.2, 12
 
 
 @dataclass(frozen=True)
@@ -57,100 +106,149 @@ class Find:
     differences: int
 
 
+@dataclass
+class Template:
+    license: str
+    words: list[str]
+    telling: list[int]
+    compressor: object
+
+
 def plain(word: str) -> str:
-    return word.lower().strip(".,;:()\"'")
+    return word.lower().strip(".,;:()\"'<>")
 
 
-@cache
-def _templates() -> list[tuple]:
+def _with_dictionary(raw: bytes) -> object:
     import zstandard
 
-    own = zstandard.ZstdCompressor(level=LEVEL)
+    d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=d)
+
+
+@cache
+def _templates() -> list[Template]:
+    """From the longest to the shortest."""
     out = []
     for name, text in TEMPLATES:
-        raw = text.lower().encode()
-        with_it = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
         words = [plain(w) for w in text.split()]
-        out.append((name, words, with_it, len(own.compress(raw)) - len(own.compress(b""))))
-    return out
+        telling = TELLING_SHORT if len(words) < SHORT else TELLING
+        out.append(Template(name, words, [k for k, w in enumerate(words) if telling.search(w)], _with_dictionary(text.lower().encode())))
+    return sorted(out, key=lambda t: -len(t.words))
+
+
+@cache
+def _compressors() -> tuple:
+    """Without a dictionary, and with all templates."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=LEVEL), _with_dictionary(" ".join(t for _, t in TEMPLATES).lower().encode())
 
 
 def align(template: list[str], block: list[str]) -> tuple[int, int, int, set[int]]:
-    """Fewest differences of the template to any run of the block's words: differences, run, template words hit."""
-    # Each cell: differences, where the run starts.
-    row = [(0, j) for j in range(len(block) + 1)]
-    table = [row]
-    for i, t in enumerate(template):
-        new = [(i + 1, 0)]
-        for j, b in enumerate(block):
-            new.append(min((row[j][0] + (t != b), row[j][1]), (row[j + 1][0] + 1, row[j + 1][1]), (new[j][0] + 1, new[j][1])))
-        row = new
-        table.append(row)
-    end = min(range(len(block) + 1), key=lambda j: (row[j][0], j - row[j][1]))
+    """Fewest differences of the template to any run of the block's words: differences, run, template words kept."""
+    number = {w: k for k, w in enumerate(template)}
+    b = np.array([number.get(w, -1) for w in block], dtype=np.int32)
+    t = np.array([number[w] for w in template], dtype=np.int32)
+    place = np.arange(len(block) + 1, dtype=np.int32)
+    table = np.zeros((len(template) + 1, len(block) + 1), dtype=np.int32)
+    for i, w in enumerate(t):
+        row = table[i + 1]
+        row[0] = i + 1
+        np.minimum(table[i, :-1] + (b != w), table[i, 1:] + 1, out=row[1:])
+        row[:] = np.minimum.accumulate(row - place) + place  # words that are put in
+    end = int(np.argmin(table[-1]))
     kept, i, j = set(), len(template), end
     while i and j:
-        here = table[i][j]
-        if template[i - 1] == block[j - 1] and here == table[i - 1][j - 1]:
+        here = table[i, j]
+        if b[j - 1] == t[i - 1] and here == table[i - 1, j - 1]:
             kept.add(i - 1)
             i, j = i - 1, j - 1
-        elif here == (table[i - 1][j - 1][0] + 1, table[i - 1][j - 1][1]):
+        elif here == table[i - 1, j - 1] + 1:
             i, j = i - 1, j - 1
-        elif here == (table[i - 1][j][0] + 1, table[i - 1][j][1]):
+        elif here == table[i - 1, j] + 1:
             i -= 1
         else:
             j -= 1
-    return row[end][0], row[end][1], end, kept
+    return int(table[-1, end]), j, end, kept
 
 
-def confirm(template: list[str], block: list[str]) -> tuple[int, int, int] | None:
+def confirm(template: Template, block: list[str]) -> tuple[int, int, int] | None:
     """Differences and run, if the wording is the template's."""
-    differences, start, end, kept = align(template, block)
-    if end <= start or differences > MOST_CHANGED * len(template) or any(TELLING.search(w) and k not in kept for k, w in enumerate(template)):
+    if len(block) < len(template.words) * (1 - MOST_CHANGED):
+        return None
+    differences, start, end, kept = align(template.words, block)
+    if end <= start or differences > MOST_CHANGED * len(template.words) or any(k not in kept for k in template.telling):
         return None
     return differences, start, end
 
 
-def confirmed(template: list[str], block: list[str], at: int = 0) -> list[tuple[int, int, int]]:
-    """All places of the template in a block: the best one, then those on either side of it."""
-    if len(block) < len(template) * (1 - MOST_CHANGED) or not (c := confirm(template, block)):
-        return []
-    n, a, b = c
-    return [*confirmed(template, block[:a], at), (n, at + a, at + b), *confirmed(template, block[b:], at + b)]
+class Scan:
+    """One text: where its words are, and which of them a find has taken."""
+
+    def __init__(self, text: str) -> None:
+        letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        blank = (letters == 32) | ((letters >= 9) & (letters <= 13))
+        edge = np.diff(np.concatenate(([1], blank, [1])).astype(np.int8))
+        self.text, self.start, self.end = text, np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        self.taken = np.zeros(len(self.start) + 1, dtype=bool)
+        self.blocks, self.finds = 0, []
+
+    def words(self, a: int, b: int) -> list[str]:
+        return [plain(self.text[s:e]) for s, e in zip(self.start[a:b].tolist(), self.end[a:b].tolist())]
+
+    def run(self) -> "Scan":
+        n = len(self.start)
+        for a in range(0, max(1, n - WINDOW + STRIDE), STRIDE) if n else ():
+            self.look(a, min(a + WINDOW, n))
+        return self
+
+    def look(self, a: int, b: int) -> None:
+        """Finds in a window, until nothing that is left of it is worth a comparison."""
+        todo = [(a, b)]
+        while todo:
+            a, b = todo.pop()
+            free = np.flatnonzero(~self.taken[a:b])
+            if len(free) != b - a:  # what others have taken cuts the window
+                cut = np.flatnonzero(np.diff(free) > 1) + 1
+                todo += [(a + int(x[0]), a + int(x[-1]) + 1) for x in np.split(free, cut) if len(x)]
+            elif b > a and (found := self.best(a, b)):
+                self.finds.append(found[0])
+                self.taken[found[1] : found[2]] = True
+                todo.append((a, b))
+
+    def best(self, a: int, b: int) -> tuple[Find, int, int] | None:
+        """The first of the ranked templates whose wording holds at or around words a to b."""
+        own, joint = _compressors()
+        raw = self.text[self.start[a] : self.end[b - 1]].lower().replace("\n", " ").encode("utf-8", "replace")
+        alone = len(own.compress(raw))
+        if alone - len(joint.compress(raw)) < LEAST_SAVED:
+            return None
+        self.blocks += 1
+        saved = [(alone - len(t.compressor.compress(raw)), t) for t in _templates()]
+        top = max(n for n, _ in saved)
+        ranked = sorted((x for x in saved if x[0] >= LEAST_SAVED), key=lambda x: -min(x[0], EQUAL * top))
+        for _, t in ranked:
+            left, right = self.around(a, b, len(t.words))
+            if place := confirm(t, self.words(left, right)):
+                d, i, j = place
+                return Find(t.license, int(self.start[left + i]), int(self.end[left + j - 1]), d), left + i, left + j
+        return None
+
+    def around(self, a: int, b: int, reach: int) -> tuple[int, int]:
+        """The words a to b with as many on either side as no find has taken, ``reach`` at most."""
+        before = np.flatnonzero(self.taken[max(0, a - reach) : a])
+        after = np.flatnonzero(self.taken[b : b + reach])
+        left = max(0, a - reach) + (int(before[-1]) + 1 if len(before) else 0)
+        return left, min(len(self.start), b + (int(after[0]) if len(after) else reach))
 
 
 def scan(text: str | None) -> tuple[int, list[Find]]:
     """The number of candidate blocks of a text, and the notices found, by place."""
-    import zstandard
-
-    if not text or not ANCHORS.search(text):
+    if not text:
         return 0, []
-    own = zstandard.ZstdCompressor(level=LEVEL)
-    spans = [m.span() for m in WORD.finditer(text)]
-    words = [plain(text[a:b]) for a, b in spans]
-    anchors = [k for k, w in enumerate(words) if ANCHORS.search(w)]
-    finds: set[Find] = set()
-    blocks = 0
-    for length in sorted({len(t[1]) for t in _templates()}):
-        same = [t for t in _templates() if len(t[1]) == length]
-        reach = length + MARGIN
-        done = -1
-        for k in anchors:
-            if k < done:
-                continue  # within the last block
-            a, b = max(0, k - reach), min(len(words), k + reach + 1)
-            done = k + 1
-            blocks += 1
-            raw = " ".join(words[a:b]).encode()
-            alone = len(own.compress(raw))
-            ranked = sorted(((n := alone - len(z.compress(raw))) / size, n, name, t) for name, t, z, size in same)
-            for saved, n, name, t in reversed(ranked):
-                if n >= LEAST_SAVED:
-                    finds |= {Find(name, spans[i][0], spans[j - 1][1], d) for d, i, j in confirmed(t, words[a:b], a)}
-    kept: list[Find] = []
-    for f in sorted(finds, key=lambda f: (f.differences, f.start - f.end, f.start, f.license)):
-        if all(f.end <= g.start or f.start >= g.end for g in kept):
-            kept.append(f)
-    return blocks, sorted(kept, key=lambda f: f.start)
+    s = Scan(text).run()
+    return s.blocks, sorted(s.finds, key=lambda f: f.start)
 
 
 def licenses(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -161,6 +259,7 @@ def licenses(docs: DataFrame, text: str = "text") -> DataFrame:
         for s in batches:
             rows = [scan(t) for t in s]
             yield pd.DataFrame({"n_blocks": [n for n, _ in rows], "finds": [[vars(f) for f in found] for _, found in rows]})
+        give_back()
 
     kind = "n_blocks long, finds array<struct<license string, start int, end int, differences int>>"
     out = docs.drop("n_blocks", "finds").withColumn("__s", F.pandas_udf(run, kind)(F.col(text)))
