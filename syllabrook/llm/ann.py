@@ -1,18 +1,19 @@
 """Approximate nearest neighbours: a forest of random-projection trees.
 
-Trees are fitted on a sample of at most ``SAMPLE`` distinct vectors (a documented bound); every vector of
-the table is then routed to one leaf of each tree. A query walks all trees at once through one priority
-queue ordered by the margin to the split, until it has met its share of the leaves. Queries and vectors meet by
-leaf; candidates are ranked by their exact Euclidean distance in double precision, and the best of all
-leaves are merged.
+Trees are fitted on a sample of at most ``SAMPLE`` distinct vectors, ``SAMPLE_BYTES`` in all (a documented bound);
+every vector of the table is then routed to one leaf of each tree. A query walks all trees at once through one
+priority queue ordered by the margin to the split. It stops after as many leaves as the sample's own neighbours
+need to be found with ``TARGET`` recall, and before that where the margin exceeds the distance within which the
+sample proves k + 1 vectors to lie, since nothing beyond it can be nearer. Queries and vectors meet by leaf;
+candidates are ranked by their exact Euclidean distance in double precision, and the best of all leaves are merged.
 
 Leaves hold more vectors as the table outgrows the sample; each is dealt to as many parts as keep
 ``PART`` vectors together, and a query visits all of them. Equal vectors are one entry of the forest
 with the ids that can reach a result.
 
-Cases: vectors that are null, empty, zero, of another size than most, or that hold null or non-finite
-components take no part. Ties go to the smaller id. Fewer candidates than k give shorter lists. Repeated
-ids count once (by their nearest vector); a query never finds its own id. An empty table gives an empty result.
+Cases: vectors that are null, empty, zero, or that hold null or non-finite components take no part. A query is
+compared with the vectors of its own size. Ties go to the smaller id. Fewer candidates than k give shorter lists.
+Repeated ids count once (by their nearest vector); a query never finds its own id. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,13 +28,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from syllabrook.llm.common import stored
-from syllabrook.llm.vectors import common_size, expand, groups, valid
+from syllabrook.llm.common import give_back, small_batches, stored
+from syllabrook.llm.vectors import by_size, expand, groups, valid
 
-SAMPLE, LEAF, TREES, PART, SEED = 65536, 256, 10, 4096, 11
-#: The share of all leaves that a query visits, and the fewest. On vectors without any clusters (the hardest
-#: case) this share finds more than nine in ten of the true neighbours; clustered ones need far less.
-SHARE, FEWEST = 0.09, 40
+SAMPLE, SAMPLE_BYTES, LEAF, TREES, PART, SEED = 65536, 64 << 20, 256, 10, 4096, 11
+#: The recall of the sample's own neighbours that decides how many leaves are visited, the sample's vectors that are
+#: asked for it, and the first leaves whose vectors bound a query's distance.
+TARGET, ASKED, FIRST = 0.96, 64, 20
 
 
 @dataclass
@@ -88,16 +89,16 @@ def build(x: np.ndarray, leaf: int, seed: int) -> Tree:
     return Tree(np.array(direction).reshape(-1, x.shape[1]), np.array(threshold), np.array(child, dtype=np.int64).reshape(-1, 2), members)
 
 
-def search(forest: list[Tree], q: np.ndarray, probes: int) -> list[tuple[int, int]]:
-    """The leaves (tree, leaf) that one query visits, best first, by one queue over all trees."""
+def search(forest: list[Tree], q: np.ndarray, probes: int) -> list[tuple[int, int, float]]:
+    """The leaves (tree, leaf, least distance of what lies there) that one query visits, best first, by one queue over all trees."""
     margins = [t.direction @ q - t.threshold if len(t.threshold) else np.zeros(0) for t in forest]
-    queue = [(-np.inf, k, 0 if len(t.threshold) else -1) for k, t in enumerate(forest)]
+    queue = [(0.0, k, 0 if len(t.threshold) else -1) for k, t in enumerate(forest)]
     heapq.heapify(queue)
-    out: list[tuple[int, int]] = []
+    out: list[tuple[int, int, float]] = []
     while queue and len(out) < probes:
         bound, k, node = heapq.heappop(queue)
         if node < 0:
-            out.append((k, -1 - node))
+            out.append((k, -1 - node, bound))
             continue
         m = margins[k][node]
         near, far = forest[k].child[node, int(m > 0)], forest[k].child[node, int(m <= 0)]
@@ -106,29 +107,64 @@ def search(forest: list[Tree], q: np.ndarray, probes: int) -> list[tuple[int, in
     return out
 
 
-def reach(forest: list[Tree], points: np.ndarray, q: np.ndarray, leaves: list[tuple[int, int]], k: int) -> float:
+def reach(forest: list[Tree], points: np.ndarray, q: np.ndarray, leaves: list[tuple], k: int) -> float:
     """A distance within which there are k + 1 vectors at least: that of the sample's points in the first leaves."""
-    rows = np.unique(np.concatenate([forest[t].members[p] for t, p in leaves[:FEWEST]]))
+    rows = np.unique(np.concatenate([forest[t].members[p] for t, p, _ in leaves[:FIRST]]))
     if len(rows) <= k:
         return float("inf")
     return float(np.sqrt(np.partition(((points[rows] - q) ** 2).sum(axis=1), k)[k])) * (1 + 1e-9)
 
 
-def nearest(table: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector: str = "embedding", trees: int = TREES, share: float = SHARE, sample: int = SAMPLE, leaf: int = LEAF) -> DataFrame:
+def visited(forest: list[Tree], points: np.ndarray, q: np.ndarray, probes: int, k: int) -> tuple[list[tuple[int, int]], float]:
+    """The leaves that can hold a neighbour among the first ``probes``, and the distance that they have to stay within."""
+    leaves = search(forest, q, probes)
+    within = reach(forest, points, q, leaves, k)
+    return [(t, p) for t, p, bound in leaves if bound <= within], within
+
+
+def probes_needed(forest: list[Tree], points: np.ndarray, k: int, target: float = TARGET) -> int:
+    """How many leaves find ``target`` of the nearest vectors of some of the sample's own."""
+    every = sum(len(t.members) for t in forest)
+    if len(points) <= k + 1:
+        return every
+    leaf_of = []
+    for t in forest:
+        at = np.empty(len(points), dtype=np.int64)
+        for p, rows in enumerate(t.members):
+            at[rows] = p
+        leaf_of.append(at)
+    first: list[int] = []
+    for i in np.random.default_rng(SEED).choice(len(points), min(ASKED, len(points)), replace=False):
+        d = ((points - points[i]) ** 2).sum(axis=1)
+        d[i] = np.inf
+        place = [np.zeros(len(t.members), dtype=np.int64) for t in forest]
+        for n, (t, p, _) in enumerate(search(forest, points[i], every)):
+            place[t][p] = n
+        near = np.argpartition(d, k)[:k]
+        first += np.min([place[t][leaf_of[t][near]] for t in range(len(forest))], axis=0).tolist()
+    return min(every, int(np.sort(first)[min(len(first) - 1, int(np.ceil(target * len(first))))]) + 1)
+
+
+def nearest(table: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector: str = "embedding", trees: int = TREES, sample: int = SAMPLE, leaf: int = LEAF, target: float = TARGET) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every row for which ``is_query`` holds."""
-    spark = table.sparkSession
+    small_batches(table.sparkSession)
     rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     rows = rows.filter(valid(F.col("v")) & F.exists("v", lambda x: x != 0) & F.col("id").isNotNull())
-    size = common_size(rows, "v")
-    rows = rows.filter(F.size("v") == size)
+    return by_size(rows, "v", lambda same: _nearest(same, k, trees, sample, leaf, target))
+
+
+def _nearest(rows: DataFrame, k: int, trees: int, sample: int, leaf: int, target: float) -> DataFrame:
+    spark = rows.sparkSession
     index = stored(groups(rows, "id", "v", k + 1))
     n = index.count()
+    size = len(index.select("v").first()["v"]) if n else 1
+    sample = min(sample, SAMPLE_BYTES // (8 * size))
     part = F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(1 << 30))
     few = index.filter(part < int(min(1.0, sample / max(n, 1)) * (1 << 30))).select("v").limit(2 * sample).toPandas()["v"]
-    points = np.array(few.tolist(), dtype=np.float64).reshape(-1, max(size, 1))
+    points = np.array(few.tolist(), dtype=np.float64).reshape(-1, size)
     kind = dict(index.dtypes)["v"]
     grown = [build(points, leaf, SEED + t) for t in range(trees)]
-    probes = max(FEWEST, round(share * sum(len(t.threshold) + 1 for t in grown)))
+    probes = max(trees, probes_needed(grown, points, k, target))
     forest = spark.sparkContext.broadcast((grown, points))
     # A leaf grows as the table outgrows the sample.
     parts = max(1, -(-(n * leaf) // (max(1, len(points)) * PART)))
@@ -138,14 +174,14 @@ def nearest(table: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
             x = matrix(df["v"])
             for t, tree in enumerate(forest.value[0]):
                 yield df.assign(tree=t, leaf=tree.leaves(x), part=(df["rep"] % parts).astype("int32"))
+        give_back()
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trees, points = forest.value
         for df in batches:
             out = []
             for q, v, x in zip(df["q"], df["v"], matrix(df["v"]), strict=True):
-                leaves = search(trees, x, probes)
-                within = reach(trees, points, x, leaves, k)
+                leaves, within = visited(trees, points, x, probes, k)
                 out += [(q, v, within, t, p, m) for t, p in leaves for m in range(parts)]
             yield pd.DataFrame(out, columns=["q", "v", "within", "tree", "leaf", "part"])
 

@@ -2,9 +2,11 @@
 
 Rules name a host and a path prefix. A url can match a rule only through one of few *candidate keys*: a
 suffix of its host with as many labels as some rule's host, followed by a prefix of its path as long as
-that rule's path. The blocked Bloom filter holds the keys of all rules; candidates that it lets pass go
-to an exact hash join with the rules, which removes the false positives. Only distinct addresses with a
-possible hit are joined, so a host that holds a third of all pages costs one row for each of its paths.
+that rule's path; all of a page's keys come from one expression, however many such shapes the rules have.
+The blocked Bloom filter holds the keys of all rules; candidates that it lets pass go to an exact hash join
+with the rules, which removes the false positives. Only distinct addresses with a possible hit are joined, so
+a host that holds a third of all pages costs one row for each of its paths. Rules of up to ``BROADCAST`` bytes
+are sent to every task; more are shuffled, each key dealt to ``SALTS`` places by the address that asks for it.
 
 Cases: a null url, or one without ``://``, has empty host and path and matches nothing. Repeated pages
 each get a row. An empty rule table gives every page the default verdict. Columns of the input named as
@@ -13,6 +15,7 @@ an output column are replaced. Two rules of the same host and path: ``block`` wi
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +33,8 @@ BLOCK_WORDS, BITS_PER_WORD = 4, 2
 #: A block for so many keys; the filter never exceeds max_blocks (32 bytes each), beyond which only the
 #: share of false positives rises, which the join removes.
 KEYS_PER_BLOCK = 16
+#: Bytes of all rules up to which they are broadcast, and places of a key beyond that.
+BROADCAST, SALTS = 8 << 20, 16
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -89,8 +94,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     spark = pages.sparkSession
     rules = rules.filter("host is not null and path is not null").select(F.concat("host", "path").alias("key"), "host", "path", "verdict")
     rules = rules.groupBy("key").agg(F.first("host").alias("host"), F.first("path").alias("path"), F.max("verdict").alias("verdict"))
-    # As many shapes as pairs of label count and path length among the rules.
-    shapes = sorted((r[0], r[1]) for r in rules.select(F.size(F.split("host", r"\.")), F.length("path")).distinct().collect())
+    # As many shapes as pairs of label count and path length among the rules: a few thousand at most.
+    shapes = [{"k": r[0], "n": r[1]} for r in rules.select(F.size(F.split("host", r"\.")), F.length("path")).distinct().collect()]
     host, path = host_and_path(F.col(url))
     pages = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host, "path": path})
     if not shapes:
@@ -108,9 +113,10 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
 
     probe_udf = F.pandas_udf(probe, T.ArrayType(T.BooleanType()))
     labels = F.size(F.split("host", r"\."))
-    keys = F.array_compact(
-        F.array(*[F.when((labels >= k) & (F.length("path") >= n), F.concat(F.substring_index("host", ".", -k), F.substring("path", 1, n))) for k, n in shapes])
-    )
+    told = F.from_json(F.lit(json.dumps(shapes)), "array<struct<k:int,n:int>>")  # one constant
+    fits = F.filter(told, lambda s: (labels >= s["k"]) & (F.length("path") >= s["n"]))
+    suffix = lambda s: F.call_function("substring_index", F.col("host"), F.lit("."), -s["k"])
+    keys = F.transform(fits, lambda s: F.concat(suffix(s), F.substring(F.col("path"), F.lit(1), s["n"])))
     hits = (
         pages.select("host", "path")
         .distinct()
@@ -119,7 +125,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
         .select("host", "path", F.explode(F.arrays_zip("keys", "hit")).alias("c"))
         .filter("c.hit")
         .select("host", "path", F.col("c.keys").alias("key"))
-        .join(rules.select("key", "verdict").hint("shuffle_hash"), "key")
+        .transform(lambda hits: _exact(hits, rules))
         .groupBy("host", "path")
         .agg(F.max(F.struct(F.length("key").alias("n"), F.col("key").alias("rule"), "verdict")).alias("best"))
         .select("host", "path", "best.rule", "best.verdict")
@@ -127,5 +133,15 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     return pages.join(hits, ["host", "path"], "left").withColumn("verdict", F.coalesce("verdict", F.lit(default)))
 
 
+def _exact(hits: DataFrame, rules: DataFrame) -> DataFrame:
+    """Hits (host, path, key) whose key is a rule's, with its verdict."""
+    rules = rules.select("key", "verdict")
+    size = rules.agg(F.sum(F.octet_length("key") + F.octet_length(F.coalesce("verdict", F.lit(""))) + 64)).first()[0] or 0
+    if size <= BROADCAST:
+        return hits.join(F.broadcast(rules), "key")
+    salted = rules.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("shuffle_hash")
+    return hits.withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"]).drop("salt")
+
+
 def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]] | None = None) -> DataFrame:
     return spark.createDataFrame(RULES if rules is None else rules, RULE_SCHEMA)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,10 +15,11 @@ def valid(v: Column) -> Column:
     return F.coalesce(v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))), F.lit(False))
 
 
-def common_size(df: DataFrame, v: str) -> int:
-    """The commonest number of components (ties: the smaller); vectors of other sizes take no part."""
-    row = df.groupBy(F.size(v).alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return row["n"] if row else 0
+def by_size(rows: DataFrame, v: str, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The results of a search among the vectors of each number of components that some query (``q``) has."""
+    sizes = sorted(r["n"] for r in rows.filter("q").select(F.size(v).alias("n")).distinct().collect())
+    found = [search(rows.filter(F.size(v) == n)) for n in sizes] or [search(rows.limit(0))]
+    return reduce(DataFrame.unionByName, found)
 
 
 def groups(df: DataFrame, id_col: str, v: str, most: int) -> DataFrame:

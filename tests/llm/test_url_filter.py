@@ -53,3 +53,22 @@ def test_many_rules_have_no_false_negatives(spark):
 @given(st.lists(st.integers(-(2**63), 2**63 - 1), min_size=1, max_size=5))
 def test_an_empty_filter_contains_nothing(hashes):
     assert not u.may_contain(np.zeros((4, u.BLOCK_WORDS), dtype=np.uint64), np.array(hashes), np.array(hashes)).any()
+
+
+def test_a_thousand_shapes_and_salted_rules(spark, monkeypatch):
+    rules = [("a." * k + f"h{k}.net", "/" + "x" * n, "block" if (k + n) % 3 else "allow") for k in range(20) for n in range(50)]
+    urls = [f"http://w.{'a.' * k}h{k}.net/{'x' * n}y" for k in range(0, 20, 3) for n in range(0, 60, 7)] + [None, "http://h0.net", "http://h0.net/"]
+
+    def want(url):
+        if url is None:
+            return (None, "allow")
+        host, _, path = url[7:].partition("/")
+        path = f"/{path}" if "/" in url[7:] else ""
+        fits = [(len(h + p), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1:] if fits else (None, "allow")
+
+    expected = {i: want(x) for i, x in enumerate(urls)}
+    assert {i: r[2:] for i, r in run(spark, urls, rules).items()} == expected
+    monkeypatch.setattr(u, "BROADCAST", 0)
+    assert {i: r[2:] for i, r in run(spark, urls, rules).items()} == expected
+    assert run(spark, URLS) == {i: plain(x) for i, x in enumerate(URLS)}

@@ -41,7 +41,7 @@ def test_exact_top_k(table):
 
 def test_neighbours(table):
     v = valid(table, False)
-    got = lists(ann.nearest(table, F.col("vec_id") % 50 == 0, leaf=32, share=0.3))
+    got = lists(ann.nearest(table, F.col("vec_id") % 50 == 0, leaf=32))
     hits = total = 0
     for q in (i for i in v if i % 50 == 0):
         best = sorted((math.dist(v[q], v[i]), i) for i in v if i != q)[:10]
@@ -54,6 +54,39 @@ def test_neighbours(table):
     assert [i for _, i, _ in got[700]] == [5, *range(701, 710)]
 
 
+def test_vectors_of_several_sizes_meet_their_own(spark):
+    rows = [(i * 100, [float(i), 1.0]) for i in range(5)] + [(i * 100 + 50, [float(i), 1.0, 2.0]) for i in range(4)] + [(7, [1.0] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for found, step in ((topk.top_k(df, F.col("vec_id") % 50 == 0), 50), (ann.nearest(df, F.col("vec_id") % 50 == 0), 50)):
+        got = lists(found)
+        assert got.keys() == {i for i, _ in rows if i % step == 0}
+        assert all(len(x) == (4 if q % 100 == 0 else 3) and {i % 100 for _, i, _ in x} == {q % 100} for q, x in got.items())
+
+
+def test_scores_beyond_doubles(spark):
+    rows = [(i, [2.0**20 + i, 2.0**19 - i]) for i in range(0, 200, 10)]
+    v = {i: [math.floor(256 * x) for x in e] for i, e in rows}
+    for q, found in lists(topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, shard=4)).items():
+        best = sorted((-sum(a * b for a, b in zip(v[q], v[i])), i) for i in v if i != q)[:5]
+        assert found == [(n + 1, i, -s) for n, (s, i) in enumerate(best)] and found[0][2] > 2**53
+
+
+def test_cells_and_nodes_are_left_out(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 16)) * 40
+    x = np.floor(np.concatenate([c + rng.normal(size=(250, 16)) for c in centres]) * 256)
+    tree, seen = topk.ball_tree(x), 0
+    for q in x[::500]:
+        looked = []
+        monkeypatch.setattr(topk, "slack", lambda p, s: looked.append(1) or p + s + 1e-6 * (abs(p) + s) + 1e-3)
+        rows, scores = topk.search(tree, x, x, np.ones(len(x), dtype=int), q, q, 6, topk.NONE)
+        assert sorted(scores)[-6:] == sorted(x @ q)[-6:]
+        seen += len(looked)
+    assert seen / len(x[::500]) < 127 / 2  # fewer than half of the nodes
+
+
 def test_few_and_none(spark, table):
     few = table.filter("vec_id in (0, 50, 3)")
     assert {q: [i for _, i, _ in x] for q, x in lists(topk.top_k(few, F.col("vec_id") % 50 == 0)).items()}.keys() == {0, 50}

@@ -23,3 +23,33 @@ def test_recall_beyond_the_sample(spark, tmp_path):
         hits += len(found[q] & set(np.argsort(d, kind="stable")[:10].tolist()))
     print("recall", hits / (10 * len(queries)))
     assert hits / (10 * len(queries)) >= 0.9
+
+
+def compared(x, queries):
+    """Recall and the share of a scan that the production parameters compare, on the driver."""
+    forest = [ann.build(x, ann.LEAF, ann.SEED + t) for t in range(ann.TREES)]
+    probes = max(ann.TREES, ann.probes_needed(forest, x, 10))
+    hits = looked = 0
+    for q in queries:
+        leaves, _ = ann.visited(forest, x, x[q], probes, 10)
+        rows = np.concatenate([forest[t].members[p] for t, p in leaves])
+        looked += len(rows)
+        d = np.linalg.norm(x - x[q], axis=1)
+        d[q] = np.inf
+        hits += len(set(rows.tolist()) & set(np.argsort(d)[:10].tolist()))
+    return hits / (10 * len(queries)), looked / (len(x) * len(queries))
+
+
+def test_clustered_vectors_take_a_small_part_of_a_scan():
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(500, 64)) * 3, 100, axis=0) + rng.normal(size=(50_000, 64)) * 0.3
+    recall, share = compared(x, range(0, 50_000, 1000))
+    print("clustered: recall", recall, "share of a scan", share)
+    assert recall >= 0.9 and share <= 0.2
+
+
+def test_vectors_without_clusters_keep_their_recall():
+    x = np.random.default_rng(6).normal(size=(20_000, 64))
+    recall, share = compared(x, range(0, 20_000, 1000))
+    print("without clusters: recall", recall, "share of a scan", share)
+    assert recall >= 0.9
