@@ -5,8 +5,9 @@ look up contexts (the last byte, the last two, four and six, the current word so
 before it), each in a line of sixteen counts for either half of the byte; both halves' predictions are log
 odds. Mixing weights, chosen by bit position and by the kind of the last byte (a gate), combine them in the
 logistic domain, and within a text the mixed log odds are refined: each part of ``CHUNK`` bytes is scaled by
-one Newton step from how well the parts before it were predicted. The sum over bits is the log probability of
-the text.
+one Newton step from how well the parts before it were predicted. Beside its bytes each whole word is predicted by
+its share of all training words, with a weight that follows how well either way did in the text so far. The sum
+is the log probability of the text.
 
 Counts come from all training texts, in tables whose lines grow with the bytes of these texts (the contexts
 of one and two bytes have all the lines they can use). A table travels whole to every worker, so its memory
@@ -32,33 +33,35 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from syllabrook.llm.common import MADE, Packed, add_row_id, drop, give_back, small_batches, stored
+from syllabrook.llm.common import MADE, add_row_id, drop, give_back, powers, small_batches, stored
 
 #: Contexts, and as powers of two the least lines for the first and for the second half of a byte.
 ORDERS = {"last": (8, 14), "two": (16, 17), "four": (17, 18), "six": (17, 18), "word": (18, 19), "pair": (17, 18)}
 BITS = list(ORDERS.values())
 #: Lines of a context that has no more; training bytes (a power of two) from which lines double with the bytes.
-ALL_LINES, GROW_FROM = {"last": (8, 14), "two": (16, 22)}, 28
+ALL_LINES, GROW_FROM = {"last": (8, 14), "two": (16, 20)}, 29
 BLOCK_BITS = 16
 #: Log odds are kept as whole numbers from -127 to 127 of this size.
 STEP = 1 / 16
 #: Bytes of a part that is refined, of a step of the mixing weights and of a round of work; words at hand.
 CHUNK, PIECE, ROUND, FREQUENT = 512, 1 << 14, 1 << 18, 1 << 18
+#: Rows of one matrix product: small enough that it stays on its core.
+ROWS = 512
 #: The longest word at hand; words that a task counts before it sends them; counts of a block that are added in one place.
 AT_HAND, WORDS, ADDED = 64, 250_000, 64
-#: Places that are counted at a time: a cell with half of its range left cannot overflow in between.
-SOME = 1 << 15
+#: Places that are counted at a time, and what a cell can hold.
+SOME, FULL = 1 << 19, (1 << 16) - 1
 #: Bytes that are scored together, so that arrays stay in a core's cache.
 TOGETHER = 1 << 16
 #: No word has white space in it.
 END = b" end"
 PAD = b"\x00" * 8
 MIX = np.uint64(0x9E3779B97F4A7C15)
-#: A factor of the hashes of words and its inverse modulo 2**64.
-BASE = np.uint64(0xD6E8FEB86659FD93)
-UNBASE = np.uint64(pow(int(BASE), -1, 1 << 64))
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[32, *range(9, 14), 0]] = True
+#: How often each sign counts as having followed a word before the first one: the end, white space (fixed values).
+SIGN_FIRST = np.zeros(256)
+SIGN_FIRST[[32, 10, 0, 9, 11, 12, 13]] = (4, 0.5, 0.1, 0.1, 0.1, 0.1, 0.1)
 #: The gate: white space or start, letter (a byte over 127 too), digit, other.
 KIND = np.full(256, 3, dtype=np.int64)
 GATES = 8
@@ -99,8 +102,8 @@ class Layout:
         """Hashes of the whole word so far at each byte of the buffer (0 after white space), and of the word before it in the text."""
         place = np.arange(len(buf), dtype=np.int32)
         blank = BLANK[buf]
-        sums = np.cumsum(np.cumprod(np.full(len(buf), BASE)) * (buf + np.uint64(1)))  # all modulo 2**64
-        back = np.cumprod(np.full(len(buf), UNBASE))
+        up, back = powers(len(buf))  # all modulo 2**64
+        sums = np.cumsum(up * (buf + np.uint64(1)))
         start = np.maximum.accumulate(np.where(blank, place, 0))
         word = (sums - sums[start]) * back[start]
         text = np.zeros(len(buf), dtype=np.int32)
@@ -132,7 +135,7 @@ SIZES = sizes_of(BITS)
 
 def bits_for(size: int) -> list[tuple[int, int]]:
     """The lines of each context for so many training bytes."""
-    more = max(0, (max(size, 1) - 1).bit_length() - GROW_FROM)
+    more = max(0, round(np.log2(max(size, 1))) - GROW_FROM)
     return [tuple(min(b + more, m) for b, m in zip(pair, ALL_LINES.get(name, (60, 60)))) for name, pair in ORDERS.items()]
 
 
@@ -154,45 +157,44 @@ class Model:
         self.tables, self.weights, self.bits = tables, weights, bits
 
     def odds(self, lay: Layout) -> np.ndarray:
-        """(contexts, bytes, 8): log odds in favour of the bits that the text has."""
-        out = np.empty((len(ORDERS), len(lay.byte), 2), dtype=np.uint32)
+        """(contexts, bytes, 8): log odds in favour of the bits that the text has; a byte's lie side by side."""
+        out = np.empty((len(lay.byte), len(ORDERS), 2), dtype=np.uint32)
         for k in range(len(ORDERS)):
-            a, b = lay.cells(k)
-            out[k, :, 0], out[k, :, 1] = self.tables[k][0][a], self.tables[k][1][b]
-        return out.view(np.int8).reshape(len(ORDERS), len(lay.byte), 8)
+            for half, at in enumerate(lay.cells(k)):
+                out[:, k, half] = self.tables[k][half][at]
+        return out.view(np.int8).reshape(len(lay.byte), len(ORDERS), 8).transpose(1, 0, 2)
 
-    def log10(self, texts: list[bytes]) -> np.ndarray:
-        """The log10 probability of each text."""
+    def log10(self, texts: list[bytes], words: list[np.ndarray] | None = None) -> np.ndarray:
+        """The log10 probability of each text; ``words`` holds the share that each of its words has of all words, 0 if it is not at hand."""
         out, i = np.zeros(len(texts)), 0
         while i < len(texts):
             j, size = i + 1, len(texts[i])
             while j < len(texts) and size + len(texts[j]) < TOGETHER:
                 size += len(texts[j])
                 j += 1
-            out[i:j] = self._log10(texts[i:j])
+            out[i:j] = self._log10(texts[i:j], words[i:j] if words is not None else None)
             i = j
         return out
 
-    def _log10(self, texts: list[bytes]) -> np.ndarray:
+    def _log10(self, texts: list[bytes], words: list[np.ndarray] | None) -> np.ndarray:
         lay = Layout(texts, self.bits)
         odds = self.odds(lay)
         z = self.mixed(odds, gates(lay, odds))
         # One Newton step for the scale of each part from all parts before it.
-        y = z.reshape(-1, 8)
-        q = 1 / (1 + np.exp(y))
+        q = 1 / (1 + np.exp(z))
         parts = -(-lay.size // CHUNK)
         own = np.repeat(np.arange(len(parts)), parts)
         begin = np.cumsum(parts) - parts
         cut = lay.first[own] + (np.arange(len(own)) - begin[own]) * CHUNK
         end = np.minimum(cut + CHUNK, (lay.first + lay.size)[own])
-        ends = np.stack((cut, np.minimum(end, len(y) - 1)), axis=1).reshape(-1)
-        q *= y
-        slope = np.add.reduceat(q.sum(axis=1), ends)[::2].astype(np.float64)
-        q *= y - q
-        bend = np.add.reduceat(q.sum(axis=1), ends)[::2].astype(np.float64)
+        ends = 8 * np.stack((cut, np.minimum(end, len(lay.byte) - 1)), axis=1).reshape(-1)
+        q *= z
+        slope = np.add.reduceat(q, ends)[::2].astype(np.float64)
+        q *= z - q
+        bend = np.add.reduceat(q, ends)[::2].astype(np.float64)
         total = lambda x: (c := np.cumsum(x) - x) - c[begin[own]]
         scale = np.clip(1 + total(slope) / (total(bend) + 50.0), 0.5, 2.0).astype(np.float32)
-        z *= np.repeat(scale, 8 * np.diff(np.append(cut, len(y))))
+        z *= np.repeat(scale, 8 * np.diff(np.append(cut, len(lay.byte))))
         # 1 / p of each bit; four of them stay within the range of a float.
         np.clip(z, -20, 20, out=z)
         np.exp(np.negative(z, out=z), out=z)
@@ -201,30 +203,87 @@ class Model:
         z = np.log(z[::2] * z[1::2])
         cost = np.append((z[::2] + z[1::2]).astype(np.float64), 0.0)
         bounds = np.stack((lay.first, lay.first + lay.size), axis=1).reshape(-1)
-        return -np.add.reduceat(cost, bounds)[::2] / np.log(10)
+        total = -np.add.reduceat(cost, bounds)[::2]
+        return (total + by_words(lay, cost, words) if words is not None else total) / np.log(10)
 
     def mixed(self, odds: np.ndarray, gate: np.ndarray) -> np.ndarray:
         """The weighted log odds of all bits in a row."""
         return mixed(odds, gate, self.weights).reshape(-1)
 
 
+def by_words(lay: Layout, cost: np.ndarray, shares: list[np.ndarray]) -> np.ndarray:
+    """What each text gains, as a natural logarithm, where whole words are predicted by their share of all words beside their bytes.
+
+    Both ways predict a word with the sign after it. Their weights follow from the words of the text so far, as does
+    the share of each such sign in the second way; a word that is not at hand has its bytes alone.
+    """
+    blank = BLANK[lay.byte]
+    start, end = np.flatnonzero(~blank[1:] & blank[:-1]) + 1, np.flatnonzero(blank[1:] & ~blank[:-1]) + 1
+    if len(lay.byte) and not blank[0]:
+        start = np.concatenate(([0], start))
+    n = np.array([len(x) for x in shares], dtype=np.int64)
+    first = np.cumsum(n) - n
+    if not n.sum():
+        return np.zeros(len(n))
+    share = np.concatenate(shares)
+    text = np.repeat(np.arange(len(n)), n)
+    before = np.arange(len(share)) - first[text]
+    # The sign after the word: how often it has followed words of this text, and all signs.
+    sign = lay.byte[end].astype(np.int64)
+    order = np.argsort(text * 256 + sign, kind="stable")
+    key = (text * 256 + sign)[order]
+    run = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    seen = np.empty(len(share), dtype=np.int64)
+    seen[order] = np.arange(len(share)) - np.repeat(run, np.diff(np.append(run, len(share))))
+    follows = (seen + SIGN_FIRST[sign]) / (before + SIGN_FIRST.sum())
+    sums = np.concatenate(([0.0], np.cumsum(cost)))
+    bytes_ = sums[end + 1] - sums[start]
+    with np.errstate(divide="ignore"):
+        better = np.minimum(bytes_ + np.log(share) + np.log(follows), 500.0)  # minus infinity without the word
+    weight = np.full(len(share), 0.5)
+    for _ in range(3):  # each from what came before alone
+        likely = 1 / (1 + (1 / weight - 1) * np.exp(-better))
+        so_far = np.cumsum(likely) - likely
+        weight = (so_far - so_far[first[text]] + 0.5) / (before + 2)
+    return np.bincount(text, weights=np.log(1 - weight + weight * np.exp(better)), minlength=len(n))
+
+
 def gates(lay: Layout, odds: np.ndarray) -> np.ndarray:
     """The set of weights for each byte: the kind of the last byte, and whether the word so far is known."""
     return KIND[lay.last] + 4 * (odds[WORD_SO_FAR][:, 0] == 0)
 
 
+def sorted_by_gate(odds: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]], np.ndarray]:
+    """The places in the order of their gates, the run of each gate, and the log odds in that order, a row for each place."""
+    order = np.argsort(gate.astype(np.int8), kind="stable")
+    ends = np.cumsum(np.bincount(gate, minlength=GATES + 1))
+    runs = [(g, slice(int(b - n), int(b))) for g, (b, n) in enumerate(zip(ends, np.diff(ends, prepend=0))) if n]
+    flat = odds.transpose(1, 0, 2).reshape(len(gate), -1)
+    return order, runs, flat[order].astype(np.float32)
+
+
+def matrices(weights: np.ndarray) -> np.ndarray:
+    """(gates, contexts x 8, 8): a matrix that weighs each bit's log odds, and leaves out those of other bits."""
+    out = np.zeros((len(weights), weights.shape[1], 8, 8), dtype=np.float32)
+    bit = np.arange(8)
+    out[:, :, bit, bit] = weights
+    return out.reshape(len(weights), -1, 8)
+
+
+def product(rows: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    whole = len(rows) // ROWS * ROWS
+    out = np.empty((len(rows), matrix.shape[1]), dtype=np.float32)
+    np.matmul(rows[:whole].reshape(-1, ROWS, rows.shape[1]), matrix, out=out[:whole].reshape(-1, ROWS, matrix.shape[1]))
+    np.matmul(rows[whole:], matrix, out=out[whole:])
+    return out
+
+
 def mixed(odds: np.ndarray, gate: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """(bytes, 8): the weighted log odds, kept within what floats can tell from 0 and 1."""
-    z = np.zeros(odds.shape[1:], dtype=np.float32)
-    most = int(np.bincount(gate, minlength=1).argmax()) if len(gate) else 0
-    for k in range(len(ORDERS)):  # all rows as the commonest gate has it, then the others anew
-        part = odds[k].astype(np.float32)
-        part *= weights[most, k]
-        z += part
-    for g in range(weights.shape[0]):
-        rows = np.flatnonzero(gate == g) if g != most else []
-        if len(rows):
-            z[rows] = sum(odds[k][rows].astype(np.float32) * weights[g, k] for k in range(len(ORDERS)))
+    order, runs, rows = sorted_by_gate(odds, gate)
+    z, by_gate = np.empty((len(gate), 8), dtype=np.float32), matrices(weights)
+    for g, run in runs:
+        z[order[run]] = product(rows[run], by_gate[min(g, len(by_gate) - 1)])
     return np.clip(z, -40, 40, out=z)
 
 
@@ -239,12 +298,16 @@ def step(model: Model, texts: list[bytes], rate: float) -> np.ndarray:
     gate = gates(lay, odds)
     gate[lay.between()] = GATES  # not part of a text
     n = np.bincount(gate, minlength=GATES + 1)[:GATES]
-    error = 1 / (1 + np.exp(mixed(odds, np.minimum(gate, GATES - 1), model.weights)))
-    for g in np.flatnonzero(n):
-        rows = np.flatnonzero(gate == g)
-        wrong = error[rows]
-        slope = np.stack([np.einsum("nb,nb->b", wrong, odds[k][rows].astype(np.float32)) for k in range(len(ORDERS))])
-        model.weights[g] += (rate * STEP * STEP / np.sqrt(len(rows) * 64.0) * slope).astype(np.float32)
+    _, runs, rows = sorted_by_gate(odds, gate)
+    by_gate, bit = matrices(model.weights), np.arange(8)
+    for g, run in runs:
+        if g == GATES:
+            continue
+        own = rows[run]
+        error = 1 / (1 + np.exp(np.clip(product(own, by_gate[g]), -40, 40)))
+        slope = sum(own[i : i + ROWS].T @ error[i : i + ROWS] for i in range(0, len(own), ROWS))
+        slope = slope.reshape(len(ORDERS), 8, 8)[:, bit, bit]
+        model.weights[g] += (rate * STEP * STEP / np.sqrt(len(own) * 64.0) * slope).astype(np.float32)
     return n
 
 
@@ -257,13 +320,12 @@ def fit_weights(tables: list[list[np.ndarray]], texts: list[bytes], bits: list[t
     return model.weights
 
 
-def _fit(texts: DataFrame, tables: list[list[np.ndarray]], bits: list[tuple[int, int]]) -> DataFrame:
+def _fit(texts: DataFrame, tables: "Sent | list[list[np.ndarray]]", bits: list[tuple[int, int]]) -> DataFrame:
     """(g, i, n, w): each partition's weights after an online pass over all its texts, and the bytes that each gate has seen."""
-    sent = texts.sparkSession.sparkContext.broadcast(Packed([t for pair in tables for t in pair]))
+    sent = texts.sparkSession.sparkContext.broadcast(tables if isinstance(tables, Sent) else Sent(tables))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        arrays = sent.value.arrays
-        model = Model(list(zip(arrays[::2], arrays[1::2], strict=True)), first_weights(), bits)
+        model = Model(sent.value.tables(), first_weights(), bits)
         seen, waiting, size, steps = np.zeros(GATES, dtype=np.int64), [], 0, 0
 
         def learn() -> None:
@@ -319,18 +381,29 @@ def _learn(train: DataFrame, bits: list[tuple[int, int]]) -> DataFrame:
         words: Counter = Counter()
         cells = [np.zeros(s + 1, dtype=np.uint16) for pair in sizes for s in pair]
         full: list[dict[int, int]] = [{} for _ in cells]  # what the cells could not hold
+        places: list[list[np.ndarray]] = [[] for _ in cells]
         waiting: list[bytes] = []
-        size = 0
+        size = held = 0
 
         def add() -> None:
+            nonlocal held
             if waiting:
                 lay = Layout(waiting, bits)
                 gaps = lay.between()
                 for k in range(len(ORDERS)):
                     for half, at in enumerate(lay.cells(k)):
                         at[gaps] = sizes[k][half]  # a cell beyond the others
-                        _add_up(cells[2 * k + half], at, full[2 * k + half])
+                        places[2 * k + half].append(at.astype(np.int32) if sizes[k][half] < 1 << 31 else at)
                 waiting.clear()
+                held += len(lay.byte)
+
+        def count_places() -> None:
+            nonlocal held
+            for c, at, more in zip(cells, places, full, strict=True):
+                if at:
+                    _add_up(c, np.concatenate(at), more)
+                at.clear()
+            held = 0
 
         def spill() -> pd.DataFrame:
             out = pd.DataFrame({"kind": -1, "word": list(words.keys()), "n": list(words.values()), "x": None})
@@ -347,9 +420,12 @@ def _learn(train: DataFrame, bits: list[tuple[int, int]]) -> DataFrame:
                 if size > ROUND:
                     add()
                     size = 0
+                if held > SOME:
+                    count_places()
             if len(words) > WORDS:
                 yield spill()
         add()
+        count_places()
         yield spill()
         for k, (c, more) in enumerate(zip(cells, full, strict=True)):
             more_at = np.array(sorted(more), dtype=np.int64)
@@ -366,13 +442,15 @@ def _learn(train: DataFrame, bits: list[tuple[int, int]]) -> DataFrame:
 
 
 def _add_up(cells: np.ndarray, at: np.ndarray, full: dict[int, int]) -> None:
-    """One more for each place; cells over half their range are emptied into ``full``."""
-    for i in range(0, len(at), SOME):
-        some = at[i : i + SOME]
-        np.add.at(cells, some, np.uint16(1))
-        for k in np.unique(some[cells[some] >= SOME]).tolist():
-            full[k] = full.get(k, 0) + int(cells[k])
-            cells[k] = 0
+    """One more for each place, from the first cell to the last; what a cell cannot hold goes to ``full``."""
+    at.sort()
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(at)), dtype=bool), at[1:] != at[:-1])))
+    k = at[first]
+    n = cells[k] + np.diff(np.append(first, len(at)))
+    for i in np.flatnonzero(n > FULL).tolist():
+        full[int(k[i])] = full.get(int(k[i]), 0) + int(n[i])
+        n[i] = 0
+    cells[k] = n.astype(cells.dtype)
 
 
 def _sent(at: np.ndarray, n: np.ndarray) -> bytes:
@@ -418,13 +496,27 @@ def _add(at: tuple, df: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"kind": [at[0]], "fold0": odds[:1], "fold1": odds[1:2], "both": odds[2:]})
 
 
-def _tables(blocks: DataFrame, which: str, bits: list[tuple[int, int]]) -> list[list[np.ndarray]]:
-    tables = [[np.zeros(s, dtype=np.uint32) for s in pair] for pair in sizes_of(bits)]
-    for r in blocks.select("kind", which).toLocalIterator():
-        k, b = divmod(r["kind"], 1 << 40)
-        part = tables[k // 2][k % 2][b << BLOCK_BITS : (b + 1) << BLOCK_BITS]
-        part[:] = np.frombuffer(zlib.decompress(r[which]), dtype=np.uint32)[: len(part)]
-    return tables
+class Sent:
+    """Tables that travel as compressed blocks and are unpacked where they are used."""
+
+    def __init__(self, tables: list[list[np.ndarray]] | None = None, blocks: list[tuple[int, bytes]] | None = None, bits: list[tuple[int, int]] = BITS) -> None:
+        self.unpacked, self.blocks, self.bits = tables, blocks, bits
+
+    def tables(self) -> list[list[np.ndarray]]:
+        if self.unpacked is None:
+            out = [[np.zeros(s, dtype=np.uint32) for s in pair] for pair in sizes_of(self.bits)]
+            while self.blocks:
+                kind, x = self.blocks.pop()
+                k, b = divmod(kind, 1 << 40)
+                part = out[k // 2][k % 2][b << BLOCK_BITS : (b + 1) << BLOCK_BITS]
+                part[:] = np.frombuffer(zlib.decompress(x), dtype=np.uint32)[: len(part)]
+            self.unpacked = out
+        return self.unpacked
+
+
+def _tables(blocks: DataFrame, which: str, bits: list[tuple[int, int]]) -> Sent:
+    """The blocks of one kind of table; only their compressed form passes through the driver."""
+    return Sent(blocks=[(r["kind"], bytes(r[which])) for r in blocks.select("kind", which).toLocalIterator()], bits=bits)
 
 
 def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", frequent: int = FREQUENT, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -447,26 +539,25 @@ def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
     drop(spark, done_with)
     fits = [_fit(folds[1 - f], _tables(blocks, f"fold{f}", bits), bits) for f in (0, 1)]
     weights = _averaged(fits[0].unionByName(fits[1]))
-    tables = _tables(blocks, "both", bits)
-    tables = Packed([t for pair in tables for t in pair])
-    model = spark.sparkContext.broadcast((tables, weights))
+    model = spark.sparkContext.broadcast((_tables(blocks, "both", bits), weights))
     space = float(total + kinds + 1)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        get, (arrays, w) = top.value.get, model.value
-        scorer = Model(list(zip(arrays.arrays[::2], arrays.arrays[1::2], strict=True)), w, bits)
+        get, (sent, w) = top.value.get, model.value
+        scorer = Model(sent.tables(), w, bits)
         for some in batches:
             texts = [_bytes(t) for t in some]
-            out = []
+            out, shares = [], []
             for t in texts:
                 w = t.split()
                 w.append(END)
                 c = np.array([get(x, -1) for x in w], dtype=np.int64)
                 known = c >= 0
+                shares.append(np.maximum(c[:-1], 0) / max(total, 1))
                 rare = Counter(w[i] for i in np.flatnonzero(~known))
                 out.append((len(t), len(w), int((c > 0).sum()), float(np.log10((c[known] + 1) / space).sum()), list(rare.keys()), list(rare.values())))
             out = pd.DataFrame(out, columns=["n_bytes", "n_tokens", "n_known", "base_score", "rare", "times"])
-            out["score"] = scorer.log10([escaped(t) for t in texts]) if texts else []
+            out["score"] = scorer.log10([escaped(t) for t in texts], shares) if texts else []
             yield out
         give_back()
 
