@@ -95,7 +95,7 @@ TELLING = re.compile(r"\d|^(mit|apache|gnu|mozilla|mpl|lesser|affero|library|cc|
 TELLING_SHORT, SHORT = re.compile(TELLING.pattern + "|^(all|reserved|redistribution)$"), 40
 #: Words of a window and from one to the next, the least bytes saved, the share of the best saving that counts as
 #: equal to it, the share of words that may differ, and the level, which looks for short matches too.
-WINDOW, STRIDE, LEAST_SAVED, EQUAL, MOST_CHANGED, LEVEL = 28, 12, 5, 0.8, 0.2, 12
+WINDOW, STRIDE, LEAST_SAVED, EQUAL, MOST_CHANGED, LEVEL = 28, 12, 4, 0.8, 0.2, 12
 
 
 @dataclass(frozen=True)
@@ -145,42 +145,55 @@ def _compressors() -> tuple:
     return zstandard.ZstdCompressor(level=LEVEL), _with_dictionary(" ".join(t for _, t in TEMPLATES).lower().encode())
 
 
-def align(template: list[str], block: list[str]) -> tuple[int, int, int, set[int]]:
-    """Fewest differences of the template to any run of the block's words: differences, run, template words kept."""
+#: What it costs to lose a word that tells licenses apart: more than any text has words.
+LOST = 1 << 24
+
+
+def align(template: list[str], block: list[str], telling: tuple[int, ...] = ()) -> tuple[int, int, int]:
+    """Fewest differences of the template to any run of the block's words that keeps its telling words: differences, run."""
     number = {w: k for k, w in enumerate(template)}
     b = np.array([number.get(w, -1) for w in block], dtype=np.int32)
-    t = np.array([number[w] for w in template], dtype=np.int32)
     place = np.arange(len(block) + 1, dtype=np.int32)
     table = np.zeros((len(template) + 1, len(block) + 1), dtype=np.int32)
-    for i, w in enumerate(t):
+    cost = np.ones(len(template), dtype=np.int32)
+    cost[list(telling)] = LOST // max(1, len(template))
+    for i, w in enumerate(template):
         row = table[i + 1]
-        row[0] = i + 1
-        np.minimum(table[i, :-1] + (b != w), table[i, 1:] + 1, out=row[1:])
+        row[0] = table[i, 0] + cost[i]
+        np.minimum(table[i, :-1] + np.where(b != number[w], cost[i], 0), table[i, 1:] + cost[i], out=row[1:])
         row[:] = np.minimum.accumulate(row - place) + place  # words that are put in
     end = int(np.argmin(table[-1]))
-    kept, i, j = set(), len(template), end
+    i, j = len(template), end
     while i and j:
         here = table[i, j]
-        if b[j - 1] == t[i - 1] and here == table[i - 1, j - 1]:
-            kept.add(i - 1)
-            i, j = i - 1, j - 1
-        elif here == table[i - 1, j - 1] + 1:
+        if here == table[i - 1, j - 1] + (0 if b[j - 1] == number[template[i - 1]] else cost[i - 1]):
             i, j = i - 1, j - 1
-        elif here == table[i - 1, j] + 1:
+        elif here == table[i - 1, j] + cost[i - 1]:
             i -= 1
         else:
             j -= 1
-    return int(table[-1, end]), j, end, kept
+    return int(table[-1, end]), j, end
+
+
+def possible(template: Template, there: set[str]) -> bool:
+    """Whether few enough words of the template are missing; each missing one is a difference in any alignment."""
+    words, missing, most = template.words, 0, MOST_CHANGED * len(template.words)
+    if any(words[k] not in there for k in template.telling):
+        return False
+    for w in words:
+        if w not in there:
+            missing += 1
+            if missing > most:
+                return False
+    return True
 
 
 def confirm(template: Template, block: list[str]) -> tuple[int, int, int] | None:
     """Differences and run, if the wording is the template's."""
-    if len(block) < len(template.words) * (1 - MOST_CHANGED):
-        return None
-    differences, start, end, kept = align(template.words, block)
-    if end <= start or differences > MOST_CHANGED * len(template.words) or any(k not in kept for k in template.telling):
+    if not possible(template, set(block)):
         return None
-    return differences, start, end
+    differences, start, end = align(template.words, block, tuple(template.telling))
+    return (differences, start, end) if end > start and differences <= MOST_CHANGED * len(template.words) else None
 
 
 class Scan:
@@ -200,9 +213,20 @@ class Scan:
     def run(self) -> "Scan":
         n = len(self.start)
         for a in range(0, max(1, n - WINDOW + STRIDE), STRIDE) if n else ():
-            self.look(a, min(a + WINDOW, n))
+            b = min(a + WINDOW, n)
+            if self.saves(a, b) >= LEAST_SAVED:  # what is taken only takes from it
+                self.look(a, b)
         return self
 
+    def raw(self, a: int, b: int) -> bytes:
+        return self.text[self.start[a] : self.end[b - 1]].lower().replace("\n", " ").encode("utf-8", "replace")
+
+    def saves(self, a: int, b: int) -> int:
+        """The bytes that all templates together save of words a to b."""
+        own, joint = _compressors()
+        raw = self.raw(a, b)
+        return len(own.compress(raw)) - len(joint.compress(raw))
+
     def look(self, a: int, b: int) -> None:
         """Finds in a window, until nothing that is left of it is worth a comparison."""
         todo = [(a, b)]
@@ -218,21 +242,37 @@ class Scan:
                 todo.append((a, b))
 
     def best(self, a: int, b: int) -> tuple[Find, int, int] | None:
-        """The first of the ranked templates whose wording holds at or around words a to b."""
-        own, joint = _compressors()
-        raw = self.text[self.start[a] : self.end[b - 1]].lower().replace("\n", " ").encode("utf-8", "replace")
-        alone = len(own.compress(raw))
-        if alone - len(joint.compress(raw)) < LEAST_SAVED:
+        """The first of the ranked templates whose wording holds at or around words a to b.
+
+        A window may only touch a notice, so what it found is ranked anew with the words around the find, as long as that
+        gives a longer one.
+        """
+        if self.saves(a, b) < LEAST_SAVED:
             return None
         self.blocks += 1
+        found = self.first(a, b)
+        while found and (wider := self.first(*self.around(found[1], found[2], WINDOW))) and wider[2] - wider[1] > found[2] - found[1]:
+            found = wider
+        return found
+
+    def first(self, a: int, b: int) -> tuple[Find, int, int] | None:
+        raw = self.raw(a, b)
+        alone = len(_compressors()[0].compress(raw))
         saved = [(alone - len(t.compressor.compress(raw)), t) for t in _templates()]
         top = max(n for n, _ in saved)
         ranked = sorted((x for x in saved if x[0] >= LEAST_SAVED), key=lambda x: -min(x[0], EQUAL * top))
+        near = set(self.words(*self.around(a, b, len(_templates()[0].words)))) if ranked else set()
         for _, t in ranked:
+            if not possible(t, near):
+                continue
             left, right = self.around(a, b, len(t.words))
-            if place := confirm(t, self.words(left, right)):
-                d, i, j = place
-                return Find(t.license, int(self.start[left + i]), int(self.end[left + j - 1]), d), left + i, left + j
+            place = None
+            while found := confirm(t, self.words(left, right)):
+                d, i, j = found[0], left + found[1], left + found[2]
+                if place == (d, i, j):
+                    return Find(t.license, int(self.start[i]), int(self.end[j - 1]), d), i, j
+                place = d, i, j  # once more where nothing of it can lie outside
+                left, right = self.around(i, j, len(t.words))
         return None
 
     def around(self, a: int, b: int, reach: int) -> tuple[int, int]:

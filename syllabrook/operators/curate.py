@@ -15,17 +15,22 @@ def not_seen(df: DataFrame, known: DataFrame, key: str) -> DataFrame:
 
 
 def first_seen(df: DataFrame, key: str, order: list[str], what: str) -> DataFrame:
-    """Adds ``original``: ``what`` of the first row with the same key, and ``is_duplicate``."""
-    w = W.partitionBy(key).orderBy(*order)
-    df = df.withColumn("original", F.first(what).over(w))
-    return df.withColumn("is_duplicate", F.row_number().over(w) > 1)
+    """Adds ``original``: ``what`` of the first row with the same key, and ``is_duplicate``; the order has to be total.
+
+    The first of each key is found before rows are shuffled, and a join splits keys that many rows share; a window would
+    sort all of them in one task.
+    """
+    first = df.groupBy(key).agg(F.min_by(what, F.struct(*order)).alias("original"), F.min(F.struct(*order)).alias("__first"))
+    out = df.withColumn("__k", F.col(key)).join(first.withColumnRenamed(key, "__key"), F.col("__k").eqNullSafe(F.col("__key")), "left")
+    return out.withColumn("is_duplicate", F.struct(*order) != F.col("__first")).drop("__k", "__key", "__first")
 
 
 def same_length(df: DataFrame, group: list[str], text: str, key: str, more_than: int) -> DataFrame:
     """Texts as long as one with a smaller key in their group, above a length: (key, length, first_key)."""
     n = F.length(text)
     rows = df.filter(n > more_than).select(*group, key, n.alias("length"))
-    return rows.withColumn("first_key", F.min(key).over(W.partitionBy(*group, "length"))).filter(F.col("first_key") < F.col(key))
+    first = rows.groupBy(*group, "length").agg(F.min(key).alias("first_key"))
+    return rows.join(first, [*group, "length"]).filter(F.col("first_key") < F.col(key))
 
 
 def twins(df: DataFrame, name: str, kept: str, dropped: str) -> DataFrame:

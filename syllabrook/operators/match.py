@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,12 +12,16 @@ from syllabrook.functions.text import tokens
 from syllabrook.functions.values import cosine, l2
 
 #: Rows of the smaller side up to which it is sent to every task; beyond it both sides are shuffled by token.
-SMALL = 200_000
+SMALL, SMALL_BYTES = 200_000, 64 << 20
+#: Queries that meet all rows at a time.
+BLOCK = 10_000
 
 
-def small(df: DataFrame, most: int = SMALL) -> DataFrame:
-    """Marked for broadcasting only if it is proven to be small."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def small(df: DataFrame, most: int = SMALL, most_bytes: int = SMALL_BYTES) -> DataFrame:
+    """Marked for broadcasting only if its rows and their bytes are proven to be few."""
+    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    n, b = df.limit(most + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if n <= most and b <= most_bytes else df
 
 
 def overlaps(texts: DataFrame, key: str, text: str, targets: DataFrame, target_key: str, target_text: str) -> DataFrame:
@@ -55,9 +61,15 @@ def jaccard(texts: DataFrame, key: str, text: str, targets: DataFrame, target_ke
 
 
 def nearest(queries: DataFrame, rows: DataFrame, k: int, on: Column | None = None, measure: str = "l2") -> DataFrame:
-    """Each query (q_id, q_vec) with its k nearest of (id, vec), by distance and id; the queries must be few (checked)."""
+    """Each query (q_id, q_vec) with its k nearest of (id, vec), by distance and id.
+
+    Queries are a stated set that meets all rows (or those that ``on`` allows) in blocks of ``BLOCK``; only the k best of
+    a task leave it.
+    """
     distance = l2(F.col("q_vec"), F.col("vec")) if measure == "l2" else -cosine(F.col("q_vec"), F.col("vec"))
-    pairs = rows.join(small(queries, 10_000), on if on is not None else F.lit(True))
+    blocks = max(1, -(-queries.count() // BLOCK))
+    parts = [queries.filter(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == b) if blocks > 1 else queries for b in range(blocks)]
+    pairs = reduce(DataFrame.unionByName, [rows.join(F.broadcast(q), on if on is not None else F.lit(True)) for q in parts])
     pairs = pairs.withColumn("distance", F.round(distance, 6))
     return pairs.withColumn("rank", F.row_number().over(W.partitionBy("q_id").orderBy("distance", "id"))).filter(F.col("rank") <= k)
 

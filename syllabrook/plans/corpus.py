@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from syllabrook.functions import parsing, text, values
-from syllabrook.operators import curate, lines, match
+from syllabrook.operators import curate, lines, lookup, match
 from syllabrook.plans.registry import query
 from syllabrook.session import table
+from syllabrook.sources import records
 
 STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
 TOKENS = f"list_distinct(list_filter(regexp_extract_all(lower(coalesce({{c}}, '')), '[a-z]+'), lambda w: length(w) > 2 and not list_contains([{STOP}], w)))"
@@ -333,6 +334,40 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ls.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.max(F.length("line")).cast("long").alias("longest"), F.count_distinct("line").alias("different"))
 
 
+@query(f"""
+with o as (select item_id, text, left(lead(text) over (order by item_id), 40) title from benchmark), c as (select doc_id, text from documents),
+a as (select doc_id, unnest({TOKENS.format(c='text')}) token from c), b1 as (select item_id, unnest({TOKENS.format(c='text')}) token from o), b2 as (select item_id, unnest({TOKENS.format(c="concat_ws(' ', text, title)")}) token from o),
+s as (select doc_id, item_id, count(*) score, 1 tier from a join b1 using (token) group by all union all select doc_id, item_id, count(*), 2 from a join b2 using (token) group by 1, 2
+  union all select doc_id, item_id, count(*), 0 from a join b2 using (token) where (doc_id + item_id) % 13 = 0 group by 1, 2)
+select doc_id, item_id::varchar target, score, tier from s where score >= 5 qualify row_number() over (partition by doc_id order by tier, score desc, item_id::varchar) = 1
+""")
+def preferred_bind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Preferred objectives first, then statements, then statements with their title."""
+    from pyspark.sql import Window as W
+
+    b = table(spark, sf_dir, "benchmark")
+    o = b.select(F.col("item_id").cast("string").alias("objective_id"), F.col("text").alias("content_stmt"), F.substring(F.lead("text").over(W.orderBy("item_id")), 1, 40).alias("title"))
+    d = table(spark, sf_dir, "documents")
+    preferred = d.select("doc_id").join(b.select("item_id"), F.pmod(F.col("doc_id") + F.col("item_id"), F.lit(13)) == 0).select("doc_id", F.col("item_id").cast("string").alias("objective_id"))
+    return lookup.best_objective(d, "doc_id", "text", o, preferred, least=5)
+
+
+@query(f"""
+with o as (select item_id, text from benchmark), w as (select doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) t from documents where lang = 'fr'),
+c as (select doc_id, i::int chunk_seq, trim(substr(t, (i * 400 + 1)::int, 500), ' ' || chr(9) || chr(10) || chr(13)) body from w, range(400) r(i) where i = 0 or i * 400 < length(t) - 100),
+a as (select doc_id, chunk_seq, unnest({TOKENS.format(c='body')}) token from c where body <> ''), b as (select item_id, unnest({TOKENS.format(c='text')}) token from o),
+s as (select doc_id, chunk_seq, item_id::varchar item_id, count(*) n from a join b using (token) group by all having count(*) >= 2 qualify row_number() over (partition by doc_id, chunk_seq order by n desc, item_id::varchar) = 1)
+select doc_id::varchar source_file, c.chunk_seq, coalesce(item_id, 'REVIEW') objective_id, case when item_id is null then 'review' else 'medium' end confidence, case when item_id is null then 'no_objective_match_via_keywords' end review_reason
+from c left join s using (doc_id, chunk_seq) where body <> ''
+""")
+def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of French documents bound to English statements, most of them for review."""
+    d = table(spark, sf_dir, "documents").filter("lang = 'fr'").select(F.col("doc_id").cast("string").alias("path"), F.lit(1).alias("page"), text.strip(F.col("text")).alias("body"))
+    o = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("objective_id"), F.col("text").alias("content_stmt"), F.lit(None).cast("string").alias("title"))
+    r = records.page_records(d, o, "generic_pdf", F.lit("notes"))
+    return r.select("source_file", "chunk_seq", "objective_id", "confidence", "review_reason")
+
+
 @query()
 def paragraph_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.pack_paragraphs(F.regexp_replace("text", "\n", "\n\n"))).alias("position", "chunk"))

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from syllabrook.functions import parsing, text
 from syllabrook.functions.values import options_map
+from syllabrook.operators.match import small
 
 #: What every adapter returns: one unit of content.
 RECORD = "source_file STRING, family STRING, kind STRING, page INT, position INT, body STRING, objective_id STRING, reason STRING"
@@ -63,11 +64,10 @@ def mime(path: Column) -> Column:
     return ordered(MIME, F.lower(F.element_at(F.split(path, r"\."), -1)), lambda c, e: c == e, "application/octet-stream")
 
 
-def hashed(spark: SparkSession, files: DataFrame, known: DataFrame) -> DataFrame:
-    """(path, content_hash) of files whose content is not known, one path for each content."""
-    content = spark.read.format("binaryFile").load([r["path"] for r in files.select("path").toLocalIterator()])
-    h = content.select("path", F.sha2("content", 256).alias("content_hash"))
-    return h.join(known.select("content_hash"), "content_hash", "left_anti").groupBy("content_hash").agg(F.min("path").alias("path"))
+def hashed(spark: SparkSession, roots: list[str], known: DataFrame, glob: str = "*") -> DataFrame:
+    """(path, content_hash) of files below the roots whose content is not known, one path for each content."""
+    parts = [spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(r).select("path", F.sha2("content", 256).alias("content_hash")) for r in roots]
+    return reduce(DataFrame.unionByName, parts).join(known.select("content_hash"), "content_hash", "left_anti").groupBy("content_hash").agg(F.min("path").alias("path"))
 
 
 def csv(spark: SparkSession, path: str, required: tuple[str, ...]) -> DataFrame:
@@ -120,9 +120,9 @@ def topic_map(spark: SparkSession, config: dict[str, dict]) -> DataFrame:
 
 
 def bind_topics(questions: DataFrame, topics: DataFrame, sentinel: str = "UNMAPPED") -> DataFrame:
-    """Adds objective_id: that of the subtopic, else of the topic, else the sentinel. The map is configuration of bounded size."""
-    close = F.broadcast(topics.filter("tier = 0").select("topic", "subtopic", F.col("objective_id").alias("__a")))
-    wide = F.broadcast(topics.filter("tier = 1").select("topic", F.col("objective_id").alias("__b")))
+    """Adds objective_id: that of the subtopic, else of the topic, else the sentinel."""
+    close = small(topics.filter("tier = 0").select("topic", "subtopic", F.col("objective_id").alias("__a")))
+    wide = small(topics.filter("tier = 1").select("topic", F.col("objective_id").alias("__b")))
     q = questions.join(close, ["topic", "subtopic"], "left").join(wide, "topic", "left")
     return q.withColumn("objective_id", F.coalesce("__a", "__b", F.lit(sentinel))).drop("__a", "__b")
 

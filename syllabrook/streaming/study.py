@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -41,17 +41,41 @@ def leitner_stream(events: DataFrame, key: str = "user_id") -> DataFrame:
     return e.groupBy("key").applyInPandasWithState(step, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def replay(spark: SparkSession, folder: str, sink: str, checkpoint: str, schema: str, files_at_a_time: int = 1) -> None:
+MASTERY, MET = "met int, day date", "key long, met_count int, status string, updated_at timestamp"
+STATUS = ("unmet", "met_once", "mastered")
+
+
+def meet(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Folds new events of one key: a pass on another day counts once more, two at most; a fail starts again."""
+    met, day = state.get if state.exists else (0, None)
+    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+    for ts, value in zip(rows["ts"], rows["value"], strict=True):
+        if value < PASS:
+            met, day = 0, None
+        elif day != ts.date():
+            met, day = min(met + 1, 2), ts.date()
+    state.update((met, day))
+    yield pd.DataFrame({"key": [key[0]], "met_count": [met], "status": [STATUS[met]], "updated_at": [rows["ts"].iat[-1]]})
+
+
+def mastery_stream(events: DataFrame, key: str = "user_id") -> DataFrame:
+    """The mastery after each micro-batch of every key that it touches (update mode); the twin of ``schedule.mastery``."""
+    e = events.select(F.col(key).cast("long").alias("key"), "event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    return e.groupBy("key").applyInPandasWithState(meet, MET, MASTERY, "update", GroupStateTimeout.NoTimeout)
+
+
+def replay(spark: SparkSession, folder: str, sink: str, checkpoint: str, schema: str, files_at_a_time: int = 1, state: Callable[[DataFrame], DataFrame] = leitner_stream) -> None:
     """Runs all files of a folder through the stream, a few at a time, into a Parquet sink of updates with their batch."""
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_a_time).parquet(folder)
     write = lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("append").parquet(sink)
-    q = leitner_stream(source).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
+    q = state(source).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
     q.awaitTermination()
 
 
 def current(updates: DataFrame) -> DataFrame:
     """The last state of each key."""
-    return updates.groupBy("key").agg(F.max_by(F.struct("box", "next_review", "updated_at"), "batch").alias("s")).select("key", "s.*")
+    columns = [c for c in updates.columns if c not in ("key", "batch")]
+    return updates.groupBy("key").agg(F.max_by(F.struct(*columns), "batch").alias("s")).select("key", "s.*")
 
 
 @query("""

@@ -65,7 +65,7 @@ def fixture(seed):
     return "\n".join(out)
 
 
-@pytest.mark.parametrize("seed", range(40))
+@pytest.mark.parametrize("seed", range(120))
 def test_equals_an_alignment_everywhere(seed):
     text = fixture(seed)
     got, want = ls.scan(text)[1], everywhere(text)
