@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from syllabrook.llm.common import add_row_id, give_back, small_batches, stored
 
-#: Bytes of a leaf of the tree, bytes of the first window on each side, and characters of a block.
-PIECE, WINDOW, BLOCK = 4096, 64, 1 << 17
+#: Bytes of a leaf of the tree, bytes of the first window on each side, characters of a block and of the texts whose ids are held together.
+PIECE, WINDOW, BLOCK, TOGETHER = 4096, 64, 1 << 17, 1 << 20
 #: The split pattern of the byte-level tokenizer files (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -179,9 +179,15 @@ def encode(docs: DataFrame, path: str, text: str = "text", tokens: str = "ids",
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         c = codec(path)
         for texts in batches:
-            ids = [c.encode(t or "") for t in texts]
-            yield pd.DataFrame({"ids": [np.array(i, dtype=np.int32) for i in ids], "decoded": [c.decode(i) for i in ids]})
-        give_back()
+            size = texts.str.len().fillna(0).to_numpy(dtype=np.int64)
+            part = (np.cumsum(size) - size) // TOGETHER
+            for _, some in texts.groupby(part):
+                rows = []
+                for t in some:  # a list of ids takes nine times the bytes of its array
+                    ids = c.encode(t or "")
+                    rows.append((np.array(ids, dtype=np.int32), c.decode(ids)))
+                yield pd.DataFrame(rows, columns=["ids", "decoded"])
+            give_back()
 
     # Only the texts pass through Python; the other columns stay as they are.
     coded = F.pandas_udf(run, "ids array<int>, decoded string")
