@@ -356,7 +356,7 @@ def preferred_bind(spark: SparkSession, sf_dir: str) -> DataFrame:
 with o as (select item_id, text from benchmark), w as (select doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) t from documents where lang = 'fr'),
 c as (select doc_id, i::int chunk_seq, trim(substr(t, (i * 400 + 1)::int, 500), ' ' || chr(9) || chr(10) || chr(13)) body from w, range(400) r(i) where i = 0 or i * 400 < length(t) - 100),
 a as (select doc_id, chunk_seq, unnest({TOKENS.format(c='body')}) token from c where body <> ''), b as (select item_id, unnest({TOKENS.format(c='text')}) token from o),
-s as (select doc_id, chunk_seq, item_id::varchar item_id, count(*) n from a join b using (token) group by all having count(*) >= 2 qualify row_number() over (partition by doc_id, chunk_seq order by n desc, item_id::varchar) = 1)
+s as (select doc_id, chunk_seq, item_id::varchar item_id, count(*) n from a join b using (token) group by doc_id, chunk_seq, b.item_id having count(*) >= 2 qualify row_number() over (partition by doc_id, chunk_seq order by n desc, item_id::varchar) = 1)
 select doc_id::varchar source_file, c.chunk_seq, coalesce(item_id, 'REVIEW') objective_id, case when item_id is null then 'review' else 'medium' end confidence, case when item_id is null then 'no_objective_match_via_keywords' end review_reason
 from c left join s using (doc_id, chunk_seq) where body <> ''
 """)
