@@ -110,13 +110,19 @@ class Packed:
 
 def small_batches(spark: SparkSession) -> None:
     """Bounds what a Python worker holds: rows and bytes of an Arrow batch, unless the session sets them."""
-    for key, usual, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", None, str(8 << 20))):
+    for key, usual, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", None, str(2 << 20))):
         if spark.conf.get(key, usual) in (usual, "9223372036854775807", "-1", "2147483647"):
             spark.conf.set(key, value)
 
 
 def give_back() -> None:
-    """Returns freed memory of this Python worker, which lives on between stages, to the system (where the C library can)."""
+    """Returns freed memory of this Python worker, which lives on between stages, to the system (where the C library can).
+
+    Arrow and the C library each keep a pool of their own.
+    """
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
@@ -125,17 +131,21 @@ def give_back() -> None:
 #: ASCII white space, and the lower case of each byte.
 BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
 LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: An odd factor and its inverse modulo 2**64, and their powers as far as any text has needed.
+#: An odd factor and its inverse modulo 2**64, and their powers as far as any text has needed, up to KEPT_POWERS of them.
 BASE = 0xD6E8FEB86659FD93
+KEPT_POWERS = 1 << 17
 _POWERS: list[np.ndarray] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of BASE and of its inverse, modulo 2**64."""
-    if not _POWERS or len(_POWERS[0]) < n:
+    made = _POWERS
+    if not made or len(made[0]) < n:
         size = max(1 << 12, 1 << (n - 1).bit_length())
-        _POWERS[:] = [np.cumprod(np.full(size, x, dtype=np.uint64)) for x in (BASE, pow(BASE, -1, 1 << 64))]
-    return _POWERS[0][:n], _POWERS[1][:n]
+        made = [np.cumprod(np.full(size, x, dtype=np.uint64)) for x in (BASE, pow(BASE, -1, 1 << 64))]
+        if size <= KEPT_POWERS:
+            _POWERS[:] = made
+    return made[0][:n], made[1][:n]
 
 
 def word_hashes(text: bytes) -> np.ndarray:

@@ -163,6 +163,7 @@ def packed(texts: DataFrame) -> DataFrame:
                     size = 0
         if held:
             yield out()
+        give_back()
 
     return texts.mapInPandas(run, "block long, ids array<long>, no_id array<boolean>, extras array<string>, sizes array<long>, digests array<binary>, data binary")
 

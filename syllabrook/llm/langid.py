@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from syllabrook.llm.common import small_batches
+from syllabrook.llm.common import give_back, small_batches
 
 DIMS, SYMBOLS, SEED = 256, 128, 20240229
 UNKNOWN = "und"
@@ -100,6 +100,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, np
                 held.setdefault(name, np.zeros(SYMBOLS**3, dtype=np.int64))[grams] += n
         if held:
             yield out()
+        give_back()
 
     parts = docs.filter(F.col(lang).isNotNull()).select(F.col(text), F.col(lang)).mapInPandas(count, "lang string, v array<long>")
     sums = parts.select("lang", F.posexplode("v").alias("d", "x")).groupBy("lang", "d").agg(F.sum("x").alias("x"))
@@ -128,6 +129,7 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray], text: str = "text") -
                 k = int(np.argmax(cos))
                 rows.append((names[k], float(min(1.0, max(0.0, cos[k])))))
             yield pd.DataFrame(rows, columns=["lang_pred", "score"])
+        give_back()
 
     out = docs.drop("lang_pred", "score").withColumn("__p", F.pandas_udf(run, "lang_pred string, score double")(F.col(text)))
     return out.select(*[f"`{c}`" for c in out.columns if c != "__p"], "__p.lang_pred", "__p.score")
