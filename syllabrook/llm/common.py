@@ -176,3 +176,23 @@ def crc_mod(doc_id: Column, n: int) -> Column:
 def add_row_id(df: DataFrame, name: str = "__row") -> DataFrame:
     """A key for each row, also where ids repeat or are null. It depends on the input's partitions only."""
     return df.withColumn(name, F.monotonically_increasing_id())
+
+
+#: A key with more than this share of all rows is hot; there are fewer hot keys than one by it.
+HOT_SHARE = 0.001
+
+
+def add_totals(df: DataFrame, key: Column, value: Column, name: str, most: int) -> DataFrame:
+    """``df`` with the sum of ``value`` (at most ``most``) over all rows of equal key, null being a key.
+
+    Sums are combined before they are shuffled. They come back to the rows of hot keys, fewer than 1 / HOT_SHARE,
+    by broadcast, and to all others by a join in which no key holds more than HOT_SHARE of the rows.
+    """
+    rows = stored(df.withColumn("__key", F.coalesce(F.sha2(key.cast("string").cast("binary"), 256), F.lit(""))))
+    total = F.least(F.sum(value.cast("decimal(38,0)")), F.lit(most).cast("decimal(38,0)")).cast("long")
+    totals = stored(rows.groupBy("__key").agg(total.alias(name), F.count("*").alias("__n")))
+    hot_from = HOT_SHARE * (totals.agg(F.sum("__n")).first()[0] or 0)
+    hot = F.broadcast(totals.filter(F.col("__n") > hot_from).drop("__n"))
+    rest = totals.filter(F.col("__n") <= hot_from).drop("__n")
+    cold = rows.join(F.broadcast(hot.select("__key")), "__key", "left_anti").join(rest, "__key")
+    return rows.join(hot, "__key").unionByName(cold).drop("__key")

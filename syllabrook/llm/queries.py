@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from syllabrook.llm import ann, bpe, dedup, jaccard, langid, license_scan, lm, mixing, topk, url_filter
+from syllabrook.llm import ann, bpe, codes, dedup, jaccard, langid, license_scan, lm, mixing, topk, url_filter
 from syllabrook.llm.common import crc_mod, table
 
 #: The byte-level tokenizer file, and where it is looked for unless this variable names a place.
@@ -72,5 +72,10 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs, ~F.col("held_out"), keep=("held_out",))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = codes.compress(table(spark, sf_dir, "embeddings"))
+    return codes.with_label_errors(done.rows).select("vec_id", "code", "error", "label_error", F.lit(done.digest()).alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_mix_sources, op3_ann_forest, op4_suffix_dedup, op5_license_scan, op6_exact_topk, op7_language_id, op8_ngram_jaccard, op9_bpe, op10_lm_score)}
+    return {f.__name__: f for f in (op1_url_filter, op2_mix_sources, op3_ann_forest, op4_suffix_dedup, op5_license_scan, op6_exact_topk, op7_language_id, op8_ngram_jaccard, op9_bpe, op10_lm_score, op11_vector_codes)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from syllabrook.llm.codes_sql import OP11
+
 WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
 
 OP1 = """
@@ -48,4 +50,4 @@ from queue group by doc_id, size, source_size, target, key, source_rank
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1, "op2_mix_sources": OP2}
+    return {"op1_url_filter": OP1, "op2_mix_sources": OP2, "op11_vector_codes": OP11}
