@@ -168,9 +168,13 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def crc32_of(doc_id: Column) -> Column:
+    """crc32 of the id as text (a null id counts as the empty text)."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
-    """crc32 of the id as text, modulo n (a null id counts as the empty text)."""
-    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
+    return crc32_of(doc_id) % n
 
 
 def add_row_id(df: DataFrame, name: str = "__row") -> DataFrame:

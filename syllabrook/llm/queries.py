@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from syllabrook.llm import ann, bpe, codes, dedup, jaccard, langid, license_scan, lm, mixing, topk, url_filter
-from syllabrook.llm.common import crc_mod, table
+from syllabrook.llm import ann, bpe, codes, dedup, jaccard, langid, license_scan, line_dedup, lm, mixing, runs, topk, url_filter
+from syllabrook.llm.common import crc32_of, crc_mod, table
 
 #: The byte-level tokenizer file, and where it is looked for unless this variable names a place.
 BYTE_BPE = "byte_bpe_50k.json"
@@ -77,5 +77,16 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.with_label_errors(done.rows).select("vec_id", "code", "error", "label_error", F.lit(done.digest()).alias("codebooks_sha256"))
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", crc32_of(F.col("doc_id")).alias("h"))
+    done = runs.report(runs.find_runs(docs, change=runs.planted, key="h"))
+    return done.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_mix_sources, op3_ann_forest, op4_suffix_dedup, op5_license_scan, op6_exact_topk, op7_language_id, op8_ngram_jaccard, op9_bpe, op10_lm_score, op11_vector_codes)}
+    return {f.__name__: f for f in (op1_url_filter, op2_mix_sources, op3_ann_forest, op4_suffix_dedup, op5_license_scan, op6_exact_topk, op7_language_id, op8_ngram_jaccard, op9_bpe, op10_lm_score, op11_vector_codes, op12_line_dedup, op13_periodic_runs)}

@@ -49,5 +49,20 @@ from queue group by doc_id, size, source_size, target, key, source_rank
 """
 
 
+OP12 = r"""
+with lines as materialized (
+  select d, doc_id, i, line, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+  from (select d, doc_id, unnest(lines) line, generate_subscripts(lines, 1) i from (
+    select row_number() over () d, doc_id, string_split(coalesce(text, ''), chr(10)) lines from documents))
+), repeated as (
+  select key, max(doc_id) largest from lines where length(key) >= 20 group by key having count(distinct d) >= 3
+), marked as (
+  select l.*, largest is not null and (largest > doc_id or doc_id is null) gone from lines l left join repeated using (key)
+)
+select doc_id, count(*) n_lines, count_if(gone) n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) kept_sha256
+from marked group by d, doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1, "op2_mix_sources": OP2, "op11_vector_codes": OP11}
+    return {"op1_url_filter": OP1, "op2_mix_sources": OP2, "op11_vector_codes": OP11, "op12_line_dedup": OP12}
