@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from syllabrook.functions.text import strip
+from syllabrook.functions.text import strip, tokens
 from syllabrook.operators import match
 from syllabrook.operators.status import latest
 
@@ -82,19 +82,23 @@ def structural(rows: DataFrame, objectives: DataFrame, prefix: Column, section:
     return r.withColumn("objective_id", F.when(F.col("__k"), F.col("objective_id"))).drop("__k")
 
 
-def best_objective(texts: DataFrame, key: str, text: str, objectives: DataFrame, preferred: DataFrame | None = None, least: int = 2) -> DataFrame:
+def best_objective(texts: DataFrame, key: str, text: str, objectives: DataFrame, prefers: str | None = None, least: int = 2) -> DataFrame:
     """(key, target, score, tier): by preferred objectives, by statement, then by statement with title; a later pass sees only what no earlier one has bound.
 
-    Objectives have (objective_id, content_stmt, title); ``preferred`` has (key, objective_id), of any text some.
+    Objectives have (objective_id, content_stmt, title). ``prefers`` names a column that both sides have: a text prefers the objectives
+    whose value is its own. All passes are told from one join of words: a word of an objective says whether the statement has it.
     """
-    titled = objectives.select("objective_id", F.concat_ws(" ", "content_stmt", "title").alias("s"))
-    plain = objectives.select("objective_id", F.col("content_stmt").alias("s"))
-    scores = match.overlaps(texts, key, text, plain, "objective_id", "s").withColumn("tier", F.lit(1))
-    rich = match.overlaps(texts, key, text, titled, "objective_id", "s").withColumn("tier", F.lit(2))
-    every = scores.unionByName(rich)
-    if preferred is not None:  # with the title, as far as it is preferred
-        every = every.unionByName(rich.join(preferred.select(key, "objective_id").distinct(), [key, "objective_id"], "left_semi").withColumn("tier", F.lit(0)))
-    return match.best(every.filter(F.col("score") >= least), key, [F.asc("tier"), F.desc("score"), F.asc("objective_id")]).select(key, F.col("objective_id").alias("target"), "score", "tier")
+    own = tokens(F.col("content_stmt"))
+    words = objectives.select("objective_id", *([F.col(prefers).alias("__theirs")] if prefers else []), own.alias("__own"), F.explode(tokens(F.concat_ws(" ", "content_stmt", "title"))).alias("token"))
+    words = words.withColumn("stated", F.array_contains("__own", F.col("token"))).drop("__own")
+    asked = texts.select(key, *([F.col(prefers).alias("__mine")] if prefers else []), F.explode(tokens(F.col(text))).alias("token"))
+    pairs = asked.join(match.small(words), "token")
+    liked = F.coalesce(F.col("__mine") == F.col("__theirs"), F.lit(False)) if prefers else F.lit(False)
+    scores = pairs.groupBy(key, "objective_id").agg(F.count("*").alias("rich"), F.count_if("stated").alias("plain"), F.max(liked).alias("liked"))
+    tiers = F.array(*[F.when(rule, F.struct(F.lit(tier).alias("tier"), (-F.col(score)).alias("score"))) for tier, score, rule in ((0, "rich", F.col("liked") & (F.col("rich") >= least)), (1, "plain", F.col("plain") >= least), (2, "rich", F.col("rich") >= least))])
+    first = scores.withColumn("t", F.array_min(F.array_compact(tiers))).filter("t is not null")
+    best = first.groupBy(key).agg(F.min(F.struct("t", "objective_id")).alias("b"))
+    return best.select(key, F.col("b.objective_id").alias("target"), (-F.col("b.t.score")).alias("score"), F.col("b.t.tier").alias("tier"))
 
 
 def statements(text: Column, verbs: tuple[str, ...], shortest: int = 12) -> Column:

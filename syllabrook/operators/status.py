@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from syllabrook.functions import text as tx
 from syllabrook.functions.values import clamp, short_id
+from syllabrook.session import written
 
 #: Limits of what is shown and kept of a text, and of a message (fixed values).
 PREVIEW, HARD, SLICE, MESSAGE, ATTEMPTS, ITEMS = 500_000, 5_000_000, 100_000, 1000, 3, 15
@@ -230,16 +231,26 @@ def assigned(queue: DataFrame, decisions: DataFrame, key: str = "id") -> tuple[D
 def batches(queue: DataFrame, order: list[Column], size: int = 20, limit: int | None = None, dry_run: bool = False, shown: int = 5) -> DataFrame:
     """The queue in numbered batches of ``size``; a dry run looks at the first few rows only, as is its feature.
 
-    Positions come from a limited sort where there is a limit; without one from sums over ranges of the order.
+    Positions come from a limited sort where there is a limit, else from ``numbered``.
     """
     most = shown if dry_run else limit
     if most is not None:
         at = F.row_number().over(W.orderBy(*order)) - 1  # at most that many rows
         return queue.orderBy(*order).limit(most).withColumn("batch", F.floor(at / size).cast("long"))
-    ranged = queue.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    own = W.partitionBy("__p").orderBy(*order)
-    ranged = ranged.withColumn("__k", F.row_number().over(own))
-    return ranged.withColumn("batch", F.struct("__p", F.floor((F.col("__k") - 1) / size).cast("long").alias("n"))).drop("__p", "__k")
+    return numbered(queue, order, "__at").withColumn("batch", F.floor(F.col("__at") / size).cast("long")).drop("__at")
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds each row's place in the total order, from 0 and without gaps.
+
+    Rows are dealt into ranges of the order and kept; a range is numbered by a window of its own, after the sizes of all ranges
+    before it. So no task sees more than a range, and numbers do not depend on how rows are dealt.
+    """
+    ranged = written(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    before = W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)  # one row a range
+    starts = ranged.groupBy("__range").agg(F.count("*").alias("__n")).select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    own = F.row_number().over(W.partitionBy("__range").orderBy(*order))
+    return ranged.withColumn("__own", own).join(F.broadcast(starts), "__range").withColumn(name, F.col("__start") + F.col("__own") - 1).drop("__range", "__own", "__start")
 
 
 def outcome_counts(rows: DataFrame, outcome: Column) -> DataFrame:

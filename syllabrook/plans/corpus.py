@@ -335,21 +335,17 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-with o as (select item_id, text, left(lead(text) over (order by item_id), 40) title from benchmark), c as (select doc_id, text from documents),
-a as (select doc_id, unnest({TOKENS.format(c='text')}) token from c), b1 as (select item_id, unnest({TOKENS.format(c='text')}) token from o), b2 as (select item_id, unnest({TOKENS.format(c="concat_ws(' ', text, title)")}) token from o),
+with o as (select item_id, text, item_id % 7 topic, left(text, 60) title from benchmark), c as (select doc_id, text, doc_id % 7 topic from documents),
+a as (select doc_id, topic, unnest({TOKENS.format(c='text')}) token from c), b1 as (select item_id, unnest({TOKENS.format(c="substr(text, 61)")}) token from o), b2 as (select item_id, topic, unnest({TOKENS.format(c="concat_ws(' ', substr(text, 61), title)")}) token from o),
 s as (select doc_id, item_id, count(*) score, 1 tier from a join b1 using (token) group by all union all select doc_id, item_id, count(*), 2 from a join b2 using (token) group by 1, 2
-  union all select doc_id, item_id, count(*), 0 from a join b2 using (token) where (doc_id + item_id) % 13 = 0 group by 1, 2)
+  union all select doc_id, item_id, count(*), 0 from a join b2 using (token) where a.topic = b2.topic group by 1, 2)
 select doc_id, item_id::varchar target, score, tier from s where score >= 5 qualify row_number() over (partition by doc_id order by tier, score desc, item_id::varchar) = 1
 """)
 def preferred_bind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Preferred objectives first, then statements, then statements with their title."""
-    from pyspark.sql import Window as W
-
-    b = table(spark, sf_dir, "benchmark")
-    o = b.select(F.col("item_id").cast("string").alias("objective_id"), F.col("text").alias("content_stmt"), F.substring(F.lead("text").over(W.orderBy("item_id")), 1, 40).alias("title"))
-    d = table(spark, sf_dir, "documents")
-    preferred = d.select("doc_id").join(b.select("item_id"), F.pmod(F.col("doc_id") + F.col("item_id"), F.lit(13)) == 0).select("doc_id", F.col("item_id").cast("string").alias("objective_id"))
-    return lookup.best_objective(d, "doc_id", "text", o, preferred, least=5)
+    """Objectives of a document's own topic first, then statements, then statements with their title."""
+    o = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("objective_id"), F.substring("text", 61, 1_000_000).alias("content_stmt"), F.substring("text", 1, 60).alias("title"), F.pmod("item_id", F.lit(7)).alias("topic"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.pmod("doc_id", F.lit(7)).alias("topic"))
+    return lookup.best_objective(d, "doc_id", "text", o, "topic", least=5)
 
 
 @query(f"""

@@ -136,21 +136,22 @@ def repaired_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
     rows = s.select("s_nationkey", "s_suppkey", F.concat(F.lit(" "), "s_name").alias("point_text"), F.col("s_suppkey").cast("int").alias("marks_value"), (F.col("s_acctbal") > 0).alias("artifact"), F.when(F.col("s_acctbal") >= 5000, "cover").otherwise("").alias("excluded"))
     sizes = rows.groupBy("s_nationkey").agg(F.count("*").alias("n"))
-    parts = [gates.merged_fragments(rows.join(sizes.filter(F.col("n") == n), "s_nationkey", "left_semi"), ["s_nationkey"], "s_suppkey", n) for n in range(1, 12)]
-    merged = parts[0]
-    for p in parts[1:]:
-        merged = merged.unionByName(p)
+    merged = gates.merged_fragments(rows.join(sizes, "s_nationkey"), ["s_nationkey"], "s_suppkey", F.col("n"))
     counts = gates.without_overlap(rows).groupBy("s_nationkey").agg(F.count_if("artifact").alias("n_artifacts"))
     return merged.join(counts, "s_nationkey").select("s_nationkey", "point_text", F.col("marks_value").cast("long").alias("marks_value"), "n_artifacts")
 
 
-LINTED = ["Explain the role of", "State (ii) the use of land", "Find ( ) a x h k + +", "Short", "Explain how markets clear", "Compare these:", "Solve x 2 + 3 for all", None]
-LINTS = [gates.TRUNCATED, gates.NOTE, gates.GARBLED, gates.SHORT, "", f"{gates.TRUNCATED}|{gates.SHORT}", gates.GARBLED, gates.SHORT]
-
-
-@query(f"select o_orderkey, {sql_list(LINTS)}[(o_orderkey % 8 + 1)::int] flags from orders")
+@query(r"""
+with l as (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) - 1 n from documents where text is not null)
+select doc_id, n::int n, concat_ws('|', case when regexp_matches(line, '(?i)(\b(of|the|a|an|to|for|and|or|in|on|with|that|which|from|by|as)|[:,])\s*$') then 'truncated (ends on a connector/preposition)' end,
+  case when regexp_matches(line, '(?i)\(\s*(i{1,3}|iv|vi{0,3}|ix|x)\s*\)') then 'note bleed (contains a roman-numeral enumerator)' end,
+  case when regexp_matches(line, '\(\s*\)|(\b[a-zA-Z]\s+){3,}[a-zA-Z]\b|\s\d\s*[+)]') then 'garbled math/typesetting residue' end,
+  case when length(line) < 15 then 'suspiciously short' end) flags from l
+""".replace("\\\\", "\\"))
 def statement_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(gates.lint(pick("o_orderkey", LINTED)), "|").alias("flags"))
+    """Every line of every document as a statement."""
+    ls = lines.lines(table(spark, sf_dir, "documents"), ["doc_id"], "text")
+    return ls.select("doc_id", "n", F.array_join(gates.lint(F.col("line")), "|").alias("flags"))
 
 
 # Lookups
@@ -245,15 +246,15 @@ def keyword_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(lookup.keyword_hits(F.col("text"), ("the", "que", "nicht", "zz")), ",").alias("hits"))
 
 
-@query("""
-with s as (select distinct k, e from (values ('explain how a' , 'old'), ('define markets well', 'old'), ('define markets well', 'new'), ('list all the firms', 'new')) t(k, e))
-select k statement, case when bool_or(e = 'old') and bool_or(e = 'new') then 'kept' when bool_or(e = 'old') then 'removed' else 'added' end state from s group by 1
-""")
+@query(r"""
+with f as (select source = 'src0' as old, regexp_extract_all(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '([.;])', '\\1 ', 'g'), '(?i)(?:^|[^\\pL\\pN_])((?:that|with|des|und)(?:[^\\pL\\pN_.;][^.;]*)?[.;])', 1) found from documents where text is not null and source is not null),
+b as (select distinct old, lower(rtrim(trim(regexp_replace(s, '^\d+\.\d+\s+', '')), '.;')) statement from (select old, unnest(found) s from f))
+select statement, case when bool_and(old) then 'removed' when bool_or(old) then 'kept' else 'added' end state from b where length(statement) >= 12 group by 1
+""".replace("\\\\", "\\"))
 def edition_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "nation")
-    old = n.select(F.concat(F.lit("1.1 Explain  how\na. x Define markets well; 2.3 define it."), F.lit("")).alias("t"))
-    new = n.select(F.lit("Define markets WELL. 4.2 List all the firms; nothing").alias("t"))
-    return lookup.editions(old, new, "t", ("explain", "define", "list"))
+    """Statements of one source that the other sources lack, share or add."""
+    d = table(spark, sf_dir, "documents").select("source", "text")
+    return lookup.editions(d.filter("source = 'src0'"), d.filter("source <> 'src0'"), "text", ("that", "with", "des", "und"))
 
 
 # Small rules
@@ -340,15 +341,13 @@ def objective_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select n_nationkey || '.' || c_custkey objective_num, c_name statement, '' approved, '' notes, n_name section, row_number() over (order by n_nationkey, c_custkey) as pos from customer join nation on n_nationkey = c_nationkey where n_regionkey = 1 qualify row_number() over (order by n_nationkey, c_custkey) <= 500
+select n_nationkey || '.' || c_custkey objective_num, c_name statement, '' approved, '' notes, n_name section, row_number() over (order by n_nationkey, c_custkey) as pos from customer join nation on n_nationkey = c_nationkey
 """)
 def review_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Objectives in the order of the syllabus with blank columns for a reviewer: a sheet of 500 rows."""
-    from pyspark.sql import Window as W
-
-    n = table(spark, sf_dir, "nation").filter("n_regionkey = 1").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    rows = table(spark, sf_dir, "customer").join(n, "c_nationkey").orderBy("c_nationkey", "c_custkey").limit(500)
-    return sinks.review_sheet(rows.select(F.concat("c_nationkey", F.lit("."), "c_custkey").alias("objective_num"), F.col("c_name").alias("statement"), F.col("n_name").alias("section"), F.row_number().over(W.orderBy("c_nationkey", "c_custkey")).alias("pos")))
+    """All objectives with their place in the order of the syllabus and blank columns for a reviewer."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    rows = status.numbered(table(spark, sf_dir, "customer").join(n, "c_nationkey"), [F.asc("c_nationkey"), F.asc("c_custkey")], "pos")
+    return sinks.review_sheet(rows.select(F.concat("c_nationkey", F.lit("."), "c_custkey").alias("objective_num"), F.col("c_name").alias("statement"), F.col("n_name").alias("section"), (F.col("pos") + 1).alias("pos")))
 
 
 HTML = ["<!doctype html><html>x</html>", "```html\n<html></html>", "<html>cut off", None, "  <html></html>\n"]
@@ -447,7 +446,7 @@ def parsed_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select doc_id, regexp_replace(lower(source || ' / ' || lang), '[^a-z0-9]+', '', 'g') slug, coalesce(length(text) // 700 + case when length(text) % 700 > 0 then 1 else 0 end, 0) n_slices, trim(trim(left(text, 30)) || coalesce(' ' || nullif(trim(source), ''), '')) corpus, length(text) > 1000 cut from documents
+select doc_id, regexp_replace(lower(source || ' / ' || lang), '[^a-z0-9]+', '', 'g') slug, coalesce(length(text) // 700 + case when length(text) % 700 > 0 then 1 else 0 end, 0) n_slices, trim(regexp_replace(regexp_replace(left(text, 30), '^\\s+', ''), '\\s+$', '') || coalesce(' ' || nullif(trim(source), ''), '')) corpus, length(text) > 1000 cut from documents
 """)
 def text_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").withColumn("head", F.substring("text", 1, 30))
@@ -608,10 +607,10 @@ def choice_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select s_suppkey, case when s_suppkey % 4 = 0 then 2012 + s_suppkey % 2 end yr, case when s_suppkey % 4 = 0 then (s_suppkey % 9)::int end number, case when s_suppkey % 4 = 0 then 'b' end letter from supplier where s_suppkey % 4 = 0
+select s_suppkey, 2012 + s_suppkey % 2 yr, (s_suppkey % 9)::int number, 'b' letter from supplier
 """)
 def topic_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier").filter("s_suppkey % 4 = 0")
+    s = table(spark, sf_dir, "supplier")
     cell = lambda parity: F.when(F.col("s_suppkey") % 2 == parity, F.concat((F.col("s_suppkey") % 9).cast("string"), F.lit("B,")))
     grid = s.select(F.col("s_suppkey").cast("string").alias("topic"), cell(0).alias("a"), cell(1).alias("b"))
     return papers.topics(grid, "topic", {2012: "a", 2013: "b"}).select(F.col("topic").cast("long").alias("s_suppkey"), F.col("year").cast("long").alias("yr"), "number", "letter")

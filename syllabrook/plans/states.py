@@ -47,7 +47,7 @@ with s as (select doc_id, text, source = 'src0' as pages_known, n_chars % 3 = 0
 m as (select *, coalesce(len(regexp_extract_all('[Page 1]' || text, '\\[Page |\\.\\n')), 0) n from s)
 select doc_id staging_id, case when ready and not ocr_used and not pages_known then 'pending' when ready then 'ready' else 'failed' end extract_status,
   (ready and not ocr_used and not pages_known) queued,
-  coalesce(ready and not ocr_used and not pages_known and (length(text) + 8 + 5 * (n - 1)) / n < 100, false) low from m
+  coalesce(ready and not ocr_used and not pages_known and (length(text) + 8 + 6 * (n - 1) - len(regexp_extract_all(text, '\\.\\n '))) / n < 100, false) low from m
 """.replace("\\\\", "\\"))
 def extract_again(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files from before page counts were kept, with each paragraph marked as a page, and which of them are poor scans."""
@@ -232,6 +232,14 @@ def queue_dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select(F.lit("dry").alias("run"), F.col("s_suppkey").alias("id"), "batch")
 
 
+@query("""
+select o_orderkey id, ((row_number() over (order by o_totalprice desc, o_orderkey) - 1) // 20)::bigint batch from orders
+""")
+def queue_in_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole queue in batches, numbered throughout."""
+    return status.batches(table(spark, sf_dir, "orders"), [F.desc("o_totalprice"), F.asc("o_orderkey")]).select(F.col("o_orderkey").alias("id"), "batch")
+
+
 @query("""
 select s_suppkey id, ((row_number() over (order by s_acctbal, s_suppkey) - 1) // 20)::bigint batch from supplier qualify row_number() over (order by s_acctbal, s_suppkey) <= 50
 """)
