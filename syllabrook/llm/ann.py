@@ -13,7 +13,8 @@ with the ids that can reach a result.
 
 Cases: vectors that are null, empty, zero, or that hold null or non-finite components take no part. A query is
 compared with the vectors of its own size. Ties go to the smaller id. Fewer candidates than k give shorter lists.
-Repeated ids count once (by their nearest vector); a query never finds its own id. An empty table gives an empty result.
+Rows are candidates whatever their ids: a query does not find its own row, but other rows of its id. A row without an id,
+which no result could name, takes no part. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from syllabrook.llm.common import give_back, small_batches, stored
-from syllabrook.llm.vectors import by_size, expand, groups, valid
+from syllabrook.llm.common import add_row_id, give_back, small_batches, stored
+from syllabrook.llm.vectors import by_size, expand, groups, query_vectors, valid
 
 SAMPLE, SAMPLE_BYTES, LEAF, TREES, PART, SEED = 65536, 64 << 20, 256, 10, 4096, 11
 #: The recall of the sample's own neighbours that decides how many leaves are visited, the sample's vectors that are
@@ -155,7 +156,7 @@ def nearest(table: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
 
 def _nearest(rows: DataFrame, k: int, trees: int, sample: int, leaf: int, target: float) -> DataFrame:
     spark = rows.sparkSession
-    index = stored(groups(rows, "id", "v", k + 1))
+    index = stored(add_row_id(groups(rows, "id", "v", k + 1), "key"))
     n = index.count()
     size = len(index.select("v").first()["v"]) if n else 1
     sample = min(sample, SAMPLE_BYTES // (8 * size))
@@ -186,28 +187,29 @@ def _nearest(rows: DataFrame, k: int, trees: int, sample: int, leaf: int, target
             yield pd.DataFrame(out, columns=["q", "v", "within", "tree", "leaf", "part"])
 
     def rank(at: tuple, of: pd.DataFrame, by: pd.DataFrame) -> pd.DataFrame:
-        qs, ids, scores = [], [], []
+        cells: dict[str, list] = {c: [] for c in ("q", "key", "nth", "id", "score", "same")}
         if len(of) and len(by):
-            x, members = matrix(of["v"]), of["ids"].to_numpy()
+            x, members, keys = matrix(of["v"]), of["ids"].to_numpy(), of["key"].to_numpy()
             for q, v, within in zip(by["q"], matrix(by["v"]), by["within"], strict=True):
                 d = np.sqrt(((x - v) ** 2).sum(axis=1))
                 if len(d) > k + 1:
                     within = min(within, np.partition(d, k)[k])
                 for j in np.flatnonzero(d <= within):
-                    ids += list(members[j])
-                    qs += [q] * len(members[j])
-                    scores += [d[j]] * len(members[j])
-        return pd.DataFrame({"q": np.array(qs, dtype=np.int64), "id": np.array(ids, dtype=np.int64), "score": np.array(scores, dtype=np.float64)})
-
-    spots = index.mapInPandas(route, f"v {kind}, ids array<long>, rep long, tree int, leaf long, part int")
-    queries = rows.filter("q").select(F.col("id").alias("query_id"), "v")
-    distinct = stored(queries.groupBy("v").agg(F.min("query_id").alias("q")))
+                    n = len(members[j])
+                    for c, values in (("q", [q] * n), ("key", [keys[j]] * n), ("nth", range(n)), ("id", members[j]), ("score", [d[j]] * n), ("same", [bool((x[j] == v).all())] * n)):
+                        cells[c] += list(values)
+        kinds = {"nth": np.int32, "score": np.float64, "same": bool}
+        return pd.DataFrame({c: np.array(a, dtype=kinds.get(c, np.int64)) for c, a in cells.items()})
+
+    spots = index.mapInPandas(route, f"v {kind}, ids array<long>, rep long, key long, tree int, leaf long, part int")
+    queries, distinct = query_vectors(rows)
     visits = distinct.select("q", "v").mapInPandas(probe, f"q long, v {kind}, within double, tree int, leaf long, part int")
     key = ["tree", "leaf", "part"]
-    found = spots.groupBy(*key).cogroup(visits.groupBy(*key)).applyInPandas(rank, "q long, id long, score double")
+    found = spots.groupBy(*key).cogroup(visits.groupBy(*key)).applyInPandas(rank, "q long, key long, nth int, id long, score double, same boolean")
     order = W.partitionBy("q").orderBy("score", "id")
-    found = found.groupBy("q", "id").agg(F.min("score").alias("score")).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1)
-    return expand(found.drop("n"), queries.join(distinct, "v").drop("v"), "q", k, F.col("score"))
+    # Several trees report a row: it is told by its vector's key and its place among the rows of that vector.
+    found = found.groupBy("q", "key", "nth").agg(F.first("id").alias("id"), F.first("score").alias("score"), F.first("same").alias("same")).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1)
+    return expand(found.select("q", "id", "score", "same"), queries.join(distinct, "v").drop("v"), "q", k, F.col("score"))
 
 
 def matrix(v: pd.Series) -> np.ndarray:

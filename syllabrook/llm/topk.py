@@ -13,7 +13,8 @@ out if its bound is truly smaller, so vectors that tie with the k-th stay in.
 
 Cases: vectors that are null, empty, or that hold null or non-finite components take no part; zero vectors do. A
 query is compared with the vectors of its own size. Ties go to the smaller id. Fewer candidates than k give shorter
-lists. Repeated ids are candidates each; a query never finds its own id. Scores are exact below 2**63. Pivots are at
+lists. Rows are candidates whatever their ids: a query does not find its own row, but other rows of its id. A row without
+an id, which no result could name, takes no part. Scores are exact below 2**63. Pivots are at
 most ``CELLS`` vectors, ``PIVOT_BYTES`` in all; without clusters few cells are left out, and a query goes to
 nearly all shards, as an exact search has to.
 """
@@ -31,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from syllabrook.llm.common import give_back, small_batches, stored
-from syllabrook.llm.vectors import by_size, expand, groups, valid
+from syllabrook.llm.vectors import by_size, expand, groups, query_vectors, valid
 
 #: Vectors of a shard and of a leaf; pivots and their bytes at most.
 SHARD, LEAF = 32768, 256
@@ -143,7 +144,7 @@ def _built(held: list[tuple]) -> tuple:
 
 def _answers(made: tuple, by: pd.DataFrame, k: int) -> pd.DataFrame:
     tree, x, exact, counts, ids, largest = made
-    qs, found, scores = [], [], []
+    qs, found, scores, same = [], [], [], []
     for q, v, kth in zip(by["q"], by["v"], by["kth"], strict=True):
         y = v.astype(np.float64)
         # Products and sums are exact in double precision below 2**52.
@@ -154,7 +155,8 @@ def _answers(made: tuple, by: pd.DataFrame, k: int) -> pd.DataFrame:
             found += list(ids[r])
             scores += [score] * len(ids[r])
             qs += [q] * len(ids[r])
-    return pd.DataFrame({"q": np.array(qs, dtype=np.int64), "id": np.array(found, dtype=np.int64), "score": np.array(scores, dtype=np.int64)})
+            same += [bool((exact[r] == v).all())] * len(ids[r])
+    return pd.DataFrame({"q": np.array(qs, dtype=np.int64), "id": np.array(found, dtype=np.int64), "score": np.array(scores, dtype=np.int64), "same": np.array(same, dtype=bool)})
 
 
 def top_k(table: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", shard: int = SHARD) -> DataFrame:
@@ -207,13 +209,12 @@ def _top_k(rows: DataFrame, k: int, shard: int) -> DataFrame:
 
         return run
 
-    queries = rows.filter("q").select(F.col("id").alias("query_id"), "v")
-    distinct = stored(queries.groupBy("v").agg(F.min("query_id").alias("q")))
+    queries, distinct = query_vectors(rows)
     vectors = index.select("shard", F.lit(False).alias("query"), F.lit(0).cast("long").alias("q"), F.lit(0).cast("long").alias("kth"), "v", "ids")
 
     def search_all(asked: DataFrame, known: bool) -> DataFrame:
         rows = vectors.unionByName(asked.select("q", "kth", "v").mapInPandas(wave(known), ROW))
-        found = rows.repartition("shard").sortWithinPartitions("shard", "query").mapInPandas(find(k), "q long, id long, score long")
+        found = rows.repartition("shard").sortWithinPartitions("shard", "query").mapInPandas(find(k), "q long, id long, score long, same boolean")
         n = F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "id"))
         return found.withColumn("n", n).filter(F.col("n") <= k + 1)
 

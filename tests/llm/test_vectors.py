@@ -94,3 +94,39 @@ def test_few_and_none(spark, table):
     empty = spark.createDataFrame([], SCHEMA)
     assert topk.top_k(empty, F.col("vec_id") % 50 == 0).count() == 0
     assert ann.nearest(empty, F.col("vec_id") % 50 == 0).count() == 0
+
+
+def repeated(seed):
+    """Ids that occur 3 and 14 times, on near vectors and on one vector, queries' own among them."""
+    rnd = random.Random(seed)
+    near = lambda v: [x + rnd.uniform(-0.01, 0.01) for x in v]
+    far = [[rnd.gauss(0, 1) for _ in range(4)] for _ in range(40)]
+    rows = [(i, v) for i, v in enumerate(far)] + [(7, near(far[0])) for _ in range(14)] + [(100, near(far[0])) for _ in range(3)] + [(0, far[0]), (0, far[0]), (50, far[1]), (50, far[1]), (50, near(far[1]))]
+    return [*rows, *[(i, far[2]) for i in (9, 9, 9, 150, 150)]]
+
+
+def by_row(rows, k, best, is_query):
+    """The lists of all query rows, as (id, ids and scores), every other row being a candidate."""
+    out = []
+    for n, (q, v) in enumerate(rows):
+        if is_query(q):
+            found = sorted((best(v, w), i) for m, (i, w) in enumerate(rows) if m != n)[:k]
+            out.append((q, [(r + 1, i, round(s, 9)) for r, (s, i) in enumerate(found)]))
+    return sorted(out)
+
+
+def told_by_row(df, sign):
+    """Lists of queries of one id cannot be told apart, so their rows are compared as they come."""
+    return sorted((r["query_id"], r["rank"], r["vec_id"], round(sign * r["score"], 9)) for r in df.collect())
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_repeated_ids_are_rows_of_their_own(spark, seed):
+    rows = repeated(seed)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    flat = lambda want: sorted((q, *x) for q, found in want for x in found)
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    want = by_row(whole, 5, lambda v, w: -sum(a * b for a, b in zip(v, w)), lambda q: q % 50 == 0)
+    assert told_by_row(topk.top_k(df, F.col("vec_id") % 50 == 0, shard=16), -1) == flat(want)
+    want = by_row(rows, 10, math.dist, lambda q: q % 50 == 0)
+    assert told_by_row(ann.nearest(df, F.col("vec_id") % 50 == 0), 1) == flat(want)
