@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from syllabrook.plans import corpus, learning, parsed, persisted, registry, reports, rules, states
+from syllabrook.streaming import queries as streamed
 from syllabrook.streaming import study
 
-__all__ = ["corpus", "learning", "parsed", "persisted", "reports", "rules", "states", "study"]
+__all__ = ["corpus", "learning", "parsed", "persisted", "reports", "rules", "states", "streamed", "study"]
 
 
 def queries() -> dict[str, registry.Query]:
