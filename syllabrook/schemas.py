@@ -47,7 +47,7 @@ RELATIONS = {
     "ingest_review_queue": Relation("id BIGINT, source_file STRING, chunk_text STRING, reason STRING, objective_id STRING, doc_id STRING", ("id",)),
     "vectors": Relation("id BIGINT, embedding ARRAY<FLOAT>", ("id",), references={"id": "chunks"}),
     "objective_videos": Relation("objective_id STRING, url STRING, title STRING, channel STRING, duration_str STRING", ("objective_id", "url")),
-    "mcq_questions": Relation("mcq_id STRING, subject_id STRING, topic STRING, subtopic STRING, difficulty STRING, stem STRING, options_json STRING, correct_option STRING", ("mcq_id",)),
+    "mcq_questions": Relation("mcq_id STRING, objective_id STRING, subject_id STRING, topic STRING, subtopic STRING, difficulty STRING, stem STRING, options_json STRING, correct_option STRING", ("mcq_id",)),
     "schema_migrations": Relation("version STRING, description STRING, applied_at TIMESTAMP", ("version",)),
     "lesson_generation_queue": Relation("objective_id STRING, reason STRING, created_at TIMESTAMP", ("objective_id", "reason")),
     "objective_lessons": Relation("lesson_id STRING, objective_id STRING, lesson_text STRING, recall_questions STRING, source_chunk_ids STRING, confidence INT, is_stale BOOLEAN, staled_at TIMESTAMP", ("lesson_id",), (("objective_id",),)),

@@ -177,10 +177,15 @@ def solutions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def decoded(spark: SparkSession, path: str, decode: Callable[[bytes, str], list[str]]) -> DataFrame:
-    """(path, page, body): pages of binary documents by a decoder (bytes, path) -> page texts, one file at a time.
+    """(path, page, body): pages of the binary documents at a path."""
+    return decoded_files(spark.read.format("binaryFile").load(path).select("path", "content"), decode)
 
-    The decoder is the caller's (PDF, Office and OCR libraries are optional); a file that it fails on gives one
-    row with page null and the error as body.
+
+def decoded_files(files: DataFrame, decode: Callable[[bytes, str], list[str]]) -> DataFrame:
+    """(path, page, body): pages of files (path, content) by a decoder (bytes, path) -> page texts, one file at a time.
+
+    The decoder is the caller's (PDF and OCR libraries are optional); a file that it fails on gives one row with page null
+    and the error as body.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -192,7 +197,7 @@ def decoded(spark: SparkSession, path: str, decode: Callable[[bytes, str], list[
                 except Exception as e:  # the row says what went wrong
                     yield pd.DataFrame({"path": [p], "page": pd.array([None], dtype="Int32"), "body": [f"{type(e).__name__}: {e}"]})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, page int, body string")
+    return files.mapInPandas(run, "path string, page int, body string")
 
 
 def decode_text(content: bytes, path: str = "") -> list[str]:

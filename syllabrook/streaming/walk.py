@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from syllabrook.sources.store import Change, Store
-from syllabrook.streaming.logs import once
+from syllabrook.streaming.logs import Write, once
 
 CONTENTS, PATHS = "kb_contents", "kb_paths"
 BINARY = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
@@ -37,14 +37,17 @@ def make_registry(store: Store, records: str | None = None, schema: str | None =
 
 def walk(store: Store, roots: list[str], checkpoint: str, glob: str = "*", extract: Extract | None = None, records: str | None = None, files_at_a_time: int = 1000) -> None:
     """Reads what is new below the roots, then what was rewritten; ``extract`` turns new contents into rows of ``records``, in the same commit."""
-    spark = store.spark
-    reader = lambda r: spark.readStream.schema(BINARY).format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_at_a_time).option("maxFileAge", "36500d").load(r)
-    files = reduce(DataFrame.unionByName, [reader(r) for r in roots])
-    q = files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(once(store, CONTENTS, lambda c, b, n: registered(c, b, n, extract, records))).trigger(availableNow=True).start()
-    q.awaitTermination()
+    stream(store, roots, checkpoint, glob, lambda c, b, n: registered(c, b, n, extract, records), files_at_a_time)
     rewritten(store, roots, glob, extract, records)
 
 
+def stream(store: Store, roots: list[str], checkpoint: str, glob: str, write: Write, files_at_a_time: int = 1000) -> None:
+    """Hands the files that were not read yet to ``write``, some at a time, each batch with one commit."""
+    reader = lambda r: store.spark.readStream.schema(BINARY).format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_at_a_time).option("maxFileAge", "36500d").load(r)
+    files = reduce(DataFrame.unionByName, [reader(r) for r in roots])
+    files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(once(store, CONTENTS, write)).trigger(availableNow=True).start().awaitTermination()
+
+
 def registered(change: Change, files: DataFrame, number: int, extract: Extract | None = None, records: str | None = None) -> None:
     """Files of a batch in the registry, and records of those contents that it did not have."""
     told = files.select("path", F.sha2("content", 256).alias("content_hash"), "length", F.col("modificationTime").alias("modified"), F.lit(number).cast("long").alias("walk"))
