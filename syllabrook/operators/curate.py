@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 from syllabrook.functions.text import comma_append
 
 
-def not_seen(df: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is not known yet, the first of each key (dropDuplicates keeps any; keys decide here)."""
-    return df.join(known.select(key), key, "left_anti").dropDuplicates([key])
-
 
 def first_seen(df: DataFrame, key: str, order: list[str], what: str) -> DataFrame:
     """Adds ``original``: ``what`` of the first row with the same key, and ``is_duplicate``; the order has to be total.

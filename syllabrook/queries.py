@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from syllabrook.plans import corpus, grading, learning, parsed, persisted, registry, reports, rules, states
+from syllabrook.plans import corpus, grading, grounding, learning, parsed, persisted, registry, reports, rules, states
 from syllabrook.streaming import queries as streamed
 from syllabrook.streaming import study
 
-__all__ = ["corpus", "grading", "learning", "parsed", "persisted", "reports", "rules", "states", "streamed", "study"]
+__all__ = ["corpus", "grading", "grounding", "learning", "parsed", "persisted", "reports", "rules", "states", "streamed", "study"]
 
 
 def queries() -> dict[str, registry.Query]:

@@ -77,18 +77,6 @@ def evolve(df: DataFrame, name: str) -> DataFrame:
     return df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in RELATIONS[name].schema if f.name not in have}) if set(RELATIONS[name].schema.names) - have else df
 
 
-def pending(ledger: DataFrame, migrations: DataFrame) -> DataFrame:
-    """Migrations (version, description) that the ledger does not have yet, each once."""
-    return migrations.dropDuplicates(["version"]).join(ledger.select("version"), "version", "left_anti")
-
-
-def migrated(ledger: DataFrame, migrations: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
-    """(the ledger after a run, the outcome of each migration): each version is applied once, whenever the run is repeated."""
-    new = pending(ledger, migrations)
-    after = ledger.unionByName(new.select("version", "description", at.alias("applied_at")))
-    done = ledger.select("version", F.lit("already_applied").alias("outcome"))
-    known = migrations.select("version").distinct().join(done, "version", "left")
-    return after, known.select("version", F.coalesce("outcome", F.lit("applied")).alias("outcome"))
 
 
 def sql_statements(body: str) -> list[str]:
@@ -97,14 +85,6 @@ def sql_statements(body: str) -> list[str]:
     return [s for s in (part.strip() for part in plain.split(";")) if s]
 
 
-def apply_file(spark: SparkSession, body: str, version: int, ledger: DataFrame) -> str:
-    """Runs a file's statements on the session's tables, unless the ledger has its version."""
-    if ledger.filter(F.col("version") == version).limit(1).count():
-        return "already_applied"
-    for statement in sql_statements(body):
-        spark.sql(statement)
-    return "applied"
-
 
 def duplicates(df: DataFrame, key: tuple[str, ...]) -> DataFrame:
     return df.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1")

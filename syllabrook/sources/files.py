@@ -8,14 +8,11 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from syllabrook.functions import parsing, text
 from syllabrook.functions.values import options_map
 from syllabrook.operators.match import small
 
-#: What every adapter returns: one unit of content.
-RECORD = "source_file STRING, family STRING, kind STRING, page INT, position INT, body STRING, objective_id STRING, reason STRING"
 #: Families by rule, the first that fits (fixed values); the last takes any PDF.
 FAMILIES = (
     ("solutions", r"(?i)solution[^/]*\.txt$"),
@@ -64,11 +61,6 @@ def mime(path: Column) -> Column:
     return ordered(MIME, F.lower(F.element_at(F.split(path, r"\."), -1)), lambda c, e: c == e, "application/octet-stream")
 
 
-def hashed(spark: SparkSession, roots: list[str], known: DataFrame, glob: str = "*") -> DataFrame:
-    """(path, content_hash) of files below the roots whose content is not known, one path for each content."""
-    parts = [spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(r).select("path", F.sha2("content", 256).alias("content_hash")) for r in roots]
-    return reduce(DataFrame.unionByName, parts).join(known.select("content_hash"), "content_hash", "left_anti").groupBy("content_hash").agg(F.min("path").alias("path"))
-
 
 def csv(spark: SparkSession, path: str, required: tuple[str, ...]) -> DataFrame:
     """A CSV of texts with a header; a byte-order mark is dropped; rows without the first required column go."""
@@ -241,7 +233,3 @@ def marked_links(pages: DataFrame, url: str, html: str, allow: tuple[str, ...],
     p = p.withColumn("link", full).withColumn("host", host(F.col("link")))
     under = lambda names: reduce(lambda a, b: a | b, [(F.col("host") == n) | F.col("host").endswith("." + n) for n in names], F.lit(False))
     return p.withColumn("state", F.when(under(block), "blocked").when(under(allow), "allowed").otherwise("unknown"))
-
-
-def record_schema() -> T.StructType:
-    return T.StructType.fromDDL(RECORD)

@@ -20,7 +20,8 @@ def answers(prompt: Column, ask: Callable[[str], str], attempts: int = ATTEMPTS)
         for prompts in batches:
             yield pd.DataFrame([_ask(ask, p, attempts) for p in prompts], columns=["answer", "error", "attempt"])
 
-    return F.pandas_udf(run, "answer string, error string, attempt int")(prompt)
+    # A plan that reads two fields of the answer must not ask twice.
+    return F.pandas_udf(run, "answer string, error string, attempt int").asNondeterministic()(prompt)
 
 
 def _ask(ask: Callable[[str], str], prompt: str | None, attempts: int) -> tuple:
@@ -42,7 +43,7 @@ def vectors(text: Column, embed: Callable[[list[str]], list]) -> Column:
             found = dict(zip(some.index, embed(some.tolist()), strict=True)) if len(some) else {}
             yield pd.Series([found.get(i) for i in texts.index], dtype=object)
 
-    return F.pandas_udf(run, "array<float>")(text)
+    return F.pandas_udf(run, "array<float>").asNondeterministic()(text)
 
 
 def routed(rows: DataFrame, engines: list[tuple[str, Column, Callable[[str], str]]], prompt: str) -> DataFrame:

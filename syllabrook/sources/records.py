@@ -72,18 +72,6 @@ def office_records(pages: DataFrame, objectives: DataFrame, prefix: str, family:
     return named.select(*COLUMNS).unionByName(wrong.select(*COLUMNS)).unionByName(_bound(nameless, objectives, family, least).select(*COLUMNS))
 
 
-def note_pages(spark: SparkSession, path: str, deferred: tuple[str, ...] = ()) -> DataFrame:
-    """(path, page, body) of Markdown notes: each file is one page; names that start with ``_`` and deferred folders are left out.
-
-    Bytes that are no UTF-8 become replacement signs.
-    """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    raw = raw.filter(F.lower("path").endswith(".md") & ~F.element_at(F.split("path", "/"), -1).startswith(INDEX))
-    for d in deferred:
-        raw = raw.filter(~F.array_contains(F.split("path", "/"), d))
-    body = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.make_valid_utf8(F.col("content").cast("string")))
-    return raw.select("path", F.lit(1).alias("page"), body.alias("body"))
-
 
 def worksheets(path: Column) -> Column:
     """Whether a file lies below both folders of worksheets."""

@@ -13,9 +13,6 @@ def csv_file(df: DataFrame, path: str, columns: list[str]) -> None:
     df.select(*columns).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-def append_log(df: DataFrame, path: str) -> None:
-    df.write.mode("append").json(path)
-
 
 def review_rows(rejected: DataFrame, columns: list[str], reason: Column) -> DataFrame:
     """(payload, reason): rejected records as JSON text; they go nowhere else."""
