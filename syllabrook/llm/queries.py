@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,13 +10,11 @@ from pyspark.sql import functions as F
 from syllabrook.llm import ann, bpe, codes, dedup, jaccard, langid, license_scan, line_dedup, lm, mixing, runs, topk, url_filter
 from syllabrook.llm.common import crc32_of, crc_mod, table
 
-#: The byte-level tokenizer file, and where it is looked for unless this variable names a place.
+#: The byte-level tokenizer file.
 BYTE_BPE = "byte_bpe_50k.json"
 
 
 def tokenizer_path() -> str:
-    if place := os.environ.get("SYLLABROOK_TOKENIZERS"):
-        return f"{place}/{BYTE_BPE}"
     import public_tokenizers
 
     return str(public_tokenizers.path(BYTE_BPE))
