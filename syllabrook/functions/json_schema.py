@@ -7,6 +7,8 @@ the schema is compiled, since a rule that is passed over in silence is worse tha
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,8 +46,13 @@ def spark_type(schema: dict) -> T.DataType:
 def violations(text: Column, schema: dict) -> Column:
     """An array of ``path: what is wrong``, empty where the text fits; a text that is no JSON has one entry, a null text is none."""
     checked(schema)
-    v = F.try_parse_json(text)
-    return F.when(v.isNull(), F.array(F.lit("$: no JSON"))).otherwise(_broken(v, schema, F.lit("$")))
+    broken = lambda v: F.when(v.isNull(), F.array(F.lit("$: no JSON"))).otherwise(_broken(v, schema, F.lit("$")))
+    return _let(F.try_parse_json(text), broken)
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` looks at it."""
+    return F.get(F.transform(F.array(value), f), 0)
 
 
 def fitting(text: Column, schema: dict) -> Column:
@@ -104,7 +111,8 @@ def _of_object(v: Column, schema: dict, at: Column) -> list[Column]:
     child = lambda name: F.try_variant_get(v, f"$['{name}']", "variant")
     is_object = F.schema_of_variant(v).rlike(KINDS["object"])
     out = [_when(is_object & child(n).isNull(), F.concat(at, F.lit(f".{n}")), "missing") for n in schema.get("required", ())]
-    out += [F.when(child(n).isNotNull(), _broken(child(n), s, F.concat(at, F.lit(f".{n}")))).otherwise(F.array().cast("array<string>")) for n, s in schema.get("properties", {}).items()]
+    for n, s in schema.get("properties", {}).items():
+        out.append(_let(child(n), lambda c: F.when(c.isNotNull(), _broken(c, s, F.concat(at, F.lit(f".{n}")))).otherwise(F.array().cast("array<string>"))))  # noqa: B023 - called at once
     if schema.get("additionalProperties") is False:
         names = F.map_keys(F.try_variant_get(v, "$", "map<string, variant>"))
         others = F.array_sort(F.filter(names, lambda n: ~n.isin(*schema.get("properties", {}))))
