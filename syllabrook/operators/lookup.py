@@ -60,13 +60,15 @@ def resolved(rows: DataFrame, statement: str, objectives: DataFrame, prefix: int
     known = known.groupBy("__stmt").agg(F.max_by("objective_id", "ordinal").alias("__id"), F.min("ordinal").alias("__at"))
     key = F.lower(strip(F.col(statement)))
     r = rows.withColumn("__key", key).withColumn("__short", strip(F.regexp_replace("__key", r"[;,]\s+and\s*$", ""))).withColumn("__head", F.substring("__key", 1, prefix))
-    exact = known.select("__stmt", "__id")
+    # Statements are as many as the tables hold, so no side of them is ever sent whole to the driver (an aggregate's size is guessed too small).
+    exact = known.select("__stmt", "__id").hint("merge")
     r = r.join(exact.withColumnsRenamed({"__stmt": "__key", "__id": "__a"}), "__key", "left")
     r = r.join(exact.withColumnsRenamed({"__stmt": "__short", "__id": "__b"}), "__short", "left")
-    # A shorter text than the prefix may be any statement's beginning, so each statement has one row for each of its own.
-    begun = known.select("__id", "__at", F.explode(F.sequence(F.lit(1), F.least(F.length("__stmt"), F.lit(prefix)))).alias("n"), "__stmt")
+    # A shorter text than the prefix may be any statement's beginning, so each statement has one row for each length that the rows ask for.
+    asked = rows.select(F.length(F.substring(key, 1, prefix)).alias("n")).filter("n > 0").distinct()  # as many as the prefix has letters at most
+    begun = known.join(F.broadcast(asked), F.length("__stmt") >= F.col("n"))
     begun = begun.groupBy(F.substring("__stmt", F.lit(1), F.col("n")).alias("__head")).agg(F.min_by("__id", "__at").alias("__c"))
-    r = r.join(begun, "__head", "left")
+    r = r.join(begun.hint("merge"), "__head", "left")
     tier = F.when(F.col("__a").isNotNull(), 0).when(F.col("__b").isNotNull(), 1).when(F.col("__c").isNotNull(), 2)
     return r.withColumns({"objective_id": F.coalesce("__a", "__b", "__c"), "tier": tier}).drop("__key", "__short", "__head", "__a", "__b", "__c")
 
@@ -131,7 +133,7 @@ def videos(rows: DataFrame, objectives: DataFrame, present: DataFrame) -> DataFr
     """Rows of a video list (flag, matched_content_stmt, url) with their outcome: skipped_flag, unresolved, already_present or loaded."""
     r = resolved(rows.withColumn("__ok", loadable(F.col("flag"))), "matched_content_stmt", objectives)
     have = present.select("objective_id", "url").distinct().withColumn("__p", F.lit(True))
-    r = r.join(have, ["objective_id", "url"], "left")
+    r = r.join(have.hint("merge"), ["objective_id", "url"], "left")
     outcome = F.when(~F.col("__ok"), "skipped_flag").when(F.col("objective_id").isNull(), "unresolved").when(F.col("__p"), "already_present").otherwise("loaded")
     return r.withColumn("outcome", outcome).drop("__ok", "__p")
 

@@ -231,7 +231,7 @@ select o_orderkey, case when k in (2, 3, 5) then 'skipped_flag' when c_custkey i
 def video_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     objectives = c.filter("c_acctbal > 0").select(F.col("c_custkey").alias("objective_id"), F.concat("c_name", F.lit(" is a long name of a customer, and more")).alias("content_stmt"), F.col("c_custkey").alias("ordinal"))
-    o = table(spark, sf_dir, "orders").join(c.select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey")
+    o = table(spark, sf_dir, "orders").join(c.select(F.col("c_custkey").alias("o_custkey"), "c_name").hint("merge"), "o_custkey")
     rows = o.select("o_orderkey", pick("o_orderkey", FLAGS).alias("flag"), F.concat("c_name", F.lit(" is a long name of a customer, AND more")).alias("matched_content_stmt"), F.lit("u").alias("url"))
     present = objectives.filter("objective_id % 5 = 0").select("objective_id", F.lit("u").alias("url"))
     return lookup.videos(rows, objectives, present).select("o_orderkey", "outcome")
