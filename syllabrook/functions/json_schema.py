@@ -15,8 +15,9 @@ from pyspark.sql import types as T
 
 KEYWORDS = {"type", "enum", "properties", "required", "additionalProperties", "items", "minItems", "maxItems", "minimum", "maximum", "minLength", "maxLength", "pattern", "description", "title"}
 SCALARS = {"string": T.StringType(), "integer": T.LongType(), "number": T.DoubleType(), "boolean": T.BooleanType()}
-NUMBER = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL\()"
-KINDS = {"string": "^STRING$", "number": NUMBER, "boolean": "^BOOLEAN$", "object": "^OBJECT<", "array": "^ARRAY<", "null": "^VOID$"}
+#: Spark's names of the types of scalars, beside decimals of any size.
+KINDS, NUMBERS = {"string": "STRING", "boolean": "BOOLEAN", "null": "VOID"}, ("BIGINT", "DOUBLE", "FLOAT")
+TYPES = {*KINDS, "object", "array", "number", "integer"}
 
 
 def checked(schema: dict, at: str = "$") -> None:
@@ -25,7 +26,7 @@ def checked(schema: dict, at: str = "$") -> None:
     if unknown:
         raise ValueError(f"{at}: unknown keywords {', '.join(sorted(unknown))}")
     kind = schema.get("type")
-    if kind is not None and kind not in {*KINDS, "integer"}:
+    if kind is not None and kind not in TYPES:
         raise ValueError(f"{at}: unknown type {kind!r}")
     for name, child in schema.get("properties", {}).items():
         checked(child, f"{at}.{name}")
@@ -65,39 +66,77 @@ def value(text: Column, schema: dict) -> Column:
     return F.try_variant_get(F.try_parse_json(text), "$", spark_type(schema).simpleString())
 
 
+def _nothing() -> Column:
+    return F.array().cast("array<string>")
+
+
 def _broken(v: Column, schema: dict, at: Column) -> Column:
-    """What a value that is there breaks; rules below a wrong type are not looked at."""
+    """What a value that is there breaks; rules below a wrong type are not looked at.
+
+    Objects and arrays are opened once, which tells their type too; a scalar's type is told once. The type of a whole tree is never
+    written out, since that takes as long as the tree is large, at each of its nodes.
+    """
     kind = schema.get("type")
-    deeper = [_when(rule, at, what) for rule, what in _own_rules(v, schema)]
-    deeper += _of_object(v, schema, at) + _of_array(v, schema, at)
-    rest = F.flatten(F.array(*deeper)) if deeper else F.array().cast("array<string>")
-    if kind is None:
-        return rest
-    return F.when(_is(v, kind), rest).otherwise(F.array(F.concat(at, F.lit(f": not {'an' if kind[0] in 'aio' else 'a'} {kind}"))))
+    wrong = F.array(F.concat(at, F.lit(f": not {'an' if kind[0] in 'aio' else 'a'} {kind}"))) if kind else _nothing()
+    if kind == "object":
+        return _let(_members(v), lambda m: F.when(m.isNull(), wrong).otherwise(_all(_own(v, schema, at) + _of_object(m, schema, at))))
+    if kind == "array":
+        return _let(_items(v), lambda x: F.when(x.isNull(), wrong).otherwise(_all(_own(v, schema, at) + _of_array(x, schema, at))))
+    if kind in ("number", "integer"):  # read once as a number: reading a scalar costs more than all else
+        whole = (lambda x: x == F.floor(x)) if kind == "integer" else (lambda x: x.isNotNull())
+        number = F.when(_number(F.schema_of_variant(v)), F.try_variant_get(v, "$", "double"))
+        return _let(number, lambda x: F.when(F.coalesce(whole(x), F.lit(False)), _all(_own(v, schema, at, number=x))).otherwise(wrong))
+    if kind:
+        return _let(F.schema_of_variant(v), lambda told: F.when(told == KINDS[kind], _all(_own(v, schema, at, told))).otherwise(wrong))
+    parts = _own(v, schema, at)
+    if {"required", "properties", "additionalProperties"} & set(schema):
+        parts.append(_let(_members(v), lambda m: F.when(m.isNull(), _nothing()).otherwise(_all(_of_object(m, schema, at)))))
+    if {"minItems", "maxItems", "items"} & set(schema):
+        parts.append(_let(_items(v), lambda x: F.when(x.isNull(), _nothing()).otherwise(_all(_of_array(x, schema, at)))))
+    return _all(parts)
+
+
+def _members(v: Column) -> Column:
+    """An object's members; null for any other value."""
+    return F.try_variant_get(v, "$", "map<string, variant>")
 
 
-def _is(v: Column, kind: str) -> Column:
-    told = F.schema_of_variant(v)
-    if kind == "integer":
-        x = F.try_variant_get(v, "$", "double")
-        return told.rlike(NUMBER) & F.coalesce(x == F.floor(x), F.lit(False))
-    return told.rlike(KINDS[kind])
+def _items(v: Column) -> Column:
+    """An array's items; null for any other value."""
+    return F.try_variant_get(v, "$", "array<variant>")
+
+
+def _all(parts: list[Column]) -> Column:
+    if len(parts) < 2:
+        return parts[0] if parts else _nothing()
+    return F.concat(*parts)
+
+
+def _number(told: Column) -> Column:
+    return told.isin(*NUMBERS) | told.startswith("DECIMAL(")
 
 
 def _when(rule: Column, at: Column, what: str) -> Column:
-    return F.when(F.coalesce(rule, F.lit(False)), F.array(F.concat(at, F.lit(f": {what}")))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.coalesce(rule, F.lit(False)), F.array(F.concat(at, F.lit(f": {what}")))).otherwise(_nothing())
+
+
+def _own(v: Column, schema: dict, at: Column, told: Column | None = None, number: Column | None = None) -> list[Column]:
+    return [_when(rule, at, what) for rule, what in _own_rules(v, schema, told, number)]
 
 
-def _own_rules(v: Column, schema: dict) -> list[tuple[Column, str]]:
-    s, x = F.try_variant_get(v, "$", "string"), F.try_variant_get(v, "$", "double")
+def _own_rules(v: Column, schema: dict, told: Column | None, number: Column | None) -> list[tuple[Column, str]]:
+    """Rules of the value itself; ``told`` is its type and ``number`` itself as a number, where they are known."""
+    told = F.schema_of_variant(v) if told is None else told
+    x = F.when(_number(told), F.try_variant_get(v, "$", "double")) if number is None else number
+    s = F.try_variant_get(v, "$", "string")
     rules = []
     if "enum" in schema:
         allowed = [e if isinstance(e, str) else str(e).lower() for e in schema["enum"]]
         rules.append((~F.coalesce(s, F.lit("null")).isin(*allowed), f"not one of {', '.join(allowed)}"))
     for key, test, what in (("minimum", lambda a, b: a < b, "below"), ("maximum", lambda a, b: a > b, "above")):
         if key in schema:
-            rules.append((F.schema_of_variant(v).rlike(NUMBER) & test(x, F.lit(float(schema[key]))), f"{what} {schema[key]}"))
-    text = F.schema_of_variant(v) == "STRING"
+            rules.append((test(x, F.lit(float(schema[key]))), f"{what} {schema[key]}"))
+    text = told == KINDS["string"]
     if "minLength" in schema:
         rules.append((text & (F.length(s) < schema["minLength"]), f"shorter than {schema['minLength']}"))
     if "maxLength" in schema:
@@ -107,21 +146,22 @@ def _own_rules(v: Column, schema: dict) -> list[tuple[Column, str]]:
     return rules
 
 
-def _of_object(v: Column, schema: dict, at: Column) -> list[Column]:
-    child = lambda name: F.try_variant_get(v, f"$['{name}']", "variant")
-    is_object = F.schema_of_variant(v).rlike(KINDS["object"])
-    out = [_when(is_object & child(n).isNull(), F.concat(at, F.lit(f".{n}")), "missing") for n in schema.get("required", ())]
-    for n, s in schema.get("properties", {}).items():
-        out.append(_let(child(n), lambda c: F.when(c.isNotNull(), _broken(c, s, F.concat(at, F.lit(f".{n}")))).otherwise(F.array().cast("array<string>"))))  # noqa: B023 - called at once
+def _of_object(members: Column, schema: dict, at: Column) -> list[Column]:
+    out, required, known = [], schema.get("required", ()), schema.get("properties", {})
+    for n in required:
+        if n not in known:
+            out.append(_when(~F.map_contains_key(members, F.lit(n)), F.concat(at, F.lit(f".{n}")), "missing"))
+    for n, s in known.items():
+        path = F.concat(at, F.lit(f".{n}"))
+        absent = F.array(F.concat(path, F.lit(": missing"))) if n in required else _nothing()
+        out.append(_let(F.try_element_at(members, F.lit(n)), lambda c: F.when(c.isNull(), absent).otherwise(_broken(c, s, path))))  # noqa: B023 - called at once
     if schema.get("additionalProperties") is False:
-        names = F.map_keys(F.try_variant_get(v, "$", "map<string, variant>"))
-        others = F.array_sort(F.filter(names, lambda n: ~n.isin(*schema.get("properties", {}))))
-        out.append(F.when(is_object, F.transform(others, lambda n: F.concat(at, F.lit("."), n, F.lit(": not allowed")))).otherwise(F.array().cast("array<string>")))
+        others = F.array_sort(F.filter(F.map_keys(members), lambda n: ~n.isin(*known)))
+        out.append(F.transform(others, lambda n: F.concat(at, F.lit("."), n, F.lit(": not allowed"))))
     return out
 
 
-def _of_array(v: Column, schema: dict, at: Column) -> list[Column]:
-    items = F.try_variant_get(v, "$", "array<variant>")
+def _of_array(items: Column, schema: dict, at: Column) -> list[Column]:
     out = []
     if "minItems" in schema:
         out.append(_when(F.size(items) < schema["minItems"], at, f"fewer than {schema['minItems']} items"))
@@ -129,5 +169,5 @@ def _of_array(v: Column, schema: dict, at: Column) -> list[Column]:
         out.append(_when(F.size(items) > schema["maxItems"], at, f"more than {schema['maxItems']} items"))
     if "items" in schema:
         each = F.transform(items, lambda x, i: _broken(x, schema["items"], F.concat(at, F.lit("["), i.cast("string"), F.lit("]"))))
-        out.append(F.coalesce(F.flatten(each), F.array().cast("array<string>")))
+        out.append(F.coalesce(F.flatten(each), _nothing()))
     return out

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from syllabrook.operators import lookup
+from syllabrook.functions import json_schema
+from syllabrook.operators import gates, lookup
 
 
 def planned(df):
@@ -24,3 +25,24 @@ def test_short_beginnings_cost_only_the_lengths_that_are_asked_for(spark):
     rows = objectives.select(F.concat("content_stmt", F.lit("!")).alias("t"))
     got = lookup.resolved(rows, "t", objectives)
     assert got.filter("tier = 2").count() == 50
+
+
+def test_violations_are_told_once_an_answer(spark):
+    a = spark.createDataFrame([(1, '{"objective_id": "O", "question_id": "Q", "points": []}')], "i int, answer string")
+    _, bad = gates.graded(a, "answer", gates.SYLLABUS_GRADING)
+    got = bad.select("i", F.explode("violations").alias("v"))
+    assert [tuple(r) for r in got.collect()] == [(1, "$.points: fewer than 3 items")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString().lower().replace("_", "")
+    assert plan.count("parsejson") == 1 and "schemaofvariant(lambda" in plan, plan
+
+
+def test_types_of_scalars(spark):
+    kinds = {"string": '"a"', "number": "1.5", "integer": "2", "boolean": "true", "object": "{}", "array": "[]", "null": "null"}
+    df = spark.createDataFrame([(k, f'{{"x": {v}}}') for k, v in kinds.items()], "k string, t string")
+    for kind in kinds:
+        got = {r["k"] for r in df.filter(F.size(json_schema.violations(F.col("t"), {"type": "object", "properties": {"x": {"type": kind}}})) == 0).collect()}
+        assert got == {kind, "integer"} if kind == "number" else got == {kind}
+    loose = {"required": ["x"], "properties": {"x": {"minItems": 1, "items": {"type": "string"}}}}
+    texts = {"[1]": [], "{}": ["$.x: missing"], '{"x": []}': ["$.x: fewer than 1 items"], '{"x": [1]}': ["$.x[0]: not a string"], '{"x": "a"}': []}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r["t"]: r["v"] for r in df.select("t", json_schema.violations(F.col("t"), loose).alias("v")).collect()} == texts
