@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from syllabrook.functions import json_schema
+from syllabrook.functions import json_schema, parsing
 from syllabrook.operators import gates, lookup
 
 
@@ -46,3 +46,16 @@ def test_types_of_scalars(spark):
     texts = {"[1]": [], "{}": ["$.x: missing"], '{"x": []}': ["$.x: fewer than 1 items"], '{"x": [1]}': ["$.x[0]: not a string"], '{"x": "a"}': []}
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert {r["t"]: r["v"] for r in df.select("t", json_schema.violations(F.col("t"), loose).alias("v")).collect()} == texts
+
+
+def test_verbs_are_found_in_one_pass(spark):
+    texts = ["Explain and STATE why; explain_ use2 éuse", "re-use, find it", None, "", "Reuse", "order-order (Make) 3list list3 ſtate Ma\u212ae İdentify"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    at = F.array(*[F.struct(F.regexp_instr("t", F.lit(rf"(?i)\b{v}\b")).alias("at"), F.lit(v).alias("verb")) for v in parsing.VERBS])
+    plain = F.transform(F.array_sort(F.filter(at, lambda x: x["at"] > 0)), lambda x: x["verb"])
+    skill = F.lit(parsing.UNCLASSIFIED)
+    for name, verbs in reversed(parsing.SKILLS):
+        skill = F.when(F.col("t").rlike(rf"(?i)\b({'|'.join(verbs)})\b"), F.lit(name)).otherwise(skill)
+    got = df.select(parsing.command_words(F.col("t")).alias("v"), plain.alias("w"), parsing.skill_type(F.col("t")).alias("s"), skill.alias("z"))
+    assert all(r["v"] == r["w"] and r["s"] == r["z"] for r in got.collect()), got.collect()
+    assert df.select(parsing.command_words(F.col("t")))._jdf.queryExecution().optimizedPlan().toString().count("regexp_") < 3
