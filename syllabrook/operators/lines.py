@@ -62,11 +62,26 @@ def word_lines(words: DataFrame, key: list[str], left: float, right: float, gap:
 
 def gutter(spans: DataFrame, key: str, low: int = 230, high: int = 320) -> DataFrame:
     """(key, middle, width): the widest run of whole x in the band that no span (x0, x1) covers; ties: the left one."""
-    covered = spans.select(key, F.explode(F.sequence(F.greatest(F.floor("x0"), F.lit(low)).cast("int"), F.greatest(F.least(F.floor("x1"), F.lit(high)), F.greatest(F.floor("x0"), F.lit(low))).cast("int"))).alias("x")).distinct()
-    free = spans.select(key).distinct().select(key, F.explode(F.sequence(F.lit(low), F.lit(high))).alias("x")).join(covered, [key, "x"], "left_anti")
-    free = free.withColumn("run", F.col("x") - F.row_number().over(W.partitionBy(key).orderBy("x")))
-    runs = free.groupBy(key, "run").agg(F.count("*").alias("width"), ((F.min("x") + F.max("x")) / 2).alias("middle"), F.min("x").alias("x"))
-    return runs.groupBy(key).agg(F.max_by("middle", F.struct("width", -F.col("x"))).alias("middle"), F.max("width").alias("width"))
+    a = F.greatest(F.floor("x0"), F.lit(low)).cast("int")
+    b = F.greatest(F.least(F.floor("x1"), F.lit(high)), F.greatest(F.floor("x0"), F.lit(low))).cast("int")
+    size = high - low + 1
+    words = [m.alias(f"__{i}") for i, m in enumerate(_masks(a - low, b - low, size))]
+    # A key's spans are or-ed to a bit for each x, so a key has one row of fixed size however many spans it has.
+    bits = spans.select(key, *words).groupBy(key).agg(*[F.bit_or(f"__{i}").alias(f"__{i}") for i in range(len(words))])
+    drawn = F.substring(F.concat(*[F.rpad(F.reverse(F.bin(f"__{i}")), 64, "0") for i in range(len(words))]), 1, size)
+    runs = bits.select(key, drawn.alias("__x")).withColumn("width", F.array_max(F.transform(F.split("__x", "1+"), F.length)).cast("long"))
+    left = F.instr(F.col("__x"), F.repeat(F.lit("0"), F.col("width").cast("int"))) - 1 + low
+    return runs.filter("width > 0").select(key, (left + (F.col("width") - 1) / 2).alias("middle"), "width")
+
+
+def _masks(a: Column, b: Column, size: int) -> list[Column]:
+    """Whole numbers from ``a`` to ``b`` as bits of as many words of 64 as ``size`` asks for."""
+    out = []
+    for start in range(0, size, 64):
+        first, last = F.greatest(a - start, F.lit(0)), F.least(b - start, F.lit(63))
+        ones = F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), 63 - (last - first))
+        out.append(F.when(first <= last, F.call_function("shiftleft", ones, first)).otherwise(F.lit(0).cast("long")))
+    return out
 
 
 def choice_questions(df: DataFrame, key: list[str], text: str) -> DataFrame:

@@ -1,9 +1,12 @@
 """Steps whose cost once grew faster than their input, or that held more of it at once than they should."""
 
+import math
+import random
+
 from pyspark.sql import functions as F
 
 from syllabrook.functions import json_schema, parsing
-from syllabrook.operators import gates, lookup
+from syllabrook.operators import gates, lines, lookup
 
 
 def planned(df):
@@ -59,3 +62,27 @@ def test_verbs_are_found_in_one_pass(spark):
     got = df.select(parsing.command_words(F.col("t")).alias("v"), plain.alias("w"), parsing.skill_type(F.col("t")).alias("s"), skill.alias("z"))
     assert all(r["v"] == r["w"] and r["s"] == r["z"] for r in got.collect()), got.collect()
     assert df.select(parsing.command_words(F.col("t")))._jdf.queryExecution().optimizedPlan().toString().count("regexp_") < 3
+
+
+def test_gutters_cost_a_row_a_key(spark):
+    rnd = random.Random(5)
+    spans = [(k, x := rnd.uniform(200, 330), x + rnd.choice([-60, 0, 3, 20, 70])) for k in range(40) for _ in range(rnd.randint(1, 9))] + [(-1, 0.0, 999.0), (-2, 293.0, 293.0), (-3, 294.0, 999.0), (-4, None, 240.0), (-5, 250.0, None)]
+    want = {}
+    for k in {s[0] for s in spans}:
+        taken = set()
+        for _, x0, x1 in (s for s in spans if s[0] == k):
+            a = max(math.floor(230 if x0 is None else x0), 230)
+            taken |= set(range(a, max(min(math.floor(320 if x1 is None else x1), 320), a) + 1))
+        free, runs = [x for x in range(230, 321) if x not in taken], []
+        for x in free:
+            if runs and runs[-1][1] == x - 1:
+                runs[-1][1] = x
+            else:
+                runs.append([x, x])
+        if runs:
+            lo, hi = min(runs, key=lambda r: (r[0] - r[1], r[0]))
+            want[k] = ((lo + hi) / 2, hi - lo + 1)
+    got = lines.gutter(spark.createDataFrame(spans, "k int, x0 double, x1 double"), "k")
+    assert {r["k"]: (r["middle"], r["width"]) for r in got.collect()} == want and -1 not in want
+    assert got.dtypes == [("k", "int"), ("middle", "double"), ("width", "bigint")]
+    assert "Generate" not in planned(got) and "Join" not in planned(got)
