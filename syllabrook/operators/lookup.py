@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,13 +23,21 @@ LOADABLE, REUSED = "OK", "VIDEO_REUSED"
 
 def questions(chunks: DataFrame, documents: DataFrame, points: DataFrame, subject_id: str, paper: str | None = None, year: int | None = None) -> DataFrame:
     """Questions of a subject that can be traced to a page, with their marks; ``paper`` and ``year`` narrow the list where they are given."""
+    return question_lists(chunks, documents, points, subject_id, {"": (paper, year)}).drop("filter")
+
+
+def question_lists(chunks: DataFrame, documents: DataFrame, points: DataFrame, subject_id: str, filters: dict[str, tuple[str | None, int | None]]) -> DataFrame:
+    """``questions`` for each of the named filters (paper, year), in one reading: a question has a row for each filter that it passes."""
     c = chunks.filter((F.col("subject_id") == subject_id) & F.col("question_num").isNotNull() & F.col("page").isNotNull() & F.col("chunk_id").ilike("%-stem"))
-    d = documents.filter(F.col("content_type").isin(*QUESTIONS))
-    d = d.filter(F.col("paper") == paper) if paper else d
-    d = d.filter(F.col("year") == year) if year is not None else d
-    marks = points.groupBy(F.col("question_id").alias("chunk_id")).agg(F.count("*").alias("marks_total"))
-    out = c.join(d.select("doc_id", "paper", "year"), "doc_id").join(marks, "chunk_id", "left")
-    return out.select(F.col("chunk_id").alias("question_id"), "question_num", "paper", "year", F.substring("chunk_text", 1, STEM).alias("stem"), F.coalesce("marks_total", F.lit(0)).alias("marks_total"))
+    passes = {name: (F.col("paper") == paper if paper else F.lit(True)) & (F.col("year") == year if year is not None else F.lit(True)) for name, (paper, year) in filters.items()}
+    d = documents.filter(F.col("content_type").isin(*QUESTIONS)).filter(reduce(lambda a, b: a | b, passes.values()))
+    # Dealt before they are counted: nearly every question is a group of its own, and a task would hold all of its share of the input.
+    marks = points.select(F.col("question_id").alias("chunk_id")).repartition("chunk_id").groupBy("chunk_id").agg(F.count("*").alias("marks_total"))
+    # Chunks and marks are as many as the tables hold, so neither is sent whole to the driver or to a task.
+    out = c.join(d.select("doc_id", "paper", "year").hint("merge"), "doc_id").join(marks.hint("merge"), "chunk_id", "left")
+    named = F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in passes.items()]))
+    out = out.select(F.col("chunk_id").alias("question_id"), "question_num", "paper", "year", F.substring("chunk_text", 1, STEM).alias("stem"), F.coalesce("marks_total", F.lit(0)).alias("marks_total"), named.alias("filter"))
+    return out.withColumn("filter", F.explode("filter"))
 
 
 def context(objectives: DataFrame, chunks: DataFrame, sections: DataFrame) -> DataFrame:

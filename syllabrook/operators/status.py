@@ -183,7 +183,9 @@ def refreshed(lessons: DataFrame, written: DataFrame, key: str = "objective_id")
 def stale_causes(lessons: DataFrame, log: DataFrame, files: DataFrame) -> DataFrame:
     """Stale lessons with the files that caused it, each once, in the order of the log (staging_id, lessons_staled as JSON, started_at)."""
     hits = log.select("staging_id", "started_at", F.explode(F.from_json("lessons_staled", "array<string>")).alias("objective_id"))
-    first = hits.join(files.select("staging_id", "original_name"), "staging_id").filter("original_name is not null").groupBy("objective_id", "original_name").agg(F.min(F.struct("started_at", "staging_id")).alias("at"))
+    hits = hits.join(files.filter("original_name is not null").select("staging_id", "original_name").hint("merge"), "staging_id")
+    # Dealt by objective before they are grouped: few hits share their group, and a task would sort all of its share of the input at once.
+    first = hits.repartition("objective_id").groupBy("objective_id", "original_name").agg(F.min(F.struct("started_at", "staging_id")).alias("at"))
     causes = first.groupBy("objective_id").agg(F.array_sort(F.collect_list(F.struct("at", "original_name"))).alias("c")).select("objective_id", F.transform("c", lambda x: x["original_name"]).alias("caused_by_files"))
     out = lessons.filter("is_stale").join(causes, "objective_id", "left")
     return out.withColumn("caused_by_files", F.coalesce("caused_by_files", F.array().cast("array<string>")))

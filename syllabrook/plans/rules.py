@@ -169,11 +169,8 @@ def question_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = li.select(F.when(F.col("l_returnflag") == "R", stem).otherwise("plain").alias("chunk_id"), F.col("l_linestatus").alias("subject_id"), F.col("l_linenumber").alias("question_num"), F.when(F.col("l_linenumber") > 1, 1).alias("page"), F.col("l_orderkey").alias("doc_id"), F.lit("text").alias("chunk_text"))
     documents = o.select(F.col("o_orderkey").alias("doc_id"), F.when(F.col("o_orderstatus").isin("F", "P"), "specimen").otherwise("notes").alias("content_type"), F.col("o_orderpriority").alias("paper"), F.year("o_orderdate").alias("year"))
     points = li.filter("l_quantity > 25").select(stem.alias("question_id"))
-    out = None
-    for name, paper, year in (("all", None, None), ("paper", "5-LOW", None), ("year", None, 1997), ("both", "5-LOW", 1997)):
-        q = lookup.questions(chunks, documents, points, "F", paper, year).drop("stem").withColumn("filter", F.lit(name))
-        out = q if out is None else out.unionByName(q)
-    return out
+    filters = {"all": (None, None), "paper": ("5-LOW", None), "year": (None, 1997), "both": ("5-LOW", 1997)}
+    return lookup.question_lists(chunks, documents, points, "F", filters).drop("stem")
 
 
 @query("""

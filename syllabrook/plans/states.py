@@ -173,7 +173,7 @@ c as (select l_partkey, string_agg(f, '|' order by seen) files from g group by 1
 select p_partkey objective_id, coalesce(files, '') caused_by_files from l left join c on l_partkey = p_partkey where hit or was_stale
 """)
 def stale_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("staging_id")).agg(F.to_json(F.sort_array(F.collect_set(F.col("l_partkey").cast("string")))).alias("lessons_staled")).withColumn("started_at", F.col("staging_id"))
+    log = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").repartition("l_orderkey").groupBy(F.col("l_orderkey").alias("staging_id")).agg(F.to_json(F.sort_array(F.collect_set(F.col("l_partkey").cast("string")))).alias("lessons_staled")).withColumn("started_at", F.col("staging_id"))
     files = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("staging_id"), F.col("o_orderpriority").alias("original_name"))
     lessons = _lessons(spark, sf_dir).withColumn("objective_id", F.col("objective_id").cast("string"))
     out = status.stale_causes(lessons, log, files)

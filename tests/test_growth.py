@@ -4,9 +4,11 @@ import math
 import random
 
 from pyspark.sql import functions as F
+from support import DATA
 
 from syllabrook.functions import json_schema, parsing
-from syllabrook.operators import gates, lines, lookup
+from syllabrook.operators import gates, lines, lookup, status
+from syllabrook.plans import rules
 
 
 def planned(df):
@@ -86,3 +88,19 @@ def test_gutters_cost_a_row_a_key(spark):
     assert {r["k"]: (r["middle"], r["width"]) for r in got.collect()} == want and -1 not in want
     assert got.dtypes == [("k", "int"), ("middle", "double"), ("width", "bigint")]
     assert "Generate" not in planned(got) and "Join" not in planned(got)
+
+
+def test_lists_of_questions_come_from_one_reading(spark):
+    plan = planned(rules.question_filters(spark, DATA))
+    assert plan.count("FileScan") == 3 and "BroadcastHashJoin" not in plan
+    counted = plan[plan.index("partial_count"):]
+    assert counted.index("REPARTITION_BY_COL") < counted.index("FileScan")  # counted after the dealing, so a task holds its own share only
+
+
+def test_causes_are_dealt_before_they_are_grouped(spark):
+    log = spark.createDataFrame([(2, '["a", "b"]', 5), (1, '["a"]', 6), (3, '["a"]', 4), (4, "[]", 1)], "staging_id int, lessons_staled string, started_at int")
+    files = spark.createDataFrame([(1, "x"), (2, "y"), (3, "x"), (4, "z")], "staging_id int, original_name string")
+    lessons = spark.createDataFrame([("a", True), ("b", True), ("c", True), ("d", False)], "objective_id string, is_stale boolean")
+    out = status.stale_causes(lessons, log, files)
+    assert {r["objective_id"]: r["caused_by_files"] for r in out.collect()} == {"a": ["x", "y"], "b": ["y"], "c": []}
+    assert "REPARTITION_BY_COL" in planned(out)
