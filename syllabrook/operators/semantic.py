@@ -14,16 +14,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from syllabrook.functions.values import l2
-from syllabrook.operators.match import small
-
 CELLS, CENTRE_BYTES = 64, 16 << 20
 #: Vectors that a cell should hold on average, at least.
 LEAST = 256
+#: Vectors of a cell that a task looks at together, and queries at a time.
+PART, BLOCK = 8192, 256
 #: What a distance may be off by when it is compared with a bound.
 SLACK = 1e-6
 
@@ -86,35 +85,96 @@ def _typed(df: DataFrame) -> DataFrame:
 
 
 def lookup(index: Index, queries: DataFrame, quotas: dict[str, int]) -> DataFrame:
-    """(q_id, kind, id, distance, rank): of each kind its quota of the vectors that are nearest to each query (q_id, q_vec)."""
-    spark = index.spark
-    quota = spark.createDataFrame(list(quotas.items()), "kind string, k int")
-    cells = small(_typed(index.cells).join(F.broadcast(quota), "kind"))
-    near = queries.join(cells, F.size("q_vec") == F.size("centre")).withColumn("away", l2(F.col("q_vec"), F.col("centre")))
-    before = W.partitionBy("q_id", "kind").orderBy("away", "cell").rowsBetween(W.unboundedPreceding, -1)
-    near = near.withColumn("have", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("first", F.col("have") < F.col("k"))
-    near = near.select("q_id", "q_vec", "kind", "cell", "k", "away", "radius", "first")
-    found = _read(index, near.filter("first"))
+    """(q_id, kind, id, distance, rank): of each kind its quota of the vectors that are nearest to each query (q_id, q_vec).
+
+    A query's cells are put in order beside it, without a shuffle; cells and their centres are bounded (``CELLS``, ``CENTRE_BYTES``).
+    What leaves a part of a cell is the best of each query there. Queries with components that are null or NaN take no part.
+    """
+    cells = [r for r in _typed(index.cells).collect() if r["kind"] in quotas]
+    near = _near(queries, cells, quotas)
+    found = _read(index, near.filter("first"), cells, max(quotas.values()))
     kth = found.filter(F.col("rank") == F.col("k")).select("q_id", "kind", F.col("exact").alias("kth"))
-    more = near.filter(~F.col("first")).join(kth, ["q_id", "kind"], "left")
+    more = near.filter(~F.col("first")).drop("q_vec").join(kth, ["q_id", "kind"], "left")
     more = more.filter(F.col("kth").isNull() | (F.col("away") - F.col("radius") <= F.col("kth") + SLACK * (1 + F.col("away"))))
-    every = found.drop("rank").unionByName(_read(index, more.drop("kth")).drop("rank"))
-    return _ranked(every).select("q_id", "kind", "id", "distance", "rank")
-
-
-def _read(index: Index, probes: DataFrame) -> DataFrame:
-    """The best of what the cells of the probes hold; only their folders are read."""
-    wanted = [(r["kind"], r["cell"]) for r in probes.select("kind", "cell").distinct().collect()]  # as many as there are cells at most
-    vectors = index.vectors
+    more = more.join(queries.select("q_id", F.col("q_vec").cast("array<double>").alias("q_vec")), "q_id")
+    every = found.drop("rank").unionByName(_read(index, more, cells, max(quotas.values())).drop("rank"))
+    return _ranked(every, max(quotas.values())).select("q_id", "kind", "id", "distance", "rank")
+
+
+def _near(queries: DataFrame, cells: list[Row], quotas: dict[str, int]) -> DataFrame:
+    """(q_id, q_vec, kind, cell, k, away, radius, first): each query's cells; the first are the nearest that hold k vectors. Only those carry ``q_vec``."""
+    kinds = sorted({r["kind"] for r in cells})
+    told = {kind: (np.array([r["centre"] for r in cells if r["kind"] == kind]), np.array([(r["cell"], r["radius"], r["n"]) for r in cells if r["kind"] == kind])) for kind in kinds}
+
+    def ordered(vecs: pd.Series) -> pd.Series:
+        out = []
+        for v in vecs:
+            row = []
+            for kind, (centres, facts) in told.items():
+                if centres.shape[1] != len(v):
+                    continue
+                away = np.sqrt(((centres - np.asarray(v)) ** 2).sum(axis=1))
+                order = np.lexsort((facts[:, 0], away))
+                have = np.cumsum(facts[order, 2]) - facts[order, 2]
+                row += [{"kind": kind, "cell": int(facts[i, 0]), "away": float(away[i]), "radius": float(facts[i, 1]), "first": bool(h < quotas[kind])} for i, h in zip(order, have, strict=True)]
+            out.append(row)
+        return pd.Series(out)
+
+    q = queries.select("q_id", F.col("q_vec").cast("array<double>").alias("q_vec")).filter(F.forall("q_vec", lambda x: x.isNotNull() & ~F.isnan(x)))
+    udf = F.pandas_udf(ordered, "array<struct<kind:string,cell:int,away:double,radius:double,first:boolean>>")
+    near = q.select("q_id", "q_vec", F.explode(udf("q_vec")).alias("c")).select("q_id", "q_vec", "c.*")
+    k = F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv])
+    return near.withColumn("k", F.element_at(k, F.col("kind"))).select("q_id", F.when(F.col("first"), F.col("q_vec")).alias("q_vec"), "kind", "cell", "k", "away", "radius", "first")
+
+
+def _read(index: Index, probes: DataFrame, cells: list[Row], most: int) -> DataFrame:
+    """The best of what the cells of the probes hold; only their folders are read.
+
+    Vectors of a cell are dealt to parts of about ``PART``, each with all probes of the cell, so no task sees more than that of a large cell.
+    """
+    wanted = {(r["kind"], r["cell"]) for r in probes.select("kind", "cell").distinct().collect()}  # as many as there are cells at most
     folders = F.lit(False)
     for kind in sorted({k for k, _ in wanted}):
         folders = folders | ((F.col("kind").cast("string") == kind) & F.col("cell").isin(*[c for k, c in wanted if k == kind]))
-    rows = _typed(vectors.filter(folders)).drop("away")
-    pairs = rows.join(small(probes.select("q_id", "q_vec", "kind", "cell", "k")), ["kind", "cell"])
-    exact = l2(F.col("q_vec"), F.col("vec"))
-    return _ranked(pairs.select("q_id", "kind", "k", "id", exact.alias("exact")).withColumn("distance", F.round("exact", 6)))
-
-
-def _ranked(pairs: DataFrame) -> DataFrame:
+    parts = max([-(-r["n"] // PART) for r in cells if (r["kind"], r["cell"]) in wanted], default=1)
+    rows = _typed(index.vectors.filter(folders)).select("kind", "cell", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), "id", "vec")
+    asked = probes.select("kind", "cell", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "q_id", "q_vec", "k")
+    types = dict(probes.dtypes) | {"id": dict(rows.dtypes)["id"]}
+    by = ["kind", "cell", "part"]
+    pairs = rows.groupBy(*by).cogroup(asked.groupBy(*by)).applyInPandas(_best, f"q_id {types['q_id']}, kind string, k int, id {types['id']}, exact double")
+    return _ranked(pairs.withColumn("distance", F.round("exact", 6)), most)
+
+
+def _best(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    """Of the rows those that may be among the k best of a query: also what is as near when it is rounded, of the same distance the k smallest ids."""
+    out = []
+    if len(rows) and len(asked):
+        rows = rows.sort_values("id", kind="stable")
+        x, ids = np.stack(rows["vec"].to_numpy()), rows["id"].to_numpy()
+        norms = (x * x).sum(axis=1)
+        for start in range(0, len(asked), BLOCK):
+            some = asked.iloc[start : start + BLOCK]
+            q = np.stack(some["q_vec"].to_numpy())
+            own = (q * q).sum(axis=1)
+            square = own[:, None] + norms - 2 * (q @ x.T)
+            for i, (q_id, kind, k) in enumerate(zip(some["q_id"], some["kind"], some["k"], strict=True)):
+                quota, k = int(k), min(int(k), len(ids))
+                bound = max(np.partition(square[i], k - 1)[k - 1], 0.0)
+                slack = 1e-9 * (own[i] + norms.max()) + 4e-6 * np.sqrt(bound) + 1e-11
+                at = np.flatnonzero(square[i] <= bound + 2 * slack)
+                total = np.zeros(len(at))
+                for d in range(x.shape[1]):  # in the order of the components, as ``values.l2`` adds them
+                    total += (q[i, d] - x[at, d]) ** 2
+                exact = np.sqrt(total)
+                order = np.argsort(exact, kind="stable")  # rows are in the order of their ids
+                at, exact = at[order], exact[order]
+                first = np.maximum.accumulate(np.where(np.r_[True, exact[1:] != exact[:-1]], np.arange(len(at)), 0))
+                kept = np.arange(len(at)) - first < k
+                out.append(pd.DataFrame({"q_id": q_id, "kind": kind, "k": quota, "id": ids[at[kept]], "exact": exact[kept]}))
+    return pd.concat(out) if out else pd.DataFrame({"q_id": [], "kind": [], "k": [], "id": [], "exact": []})
+
+
+def _ranked(pairs: DataFrame, most: int) -> DataFrame:
+    """The k best of each query and kind; ``most``, the largest k, is known before, so Spark limits the groups before it shuffles them."""
     rank = F.row_number().over(W.partitionBy("q_id", "kind").orderBy("distance", "id"))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= F.col("k"))
+    return pairs.withColumn("rank", rank).filter(F.col("rank") <= most).filter(F.col("rank") <= F.col("k"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from support import DATA
 
 from syllabrook.functions import json_schema, parsing
-from syllabrook.operators import gates, lines, lookup, status
+from syllabrook.operators import gates, lines, lookup, semantic, status
 from syllabrook.plans import rules
 
 
@@ -104,3 +104,13 @@ def test_causes_are_dealt_before_they_are_grouped(spark):
     out = status.stale_causes(lessons, log, files)
     assert {r["objective_id"]: r["caused_by_files"] for r in out.collect()} == {"a": ["x", "y"], "b": ["y"], "c": []}
     assert "REPARTITION_BY_COL" in planned(out)
+
+
+def test_only_the_best_of_a_cell_are_shuffled(spark, tmp_path):
+    rnd = random.Random(3)
+    data = [("a", i, [rnd.choice([0.0, 1.0, 2.0]) for _ in range(3)]) for i in range(300)]
+    df = spark.createDataFrame(data, "kind string, id long, vec array<double>")
+    got = semantic.lookup(semantic.build(df, f"file://{tmp_path}/index", least=40), df.filter("id < 9").select(F.col("id").alias("q_id"), F.col("vec").alias("q_vec")), {"a": 4})
+    want = [(q, i) for q, (_, _, v) in enumerate(data[:9]) for _, i in sorted((math.dist(v, w), i) for _, i, w in data)[:4]]
+    assert sorted((r["q_id"], r["id"]) for r in got.collect()) == sorted(want)
+    assert "WindowGroupLimit" in planned(got)
