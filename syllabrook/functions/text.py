@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,15 +72,20 @@ def normalise(c: Column) -> Column:
     return F.coalesce(tidy(strip_tags(fix_misread(c))), F.lit(""))
 
 
+#: Texts that are held as Python's at a time.
+TEXTS = 256
 
-def _nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in batches:
-        yield s.str.normalize("NFKC")
+
+def _nfkc(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for a in batches:
+        parts = [pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in a.slice(i, TEXTS).to_pylist()], a.type) for i in range(0, len(a), TEXTS)]
+        yield pa.concat_arrays(parts) if parts else a
 
 
 def nfkc_in_python(c: Column) -> Column:
-    """Unicode's compatibility form, for which Spark has no function."""
-    return F.pandas_udf(_nfkc, T.StringType())(c)
+    """Unicode's compatibility form, for which Spark has no function; texts of ASCII alone are in it and do not leave the JVM."""
+    plain = F.length(c) == F.octet_length(c)
+    return F.when(plain, c).otherwise(F.arrow_udf(_nfkc, T.StringType())(F.when(~plain, c)))
 
 
 def windows(c: Column, size: int = WINDOW, overlap: int = OVERLAP) -> Column:

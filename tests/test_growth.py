@@ -2,11 +2,12 @@
 
 import math
 import random
+import unicodedata
 
 from pyspark.sql import functions as F
 from support import DATA
 
-from syllabrook.functions import json_schema, parsing
+from syllabrook.functions import json_schema, parsing, text
 from syllabrook.operators import gates, lines, lookup, semantic, status
 from syllabrook.plans import rules
 
@@ -114,3 +115,11 @@ def test_only_the_best_of_a_cell_are_shuffled(spark, tmp_path):
     want = [(q, i) for q, (_, _, v) in enumerate(data[:9]) for _, i in sorted((math.dist(v, w), i) for _, i, w in data)[:4]]
     assert sorted((r["q_id"], r["id"]) for r in got.collect()) == sorted(want)
     assert "WindowGroupLimit" in planned(got)
+
+
+def test_ascii_texts_stay_out_of_python(spark):
+    texts = ["plain", "", None, "ﬁne ① é", "é", *["x" * i + "Å" for i in range(300)]]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select("t", text.nfkc_in_python(F.col("t")).alias("n"))
+    assert [r["n"] for r in got.collect()] == [t and unicodedata.normalize("NFKC", t) for t in texts]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "octet_length" in plan
