@@ -27,6 +27,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -44,13 +45,13 @@ BLOCK_BITS = 16
 #: Log odds are kept as whole numbers from -127 to 127 of this size.
 STEP = 1 / 16
 #: Bytes of a part that is refined, of a step of the mixing weights and of a round of work; words at hand.
-CHUNK, PIECE, ROUND, FREQUENT = 512, 1 << 14, 1 << 18, 1 << 18
-#: Rows of one matrix product: small enough that it stays on its core.
-ROWS = 512
+CHUNK, PIECE, ROUND, FREQUENT = 512, 1 << 14, 1 << 16, 1 << 18
+#: Rows that are weighed at a time: few enough to stay in a core's cache.
+ROWS = 1 << 13
 #: The longest word at hand; words that a task counts before it sends them; counts of a block that are added in one place.
 AT_HAND, WORDS, ADDED = 64, 250_000, 64
-#: Places that are counted at a time, and what a cell can hold.
-SOME, FULL = 1 << 19, (1 << 16) - 1
+#: Places that a task counts before it looks whether its cells can hold more.
+SURE = 1 << 31
 #: Bytes that are scored together, so that arrays stay in a core's cache.
 TOGETHER = 1 << 16
 #: No word has white space in it.
@@ -86,7 +87,7 @@ class Layout:
         self.size = size + 1  # with the end sign
         self.byte, self.last = buf[8:], buf[7:-1]
         # The eight bytes before each place; the last is the highest.
-        before = np.ndarray(shape=(len(buf) - 8,), dtype="<u8", buffer=raw, strides=(1,))
+        before = np.ndarray(shape=(len(buf) - 8,), dtype="<u8", buffer=raw, strides=(1,)).copy()
         word, pair = self._words(buf)
         pair = pair[7:-1] * MIX + word[7:-1]
         line = [self.last.astype(np.uint64), before >> np.uint64(48)]
@@ -100,17 +101,21 @@ class Layout:
 
     def _words(self, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the whole word so far at each byte of the buffer (0 after white space), and of the word before it in the text."""
-        place = np.arange(len(buf), dtype=np.int32)
-        blank = BLANK[buf]
+        at = np.flatnonzero(BLANK[buf])  # each begins a stretch: white space alone, or with the word after it
+        n = np.diff(np.append(at, len(buf)))
         up, back = powers(len(buf))  # all modulo 2**64
         sums = np.cumsum(up * (buf + np.uint64(1)))
-        start = np.maximum.accumulate(np.where(blank, place, 0))
-        word = (sums - sums[start]) * back[start]
-        text = np.zeros(len(buf), dtype=np.int32)
-        text[self.first + 7] = self.first + 7
+        word = sums - np.repeat(sums[at], n)
+        word *= np.repeat(back[at], n)
+        # The last stretch with a word before each one, if it is of the same text.
+        stretch = np.arange(len(at))
+        earlier = np.concatenate(([-1], np.maximum.accumulate(np.where(n > 1, stretch, -1))[:-1]))
+        text = np.zeros(len(at), dtype=np.int64)
+        first = np.searchsorted(at, self.first + 7)  # a text comes after white space
+        text[first] = first
         text = np.maximum.accumulate(text)
-        end = np.maximum.accumulate(np.where(blank, 0, place))[start]
-        return word, np.where(end >= text, word[end], np.uint64(0))
+        before = np.where(earlier >= text, word[(at + n - 1)[earlier]], np.uint64(0))
+        return word, np.repeat(before, n)
 
     def cells(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Where both halves of each byte are counted for context k."""
@@ -158,11 +163,11 @@ class Model:
 
     def odds(self, lay: Layout) -> np.ndarray:
         """(contexts, bytes, 8): log odds in favour of the bits that the text has; a byte's lie side by side."""
-        out = np.empty((len(lay.byte), len(ORDERS), 2), dtype=np.uint32)
+        out = np.empty((len(ORDERS), len(lay.byte), 2), dtype=np.uint32)
         for k in range(len(ORDERS)):
             for half, at in enumerate(lay.cells(k)):
-                out[:, k, half] = self.tables[k][half][at]
-        return out.view(np.int8).reshape(len(lay.byte), len(ORDERS), 8).transpose(1, 0, 2)
+                out[k, :, half] = self.tables[k][half].take(at, mode="wrap")  # all are inside: spares the check
+        return out.view(np.int8)
 
     def log10(self, texts: list[bytes], words: list[np.ndarray] | None = None) -> np.ndarray:
         """The log10 probability of each text; ``words`` holds the share that each of its words has of all words, 0 if it is not at hand."""
@@ -181,7 +186,9 @@ class Model:
         odds = self.odds(lay)
         z = self.mixed(odds, gates(lay, odds))
         # One Newton step for the scale of each part from all parts before it.
-        q = 1 / (1 + np.exp(z))
+        q = np.exp(z)
+        q += 1
+        np.reciprocal(q, out=q)
         parts = -(-lay.size // CHUNK)
         own = np.repeat(np.arange(len(parts)), parts)
         begin = np.cumsum(parts) - parts
@@ -253,38 +260,17 @@ def gates(lay: Layout, odds: np.ndarray) -> np.ndarray:
     return KIND[lay.last] + 4 * (odds[WORD_SO_FAR][:, 0] == 0)
 
 
-def sorted_by_gate(odds: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]], np.ndarray]:
-    """The places in the order of their gates, the run of each gate, and the log odds in that order, a row for each place."""
-    order = np.argsort(gate.astype(np.int8), kind="stable")
-    ends = np.cumsum(np.bincount(gate, minlength=GATES + 1))
-    runs = [(g, slice(int(b - n), int(b))) for g, (b, n) in enumerate(zip(ends, np.diff(ends, prepend=0))) if n]
-    flat = odds.transpose(1, 0, 2).reshape(len(gate), -1)
-    return order, runs, flat[order].astype(np.float32)
-
-
-def matrices(weights: np.ndarray) -> np.ndarray:
-    """(gates, contexts x 8, 8): a matrix that weighs each bit's log odds, and leaves out those of other bits."""
-    out = np.zeros((len(weights), weights.shape[1], 8, 8), dtype=np.float32)
-    bit = np.arange(8)
-    out[:, :, bit, bit] = weights
-    return out.reshape(len(weights), -1, 8)
-
-
-def product(rows: np.ndarray, matrix: np.ndarray) -> np.ndarray:
-    whole = len(rows) // ROWS * ROWS
-    out = np.empty((len(rows), matrix.shape[1]), dtype=np.float32)
-    np.matmul(rows[:whole].reshape(-1, ROWS, rows.shape[1]), matrix, out=out[:whole].reshape(-1, ROWS, matrix.shape[1]))
-    np.matmul(rows[whole:], matrix, out=out[whole:])
-    return out
-
-
 def mixed(odds: np.ndarray, gate: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """(bytes, 8): the weighted log odds, kept within what floats can tell from 0 and 1."""
-    order, runs, rows = sorted_by_gate(odds, gate)
-    z, by_gate = np.empty((len(gate), 8), dtype=np.float32), matrices(weights)
-    for g, run in runs:
-        z[order[run]] = product(rows[run], by_gate[min(g, len(by_gate) - 1)])
-    return np.clip(z, -40, 40, out=z)
+    z, by_context = np.zeros((len(gate), 8), dtype=np.float32), np.ascontiguousarray(weights.transpose(1, 0, 2))
+    for a in range(0, len(gate), ROWS):
+        g, out = gate[a : a + ROWS], z[a : a + ROWS]
+        for x, w in zip(odds, by_context):
+            own = w.take(g, axis=0, mode="clip")
+            own *= x[a : a + ROWS]
+            out += own
+        np.clip(out, -40, 40, out=out)
+    return z
 
 
 def first_weights() -> np.ndarray:
@@ -297,18 +283,24 @@ def step(model: Model, texts: list[bytes], rate: float) -> np.ndarray:
     odds = model.odds(lay)
     gate = gates(lay, odds)
     gate[lay.between()] = GATES  # not part of a text
-    n = np.bincount(gate, minlength=GATES + 1)[:GATES]
-    _, runs, rows = sorted_by_gate(odds, gate)
-    by_gate, bit = matrices(model.weights), np.arange(8)
-    for g, run in runs:
-        if g == GATES:
-            continue
-        own = rows[run]
-        error = 1 / (1 + np.exp(np.clip(product(own, by_gate[g]), -40, 40)))
-        slope = sum(own[i : i + ROWS].T @ error[i : i + ROWS] for i in range(0, len(own), ROWS))
-        slope = slope.reshape(len(ORDERS), 8, 8)[:, bit, bit]
-        model.weights[g] += (rate * STEP * STEP / np.sqrt(len(own) * 64.0) * slope).astype(np.float32)
-    return n
+    n = np.bincount(gate, minlength=GATES + 1)
+    # The places in the order of their gates, so that a gate's are one run.
+    order = np.argsort(gate.astype(np.int8), kind="stable")[: len(gate) - n[GATES]]
+    gate, rows = gate[order], np.ascontiguousarray(odds).view(np.uint64)[:, :, 0].take(order, axis=1)
+    odds = rows.view(np.int8).reshape(len(ORDERS), len(order), 8)
+    error = mixed(odds, gate, model.weights)
+    np.exp(error, out=error)
+    error += 1
+    np.reciprocal(error, out=error)
+    slope, ends = np.empty((len(ORDERS), GATES, 8), dtype=np.float32), np.cumsum(n)
+    one = np.ones(len(order), dtype=np.float32)
+    for k, x in enumerate(odds):
+        own = error * x
+        for g in np.flatnonzero(n[:GATES]):
+            slope[k, g] = one[: n[g]] @ own[ends[g] - n[g] : ends[g]]
+    for g in np.flatnonzero(n[:GATES]):
+        model.weights[g] += (rate * STEP * STEP / np.sqrt(n[g] * 64.0) * slope[:, g]).astype(np.float32)
+    return n[:GATES]
 
 
 def fit_weights(tables: list[list[np.ndarray]], texts: list[bytes], bits: list[tuple[int, int]] = BITS) -> np.ndarray:
@@ -379,31 +371,25 @@ def _learn(train: DataFrame, bits: list[tuple[int, int]]) -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words: Counter = Counter()
-        cells = [np.zeros(s + 1, dtype=np.uint16) for pair in sizes for s in pair]
+        cells = [np.zeros(s, dtype=np.uint32) for pair in sizes for s in pair]
         full: list[dict[int, int]] = [{} for _ in cells]  # what the cells could not hold
-        places: list[list[np.ndarray]] = [[] for _ in cells]
         waiting: list[bytes] = []
-        size = held = 0
+        size = counted = 0
 
         def add() -> None:
-            nonlocal held
+            nonlocal counted
             if waiting:
                 lay = Layout(waiting, bits)
-                gaps = lay.between()
+                one = np.ones(len(lay.byte), dtype=np.uint32)
+                one[lay.between()] = 0
+                counted += len(one)
                 for k in range(len(ORDERS)):
                     for half, at in enumerate(lay.cells(k)):
-                        at[gaps] = sizes[k][half]  # a cell beyond the others
-                        places[2 * k + half].append(at.astype(np.int32) if sizes[k][half] < 1 << 31 else at)
+                        if counted < SURE:
+                            np.add.at(cells[2 * k + half], at, one)
+                        else:
+                            _add_up(cells[2 * k + half], at[one > 0], full[2 * k + half])
                 waiting.clear()
-                held += len(lay.byte)
-
-        def count_places() -> None:
-            nonlocal held
-            for c, at, more in zip(cells, places, full, strict=True):
-                if at:
-                    _add_up(c, np.concatenate(at), more)
-                at.clear()
-            held = 0
 
         def spill() -> pd.DataFrame:
             out = pd.DataFrame({"kind": -1, "word": list(words.keys()), "n": list(words.values()), "x": None})
@@ -420,18 +406,18 @@ def _learn(train: DataFrame, bits: list[tuple[int, int]]) -> DataFrame:
                 if size > ROUND:
                     add()
                     size = 0
-                if held > SOME:
-                    count_places()
             if len(words) > WORDS:
                 yield spill()
         add()
-        count_places()
         yield spill()
         for k, (c, more) in enumerate(zip(cells, full, strict=True)):
             more_at = np.array(sorted(more), dtype=np.int64)
-            for b in range(-(-(len(c) - 1) // block)):
-                part = c[b * block : min((b + 1) * block, len(c) - 1)].astype(np.int64)
-                for at in more_at[slice(*np.searchsorted(more_at, (b * block, b * block + len(part))))].tolist():
+            for b in range(-(-len(c) // block)):
+                part = c[b * block : (b + 1) * block]
+                beyond = more_at[slice(*np.searchsorted(more_at, (b * block, b * block + len(part))))].tolist()
+                if beyond:
+                    part = part.astype(np.int64)
+                for at in beyond:
                     part[at - b * block] += more[at]
                 at = np.flatnonzero(part)
                 if len(at):
@@ -442,15 +428,14 @@ def _learn(train: DataFrame, bits: list[tuple[int, int]]) -> DataFrame:
 
 
 def _add_up(cells: np.ndarray, at: np.ndarray, full: dict[int, int]) -> None:
-    """One more for each place, from the first cell to the last; what a cell cannot hold goes to ``full``."""
-    at.sort()
-    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(at)), dtype=bool), at[1:] != at[:-1])))
-    k = at[first]
-    n = cells[k] + np.diff(np.append(first, len(at)))
-    for i in np.flatnonzero(n > FULL).tolist():
-        full[int(k[i])] = full.get(int(k[i]), 0) + int(n[i])
-        n[i] = 0
-    cells[k] = n.astype(cells.dtype)
+    """One more for each place; cells that are more than half full are emptied into ``full``."""
+    half = int(np.iinfo(cells.dtype).max) // 2
+    for i in range(0, len(at), half):
+        part = at[i : i + half]
+        np.add.at(cells, part, np.ones(len(part), dtype=cells.dtype))
+        for k in np.unique(part[cells[part] > half]).tolist():
+            full[k] = full.get(k, 0) + int(cells[k])
+            cells[k] = 0
 
 
 def _sent(at: np.ndarray, n: np.ndarray) -> bytes:
@@ -551,7 +536,7 @@ def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
             for t in texts:
                 w = t.split()
                 w.append(END)
-                c = np.array([get(x, -1) for x in w], dtype=np.int64)
+                c = np.fromiter(map(get, w, repeat(-1)), dtype=np.int64, count=len(w))
                 known = c >= 0
                 shares.append(np.maximum(c[:-1], 0) / max(total, 1))
                 rare = Counter(w[i] for i in np.flatnonzero(~known))
