@@ -114,8 +114,12 @@ class Template:
     compressor: object
 
 
+#: A word, and what is left out at its ends.
+WORD, EDGES = re.compile(r"[^\x20\x09-\x0D]+"), ".,;:()\"'<>"
+
+
 def plain(word: str) -> str:
-    return word.lower().strip(".,;:()\"'<>")
+    return word.lower().strip(EDGES)
 
 
 def _with_dictionary(raw: bytes) -> object:
@@ -145,6 +149,8 @@ def _compressors() -> tuple:
     return zstandard.ZstdCompressor(level=LEVEL), _with_dictionary(" ".join(t for _, t in TEMPLATES).lower().encode())
 
 
+#: Windows that are compressed in one call.
+TOGETHER = 256
 #: What it costs to lose a word that tells licenses apart: more than any text has words.
 LOST = 1 << 24
 
@@ -208,14 +214,18 @@ class Scan:
         self.blocks, self.finds = 0, []
 
     def words(self, a: int, b: int) -> list[str]:
-        return [plain(self.text[s:e]) for s, e in zip(self.start[a:b].tolist(), self.end[a:b].tolist())]
+        return [w.strip(EDGES) for w in WORD.findall(self.text[self.start[a] : self.end[b - 1]].lower())] if b > a else []
 
     def run(self) -> "Scan":
         n = len(self.start)
-        for a in range(0, max(1, n - WINDOW + STRIDE), STRIDE) if n else ():
-            b = min(a + WINDOW, n)
-            if self.saves(a, b) >= LEAST_SAVED:  # what is taken only takes from it
-                self.look(a, b)
+        own, joint = _compressors()
+        starts = range(0, max(1, n - WINDOW + STRIDE), STRIDE) if n else range(0)
+        for k in range(0, len(starts), TOGETHER):
+            windows = [(a, min(a + WINDOW, n)) for a in starts[k : k + TOGETHER]]
+            raws = [self.raw(a, b) for a, b in windows]
+            for (a, b), x, y in zip(windows, own.multi_compress_to_buffer(raws), joint.multi_compress_to_buffer(raws), strict=True):
+                if len(x) - len(y) >= LEAST_SAVED:  # what is taken only takes from it
+                    self.look(a, b)
         return self
 
     def raw(self, a: int, b: int) -> bytes:
@@ -256,15 +266,8 @@ class Scan:
         return found
 
     def first(self, a: int, b: int) -> tuple[Find, int, int] | None:
-        raw = self.raw(a, b)
-        alone = len(_compressors()[0].compress(raw))
-        saved = [(alone - len(t.compressor.compress(raw)), t) for t in _templates()]
-        top = max(n for n, _ in saved)
-        ranked = sorted((x for x in saved if x[0] >= LEAST_SAVED), key=lambda x: -min(x[0], EQUAL * top))
-        near = set(self.words(*self.around(a, b, len(_templates()[0].words)))) if ranked else set()
-        for _, t in ranked:
-            if not possible(t, near):
-                continue
+        near = set(self.words(*self.around(a, b, len(_templates()[0].words))))
+        for t in self.ranked(a, b, [t for t in _templates() if possible(t, near)]):
             left, right = self.around(a, b, len(t.words))
             place = None
             while found := confirm(t, self.words(left, right)):
@@ -275,6 +278,23 @@ class Scan:
                 left, right = self.around(i, j, len(t.words))
         return None
 
+    def ranked(self, a: int, b: int, some: list[Template]) -> list[Template]:
+        """Those of some templates that save enough of words a to b alone, by what they save.
+
+        What the best of all templates saves only matters for the order of several.
+        """
+        if not some:
+            return []
+        raw = self.raw(a, b)
+        alone = len(_compressors()[0].compress(raw))
+        saved = lambda t: alone - len(t.compressor.compress(raw))
+        found = [(n, t) for t in some if (n := saved(t)) >= LEAST_SAVED]
+        if len(found) > 1:
+            tried = {id(t) for t in some}
+            top = max([n for n, _ in found] + [saved(t) for t in _templates() if id(t) not in tried])
+            found.sort(key=lambda x: -min(x[0], EQUAL * top))
+        return [t for _, t in found]
+
     def around(self, a: int, b: int, reach: int) -> tuple[int, int]:
         """The words a to b with as many on either side as no find has taken, ``reach`` at most."""
         before = np.flatnonzero(self.taken[max(0, a - reach) : a])

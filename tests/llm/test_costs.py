@@ -6,6 +6,7 @@ import tracemalloc
 import numpy as np
 from helpers import texts
 
+from syllabrook.llm import license_scan as ls
 from syllabrook.llm import lm
 
 
@@ -55,3 +56,23 @@ def test_cells_are_emptied_before_they_are_full():
     cells, full = np.array([0, 250, 3], dtype=np.uint8), {}
     lm._add_up(cells[:2], np.zeros(1000, dtype=np.int64), full)
     assert int(cells[0]) + full[0] == 1000 and cells[1] == 250 and cells[2] == 3
+
+
+def test_only_templates_that_may_hold_are_compressed_alone(monkeypatch):
+    rnd, tried = random.Random(1), []
+    text = " ".join(f"w{rnd.randrange(10**6)}" for _ in range(400)) + " Released under the MIT License."
+
+    class Counted:
+        def __init__(self, compressor):
+            self.compress = lambda raw: tried.append(raw) or compressor.compress(raw)
+
+    all_of_them = [ls.Template(t.license, t.words, t.telling, Counted(t.compressor)) for t in ls._templates()]
+    monkeypatch.setattr(ls, "_templates", lambda: all_of_them)
+    assert [f.license for f in ls.scan(text)[1]] == ["MIT"]
+    assert 0 < len(tried) < len(all_of_them)
+
+
+def test_windows_beyond_one_call_are_looked_at(monkeypatch):
+    monkeypatch.setattr(ls, "TOGETHER", 3)
+    text = "Released under the MIT License. " + "so many plain words here " * 60 + "Licensed under CC BY 4.0."
+    assert [f.license for f in ls.scan(text)[1]] == ["MIT", "CC-BY-4.0"]
