@@ -287,23 +287,26 @@ def _compare(at: tuple, df: pd.DataFrame) -> pd.DataFrame:
 def _smallest(data: bytes, size: np.ndarray, least: np.ndarray) -> np.ndarray:
     """The smallest document id of each window of the pieces, from the suffix array of all of them."""
     ends = np.cumsum(size)
-    piece = np.repeat(np.arange(len(size)), size + 1)
-    s = np.zeros(len(data) + len(size), dtype=np.uint16)
+    piece = np.repeat(np.arange(len(size), dtype=np.int32), size + 1)
+    raw = np.frombuffer(data, dtype=np.uint8)
+    s = np.zeros(len(data) + len(size), dtype=np.uint16 if (raw == 255).any() else np.uint8)  # UTF-8 has no such byte
     starts = ends - size + np.arange(len(size))
     text = np.ones(len(s), dtype=bool)
     text[starts + size] = False
-    s[text] = np.frombuffer(data, dtype=np.uint8).astype(np.uint16) + 1
-    left = (starts + size)[piece] - np.arange(len(s))  # bytes up to the separator
+    s[text] = raw.astype(s.dtype) + 1
+    whole = np.zeros(len(s), dtype=bool)  # where windows start
+    n = size - WINDOW + 1
+    whole[np.repeat(starts, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)] = True
     sa = suffix_array(s)
     common = common_prefixes(s, sa, starts)
-    sa = sa[left[sa] >= WINDOW]
-    new = common[sa] < WINDOW
+    sa = sa[whole[sa]]
+    new = (common < WINDOW)[sa]
     new[:1] = True
     first = np.flatnonzero(new)
     low = np.minimum.reduceat(least[piece[sa]], first) if len(first) else np.zeros(0, dtype=np.int64)
     out = np.empty(len(s), dtype=np.int64)
     out[sa] = np.repeat(low, np.diff(np.append(first, len(sa))))
-    return out[left >= WINDOW]
+    return out[whole]
 
 
 def spans_of(r: pd.Series, shards: int) -> np.ndarray:

@@ -51,19 +51,18 @@ def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, letters: np.ndarr
     order = np.argsort(first, kind="stable")
     rank = np.arange(len(lms)) - np.repeat(np.cumsum(count) - count, count)
     sa[np.repeat(start, count) + rank] = lms[order]
-    larger = ~small
+    # Nothing comes before the first place: it looks up the last one here, which is neither.
+    larger, small = np.append(~small, False), np.append(small, False)
     for c in letters:  # larger suffixes, from the left
         done = bounds[c]
         while done < heads[c]:
             end = heads[c]
             p = sa[done:end] - 1
-            p = p[p >= 0]
             p = p[larger[p]]
             if len(p):
                 _deal(sa, p, s[p], heads, False)
             done = end
         p = sa[start[c] : bounds[c + 1]] - 1
-        p = p[p >= 0]
         p = p[larger[p]]
         if len(p):
             _deal(sa, p, s[p], heads, False)
@@ -73,50 +72,65 @@ def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, letters: np.ndarr
         while done > tails[c]:
             end = tails[c]
             p = sa[end:done][::-1] - 1
-            p = p[p >= 0]
             p = p[small[p]]
             if len(p):
                 _deal(sa, p, s[p], tails, True)
             done = end
         p = sa[bounds[c] : heads[c]][::-1] - 1
-        p = p[p >= 0]
         p = p[small[p]]
         if len(p):
             _deal(sa, p, s[p], tails, True)
     return sa
 
 
+def _words(s: np.ndarray, more: int) -> tuple[int, np.ndarray]:
+    """How many letters 64 bits hold, and those from each place on; ``more`` separators follow the last one."""
+    together = 8 // s.dtype.itemsize
+    padded = np.concatenate((s, np.full(more + together, SEPARATOR, dtype=s.dtype)))
+    return together, np.ndarray(shape=(len(padded) - together + 1,), dtype="<u8", buffer=padded, strides=(s.dtype.itemsize,))
+
+
 def _names(s: np.ndarray, lms: np.ndarray, length: np.ndarray, order: np.ndarray) -> np.ndarray:
     """A number for each leftmost-smaller substring, by rank; order: their indices in sorted order."""
+    together, words = _words(s, int(length.max()))
     a, b = order[:-1], order[1:]
     same = length[a] == length[b]
     left, off = np.flatnonzero(same), 0
     while len(left):
-        x, y = lms[a[left]] + off, lms[b[left]] + off
-        equal = s[x] == s[y]
+        # What lies beyond the substrings does not count.
+        beyond = np.maximum(together - (length[a[left]] - off), 0).astype(np.uint64) * np.uint64(64 // together)
+        equal = (words[lms[a[left]] + off] ^ words[lms[b[left]] + off]) << beyond == 0
         same[left[~equal]] = False
         left = left[equal]
-        off += 1
+        off += together
         left = left[length[a[left]] > off]
     names = np.empty(len(lms), dtype=np.int64)
     names[order] = np.concatenate(([0], np.cumsum(~same)))
     return names
 
 
-def _ranked(names: np.ndarray) -> np.ndarray:
-    """The order of the reduced string's suffixes: names of pairs of neighbours, recursively."""
-    width = 1
+def _ranked(names: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The order of the reduced string's suffixes: names of pairs of neighbours, recursively, where they are not settled yet.
+
+    ``order`` sorts the names. A suffix is named by the first place of those that are equal so far.
+    """
+    n = len(names)
+    order = order.copy()
+    place, key = np.arange(n), names[order]
+    rank, width = np.empty(n, dtype=np.int64), 1
     while True:
-        top = int(names.max()) + 1
-        if top == len(names) or 2 * width >= DEPTH:  # two bytes a substring at least
-            return np.argsort(names)
-        nxt = np.zeros(len(names), dtype=np.int64)
-        nxt[:-width] = names[width:] + 1
-        key = names * (top + 1) + nxt
-        order = np.argsort(key)
-        k = key[order]
-        names = np.empty(len(names), dtype=np.int64)
-        names[order] = np.concatenate(([0], np.cumsum(k[1:] != k[:-1])))
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        who = order[place]
+        rank[who] = place[np.maximum.accumulate(np.where(new, np.arange(len(place)), 0))]
+        several = ~new
+        several[:-1] |= ~new[1:]
+        place, who = place[several], who[several]
+        if not len(place) or 2 * width >= DEPTH:  # two bytes a substring at least
+            return order
+        after = who + width
+        key = rank[who] * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        now = np.argsort(key)
+        order[place], key = who[now], key[now]
         width *= 2
 
 
@@ -138,7 +152,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
         order = order[order >= 0]
         length = np.append(np.diff(lms) + 1, 1)
         names = _names(s, lms, length, order)
-        lms = lms[_ranked(names)]
+        lms = lms[_ranked(names, order)]
     return _induce(s, small, lms, letters, bounds)
 
 
@@ -156,20 +170,19 @@ def common_prefixes(s: np.ndarray, sa: np.ndarray, starts: np.ndarray, most: int
     irreducible[1:] = (phi[1:] != phi[:-1] + 1) | (phi[:-1] < 0) | (s[:-1] != s[phi[:-1]])
     irreducible[starts] = True
     at = np.flatnonzero(irreducible & (phi >= 0))
-    # Four letters at a time.
-    padded = np.concatenate((s.astype(np.uint16), np.full(most + 4, SEPARATOR, dtype=np.uint16)))
-    four = np.ndarray(shape=(len(padded) - 3,), dtype="<u8", buffer=padded, strides=(2,))
+    together, words = _words(s, most)
+    masks = [np.uint64((1 << 64 // together * j) - 1) for j in range(1, together)]
     left, x, y = np.arange(len(at)), at, phi[at]
     shared = np.zeros(len(at), dtype=np.int32)
-    for off in range(0, most, 4):
-        differ = four[x + off] ^ four[y + off]
+    for off in range(0, most, together):
+        differ = words[x + off] ^ words[y + off]
         equal = differ == 0
         d = differ[~equal]
-        shared[left[~equal]] = off + (d & np.uint64(0xFFFF) == 0) + (d & np.uint64(0xFFFFFFFF) == 0) + (d & np.uint64(0xFFFFFFFFFFFF) == 0)
+        shared[left[~equal]] = off + sum((d & m == 0).astype(np.int32) for m in masks)
         left, x, y = left[equal], x[equal], y[equal]
         if not len(left):
             break
-        shared[left] = off + 4
+        shared[left] = off + together
     value = np.zeros(n, dtype=np.int32)
     value[at] = shared
     place = np.arange(n, dtype=np.int32)

@@ -7,7 +7,7 @@ import numpy as np
 from helpers import texts
 
 from syllabrook.llm import license_scan as ls
-from syllabrook.llm import lm
+from syllabrook.llm import lm, suffix
 
 
 def test_log_odds_are_weighed_without_a_wide_copy():
@@ -76,3 +76,20 @@ def test_windows_beyond_one_call_are_looked_at(monkeypatch):
     monkeypatch.setattr(ls, "TOGETHER", 3)
     text = "Released under the MIT License. " + "so many plain words here " * 60 + "Licensed under CC BY 4.0."
     assert [f.license for f in ls.scan(text)[1]] == ["MIT", "CC-BY-4.0"]
+
+
+def test_only_what_is_not_settled_is_sorted_again(monkeypatch):
+    rng = np.random.default_rng(4)
+    plain = np.append(rng.integers(1, 250, 60_000).astype(np.uint16), suffix.SEPARATOR)
+    same = np.append(plain[:200], suffix.SEPARATOR).astype(np.uint16)
+    count, argsort = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda x, *a, **k: count.append(len(x)) or argsort(x, *a, **k))
+    suffix.suffix_array(plain)
+    once = sum(count)
+    count.clear()
+    s = np.concatenate((plain, same))
+    sa = suffix.suffix_array(s)
+    assert sum(count) < 1.1 * once  # the copy takes more rounds, the rest does not
+    flat = s.tolist()
+    keys = [flat[i : i + suffix.DEPTH] for i in sa.tolist()]
+    assert sorted(sa.tolist()) == list(range(len(s))) and all(a <= b for a, b in zip(keys, keys[1:]))
