@@ -50,8 +50,6 @@ CHUNK, PIECE, ROUND, FREQUENT = 512, 1 << 14, 1 << 16, 1 << 18
 ROWS = 1 << 13
 #: The longest word at hand; words that a task counts before it sends them; counts of a block that are added in one place.
 AT_HAND, WORDS, ADDED = 64, 250_000, 64
-#: Places that a task counts before it looks whether its cells can hold more.
-SURE = 1 << 31
 #: Bytes that are scored together, so that arrays stay in a core's cache.
 TOGETHER = 1 << 16
 #: No word has white space in it.
@@ -371,24 +369,19 @@ def _learn(train: DataFrame, bits: list[tuple[int, int]]) -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words: Counter = Counter()
-        cells = [np.zeros(s, dtype=np.uint32) for pair in sizes for s in pair]
+        cells = [np.zeros(s, dtype=np.uint16) for pair in sizes for s in pair]
         full: list[dict[int, int]] = [{} for _ in cells]  # what the cells could not hold
         waiting: list[bytes] = []
-        size = counted = 0
+        size = 0
 
         def add() -> None:
-            nonlocal counted
             if waiting:
                 lay = Layout(waiting, bits)
-                one = np.ones(len(lay.byte), dtype=np.uint32)
-                one[lay.between()] = 0
-                counted += len(one)
+                inside = np.ones(len(lay.byte), dtype=bool)
+                inside[lay.between()] = False
                 for k in range(len(ORDERS)):
                     for half, at in enumerate(lay.cells(k)):
-                        if counted < SURE:
-                            np.add.at(cells[2 * k + half], at, one)
-                        else:
-                            _add_up(cells[2 * k + half], at[one > 0], full[2 * k + half])
+                        _add_up(cells[2 * k + half], at[inside], full[2 * k + half])
                 waiting.clear()
 
         def spill() -> pd.DataFrame:
