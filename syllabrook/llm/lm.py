@@ -24,13 +24,13 @@ id counts as the empty text when rows are dealt. With no training text N and V a
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,11 +45,15 @@ BLOCK_BITS = 16
 #: Log odds are kept as whole numbers from -127 to 127 of this size.
 STEP = 1 / 16
 #: Bytes of a part that is refined, of a step of the mixing weights and of a round of work; words at hand.
-CHUNK, PIECE, ROUND, FREQUENT = 512, 1 << 14, 1 << 16, 1 << 18
+CHUNK, PIECE, ROUND, FREQUENT = 512, 1 << 14, 1 << 15, 1 << 18
+#: Places of a context that are sorted before they are counted, so that a cell is touched once for all of them.
+SORTED = 1 << 20
 #: Rows that are weighed at a time: few enough to stay in a core's cache.
 ROWS = 1 << 13
 #: The longest word at hand; words that a task counts before it sends them; counts of a block that are added in one place.
 AT_HAND, WORDS, ADDED = 64, 250_000, 64
+#: Steps of the mixing weights whose texts are laid out together.
+STEPS = 4
 #: Bytes that are scored together, so that arrays stay in a core's cache.
 TOGETHER = 1 << 16
 #: No word has white space in it.
@@ -95,7 +99,6 @@ class Layout:
             x *= MIX
             line.append(x >> np.uint64(64 - bits[k][0]))
         self.line = line
-        self.high = self.byte >> 4
 
     def _words(self, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the whole word so far at each byte of the buffer (0 after white space), and of the word before it in the text."""
@@ -117,18 +120,29 @@ class Layout:
 
     def cells(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Where both halves of each byte are counted for context k."""
-        first = (self.line[k] << np.uint64(4)) | self.high
-        second = first * MIX
-        second >>= np.uint64(64 - self.bits[k][1])
-        second <<= np.uint64(4)
-        second |= self.byte & 15
-        return first.view(np.int64), second.view(np.int64)
+        return cells_of(self.line[k], self.byte, self.bits[k][1])
+
+    def places(self, k: int, inside: np.ndarray) -> np.ndarray:
+        """Line and byte as one number for context k, in as few bytes as hold it."""
+        x = self.line[k] << np.uint64(8)
+        x |= self.byte
+        return x.astype(np.uint32 if self.bits[k][0] <= 24 else np.uint64)[inside]
 
     def between(self) -> np.ndarray:
         """Places after the end sign of a text, before the next one or the end."""
         return ((self.first + self.size)[:, None] + np.arange(7)).reshape(-1) if len(self.first) else np.zeros(0, dtype=np.int64)
 
 
+def cells_of(line: np.ndarray, byte: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where both halves of each byte are counted, the second in one of 2**bits lines."""
+    first = (line << np.uint64(4)) | (byte >> 4)
+    second = first * MIX
+    second >>= np.uint64(64 - bits)
+    second <<= np.uint64(4)
+    second |= byte & 15
+    return first.view(np.int64), second.view(np.int64)
+
+
 def sizes_of(bits: list[tuple[int, int]]) -> list[list[int]]:
     return [[1 << (b + 4) for b in pair] for pair in bits]
 
@@ -144,15 +158,32 @@ def bits_for(size: int) -> list[tuple[int, int]]:
 
 def packed(counts: np.ndarray) -> np.ndarray:
     """For each cell the log odds of its four bits, in favour of the bits that lead there, as four bytes."""
-    c = counts.reshape(-1, 16).astype(np.float64)
-    out = np.zeros((len(c), 16, 4), dtype=np.int8)
-    for bit in range(4):
+    c = counts.reshape(-1, 16)
+    some = np.flatnonzero(c.any(axis=1))  # the rest are even
+    out, c = np.zeros((len(c), 16), dtype=np.uint32), np.ascontiguousarray(c[some].T, dtype=np.int64)
+    odds = np.empty((len(some), 16, 4), dtype=np.int8)
+    for bit in range(3, -1, -1):
+        logs = logs_of(c)
         width = 8 >> bit
-        s = c.reshape(len(c), -1, 2, width).sum(axis=3)  # node, value of the bit
-        odds = np.clip(np.rint(np.log((s[:, :, 1] + 0.4) / (s[:, :, 0] + 0.4)) / STEP), -127, 127).astype(np.int8)
-        both = np.stack((-odds, odds), axis=2).reshape(len(c), -1)  # of value 0 and of value 1
-        out[:, :, bit] = np.repeat(both, width, axis=1)
-    return out.reshape(-1, 4).view(np.uint32).reshape(-1)
+        for node in range(1 << bit):
+            x = np.clip(np.rint((logs[2 * node + 1] - logs[2 * node]) / STEP), -127, 127).astype(np.int8)
+            odds[:, 2 * node * width : (2 * node + 1) * width, bit] = -x[:, None]
+            odds[:, (2 * node + 1) * width : (2 * node + 2) * width, bit] = x[:, None]
+        c = c[::2] + c[1::2]  # counts of the nodes above
+    out[some] = odds.view(np.uint32)[:, :, 0]
+    return out.reshape(-1)
+
+
+#: Logarithms of counts below so many.
+LOGS = np.log(np.arange(1 << 12) + 0.4)
+
+
+def logs_of(counts: np.ndarray) -> np.ndarray:
+    """Logarithms of counts and 0.4."""
+    out = LOGS.take(counts, mode="clip")
+    large = counts >= len(LOGS)
+    out[large] = np.log(counts[large] + 0.4)
+    return out
 
 
 class Model:
@@ -235,8 +266,10 @@ def by_words(lay: Layout, cost: np.ndarray, shares: list[np.ndarray]) -> np.ndar
     before = np.arange(len(share)) - first[text]
     # The sign after the word: how often it has followed words of this text, and all signs.
     sign = lay.byte[end].astype(np.int64)
-    order = np.argsort(text * 256 + sign, kind="stable")
-    key = (text * 256 + sign)[order]
+    key = text * 256 + sign
+    key = key.astype(np.uint16) if len(n) <= 256 else key  # short numbers are sorted faster
+    order = np.argsort(key, kind="stable")
+    key = key[order]
     run = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     seen = np.empty(len(share), dtype=np.int64)
     seen[order] = np.arange(len(share)) - np.repeat(run, np.diff(np.append(run, len(share))))
@@ -277,25 +310,38 @@ def first_weights() -> np.ndarray:
 
 def step(model: Model, texts: list[bytes], rate: float) -> np.ndarray:
     """One online step of the model's weights (gate, context, bit), which follow the error on these texts; the bytes of each gate."""
-    lay = Layout(texts, model.bits)
+    return steps(model, [texts], [rate])
+
+
+def steps(model: Model, groups: list[list[bytes]], rates: list[float]) -> np.ndarray:
+    """A step for each group of texts, which are laid out together; the bytes of each gate."""
+    lay = Layout([t for g in groups for t in g], model.bits)
     odds = model.odds(lay)
-    gate = gates(lay, odds)
+    gate = gates(lay, odds).astype(np.int8)
     gate[lay.between()] = GATES  # not part of a text
+    ends = np.append(lay.first, len(gate))[np.cumsum([len(g) for g in groups])]
+    return sum((_step(model, odds[:, a:b], gate[a:b], rate) for a, b, rate in zip([0, *ends], ends, rates)), np.zeros(GATES, dtype=np.int64))
+
+
+def _step(model: Model, odds: np.ndarray, gate: np.ndarray, rate: float) -> np.ndarray:
     n = np.bincount(gate, minlength=GATES + 1)
     # The places in the order of their gates, so that a gate's are one run.
-    order = np.argsort(gate.astype(np.int8), kind="stable")[: len(gate) - n[GATES]]
-    gate, rows = gate[order], np.ascontiguousarray(odds).view(np.uint64)[:, :, 0].take(order, axis=1)
+    order = np.argsort(gate, kind="stable")[: len(gate) - n[GATES]]
+    gate, rows = gate[order].astype(np.int64), np.empty((len(ORDERS), len(order)), dtype=np.uint64)
+    for x, out in zip(odds.view(np.uint64)[:, :, 0], rows):
+        x.take(order, out=out, mode="clip")
     odds = rows.view(np.int8).reshape(len(ORDERS), len(order), 8)
     error = mixed(odds, gate, model.weights)
     np.exp(error, out=error)
     error += 1
     np.reciprocal(error, out=error)
-    slope, ends = np.empty((len(ORDERS), GATES, 8), dtype=np.float32), np.cumsum(n)
-    one = np.ones(len(order), dtype=np.float32)
-    for k, x in enumerate(odds):
-        own = error * x
-        for g in np.flatnonzero(n[:GATES]):
-            slope[k, g] = one[: n[g]] @ own[ends[g] - n[g] : ends[g]]
+    slope, ends = np.zeros((len(ORDERS), GATES, 8), dtype=np.float32), np.cumsum(n)
+    one = np.ones(ROWS, dtype=np.float32)
+    for g in np.flatnonzero(n[:GATES]):
+        for a in range(ends[g] - n[g], ends[g], ROWS):
+            b = min(a + ROWS, ends[g])
+            for k in range(len(ORDERS)):
+                slope[k, g] += one[: b - a] @ (error[a:b] * odds[k, a:b])
     for g in np.flatnonzero(n[:GATES]):
         model.weights[g] += (rate * STEP * STEP / np.sqrt(n[g] * 64.0) * slope[:, g]).astype(np.float32)
     return n[:GATES]
@@ -316,25 +362,30 @@ def _fit(texts: DataFrame, tables: "Sent | list[list[np.ndarray]]", bits: list[t
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = Model(sent.value.tables(), first_weights(), bits)
-        seen, waiting, size, steps = np.zeros(GATES, dtype=np.int64), [], 0, 0
+        seen, groups, size, done = np.zeros(GATES, dtype=np.int64), [[]], 0, 0
 
         def learn() -> None:
-            nonlocal size, steps, seen
-            if steps == 0:  # the first texts more often, for partitions with few of them
+            nonlocal groups, done, seen
+            if done == 0:  # the first texts more often, for partitions with few of them
                 for rate in (0.1, 0.05):
-                    for i in range(0, len(waiting), 4):
-                        step(model, waiting[i : i + 4], rate)
-            seen = seen + step(model, waiting, max(0.01, 0.1 / (1 + steps / 25)))
-            waiting.clear()
-            size, steps = 0, steps + 1
+                    for i in range(0, len(groups[0]), 4):
+                        step(model, groups[0][i : i + 4], rate)
+            groups = [g for g in groups if g]
+            seen = seen + steps(model, groups, [max(0.01, 0.1 / (1 + (done + i) / 25)) for i in range(len(groups))])
+            done += len(groups)
+            groups = [[]]
 
         for df in batches:
             for text in df["text"]:
-                waiting.append(escaped(_bytes(text)))
-                size += len(waiting[-1])
+                groups[-1].append(escaped(_bytes(text)))
+                size += len(groups[-1][-1])
                 if size >= PIECE:
-                    learn()
-        if waiting:
+                    size = 0
+                    if len(groups) == STEPS:
+                        learn()
+                    else:
+                        groups.append([])
+        if groups[0]:
             learn()
         give_back()
         for g in np.flatnonzero(seen):
@@ -358,6 +409,26 @@ def _bytes(text: str | None) -> bytes:
     return text.encode("utf-8").lower() if text else b""
 
 
+def words_of(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts, one after another, and how many each text has."""
+    found = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+    n, words = np.diff(found.offsets.to_numpy()), found.flatten()
+    real = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)  # none before or after white space at an end
+    at = np.cumsum(n)
+    kept = np.concatenate(([0], np.cumsum(real)))
+    return words.filter(pa.array(real)).cast(pa.large_binary()), kept[at] - kept[at - n]
+
+
+def _merged(counted: list[tuple[pa.Array, np.ndarray]]) -> tuple[pa.Array, np.ndarray]:
+    """Each word once, with the sum of its counts."""
+    if not counted:
+        return pa.array([], pa.large_binary()), np.zeros(0, dtype=np.int64)
+    words = pa.concat_arrays([w for w, _ in counted]).dictionary_encode()
+    n = np.zeros(len(words.dictionary), dtype=np.int64)
+    np.add.at(n, words.indices.to_numpy().astype(np.int64), np.concatenate([n for _, n in counted]))
+    return words.dictionary, n
+
+
 def escaped(text: bytes) -> bytes:
     """What the model reads of a text: the zero byte is the end sign alone, so it and the escape sign are spelled with two bytes."""
     return text.replace(b"\x01", b"\x01\x02").replace(b"\x00", b"\x01\x03") if b"\x00" in text or b"\x01" in text else text
@@ -368,40 +439,60 @@ def _learn(train: DataFrame, bits: list[tuple[int, int]]) -> DataFrame:
     block, sizes = 1 << BLOCK_BITS, sizes_of(bits)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words: Counter = Counter()
+        words: list[tuple[pa.Array, np.ndarray]] = []
         cells = [np.zeros(s, dtype=np.uint16) for pair in sizes for s in pair]
         full: list[dict[int, int]] = [{} for _ in cells]  # what the cells could not hold
         waiting: list[bytes] = []
-        size = 0
-
-        def add() -> None:
+        places: list[list[np.ndarray]] = [[] for _ in ORDERS]
+        size = found = n_words = n_texts = 0
+
+        def add_words(texts: list[bytes]) -> None:
+            nonlocal n_words, n_texts
+            counted = pc.value_counts(words_of(texts)[0])
+            words.append((counted.field("values"), counted.field("counts").to_numpy()))
+            n_words, n_texts = n_words + len(counted), n_texts + len(texts)
+            if n_words > 2 * WORDS:
+                words[:] = [_merged(words)]
+                n_words = len(words[0][0])
+
+        def add(last: bool = False) -> None:
+            nonlocal found
             if waiting:
                 lay = Layout(waiting, bits)
                 inside = np.ones(len(lay.byte), dtype=bool)
                 inside[lay.between()] = False
-                for k in range(len(ORDERS)):
-                    for half, at in enumerate(lay.cells(k)):
-                        _add_up(cells[2 * k + half], at[inside], full[2 * k + half])
+                for k, some in enumerate(places):
+                    some.append(lay.places(k, inside))
+                found += len(some[-1])
                 waiting.clear()
+            if found >= SORTED or last and found:
+                for k, some in enumerate(places):
+                    at = np.concatenate(some)
+                    some.clear()
+                    _count_places(at, bits[k][1], cells[2 * k : 2 * k + 2], full[2 * k : 2 * k + 2])
+                found = 0
 
         def spill() -> pd.DataFrame:
-            out = pd.DataFrame({"kind": -1, "word": list(words.keys()), "n": list(words.values()), "x": None})
+            nonlocal n_words, n_texts
+            if n_texts:
+                words.append((pa.array([END], pa.large_binary()), np.array([n_texts])))
+            word, n = _merged(words)
             words.clear()
-            return out
+            n_words = n_texts = 0
+            return pd.DataFrame({"kind": -1, "word": word.to_pandas(), "n": n, "x": None})
 
         for df in batches:
-            for text in df["text"]:
-                t = _bytes(text)
-                words.update(t.split())
-                words[END] += 1
+            texts = [_bytes(t) for t in df["text"]]
+            add_words(texts)
+            for t in texts:
                 waiting.append(escaped(t))
                 size += len(t)
                 if size > ROUND:
                     add()
                     size = 0
-            if len(words) > WORDS:
+            if len(words) == 1 and n_words > WORDS:
                 yield spill()
-        add()
+        add(last=True)
         yield spill()
         for k, (c, more) in enumerate(zip(cells, full, strict=True)):
             more_at = np.array(sorted(more), dtype=np.int64)
@@ -420,15 +511,46 @@ def _learn(train: DataFrame, bits: list[tuple[int, int]]) -> DataFrame:
     return train.select("text").mapInPandas(count, "kind long, word binary, n long, x binary")
 
 
-def _add_up(cells: np.ndarray, at: np.ndarray, full: dict[int, int]) -> None:
-    """One more for each place; cells that are more than half full are emptied into ``full``."""
+def _count_places(places: np.ndarray, bits: int, cells: list[np.ndarray], full: list[dict[int, int]]) -> None:
+    """Counts places of a context (line and byte as one number) in the cells of both halves."""
+    places.sort()
+    start = np.flatnonzero(np.concatenate(([True], places[1:] != places[:-1])))
+    n = np.diff(start, append=len(places))
+    places = places[start]
+    first, second = cells_of((places >> 8).astype(np.uint64), places.astype(np.uint8), bits)
+    start = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1])))  # sorted as the places are
+    _add_once(cells[0], first[start], full[0], np.add.reduceat(n, start))
+    _add_up(cells[1], second, full[1], n)
+
+
+def _add_once(cells: np.ndarray, at: np.ndarray, full: dict[int, int], n: np.ndarray) -> None:
+    """``n`` more for places that are all different; cells that are more than half full are emptied into ``full``."""
+    n = n + cells[at]
+    large = n > int(np.iinfo(cells.dtype).max) // 2
+    for k, m in zip(at[large].tolist(), n[large].tolist(), strict=True):
+        full[k] = full.get(k, 0) + m
+    n[large] = 0
+    cells[at] = n
+
+
+def _add_up(cells: np.ndarray, at: np.ndarray, full: dict[int, int], n: np.ndarray | None = None) -> None:
+    """``n`` more (or one) for each place; cells that are more than half full are emptied into ``full``."""
     half = int(np.iinfo(cells.dtype).max) // 2
-    for i in range(0, len(at), half):
-        part = at[i : i + half]
-        np.add.at(cells, part, np.ones(len(part), dtype=cells.dtype))
-        for k in np.unique(part[cells[part] > half]).tolist():
+    n = np.ones(len(at), dtype=np.int64) if n is None else n
+    large = n > half
+    if large.any():
+        for k, m in zip(at[large].tolist(), n[large].tolist(), strict=True):
+            full[k] = full.get(k, 0) + m
+        at, n = at[~large], n[~large]
+    total, n, i = np.cumsum(n), n.astype(cells.dtype), 0
+    while i < len(at):  # as many as cannot overflow a cell, even if all are its own
+        j = int(np.searchsorted(total, half + (total[i - 1] if i else 0), side="right"))
+        part = at[i:j]
+        np.add.at(cells, part, n[i:j])
+        for k in set(part[cells[part] > half].tolist()):
             full[k] = full.get(k, 0) + int(cells[k])
             cells[k] = 0
+        i = j
 
 
 def _sent(at: np.ndarray, n: np.ndarray) -> bytes:
@@ -466,11 +588,13 @@ def _added(parts: DataFrame) -> DataFrame:
 
 def _add(at: tuple, df: pd.DataFrame) -> pd.DataFrame:
     """The log odds of a block from the counts of either fold and from all."""
+    import zstandard
+
     total = np.zeros((2, 1 << BLOCK_BITS), dtype=np.int64)
     for fold, x in zip(df["fold"], df["x"], strict=True):
         cells, n = _received(x)
         total[fold, cells] += n
-    odds = [zlib.compress(packed(c).tobytes(), 1) for c in (total[0], total[1], total[0] + total[1])]
+    odds = [zstandard.ZstdCompressor(level=1).compress(packed(c).tobytes()) for c in (total[0], total[1], total[0] + total[1])]
     return pd.DataFrame({"kind": [at[0]], "fold0": odds[:1], "fold1": odds[1:2], "both": odds[2:]})
 
 
@@ -482,12 +606,14 @@ class Sent:
 
     def tables(self) -> list[list[np.ndarray]]:
         if self.unpacked is None:
+            import zstandard
+
             out = [[np.zeros(s, dtype=np.uint32) for s in pair] for pair in sizes_of(self.bits)]
             while self.blocks:
                 kind, x = self.blocks.pop()
                 k, b = divmod(kind, 1 << 40)
                 part = out[k // 2][k % 2][b << BLOCK_BITS : (b + 1) << BLOCK_BITS]
-                part[:] = np.frombuffer(zlib.decompress(x), dtype=np.uint32)[: len(part)]
+                part[:] = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), dtype=np.uint32)[: len(part)]
             self.unpacked = out
         return self.unpacked
 
@@ -497,6 +623,20 @@ def _tables(blocks: DataFrame, which: str, bits: list[tuple[int, int]]) -> Sent:
     return Sent(blocks=[(r["kind"], bytes(r[which])) for r in blocks.select("kind", which).toLocalIterator()], bits=bits)
 
 
+def _most_frequent(words: DataFrame, limit: int) -> dict[bytes, int]:
+    """The ``limit`` most frequent words, of equal counts the smaller ones; only words of the least count are sorted."""
+    total, least = 0, None
+    for n, count in sorted(words.groupBy("n").count().collect(), reverse=True):  # counts that occur are few
+        total += count
+        if total >= limit:
+            least = n
+            break
+    out = {bytes(r["word"]): r["n"] for r in words.filter(F.col("n") > (least or 0)).toLocalIterator()}
+    if least is not None:
+        out |= {bytes(r["word"]): r["n"] for r in words.filter(F.col("n") == least).orderBy("word").limit(limit - len(out)).toLocalIterator()}
+    return out
+
+
 def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", frequent: int = FREQUENT, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, *keep, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for every row; rows with ``learn`` teach."""
     spark = docs.sparkSession
@@ -512,7 +652,7 @@ def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
 
     words = stored(parts.filter("kind = -1").groupBy("word").agg(F.sum("n").alias("n")))
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = spark.sparkContext.broadcast({bytes(r["word"]): r["n"] for r in words.filter(F.length("word") <= AT_HAND).orderBy(F.desc("n"), "word").limit(frequent).toLocalIterator()})
+    top = spark.sparkContext.broadcast(_most_frequent(words.filter(F.length("word") <= AT_HAND), frequent))
     blocks = stored(_added(parts.filter("kind >= 0").select("kind", "fold", "x")).groupBy("kind").applyInPandas(_add, "kind long, fold0 binary, fold1 binary, both binary"))
     drop(spark, done_with)
     fits = [_fit(folds[1 - f], _tables(blocks, f"fold{f}", bits), bits) for f in (0, 1)]
@@ -525,16 +665,28 @@ def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
         scorer = Model(sent.tables(), w, bits)
         for some in batches:
             texts = [_bytes(t) for t in some]
-            out, shares = [], []
-            for t in texts:
-                w = t.split()
-                w.append(END)
-                c = np.fromiter(map(get, w, repeat(-1)), dtype=np.int64, count=len(w))
-                known = c >= 0
-                shares.append(np.maximum(c[:-1], 0) / max(total, 1))
-                rare = Counter(w[i] for i in np.flatnonzero(~known))
-                out.append((len(t), len(w), int((c > 0).sum()), float(np.log10((c[known] + 1) / space).sum()), list(rare.keys()), list(rare.values())))
-            out = pd.DataFrame(out, columns=["n_bytes", "n_tokens", "n_known", "base_score", "rare", "times"])
+            words, n = words_of(texts)
+            words = words.dictionary_encode()
+            kinds = [*words.dictionary.to_pylist(), END]
+            count = np.fromiter(map(get, kinds, repeat(-1)), dtype=np.int64, count=len(kinds))
+            word = np.insert(words.indices.to_numpy(), np.cumsum(n), len(kinds) - 1)  # with the ends
+            n = n + 1
+            text = np.repeat(np.arange(len(n)), n)
+            c = count[word]
+            shares = [x[:-1] for x in np.split(np.maximum(c, 0) / max(total, 1), np.cumsum(n)[:-1])]
+            rare, times = np.unique((text * len(kinds) + word)[c < 0], return_counts=True)
+            ends = np.searchsorted(rare, np.arange(1, len(n) + 1) * len(kinds)).tolist()
+            rare, times = [kinds[w] for w in (rare % len(kinds)).tolist()], times.tolist()
+            out = pd.DataFrame(
+                {
+                    "n_bytes": [len(t) for t in texts],
+                    "n_tokens": n,
+                    "n_known": np.bincount(text, c > 0, len(n)).astype(np.int64),
+                    "base_score": np.bincount(text, np.where(c < 0, 0.0, np.log10((np.maximum(c, 0) + 1) / space)), len(n)),
+                    "rare": [rare[a:b] for a, b in zip([0, *ends], ends)],
+                    "times": [times[a:b] for a, b in zip([0, *ends], ends)],
+                }
+            )
             out["score"] = scorer.log10([escaped(t) for t in texts], shares) if texts else []
             yield out
         give_back()

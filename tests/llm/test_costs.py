@@ -2,6 +2,7 @@
 
 import random
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 from helpers import texts
@@ -93,3 +94,60 @@ def test_only_what_is_not_settled_is_sorted_again(monkeypatch):
     flat = s.tolist()
     keys = [flat[i : i + suffix.DEPTH] for i in sa.tolist()]
     assert sorted(sa.tolist()) == list(range(len(s))) and all(a <= b for a, b in zip(keys, keys[1:]))
+
+
+def test_cells_are_touched_once_for_all_their_places(monkeypatch):
+    """Counts of sorted places are those of every place alone, and what is added is told once for equal places."""
+    sample, rng, added = [lm.escaped(t.encode().lower()) for t in texts(4) if t], np.random.default_rng(3), []
+    lay = lm.Layout(sample)
+    inside = np.ones(len(lay.byte), dtype=bool)
+    inside[lay.between()] = False
+    plain = lm._add_up
+    monkeypatch.setattr(lm, "_add_up", lambda cells, at, full, n=None: added.append(len(at)) or plain(cells, at, full, n))
+    for k, (pair, bits) in enumerate(zip(lm.SIZES, lm.BITS)):
+        before = [rng.integers(0, 100, s).astype(np.uint8) for s in pair]
+        cells, full = [c.copy() for c in before], [{}, {}]
+        places = lay.places(k, inside)
+        lm._count_places(places.copy(), bits[1], cells, full)
+        assert added.pop() == len(np.unique(places)) < len(places)
+        for half, at in enumerate(lay.cells(k)):
+            want, got = before[half].astype(np.int64), cells[half].astype(np.int64)
+            np.add.at(want, at[inside], 1)
+            for i, n in full[half].items():
+                got[i] += n
+            assert np.array_equal(got, want)
+
+
+def test_steps_that_share_a_layout_are_those_of_each_group():
+    sample, rng = [lm.escaped(t.encode().lower()) for t in texts(6) if t][:30], np.random.default_rng(4)
+    tables = [[rng.integers(0, 1 << 32, s, dtype=np.uint32) for s in pair] for pair in lm.SIZES]
+    groups, rates = [sample[:5], sample[5:6], sample[6:]], [0.5, 0.2, 0.1]
+    one, all_of_them = lm.Model(tables, lm.first_weights()), lm.Model(tables, lm.first_weights())
+    seen = sum(lm.step(one, g, r) for g, r in zip(groups, rates))
+    assert np.array_equal(lm.steps(all_of_them, groups, rates), seen)
+    assert np.allclose(all_of_them.weights, one.weights, rtol=1e-5, atol=1e-7)
+
+
+def test_log_odds_of_counts_beyond_the_table():
+    counts = np.zeros((3, 16), dtype=np.int64)
+    counts[1], counts[2, 3] = np.arange(16) ** 4, 1 << 40
+    got = lm.packed(counts).view(np.int8).reshape(3, 16, 4)
+    for line, c in enumerate(counts):
+        for cell in range(16):
+            for bit in range(4):
+                node, width = cell >> (4 - bit), 16 >> bit
+                a, b = c[node * width : node * width + width // 2].sum(), c[node * width + width // 2 : (node + 1) * width].sum()
+                odds = np.clip(np.rint(np.log((b + 0.4) / (a + 0.4)) / lm.STEP), -127, 127)
+                assert got[line, cell, bit] == (odds if cell >> (3 - bit) & 1 else -odds)
+
+
+def test_words_of_texts_are_found_together():
+    rnd = random.Random(7)
+    some = ["".join(rnd.choice(" \t\n\x0b\x0c\r\x1c\x1f\x00\x85\xa0abcé") for _ in range(rnd.randrange(12))).encode() for _ in range(400)]
+    words, n = lm.words_of(some)
+    assert words.to_pylist() == [w for t in some for w in t.split()] and n.tolist() == [len(t.split()) for t in some]
+    merged, n = lm._merged([(words, np.ones(len(words), dtype=np.int64)), (words[:5], np.full(5, 7))])
+    want = Counter([w for t in some for w in t.split()])
+    for w in words[:5].to_pylist():
+        want[w] += 7
+    assert dict(zip(merged.to_pylist(), n.tolist())) == want and len(merged) == len(want)
