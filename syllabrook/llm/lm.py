@@ -10,10 +10,13 @@ its share of all training words, with a weight that follows how well either way
 is the log probability of the text.
 
 Counts come from all training texts, in tables whose lines grow with the bytes of these texts (the contexts
-of one and two bytes have all the lines they can use). A table travels whole to every worker, so its memory
-grows with the input, too. The mixing weights are learned on all training texts as well: texts are dealt in
-two folds by their hash, and each fold's texts are predicted from the counts of the other, in one online pass
-for each partition; the passes are averaged by the bytes that each gate has seen.
+of one and two bytes have all the lines they can use). Tables of up to ``IN_MEMORY`` bytes are counted and kept in
+memory by each worker. Beyond that a worker counts in sorted runs, which it sends on before they take more than a
+fixed memory, and the workers of an executor read the finished tables from one file on their local disk, which they
+map: it is the system that keeps what it can of the file, and no worker's memory grows with the input. The mixing
+weights are learned on all training texts as well: texts are dealt in two folds by their hash, and each fold's texts
+are predicted from the counts of the other, in one online pass for each partition; the passes are averaged by the
+bytes that each gate has seen.
 
 The baseline adds up log10((c + 1) / (N + V + 1)) over words and the end token. Counts of the
 ``FREQUENT`` most frequent words are at hand in each worker; the rest are looked up by an exact join.
@@ -24,14 +27,20 @@ id counts as the empty text when rows are dealt. With no training text N and V a
 
 from __future__ import annotations
 
+import fcntl
+import os
+import tempfile
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from syllabrook.llm.common import MADE, add_row_id, drop, give_back, powers, small_batches, stored
@@ -41,7 +50,10 @@ ORDERS = {"last": (8, 14), "two": (16, 17), "four": (17, 18), "six": (17, 18), "
 BITS = list(ORDERS.values())
 #: Lines of a context that has no more; training bytes (a power of two) from which lines double with the bytes.
 ALL_LINES, GROW_FROM = {"last": (8, 14), "two": (16, 20)}, 29
-BLOCK_BITS = 16
+#: Cells of a block, as a power of two: more where tables have more lines, up to BLOCK_MORE powers.
+BLOCK_BITS, BLOCK_MORE = 16, 4
+#: Bytes of tables, or of their cells while they are counted, that a worker has in its own memory; places with counts that it has at most beyond that.
+IN_MEMORY, RUNS = 160 << 20, 12_000_000
 #: Log odds are kept as whole numbers from -127 to 127 of this size.
 STEP = 1 / 16
 #: Bytes of a part that is refined, of a step of the mixing weights and of a round of work; words at hand.
@@ -54,6 +66,8 @@ ROWS = 1 << 13
 AT_HAND, WORDS, ADDED = 64, 250_000, 64
 #: Steps of the mixing weights whose texts are laid out together.
 STEPS = 4
+#: Blocks of counts that a task sends at once; bytes of blocks from which a piece of the tables is broadcast.
+TOGETHER_SENT, SENT = 32, 8 << 20
 #: Bytes that are scored together, so that arrays stay in a core's cache.
 TOGETHER = 1 << 16
 #: No word has white space in it.
@@ -72,6 +86,9 @@ WORD_SO_FAR = list(ORDERS).index("word")
 KIND[BLANK] = 0
 KIND[[*range(97, 123), *range(128, 256)]] = 1
 KIND[48:58] = 2
+#: For each byte the signs of its bits' log odds where those of the last bit of either half are told in favour of a one.
+LAST_BIT = np.ones((256, 8), dtype=np.int8)
+LAST_BIT[(np.arange(256) & 16) == 0, 3] = LAST_BIT[(np.arange(256) & 1) == 0, 7] = -1
 
 
 class Layout:
@@ -156,6 +173,16 @@ def bits_for(size: int) -> list[tuple[int, int]]:
     return [tuple(min(b + more, m) for b, m in zip(pair, ALL_LINES.get(name, (60, 60)))) for name, pair in ORDERS.items()]
 
 
+def in_memory(bits: list[tuple[int, int]]) -> bool:
+    """Whether tables of so many lines are counted in memory, with two bytes a cell; as log odds they take as much."""
+    return 2 * sum(map(sum, sizes_of(bits))) <= IN_MEMORY
+
+
+def block_bits(bits: list[tuple[int, int]]) -> int:
+    """Cells of a block, as a power of two, for tables of so many lines."""
+    return BLOCK_BITS + min(max(0, bits[WORD_SO_FAR][0] - BITS[WORD_SO_FAR][0]), BLOCK_MORE)
+
+
 def packed(counts: np.ndarray) -> np.ndarray:
     """For each cell the log odds of its four bits, in favour of the bits that lead there, as four bytes."""
     c = counts.reshape(-1, 16)
@@ -174,6 +201,24 @@ def packed(counts: np.ndarray) -> np.ndarray:
     return out.reshape(-1)
 
 
+#: Of the fifteen log odds of a line, in favour of ones, those of each second cell, and their signs there.
+NODES = np.array([[0, 1 + (j >> 2), 3 + (j >> 1), 7 + j] for j in range(8)])
+SIGNS = np.array([[1 if j & 4 else -1, 1 if j & 2 else -1, 1 if j & 1 else -1, 1] for j in range(8)], dtype=np.int8)
+
+
+def nodes_of(cells: np.ndarray) -> bytes:
+    """The fifteen log odds of each line, of which ``packed`` makes its cells."""
+    x = cells.view(np.int8).reshape(-1, 16, 4)
+    return np.concatenate((x[:, 9:10, 0], x[:, 5::8, 1], x[:, 3::4, 2], x[:, 1::2, 3]), axis=1).tobytes()
+
+
+def halved(nodes: bytes) -> np.ndarray:
+    """Each second cell from the log odds of lines."""
+    x = np.frombuffer(nodes, dtype=np.int8).reshape(-1, 15).take(NODES, axis=1)
+    x *= SIGNS
+    return x.view(np.uint32).reshape(-1)
+
+
 #: Logarithms of counts below so many.
 LOGS = np.log(np.arange(1 << 12) + 0.4)
 
@@ -187,16 +232,24 @@ def logs_of(counts: np.ndarray) -> np.ndarray:
 
 
 class Model:
+    """Tables of log odds for each cell, or for each second one: cells that differ in the last bit differ in its sign alone."""
+
     def __init__(self, tables: list[list[np.ndarray]], weights: np.ndarray, bits: list[tuple[int, int]] = BITS) -> None:
         self.tables, self.weights, self.bits = tables, weights, bits
+        self.halved = len(tables[0][0]) < sizes_of(bits)[0][0]
 
     def odds(self, lay: Layout) -> np.ndarray:
         """(contexts, bytes, 8): log odds in favour of the bits that the text has; a byte's lie side by side."""
         out = np.empty((len(ORDERS), len(lay.byte), 2), dtype=np.uint32)
         for k in range(len(ORDERS)):
             for half, at in enumerate(lay.cells(k)):
+                if self.halved:
+                    at >>= 1
                 out[k, :, half] = self.tables[k][half].take(at, mode="wrap")  # all are inside: spares the check
-        return out.view(np.int8)
+        odds = out.view(np.int8)
+        if self.halved:
+            odds *= LAST_BIT[lay.byte]
+        return odds
 
     def log10(self, texts: list[bytes], words: list[np.ndarray] | None = None) -> np.ndarray:
         """The log10 probability of each text; ``words`` holds the share that each of its words has of all words, 0 if it is not at hand."""
@@ -358,10 +411,16 @@ def fit_weights(tables: list[list[np.ndarray]], texts: list[bytes], bits: list[t
 
 def _fit(texts: DataFrame, tables: "Sent | list[list[np.ndarray]]", bits: list[tuple[int, int]]) -> DataFrame:
     """(g, i, n, w): each partition's weights after an online pass over all its texts, and the bytes that each gate has seen."""
-    sent = texts.sparkSession.sparkContext.broadcast(tables if isinstance(tables, Sent) else Sent(tables))
+    tables = tables if isinstance(tables, Sent) else Sent(tables)
+    sent, pieces = texts.sparkSession.sparkContext.broadcast(tables), tables.pieces
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Model(sent.value.tables(), first_weights(), bits)
+        with sent.value.opened(pieces) as tables:
+            yield from passed(batches, tables)
+        give_back()
+
+    def passed(batches: Iterator[pd.DataFrame], tables: list[list[np.ndarray]]) -> Iterator[pd.DataFrame]:
+        model = Model(tables, first_weights(), bits)
         seen, groups, size, done = np.zeros(GATES, dtype=np.int64), [[]], 0, 0
 
         def learn() -> None:
@@ -387,13 +446,13 @@ def _fit(texts: DataFrame, tables: "Sent | list[list[np.ndarray]]", bits: list[t
                         groups.append([])
         if groups[0]:
             learn()
-        give_back()
         for g in np.flatnonzero(seen):
             w = model.weights[g].reshape(-1).astype(float)
             yield pd.DataFrame({"g": int(g), "i": np.arange(len(w)), "n": int(seen[g]), "w": w})
 
     out = stored(texts.select("text").mapInPandas(run, "g int, i int, n long, w double"))
-    sent.destroy()
+    for x in (sent, *pieces):
+        x.destroy()
     return out
 
 
@@ -436,11 +495,13 @@ def escaped(text: bytes) -> bytes:
 
 def _learn(train: DataFrame, bits: list[tuple[int, int]]) -> DataFrame:
     """(kind, word, n, x) of the training texts: counts of words, and of context cells in compressed blocks."""
-    block, sizes = 1 << BLOCK_BITS, sizes_of(bits)
+    width, sizes, at_most = block_bits(bits), sizes_of(bits), RUNS
+    block, dense = 1 << width, in_memory(bits)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words: list[tuple[pa.Array, np.ndarray]] = []
-        cells = [np.zeros(s, dtype=np.uint16) for pair in sizes for s in pair]
+        cells = [np.zeros(s, dtype=np.uint16) for pair in sizes for s in pair] if dense else []
+        runs = Runs(bits, at_most)
         full: list[dict[int, int]] = [{} for _ in cells]  # what the cells could not hold
         waiting: list[bytes] = []
         places: list[list[np.ndarray]] = [[] for _ in ORDERS]
@@ -469,7 +530,10 @@ def _learn(train: DataFrame, bits: list[tuple[int, int]]) -> DataFrame:
                 for k, some in enumerate(places):
                     at = np.concatenate(some)
                     some.clear()
-                    _count_places(at, bits[k][1], cells[2 * k : 2 * k + 2], full[2 * k : 2 * k + 2])
+                    if dense:
+                        _count_places(at, bits[k][1], cells[2 * k : 2 * k + 2], full[2 * k : 2 * k + 2])
+                    else:
+                        runs.add(k, at)
                 found = 0
 
         def spill() -> pd.DataFrame:
@@ -481,6 +545,19 @@ def _learn(train: DataFrame, bits: list[tuple[int, int]]) -> DataFrame:
             n_words = n_texts = 0
             return pd.DataFrame({"kind": -1, "word": word.to_pandas(), "n": n, "x": None})
 
+        def held() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+            for k, (c, more) in enumerate(zip(cells, full)):
+                more_at = np.array(sorted(more), dtype=np.int64)
+                for b in range(0, len(c), block):
+                    part = c[b : b + block]
+                    beyond = more_at[slice(*np.searchsorted(more_at, (b, b + len(part))))].tolist()
+                    if beyond:
+                        part = part.astype(np.int64)
+                    for at in beyond:
+                        part[at - b] += more[at]
+                    at = np.flatnonzero(part)
+                    yield k, at + b, part[at]
+
         for df in batches:
             texts = [_bytes(t) for t in df["text"]]
             add_words(texts)
@@ -490,22 +567,13 @@ def _learn(train: DataFrame, bits: list[tuple[int, int]]) -> DataFrame:
                 if size > ROUND:
                     add()
                     size = 0
+                    if runs.full():
+                        yield from _blocks(runs.sent(), width)
             if len(words) == 1 and n_words > WORDS:
                 yield spill()
         add(last=True)
         yield spill()
-        for k, (c, more) in enumerate(zip(cells, full, strict=True)):
-            more_at = np.array(sorted(more), dtype=np.int64)
-            for b in range(-(-len(c) // block)):
-                part = c[b * block : (b + 1) * block]
-                beyond = more_at[slice(*np.searchsorted(more_at, (b * block, b * block + len(part))))].tolist()
-                if beyond:
-                    part = part.astype(np.int64)
-                for at in beyond:
-                    part[at - b * block] += more[at]
-                at = np.flatnonzero(part)
-                if len(at):
-                    yield pd.DataFrame({"kind": [k << 40 | b], "word": [None], "n": [0], "x": [_sent(at, part[at])]})
+        yield from _blocks(runs.sent() if not dense else held(), width)
         give_back()
 
     return train.select("text").mapInPandas(count, "kind long, word binary, n long, x binary")
@@ -513,16 +581,96 @@ def _learn(train: DataFrame, bits: list[tuple[int, int]]) -> DataFrame:
 
 def _count_places(places: np.ndarray, bits: int, cells: list[np.ndarray], full: list[dict[int, int]]) -> None:
     """Counts places of a context (line and byte as one number) in the cells of both halves."""
-    places.sort()
-    start = np.flatnonzero(np.concatenate(([True], places[1:] != places[:-1])))
-    n = np.diff(start, append=len(places))
-    places = places[start]
+    places, n = _counted(places)
     first, second = cells_of((places >> 8).astype(np.uint64), places.astype(np.uint8), bits)
-    start = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1])))  # sorted as the places are
+    start = _starts(first)  # sorted as the places are
     _add_once(cells[0], first[start], full[0], np.add.reduceat(n, start))
     _add_up(cells[1], second, full[1], n)
 
 
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where each value of sorted ones begins."""
+    return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+
+
+def _counted(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each place once, in order, and how often it occurs; ``places`` are sorted where they lie."""
+    places.sort()
+    start = _starts(places)
+    return places[start], np.diff(start, append=len(places))
+
+
+def _summed(at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each value once, in order, and the sum of its counts."""
+    order = np.argsort(at, kind="stable")  # made for runs that are sorted
+    at = at[order]
+    start = _starts(at)
+    return at[start], np.add.reduceat(n[order], start, dtype=np.int64)
+
+
+class Runs:
+    """Places of each context with their counts (four bytes), as sorted runs in a memory that does not follow the size of the tables."""
+
+    def __init__(self, bits: list[tuple[int, int]], most: int) -> None:
+        self.bits, self.most, self.size, self.read = bits, most, 0, 0
+        self.runs: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in bits]
+
+    def add(self, k: int, places: np.ndarray) -> None:
+        at, n = _counted(places)
+        self.runs[k].append((at, n.astype(np.uint32)))
+        self.size += len(at)
+        self.read += int(n.sum())
+        if self.size > self.most:
+            for some in self.runs:
+                if len(some) > 1:
+                    at, n = _summed(*map(np.concatenate, zip(*some)))
+                    some[:] = [(at, n.astype(np.uint32))]
+            self.size = sum(len(at) for some in self.runs for at, _ in some)
+
+    def full(self) -> bool:
+        """Whether merging makes too little room, or a count may come to have more than four bytes."""
+        return self.size > self.most * 3 // 4 and all(len(some) < 2 for some in self.runs) or self.read >= 1 << 31
+
+    def sent(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(table, cells, counts) of all runs, which are given up."""
+        for k, some in enumerate(self.runs):
+            if not some:
+                continue
+            places, n = _summed(*map(np.concatenate, zip(*some)))
+            some.clear()
+            first, second = cells_of((places >> 8).astype(np.uint64), places.astype(np.uint8), self.bits[k][1])
+            del places
+            start = _starts(first)
+            yield 2 * k, first[start], np.add.reduceat(n, start, dtype=np.int64)
+            del first, start
+            yield 2 * k + 1, *_summed(second, n)
+        self.size = self.read = 0
+
+
+def _blocks(counted: Iterator[tuple[int, np.ndarray, np.ndarray]], width: int) -> Iterator[pd.DataFrame]:
+    """Rows for the blocks of so many cells (a power of two) that sorted cells of a table fall into, several at a time."""
+    kinds: list[int] = []
+    sent: list[bytes] = []
+
+    def some() -> pd.DataFrame:
+        out = pd.DataFrame({"kind": kinds, "word": None, "n": 0, "x": sent})
+        kinds.clear(), sent.clear()
+        return out
+
+    for k, at, n in counted:
+        if not len(at):
+            continue
+        block = at >> width
+        start = _starts(block)
+        for a, b in zip(start.tolist(), [*start[1:].tolist(), len(at)]):
+            kinds.append(k << 40 | int(block[a]))
+            sent.append(_sent(at[a:b] & ((1 << width) - 1), n[a:b]))
+            if len(sent) == TOGETHER_SENT:
+                yield some()
+    if sent:
+        yield some()
+
+
 def _add_once(cells: np.ndarray, at: np.ndarray, full: dict[int, int], n: np.ndarray) -> None:
     """``n`` more for places that are all different; cells that are more than half full are emptied into ``full``."""
     n = n + cells[at]
@@ -557,70 +705,155 @@ def _sent(at: np.ndarray, n: np.ndarray) -> bytes:
     """Cells of a block and their counts: distances and counts byte by byte, most of which are small."""
     import zstandard
 
-    far = np.diff(at, prepend=0).astype("<u2")
+    far = np.diff(at, prepend=0).astype("<u4")
     return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(x.view(np.uint8).reshape(len(at), -1).T).tobytes() for x in (far, n.astype("<u8"))))
 
 
 def _received(x: bytes) -> tuple[np.ndarray, np.ndarray]:
     import zstandard
 
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), dtype=np.uint8).reshape(10, -1)
-    far, n = np.ascontiguousarray(planes[:2].T).view("<u2"), np.ascontiguousarray(planes[2:].T).view("<u8")
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), dtype=np.uint8).reshape(12, -1)
+    far, n = np.ascontiguousarray(planes[:4].T).view("<u4"), np.ascontiguousarray(planes[4:].T).view("<u8")
     return np.cumsum(far.reshape(-1), dtype=np.int64), n.reshape(-1).astype(np.int64)
 
 
-def _added(parts: DataFrame) -> DataFrame:
-    """(kind, fold, x): counts of a block added up in rounds, so that no task reads what all tasks have sent for one."""
+def _added(parts: DataFrame, width: int = BLOCK_BITS, once: bool = False) -> DataFrame:
+    """(kind, fold, x): counts of a block added up in rounds (``once``: one at least), so that no task reads what all tasks have sent for one."""
+    before: list[str] = []
 
     def add(at: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(1 << BLOCK_BITS, dtype=np.int64)
+        total = np.zeros(1 << width, dtype=np.int64)
         for x in df["x"]:
             cells, n = _received(x)
             total[cells] += n
         cells = np.flatnonzero(total)
         return pd.DataFrame({"kind": [at[0]], "fold": [at[1]], "x": [_sent(cells, total[cells])]})
 
-    while (most := parts.groupBy("kind", "fold").count().agg(F.max("count")).first()[0] or 0) > ADDED:
-        some = F.pmod(F.xxhash64("x"), F.lit(-(-most * 2 // ADDED)))
-        parts = stored(parts.groupBy("kind", "fold", some).applyInPandas(lambda at, df: add(at, df), "kind long, fold int, x binary"))
+    while (most := parts.groupBy("kind", "fold").count().agg(F.max("count")).first()[0] or 0) > ADDED or once:
+        some = F.pmod(F.xxhash64("x"), F.lit(max(1, -(-most * 2 // ADDED))))
+        parts, once = stored(parts.groupBy("kind", "fold", some).applyInPandas(lambda at, df: add(at, df), "kind long, fold int, x binary")), False
+        drop(parts.sparkSession, before)
+        before = MADE[-1:]
     return parts
 
 
-def _add(at: tuple, df: pd.DataFrame) -> pd.DataFrame:
-    """The log odds of a block from the counts of either fold and from all."""
-    import zstandard
+def _added_fold(parts: DataFrame, fold: int, width: int) -> DataFrame:
+    """What the tasks of a fold have sent, added up and stored, while theirs is deleted: it is much more, and the other fold has as much."""
+    spark, sent = parts.sparkSession, MADE[-1:]
+    words = stored(parts.filter("kind = -1").groupBy(F.lit(-1).cast("long").alias("kind"), "word").agg(F.sum("n").alias("n")))
+    cells = _added(parts.filter("kind >= 0").select("kind", F.lit(fold).alias("fold"), "x"), width, once=True)
+    drop(spark, sent)
+    _sweep(spark)
+    return words.unionByName(cells.drop("fold"), allowMissingColumns=True)
 
-    total = np.zeros((2, 1 << BLOCK_BITS), dtype=np.int64)
-    for fold, x in zip(df["fold"], df["x"], strict=True):
-        cells, n = _received(x)
-        total[fold, cells] += n
-    odds = [zstandard.ZstdCompressor(level=1).compress(packed(c).tobytes()) for c in (total[0], total[1], total[0] + total[1])]
-    return pd.DataFrame({"kind": [at[0]], "fold0": odds[:1], "fold1": odds[1:2], "both": odds[2:]})
 
+def _sweep(spark: SparkSession) -> None:
+    """Has Spark delete the shuffles of what is stored by now, which it does once the driver's JVM has collected their plans."""
+    spark._jvm.System.gc()
 
-class Sent:
-    """Tables that travel as compressed blocks and are unpacked where they are used."""
 
-    def __init__(self, tables: list[list[np.ndarray]] | None = None, blocks: list[tuple[int, bytes]] | None = None, bits: list[tuple[int, int]] = BITS) -> None:
-        self.unpacked, self.blocks, self.bits = tables, blocks, bits
+def _odds(parts: DataFrame, width: int) -> DataFrame:
+    """(kind, fold0, fold1, both): the log odds of each block's lines, from the counts of either fold and from all."""
+
+    def add(at: tuple, df: pd.DataFrame) -> pd.DataFrame:
+        import zstandard
+
+        total = np.zeros((2, 1 << width), dtype=np.int64)
+        for fold, x in zip(df["fold"], df["x"], strict=True):
+            cells, n = _received(x)
+            total[fold, cells] += n
+        odds = [zstandard.ZstdCompressor(level=1).compress(nodes_of(packed(c))) for c in (total[0], total[1], total[0] + total[1])]
+        return pd.DataFrame({"kind": [at[0]], "fold0": odds[:1], "fold1": odds[1:2], "both": odds[2:]})
 
-    def tables(self) -> list[list[np.ndarray]]:
-        if self.unpacked is None:
-            import zstandard
+    return parts.groupBy("kind").applyInPandas(add, "kind long, fold0 binary, fold1 binary, both binary")
 
-            out = [[np.zeros(s, dtype=np.uint32) for s in pair] for pair in sizes_of(self.bits)]
-            while self.blocks:
-                kind, x = self.blocks.pop()
+
+class Sent:
+    """Tables whose compressed blocks travel in pieces and are unpacked where they are used, large ones into a file that is mapped.
+
+    The file is made by the first worker of an executor that needs it, while the others wait for its lock and then read
+    no piece. It loses its name when a worker's first use ends and lasts as long as someone maps it.
+    """
+
+    def __init__(self, tables: list[list[np.ndarray]] | None = None, bits: list[tuple[int, int]] = BITS, pieces: list[Broadcast] | None = None) -> None:
+        self.unpacked, self.bits, self.pieces, self.path = tables, bits, pieces or [], ""
+        self.sizes = [[s // 2 for s in pair] for pair in sizes_of(bits)]
+        self.name = "" if in_memory(bits) else f"syllabrook-{uuid.uuid4().hex}"
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"pieces": []}  # broadcast each by itself
+
+    @contextmanager
+    def opened(self, pieces: list[Broadcast]) -> Iterator[list[list[np.ndarray]]]:
+        try:
+            if self.unpacked is None:
+                self.unpacked = self._split(self._mapped(pieces) if self.name else self._in_memory(pieces))
+            yield self.unpacked
+        finally:
+            if self.path:
+                with suppress(FileNotFoundError):
+                    os.unlink(self.path)
+                self.path = ""
+
+    def _split(self, whole: np.ndarray) -> list[list[np.ndarray]]:
+        ends = np.cumsum([s for pair in self.sizes for s in pair])
+        tables = np.split(whole, ends[:-1])
+        return [tables[i : i + 2] for i in range(0, len(tables), 2)]
+
+    def _parts(self, pieces: list[Broadcast]) -> Iterator[tuple[int, np.ndarray]]:
+        """Where each block begins, counted in entries of all tables, and its entries; one piece is in memory at a time."""
+        import zstandard
+
+        flat = [s for pair in self.sizes for s in pair]
+        first, width = np.cumsum([0, *flat]).tolist(), block_bits(self.bits) - 1
+        for piece in pieces:
+            for kind, x in piece.value:
                 k, b = divmod(kind, 1 << 40)
-                part = out[k // 2][k % 2][b << BLOCK_BITS : (b + 1) << BLOCK_BITS]
-                part[:] = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), dtype=np.uint32)[: len(part)]
-            self.unpacked = out
-        return self.unpacked
+                yield first[k] + (b << width), halved(zstandard.ZstdDecompressor().decompress(x))[: flat[k] - (b << width)]
+            vars(piece).pop("_value", None)  # is read again where it is needed again
+
+    def _in_memory(self, pieces: list[Broadcast]) -> np.ndarray:
+        whole = np.zeros(sum(map(sum, self.sizes)), dtype=np.uint32)
+        for at, x in self._parts(pieces):
+            whole[at : at + len(x)] = x
+        return whole
+
+    def _mapped(self, pieces: list[Broadcast]) -> np.ndarray:
+        folder = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]  # of this executor; Spark removes it
+        self.path = os.path.join(folder if os.path.isdir(folder) else tempfile.gettempdir(), self.name)
+        size = 4 * sum(map(sum, self.sizes))
+        with os.fdopen(os.open(self.path, os.O_RDWR | os.O_CREAT, 0o600), "r+b") as f:
+            fcntl.flock(f, fcntl.LOCK_EX)
+            if os.fstat(f.fileno()).st_size <= size:  # one byte more says that it is whole
+                f.truncate(0)  # nothing stays of what an ended worker has left
+                f.truncate(size)
+                for at, x in self._parts(pieces):
+                    f.seek(4 * at)
+                    f.write(x)
+                f.flush()
+                f.truncate(size + 1)
+            whole = np.asarray(np.memmap(f, dtype=np.uint32, mode="r", shape=(size // 4,)))
+            fcntl.flock(f, fcntl.LOCK_UN)  # a mapping keeps the file open, and so its lock
+        return whole
 
 
 def _tables(blocks: DataFrame, which: str, bits: list[tuple[int, int]]) -> Sent:
-    """The blocks of one kind of table; only their compressed form passes through the driver."""
-    return Sent(blocks=[(r["kind"], bytes(r[which])) for r in blocks.select("kind", which).toLocalIterator()], bits=bits)
+    """The blocks of one kind of table; only their compressed form passes through the driver, which holds a piece at a time."""
+    spark, pieces = blocks.sparkSession, list[Broadcast]()
+    some: list[tuple[int, bytes]] = []
+    size = 0
+    for r in blocks.select("kind", which).toLocalIterator():
+        some.append((r["kind"], bytes(r[which])))
+        size += len(some[-1][1])
+        if size > SENT:
+            pieces.append(spark.sparkContext.broadcast(some))
+            some, size = [], 0
+    pieces.append(spark.sparkContext.broadcast(some))
+    del some
+    if not in_memory(bits):  # the driver keeps nothing of what has passed through it
+        give_back()
+        _sweep(spark)
+    return Sent(bits=bits, pieces=pieces)
 
 
 def _most_frequent(words: DataFrame, limit: int) -> dict[bytes, int]:
@@ -646,23 +879,32 @@ def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
     bits = bits_for(train.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     folds = [train.filter(F.col("fold") == f) for f in (0, 1)]
     made = len(MADE)
-    parts = [stored(_learn(d, bits)).withColumn("fold", F.lit(f)) for f, d in enumerate(folds)]
+    width, parts = block_bits(bits), []
+    for f, d in enumerate(folds):
+        part = stored(_learn(d, bits))
+        parts.append((part if in_memory(bits) else _added_fold(part, f, width)).withColumn("fold", F.lit(f)))
     done_with = MADE[made:]
     parts = parts[0].unionByName(parts[1])
 
     words = stored(parts.filter("kind = -1").groupBy("word").agg(F.sum("n").alias("n")))
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = spark.sparkContext.broadcast(_most_frequent(words.filter(F.length("word") <= AT_HAND), frequent))
-    blocks = stored(_added(parts.filter("kind >= 0").select("kind", "fold", "x")).groupBy("kind").applyInPandas(_add, "kind long, fold0 binary, fold1 binary, both binary"))
+    blocks = stored(_odds(_added(parts.filter("kind >= 0").select("kind", "fold", "x"), width), width))
     drop(spark, done_with)
     fits = [_fit(folds[1 - f], _tables(blocks, f"fold{f}", bits), bits) for f in (0, 1)]
     weights = _averaged(fits[0].unionByName(fits[1]))
-    model = spark.sparkContext.broadcast((_tables(blocks, "both", bits), weights))
+    both = _tables(blocks, "both", bits)
+    model, pieces = spark.sparkContext.broadcast((both, weights)), both.pieces
     space = float(total + kinds + 1)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        get, (sent, w) = top.value.get, model.value
-        scorer = Model(sent.tables(), w, bits)
+        sent, w = model.value
+        with sent.opened(pieces) as tables:
+            yield from scored(batches, Model(tables, w, bits))
+        give_back()
+
+    def scored(batches: Iterator[pd.Series], scorer: Model) -> Iterator[pd.DataFrame]:
+        get = top.value.get
         for some in batches:
             texts = [_bytes(t) for t in some]
             words, n = words_of(texts)
@@ -689,12 +931,11 @@ def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
             )
             out["score"] = scorer.log10([escaped(t) for t in texts], shares) if texts else []
             yield out
-        give_back()
 
     found = F.pandas_udf(run, "n_bytes long, n_tokens long, n_known long, base_score double, rare array<binary>, times array<int>, score double")
     done = stored(add_row_id(rows, "key").select("key", "row", found("text").alias("f")).select("key", "row", "f.*"))
-    model.destroy()
-    top.destroy()
+    for x in (model, *pieces, top):
+        x.destroy()
     rare = done.filter(F.size("rare") > 0).select("key", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("key", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
     rare = rare.join(words, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rare = rare.groupBy("key").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("k"), F.sum(F.col("times") * F.log10((F.col("n") + 1) / F.lit(space))).alias("b"))
